@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from textloom.sources.shipping import ship
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,5 +16,5 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield ship(session)
     session.stop()
