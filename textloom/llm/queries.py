@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, orc_tokens, quality, simhash, warc
+from . import byte_bpe, line_align, orc_tokens, quality, simhash, warc
 from .storage import fresh_path, table
 
 #: Texts of one file in the ORC output, in rows of the table.
@@ -19,6 +19,12 @@ def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_line_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_align.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256")
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_deleted").alias("n_deleted"), F.col("__words_deleted").alias("words_deleted"), digest)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -46,6 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc_index": op2_warc_index,
+    "op3_line_align": op3_line_align,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_orc_tokens": op7_orc_tokens,
@@ -53,6 +60,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_line_align": line_align.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
     "op2_warc_index": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
