@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_align, orc_tokens, quality, simhash, warc
+from . import byte_bpe, decontaminate, line_align, orc_tokens, quality, simhash, warc
 from .storage import fresh_path, table
 
 #: Texts of one file in the ORC output, in rows of the table.
@@ -44,6 +44,11 @@ def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(orc_tokens.read(spark, path))
 
 
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_tokens", "matched", "score", "doc_start")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = simhash.near_duplicates(docs, n_words=4, radius=4)
@@ -56,10 +61,12 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_orc_tokens": op7_orc_tokens,
+    "op9_spaced_seeds": op9_spaced_seeds,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL = {
+    "op9_spaced_seeds": decontaminate.ORACLE_SQL,
     "op3_line_align": line_align.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
     "op2_warc_index": """
