@@ -17,7 +17,7 @@ their names; an empty table on either side gives no overlaps. All of it is DataF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import without, written
 
 MASKS = ("11011011", "1101100111", "11101011011")
 MIN_SHARE = 80
@@ -88,8 +88,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BRO
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an overlap, all their columns as they are."""
-    leaked = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_anti")
+    return without(docs, overlaps(docs, benchmark))
 
 
 def _sql_seeds(source: str, key: str) -> str:

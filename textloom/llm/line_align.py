@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import free, written
 
 #: A line that so many documents hold at most is rare.
 RARE = 8
@@ -145,17 +145,22 @@ def blocks(profile: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) ->
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the blocks deleted from their texts, and __n_lines, __n_deleted and __words_deleted beside their columns."""
+    """docs with the blocks deleted from their texts, and __n_lines, __n_deleted and __words_deleted beside their columns.
+
+    Where docs has columns of such names, the new ones take more underscores.
+    """
     profile = written(profiles(docs, text_col), "profiles")
     doomed = written(blocks(profile, alignments(profile, candidates(profile, rare)), min_words), "blocks")
-    doomed = doomed.select(F.col("doc.id").alias("__id"), F.col("doc.hash").alias("__hash"), F.col("doomed").alias("__doomed"), F.col("doomed_words").alias("__words"))
-    joined = docs.join(doomed, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left")
+    at_id, at_hash, places, lost = free(docs, "__id", "__hash", "__doomed", "__words")
+    doomed = doomed.select(F.col("doc.id").alias(at_id), F.col("doc.hash").alias(at_hash), F.col("doomed").alias(places), F.col("doomed_words").alias(lost))
+    joined = docs.join(doomed, docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs[text_col]) == F.col(at_hash)), "left")
     lines = lines_of(F.col(text_col))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__doomed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
     rest = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n")), F.lit(0))
-    text = F.when(F.col("__doomed").isNull(), F.col(text_col)).otherwise(rest)
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(rest)
     own = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns]
-    return joined.select(*own, F.size(lines).cast("bigint").alias("__n_lines"), F.coalesce(F.size("__doomed"), F.lit(0)).cast("bigint").alias("__n_deleted"), F.coalesce("__words", F.lit(0)).cast("bigint").alias("__words_deleted"))
+    counts = F.size(lines), F.coalesce(F.size(places), F.lit(0)), F.coalesce(F.col(lost), F.lit(0))
+    return joined.select(*own, *(c.cast("bigint").alias(name) for c, name in zip(counts, free(docs, "__n_lines", "__n_deleted", "__words_deleted"), strict=True)))
 
 
 ORACLE_SQL = f"""

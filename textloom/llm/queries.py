@@ -4,12 +4,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_align, orc_tokens, quality, simhash, warc
+from . import byte_bpe, decontaminate, line_align, orc_tokens, pii, quality, simhash, warc
 from .storage import fresh_path, table
 
 #: Texts of one file in the ORC output, in rows of the table.
 ORC_ROWS = 8_000
 END_ID = 2
+#: The key of the pseudonyms; a deployment passes its own secret.
+KEY = "test-key"
+
+
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct("__replaced.kind")), ",")
+    return found.select("doc_id", "text", F.size("__replaced").cast("bigint").alias("n_replaced"), kinds.alias("kinds"))
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_feistel_pii": op1_feistel_pii,
     "op2_warc_index": op2_warc_index,
     "op3_line_align": op3_line_align,
     "op4_byte_bpe": op4_byte_bpe,

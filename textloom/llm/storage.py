@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores behind as it takes to be no column of df (case aside)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def without(docs: DataFrame, keys: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose doc_id and text hash are not in keys(doc_id, text_hash), all their columns as they are."""
+    at_id, at_hash = free(docs, "__id", "__hash")
+    gone = keys.select(F.col("doc_id").alias(at_id), F.col("text_hash").alias(at_hash)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs[text_col]) == F.col(at_hash)), "left_anti")
