@@ -24,6 +24,8 @@ MIN_BYTES = 100
 ARCHIVE_BYTES = 1 << 30
 #: Ranges are merged over at most so many unread bytes, and within windows of so many bytes.
 MAX_GAP, MAX_RANGE = 1 << 16, 1 << 23
+#: Bytes of archives that a task reads.
+PART_BYTES = 1 << 24
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,7 +151,9 @@ def read_records(index: DataFrame, root: str, max_gap: int = MAX_GAP, max_range:
                 found = (parse_record(data[x["offset"] - r["begin"] : x["offset"] - r["begin"] + x["length"]]) for x in r["records"])
                 yield pa.RecordBatch.from_pylist(list(found), schema)
 
-    return byte_ranges(index, max_gap, max_range).mapInArrow(run, RECORD)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    ranges = byte_ranges(index, max_gap, max_range).repartition(1 + size // PART_BYTES, "archive", "begin")  # small rows, large reads
+    return ranges.mapInArrow(run, RECORD)
 
 
 def payload_facts(records: DataFrame) -> DataFrame:
