@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Entries of a worker's cache of encoded words; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
+#: Files of one table at most, and so rows of the table of their totals.
+MAX_PARTS = 200_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 1 << 23
 #: Rows between two entries of ORC's row index, and with them Bloom filters.
@@ -105,6 +107,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, parts: i
 
     part_start counts the ids before the document in its own file; starts() adds those of the files before.
     """
+    parts = max(1, min(parts, MAX_PARTS))
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
     in_order = source.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
@@ -133,7 +136,7 @@ def starts(tokens: DataFrame) -> DataFrame:
     sums = tokens.groupBy(F.col("part").alias("of_part")).agg(F.sum("n_tokens").alias("size"))  # a row for each file
     ahead = Window.orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("of_part", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))
-    joined = tokens.join(base, F.col("part") == F.col("of_part"))
+    joined = tokens.join(F.broadcast(base), F.col("part") == F.col("of_part"))  # MAX_PARTS rows at most
     return joined.withColumn("start", F.col("base") + F.col("part_start")).drop("of_part", "base")
 
 
