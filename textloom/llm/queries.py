@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, line_align, orc_tokens, pii, quality, simhash, warc
+from . import byte_bpe, decontaminate, license_scan, line_align, orc_tokens, pii, quality, simhash, warc
 from .storage import fresh_path, table
 
 #: Texts of one file in the ORC output, in rows of the table.
@@ -52,6 +52,10 @@ def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(orc_tokens.read(spark, path))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
 def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_tokens", "matched", "score", "doc_start")
@@ -70,6 +74,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op7_orc_tokens": op7_orc_tokens,
+    "op8_license_scan": op8_license_scan,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_simhash": op10_simhash,
 }
