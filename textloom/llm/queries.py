@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, license_scan, line_align, orc_tokens, pii, quality, simhash, warc
+from . import byte_bpe, decontaminate, edit_counts, license_scan, line_align, orc_tokens, pii, quality, simhash, warc
 from .storage import fresh_path, table
 
 #: Texts of one file in the ORC output, in rows of the table.
@@ -44,6 +44,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after each run of four digits or more is masked and a line is appended."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    built = edit_counts.trees(table(spark, sf_dir, "documents"), ranks, pattern)
+    edits = F.concat(edit_counts.appended(F.col("text"), "\nEnd of document."), edit_counts.masking_edits(F.col("text"), "[0-9]{4,}", "<number>"))
+    found = edit_counts.edited(built.withColumn("edits", edits), ranks, pattern)
+    return found.select("doc_id", "n_before", "n_after", F.length("text").cast("bigint").alias("n_chars_after"), "reencoded")
+
+
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = fresh_path(spark, "tokens")
@@ -73,6 +82,7 @@ QUERIES = {
     "op3_line_align": op3_line_align,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op6_edit_counts": op6_edit_counts,
     "op7_orc_tokens": op7_orc_tokens,
     "op8_license_scan": op8_license_scan,
     "op9_spaced_seeds": op9_spaced_seeds,

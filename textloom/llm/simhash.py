@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .storage import written
+from .storage import free, written
 
 #: Fingerprints of one key that are compared in one task; keys with more are split into cells of pairs of blocks.
 BLOCK = 4096
@@ -68,8 +68,8 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, n_words: int, bands: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (bigint) and, if asked for, the bands of every text."""
-    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    """doc_id, text_hash, fingerprint (bigint) and, if asked for, the bands of every text."""
+    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
 
     def run(batches):
         for batch in batches:
@@ -78,9 +78,9 @@ def fingerprints(docs: DataFrame, n_words: int, bands: bool = False, id_col: str
                 hashes = shingle_hashes(text, n_words)
                 prints.append(fingerprint(hashes))
                 keys.append(band_keys(hashes) if bands else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fingerprint", "bands"])
 
-    return kept.mapInArrow(run, "doc_id bigint, fingerprint bigint, bands array<bigint>")
+    return kept.mapInArrow(run, "doc_id bigint, text_hash bigint, fingerprint bigint, bands array<bigint>")
 
 
 def block_masks(radius: int, n: int) -> list[int]:
@@ -248,7 +248,7 @@ def links(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, candidate_keys: str = "blocks") -> DataFrame:
-    """doc_id, fingerprint and component_id (the smallest doc_id that links reach) of every row.
+    """doc_id, text_hash, fingerprint, component (a fingerprint) and component_id (the smallest doc_id that links reach) of every row.
 
     candidate_keys: "blocks" finds every pair within radius; "bands" those that share a min-hash band besides.
     """
@@ -262,5 +262,14 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS,
     nodes = firsts.join(found, F.col("fingerprint") == F.col("node"), "left")
     nodes = nodes.select(F.col("fingerprint").alias("of_print"), F.coalesce("component", "fingerprint").alias("component"), "first_id")
     heads = nodes.groupBy(F.col("component").alias("head")).agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(heads, F.col("component") == F.col("head")).select("of_print", "component_id")
-    return prints.join(named, F.col("fingerprint") == F.col("of_print")).select("doc_id", "fingerprint", "component_id")
+    named = nodes.join(heads, F.col("component") == F.col("head")).select("of_print", "component", "component_id")
+    return prints.join(named, F.col("fingerprint") == F.col("of_print")).select("doc_id", "text_hash", "fingerprint", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, candidate_keys: str = "bands") -> DataFrame:
+    """The row of docs with the smallest doc_id (then text hash) of each component, all columns as they are, repeated rows once."""
+    at_id, at_hash = free(docs, "__id", "__hash")
+    groups = near_duplicates(docs, n_words, radius, candidate_keys)
+    heads = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias(at_id), F.col("x.text_hash").alias(at_hash))
+    joined = docs.join(heads, docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs["text"]) == F.col(at_hash)))
+    return joined.dropDuplicates([at_id, at_hash]).drop(at_id, at_hash)
