@@ -37,21 +37,26 @@ def seed(number: int, mask: str, tokens: Column, place: Column) -> Column:
 
 
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
-    """item (a number of its own), item_id, item_tokens, item_place and seed; and the masks in use, short items' own last."""
+    """item (its own hash), item_id, item_size, item_tokens, item_place and seed; and the masks in use, short items' own last."""
     items = benchmark.select(F.col("item_id"), token_hashes(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") > 0).distinct()
     shortest = min(map(len, MASKS))
     short = [r.n for r in items.where(F.size("item_tokens") < shortest).select(F.size("item_tokens").alias("n")).distinct().collect()]  # under 8 numbers
     masks = [*MASKS, *("1" * n for n in sorted(short))]
     size = F.size("item_tokens")
     fits = [(size >= len(m)) if k < len(MASKS) else (size == len(m)) for k, m in enumerate(masks)]
-    each = items.select("*", F.explode(F.sequence(F.lit(0), size - 1)).alias("item_place"))
+    each = items.select("*", F.xxhash64("item_id", "item_tokens").alias("item"), size.alias("item_size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("item_place"))
     seeds = F.array(*(F.when(fit, seed(k, m, F.col("item_tokens"), F.col("item_place"))) for k, (m, fit) in enumerate(zip(masks, fits, strict=True))))
-    return each.select("item_id", "item_tokens", "item_place", F.explode(seeds).alias("seed")).where("seed IS NOT NULL"), masks
+    return each.select("item", "item_id", "item_size", "item_tokens", "item_place", F.explode(seeds).alias("seed")).where("seed IS NOT NULL"), masks
+
+
+def window(tokens: Column, start: Column, size: Column) -> Column:
+    """The tokens from start on, as many as size; where start is before the text, as many fewer."""
+    return F.slice(tokens, F.greatest(start, F.lit(0)) + 1, F.greatest(size + F.least(start, F.lit(0)), F.lit(0)))
 
 
 def verified(pairs: DataFrame) -> DataFrame:
-    """Adds matched and score to tokens, item_tokens and start (the document's place under the item's first), and keeps overlaps."""
-    equal = F.transform("item_tokens", lambda x, k: F.when(x == F.get("tokens", F.col("start") + k), 1).otherwise(0))
+    """matched and score of pairs(doc_id, text_hash, item_id, start, window, item_tokens), of overlaps only."""
+    equal = F.transform("item_tokens", lambda x, k: F.when(x == F.get("window", k + F.least(F.col("start"), F.lit(0))), 1).otherwise(0))
     rows = pairs.select("doc_id", "text_hash", "item_id", "start", F.size("item_tokens").alias("item_size"), equal.alias("equal"))
     best = F.aggregate(
         "equal", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
@@ -66,22 +71,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BRO
     """doc_id, text_hash, item_id, item_tokens, matched, score and doc_start of the best overlap of each document and item."""
     seeds, masks = benchmark_seeds(benchmark)
     seeds = written(seeds, "seeds")
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("tokens"))
-    if seeds.count() > max_broadcast:
-        tokens = written(tokens.distinct(), "tokens")
-    places = tokens.where(F.size("tokens") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("place"))
-    all_seeds = F.array(*(seed(k, m, F.col("tokens"), F.col("place")) for k, m in enumerate(masks)))
-    sought = places.select("*", F.explode(all_seeds).alias("doc_seed")).where("doc_seed IS NOT NULL")
+    items = seeds.select(F.col("item").alias("of_item"), "item_id", "item_tokens").distinct()
+    small = seeds.count() <= max_broadcast
+    # The row number keeps filters from moving below the tokenizer and running it twice.
+    tokens = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("tokens"))
+    if not small:
+        tokens = written(tokens, "tokens")
+    at = F.explode(F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))).alias("place")
+    places = tokens.select("row", "doc_id", "text_hash", "tokens", at)
+    sought = places.select("*", F.explode(F.array(*(seed(k, m, F.col("tokens"), F.col("place")) for k, m in enumerate(masks)))).alias("doc_seed"))
     start = (F.col("place") - F.col("item_place")).alias("start")
-    if seeds.count() <= max_broadcast:
-        pairs = sought.join(F.broadcast(seeds), F.col("doc_seed") == F.col("seed")).select("doc_id", "text_hash", "tokens", "item_id", "item_tokens", start)
+    key = ["row", "doc_id", "text_hash", "item", "start"]
+    if small:
+        # One span of generated code from the tokens to the hits: only hits leave it, with their own windows.
+        found = sought.join(F.broadcast(seeds.drop("item_tokens", "item_id")), F.col("doc_seed") == F.col("seed"))
+        found = found.select("row", "doc_id", "text_hash", "item", start, window(F.col("tokens"), F.col("place") - F.col("item_place"), F.col("item_size")).alias("window"))
+        pairs = found.groupBy(*key).agg(F.any_value("window").alias("window")).join(F.broadcast(items), F.col("item") == F.col("of_item"))
     else:
-        sought = sought.select("doc_id", "text_hash", "place", "doc_seed")
-        hits = sought.join(seeds.drop("item_tokens"), F.col("doc_seed") == F.col("seed")).select("doc_id", "text_hash", "item_id", start).distinct()
-        of_docs = tokens.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"), "tokens")
-        of_items = seeds.select(F.col("item_id").alias("of_item"), "item_tokens").distinct()
-        pairs = hits.join(of_items, F.col("item_id").eqNullSafe(F.col("of_item")))
-        pairs = pairs.join(of_docs, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")))
+        found = sought.select("row", "doc_id", "text_hash", "place", "doc_seed").join(seeds.select("item", "item_place", "seed"), F.col("doc_seed") == F.col("seed"))
+        found = found.select("row", "doc_id", "text_hash", "item", start).distinct().join(items, F.col("item") == F.col("of_item"))
+        found = found.join(tokens.select(F.col("row").alias("of_row"), "tokens"), F.col("row") == F.col("of_row"))
+        pairs = found.select(*key, "item_id", "item_tokens", window(F.col("tokens"), F.col("start"), F.size("item_tokens")).alias("window"))
     best = verified(pairs).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "matched", "item_size", -F.col("start"))).alias("x"))
     return best.select("doc_id", "text_hash", "item_id", F.col("x.item_size").alias("item_tokens"), F.col("x.matched").alias("matched"), F.col("x.score").alias("score"), (-F.col("x.col4")).alias("doc_start"))
 
