@@ -1,14 +1,427 @@
-"""Named queries over the test tables, each with DuckDB SQL where SQL can express it."""
+"""Named queries over the test tables, each with DuckDB SQL where SQL can express it.
+
+Queries run over whole tables. Annotations that no table has are made from the tokens by a rule that both sides share.
+"""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as T
+from ..operators import evidence as E
+from ..operators import lexicon as L
+from ..operators import sequences, statistics
+from ..operators.audit import audit
+from ..operators.features import Spec
+from ..sources import readers, writers
+from . import compile as plans
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TOKEN = r"\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}]+(?:[-''’][\p{L}\p{N}]+)*"
+VOWELS, LETTERS = "[aeiouáéíóúü]+", "^[a-záéíóúüñ]+$"
+BASE = rf"""WITH d AS (SELECT doc_id, lang, source, lower(text) AS x, text AS raw FROM documents),
+t AS (SELECT *, regexp_extract_all(x, '{TOKEN}') AS w, [v FOR v IN regexp_extract_all(x, '[\p{{L}}\p{{N}}\p{{M}}_]+') IF regexp_matches(v, '{LETTERS}')] AS sw,
+  [trim(s, ' ' || chr(9) || chr(10) || chr(13)) FOR s IN regexp_extract_all(x, '[^.!?]+[.!?]*') IF trim(s, ' ' || chr(9) || chr(10) || chr(13)) <> ''] AS sent,
+  regexp_replace(regexp_replace(regexp_replace(x, '(\d)\.(\d)', '\1\2', 'g'), '(\d)\.(\d)', '\1\2', 'g'), '(^|[^\p{{L}}.])(dra?|etc|profa?|sra?|srta)\.', '\1\2', 'g') AS y FROM d),
+b AS (SELECT *, CAST(len(w) AS DOUBLE) AS nw, CASE WHEN trim(x) = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(y, '[.!?]+'))) END AS ns,
+  CAST(coalesce(list_sum([greatest(1, len(regexp_extract_all(v, '{VOWELS}'))) FOR v IN sw]), 0) AS DOUBLE) AS syl FROM t)
+"""
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with text_norm (only lowered) and text_raw."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.avg(F.length("text")).alias("mean_length"))
+    return docs.withColumns({"text_raw": T.ensured(F.col("text")), "text_norm": F.lower(T.ensured(F.col("text")))})
+
+
+TAGS = ["NOUN", "VERB", "ADJ", "DET", "AUX"]
+RELATIONS = ["nsubj", "obj", "aux:pass", "det", "root"]
+
+
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags by the tokens' lengths, sentences of ten tokens, each token's head the one before it."""
+    docs = documents(spark, sf_dir).withColumn("words", T.lexical_tokens(F.col("text_norm")))
+    of = lambda names, w: F.element_at(F.array(*map(F.lit, names)), F.length(w) % 5 + 1)
+    feats = lambda w: F.when(F.length(w) % 2 == 0, "Number=Plur|Gender=Fem").when(F.length(w) % 3 == 0, "VerbForm=Inf").otherwise("Number=Sing")
+    pos = F.transform("words", lambda w: F.concat(w, F.lit("__("), of(TAGS, w), F.lit(")("), feats(w), F.lit(")")))
+    dep = F.transform("words", lambda w, i: F.concat(w, F.lit("__("), of(RELATIONS, w), F.lit(")("), (i % 10).cast("string"), F.lit(")")))
+    kinds = F.transform("words", lambda w: F.concat(of(["PER", "LOC", "ORG", "MISC", "PER"], w), F.lit("("), w, F.lit(")")))
+    tens = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / 10).cast("int")), lambda k: F.array_join(F.slice(c, k * 10 + 1, F.lit(10)), ", ")), " || ")).otherwise("")
+    rows = docs.withColumns({"p": pos, "q": dep, "r": kinds})
+    return rows.withColumns({"tagged_pos": tens(F.col("p")), "tagged_dep": tens(F.col("q")), "tagged_ner": F.array_join("r", ", ")}).drop("p", "q", "r")
+
+
+def features(docs: DataFrame, *specs: Spec, **kwargs) -> DataFrame:
+    return plans.features(docs, list(specs), id_col="doc_id", **kwargs)
+
+
+def spec(key: str, operator: str, **params) -> Spec:
+    own = {k: params.pop(k) for k in ("pattern", "dictionary", "universal", "input_column", "pos_tag", "percentage", "strategy", "children") if k in params}
+    return Spec(key, operator, params=params, **own)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each document from its normalized text, summarized by language."""
+    docs = plans.prepared(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    words = [spec("word_count", "WordCountDimension"), spec("unique", "WordUniqueDimension"), spec("words_per_sentence", "WordPerSentenceDimension"), spec("commas", "CharacterFrequencyDimension", character=",")]
+    table = plans.features(docs, [*words, spec("both", "CompositeDimension", strategy="CompositeStrategySum", children=[spec("short", "LengthDimension"), spec("ttr", "RTIEDimension")]), spec("per_word", "RatioDimension", numerator="commas", denominator="word_count")], id_col="doc_id", keep=("lang",))
+    return statistics.summary(table, [c for c in table.columns if c not in ("doc_id", "lang")], by=("lang",))
+
+
+@query("q_common_features", BASE + "SELECT doc_id, length(x) AS text_length, len(w) AS word_count, len(list_distinct(w)) AS unique_word_count, CAST(ns AS BIGINT) AS sentence_count, CAST(syl AS BIGINT) AS syllable_count FROM b")
+def common(spark, sf_dir):
+    cols = T.common_features()
+    return documents(spark, sf_dir).select("doc_id", *(c.cast("bigint").alias(k) for k, c in cols.items() if k != "words"))
+
+
+@query("q_length", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS len FROM documents")
+def q_length(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("len", "LengthDimension"))
+
+
+@query("q_words", BASE + "SELECT doc_id, nw AS word_count, CASE WHEN nw = 0 THEN 0 ELSE coalesce(list_sum([length(v) FOR v IN w]), 0) / nw END AS average, CASE WHEN nw = 0 THEN 0 ELSE 100.0 * len([v FOR v IN w IF length(v) >= 6]) / nw END AS long_words, CASE WHEN nw = 0 THEN 0 ELSE 100.0 * len(list_distinct(w)) / nw END AS distinct_words FROM b")
+def q_words(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("word_count", "WordCountDimension"), spec("average", "AverageWordLengthDimension"), spec("long_words", "WordLengthDimension", comparator=">=", length=6), spec("distinct_words", "WordUniqueDimension"))
+
+
+@query("q_characters", r"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE 100.0 * (length(text) - length(replace(text, ',', ''))) / length(text) END AS commas, CASE WHEN length(text) = 0 THEN 0 ELSE 100.0 * len(regexp_extract_all(text, '[\s!]')) / length(text) END AS spaces FROM documents")
+def q_characters(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("commas", "CharacterFrequencyDimension", character=","), spec("spaces", "CharacterFrequencyDimension", character="\\s!"))
+
+
+@query("q_readability", BASE + rf""", s AS (SELECT *, len([v FOR v IN regexp_extract_all(x, '[\p{{L}}\p{{M}}\p{{N}}_]+(?:[-''’][\p{{L}}\p{{M}}\p{{N}}_]+)*')]) AS n0, greatest(1, len(regexp_extract_all(x, '[^.!?]+[.!?]*'))) AS spans FROM b)
+SELECT doc_id, CASE WHEN ns = 0 THEN 0 ELSE nw / ns END AS per_sentence, CASE WHEN nw = 0 THEN 0 ELSE 206.84 - 60.0 * (syl / nw) - 102.0 * (spans / nw) END AS readability, CASE WHEN nw = 0 OR ns = 0 THEN 0 ELSE 206.835 - 62.3 * (syl / nw) - nw / ns END AS perspicuity FROM s""")
+def q_readability(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("per_sentence", "WordPerSentenceDimension"), spec("readability", "ReadabilityDimension"), spec("perspicuity", "PerspicuityDimension"))
+
+
+@query("q_sentence_counts", BASE + "SELECT doc_id, CAST(CASE WHEN trim(x) = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(x, '[.!?]+'))) END AS DOUBLE) AS endings, syl AS syllables FROM b")
+def q_sentence_counts(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("endings", "SentenceCountDimension"), spec("syllables", "SyllableCountDimension"))
+
+
+@query("q_syllables_per_word")
+def q_syllables_per_word(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("rate", "SyllablePerWordDimension"))
+
+
+@query("q_type_token", BASE + """, c AS (SELECT *, [len(list_distinct(w[k * 100 + 1 : k * 100 + 100])) / len(w[k * 100 + 1 : k * 100 + 100]) FOR k IN range(CAST(ceil(nw / 100) AS BIGINT))] AS r FROM b)
+SELECT doc_id, CASE WHEN nw = 0 THEN 0 ELSE len(list_distinct(w)) / nw END AS whole, coalesce(list_avg(r), 0) AS chunks, CASE WHEN len(r) < 2 THEN 0 ELSE list_stddev_pop(r) END AS deviation FROM c""")
+def q_type_token(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("whole", "RTIEDimension", separator="whole"), spec("chunks", "RTIEDimension", separator="by-chunks", chunk_size=100), spec("deviation", "RTIEDeviationDimension", separator="by-chunks", chunk_size=100)).select("doc_id", "whole", F.round("chunks", 9).alias("chunks"), F.round("deviation", 9).alias("deviation"))
+
+
+ORACLE_SQL["q_type_token"] = ORACLE_SQL["q_type_token"].replace("coalesce(list_avg(r), 0)", "round(coalesce(list_avg(r), 0), 9)").replace("ELSE list_stddev_pop(r) END", "ELSE round(list_stddev_pop(r), 9) END")
+
+
+@query("q_type_token_by_sentence")
+def q_type_token_by_sentence(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("ttr", "RTIEDimension", separator="by-sentence"))
+
+
+@query("q_pattern", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)th\p{L}+')) AS DOUBLE) AS n, CASE WHEN length(text) = 0 THEN 0 ELSE 100.0 * len(regexp_extract_all(text, '(?i)\p{N}{2,}')) / length(text) END AS digits FROM documents")
+def q_pattern(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("n", "PatternDimension", pattern=r"th\p{L}+", percentage=False), spec("digits", "PatternDimension", pattern=r"\p{N}{2,}"))
+
+
+@query("q_paragraphs", rf"""WITH p AS (SELECT doc_id, [len(regexp_extract_all(lower(v), '{TOKEN}')) FOR v IN string_split(text, chr(10)) IF trim(v, ' ' || chr(9)) <> ''] AS n, len([v FOR v IN string_split(text, chr(10)) IF regexp_matches(v, '^\s*[—–-]\s*')]) AS dialogue FROM documents)
+SELECT doc_id, CAST(len(n) AS DOUBLE) AS paragraphs, round(coalesce(list_avg(n), 0), 9) AS mean_words, CASE WHEN len(n) < 2 THEN 0 ELSE round(list_stddev_pop(n), 9) END AS deviation, CASE WHEN len(n) = 0 THEN 0 ELSE 100.0 * dialogue / len(n) END AS dialogue FROM p""")
+def q_paragraphs(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("spread", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    table = features(docs, *(spec(k, o, input_column="spread") for k, o in (("paragraphs", "ParagraphCountDimension"), ("mean_words", "AverageParagraphLengthDimension"), ("deviation", "ParagraphLengthDeviationDimension"), ("dialogue", "DialogueParagraphPercentageDimension"))))
+    return table.select("doc_id", "paragraphs", F.round("mean_words", 9).alias("mean_words"), F.round("deviation", 9).alias("deviation"), "dialogue")
+
+
+@query("q_word_case")
+def q_word_case(spark, sf_dir):
+    return features(documents(spark, sf_dir), *(spec(c, "WordCase", comparator=c) for c in ("upper", "lower", "title")))
+
+
+@query("q_sentence_starts", BASE + r""", f AS (SELECT doc_id, [v FOR v IN sent IF regexp_matches(v, '\p{L}')] AS s FROM b), g AS (SELECT doc_id, len(s) AS n, [regexp_extract(v, '\p{L}+') FOR v IN s] AS firsts FROM f),
+u AS (SELECT doc_id, unnest(firsts) AS word FROM g), k AS (SELECT doc_id, sum(c) AS same FROM (SELECT doc_id, word, count(*) AS c FROM u GROUP BY ALL HAVING count(*) > 1) GROUP BY doc_id)
+SELECT g.doc_id, CASE WHEN n = 0 THEN 0 ELSE 100.0 * coalesce(same, 0) / n END AS same_start FROM g LEFT JOIN k ON g.doc_id = k.doc_id""")
+def q_sentence_starts(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("same_start", "ErrorStyleSentencesStartingWithTheSameWord"))
+
+
+@query("q_sentence_errors")
+def q_sentence_errors(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("repeated", "ErrorMiscTwoOrMoreEqualWordsDimension"), spec("numbers", "ErrorStyleSentencesStartingWithNumbers"), spec("lower_start", "ErrorCapitalizationStartingWithLowerCaseDimension", input_column="text_raw"))
+
+
+ENTRIES = {
+    "words": ["the", "and", "der", "und", "les", "de", "the"],
+    "stems": [r"th\p{L}*", r"an\p{L}+", r"ge\p{L}*"],
+    "mixed": ["of", r"in\p{L}*", r"of the"],
+    "kept": [r"th\p{L}*", r"NEG:the", r"NEG:tha\p{L}*"],
+    "verbs": ["the", "has the", "and", "ha that"],
+    "infinitives": ["er", "an", "th", "ou"],
+}
+
+
+def lexicons(spark: SparkSession) -> DataFrame:
+    return L.lexicon_of(spark, ENTRIES)
+
+
+RUNS = r"WITH d AS (SELECT doc_id, lower(text) AS x FROM documents), t AS (SELECT *, CAST(len(regexp_extract_all(x, '" + TOKEN + r"')) AS DOUBLE) AS nw, regexp_extract_all(x, '\p{L}+') AS runs FROM d)"
+
+
+def share(count: str) -> str:
+    return f"CASE WHEN nw = 0 THEN 0 ELSE 100.0 * ({count}) / nw END"
+
+
+@query("q_lexicon", RUNS + f"""SELECT doc_id, {share("len([v FOR v IN runs IF v IN ('and', 'der', 'und', 'les', 'de')]) + 2 * len([v FOR v IN runs IF v = 'the'])")} AS words,
+CAST(len([v FOR v IN runs IF v LIKE 'th%']) + len([v FOR v IN runs IF v LIKE 'an_%']) + len([v FOR v IN runs IF v LIKE 'ge%']) AS DOUBLE) AS stems,
+{share("len([v FOR v IN runs IF v LIKE 'th%' AND v <> 'the' AND v NOT LIKE 'tha%'])")} AS kept FROM t""")
+def q_lexicon(spark, sf_dir):
+    resources = plans.Resources(lexicons(spark))
+    return features(documents(spark, sf_dir), spec("words", "WordPerDictionary", dictionary="words"), spec("stems", "WordPerDictionary", dictionary="stems", percentage=False), spec("kept", "WordPerDictionary", dictionary="kept"), resources=resources)
+
+
+@query("q_lexicon_plain", BASE + f"SELECT doc_id, {share(chr(39).join(['len([v FOR v IN w IF v IN (', 'and', ', ', 'der', ', ', 'und', ', ', 'les', ', ', 'de', ', ', 'the', ')])']))} AS words FROM b")
+def q_lexicon_plain(spark, sf_dir):
+    return features(documents(spark, sf_dir), Spec("words", "WordPerDictionary", dictionary="words", disabled_regexp=True), resources=plans.Resources(lexicons(spark)))
+
+
+@query("q_lexicon_tags", RUNS + r""", p AS (SELECT doc_id, unnest(w) AS v FROM (SELECT doc_id, regexp_extract_all(x, '""" + TOKEN + r"""') AS w FROM d)), a AS (SELECT doc_id, v, count(*) AS allowed FROM p WHERE length(v) % 5 IN (0, 1) GROUP BY ALL),
+r AS (SELECT doc_id, unnest(runs) AS v FROM t), m AS (SELECT doc_id, v, count(*) AS n FROM r WHERE v LIKE 'th%' GROUP BY ALL), s AS (SELECT m.doc_id, sum(least(n, allowed)) AS hits FROM m JOIN a ON m.doc_id = a.doc_id AND m.v = a.v GROUP BY m.doc_id)
+SELECT t.doc_id, CASE WHEN nw = 0 THEN 0 ELSE 100.0 * coalesce(hits, 0) / nw END AS nouns FROM t LEFT JOIN s ON t.doc_id = s.doc_id""")
+def q_lexicon_tags(spark, sf_dir):
+    lexicon = L.lexicon_of(spark, {"th": [r"th\p{L}*"]})
+    return features(annotated(spark, sf_dir), spec("nouns", "WordPerDictionary", dictionary="th", pos_tag="NOUN,VERB"), resources=plans.Resources(lexicon))
+
+
+@query("q_lexicon_phrases")
+def q_lexicon_phrases(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("mixed", "WordPerDictionary", dictionary="mixed"), resources=plans.Resources(lexicons(spark)))
+
+
+@query("q_gender", None)
+def q_gender(spark, sf_dir):
+    return features(annotated(spark, sf_dir), spec("gender", "GrammaticalGenderDimension", dictionary="words"), resources=plans.Resources(lexicons(spark)))
+
+
+@query("q_verbs", BASE + f""", c AS (SELECT doc_id, nw, [CASE WHEN i > 1 AND w[i - 1] IN ({", ".join(f"'{h}'" for h in L.HABER)}) THEN w[i - 1] || ' ' || w[i] ELSE w[i] END FOR i IN range(1, len(w) + 1)] AS cand FROM b)
+SELECT doc_id, {share("len([v FOR v IN cand IF v IN ('the', 'has the', 'and', 'ha that')])")} AS verbs FROM c""")
+def q_verbs(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("verbs", "VerbPerDictionary", dictionary="verbs"), resources=plans.Resources(lexicons(spark)))
+
+
+@query("q_enclitics", RUNS + rf"SELECT doc_id, {share('coalesce(list_sum([len([e FOR e IN [' + ', '.join(repr(e) for e in L.ENCLITICS) + '] IF v IN (' + ', '.join(repr(s + e) for s in ENTRIES['infinitives'] for e in L.ENCLITICS) + ') AND v LIKE ' + chr(39) + '%' + chr(39) + ' || e AND v[: length(v) - length(e)] IN (' + ', '.join(map(repr, ENTRIES['infinitives'])) + ')]) FOR v IN [translate(r, ' + repr(L.ACCENTED) + ', ' + repr(L.PLAIN) + ') FOR r IN runs]]), 0)')} AS enclitics FROM t")
+def q_enclitics(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("enclitics", "EncliticsPersonalPronounsDictionary", dictionaries="infinitives"), resources=plans.Resources(lexicons(spark)))
+
+
+@query("q_periphrases")
+def q_periphrases(spark, sf_dir):
+    return features(annotated(spark, sf_dir), spec("periphrases", "PeriphrasisDimension", auxiliar_verbs="the+infinitive,and(the|of the)+infinitive"))
+
+
+@query("q_misspelling", RUNS + f""", k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark), r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS v FROM documents),
+c AS (SELECT doc_id, lower(v) AS v FROM r WHERE length(v) > 1 AND NOT regexp_matches(v, '^\\p{{Lu}}+$|\\p{{Ll}}\\p{{Lu}}'))
+SELECT t.doc_id, coalesce(100.0 * bad / n, 0) AS unknown FROM t LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (word IS NULL) AS bad FROM c LEFT JOIN k ON v = word GROUP BY doc_id) q ON t.doc_id = q.doc_id""")
+def q_misspelling(spark, sf_dir):
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(T.found(F.lower("text"), T.LETTER_RUN)).alias("word")).distinct()
+    return features(documents(spark, sf_dir), spec("unknown", "ErrorMispellingDimension"), resources=plans.Resources(known=words))
+
+
+@query("q_missing_accents")
+def q_missing_accents(spark, sf_dir):
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(T.found(F.lower("text"), T.LETTER_RUN)).alias("word")).distinct()
+    return features(documents(spark, sf_dir), spec("accents", "ErrorMispellingAccentsDimension"), resources=plans.Resources(accents=sequences.accent_map(words)))
+
+
+def tokens_share(condition: str) -> str:
+    return f"CASE WHEN nw = 0 THEN 0 ELSE 100.0 * len([v FOR v IN w IF {condition}]) / nw END"
+
+
+@query("q_tags", BASE + f"SELECT doc_id, {tokens_share('length(v) % 5 = 0')} AS nouns, {tokens_share('length(v) % 2 = 0')} AS feminine, {tokens_share('length(v) % 5 = 1 AND length(v) % 2 <> 0 AND length(v) % 3 = 0')} AS infinitives FROM b")
+def q_tags(spark, sf_dir):
+    return features(annotated(spark, sf_dir), spec("nouns", "POSTaggingTag", tag="NOUN"), spec("feminine", "POSTaggingTag", universal="Gender=Fem|Number=Plur"), spec("infinitives", "POSTaggingTag", tag="VERB", universal="VerbForm=Inf"))
+
+
+@query("q_tag_pattern", BASE + "SELECT doc_id, CAST(len([v FOR v IN w IF length(v) % 5 = 0]) AS DOUBLE) AS nouns FROM b")
+def q_tag_pattern(spark, sf_dir):
+    return features(annotated(spark, sf_dir), spec("nouns", "POSTaggingExpression", pattern=r"__\(NOUN\)", percentage=False))
+
+
+@query("q_entities", BASE + f"SELECT doc_id, {tokens_share('length(v) % 5 IN (0, 4)')} AS people, {tokens_share('length(v) % 5 = 1')} AS places FROM b")
+def q_entities(spark, sf_dir):
+    return features(annotated(spark, sf_dir), spec("people", "NERTaggingTag", tag="PER"), spec("places", "NERTaggingTag", tag="LOC", normalizer="words"))
+
+
+@query("q_dependencies", BASE + f"""SELECT doc_id, {tokens_share('length(v) % 5 = 0')} AS subjects, CAST(CASE WHEN nw <= 1 THEN 0 ELSE 1 END AS DOUBLE) AS distance,
+CASE WHEN nw = 0 THEN 0 ELSE CAST(least(nw, 10) - 1 AS DOUBLE) END AS depth, CASE WHEN nw = 0 THEN 0 ELSE 100.0 * len([k FOR k IN range(CAST(ceil(nw / 10) AS BIGINT)) IF len([v FOR v IN w[k * 10 + 1 : k * 10 + 10] IF length(v) % 5 IN (2)]) > 0]) / ceil(nw / 10) END AS passive,
+CASE WHEN nw = 0 THEN 0 ELSE 100.0 * len([k FOR k IN range(CAST(ceil(nw / 10) AS BIGINT)) IF length(w[k * 10 + 1]) % 5 = 1]) / ceil(nw / 10) END AS root_verbs FROM b""")
+def q_dependencies(spark, sf_dir):
+    return features(annotated(spark, sf_dir), spec("subjects", "DependencyTag", deprel="nsubj"), spec("distance", "DependencyDistanceDimension", mode="mean"), spec("depth", "DependencyDepthDimension", mode="max"), spec("passive", "PassiveVoiceDependencyDimension"), spec("root_verbs", "RootPOSTagDimension", tag="VERB"))
+
+
+@query("q_derived", """WITH a AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, CAST(len(regexp_extract_all(text, 'e')) AS DOUBLE) AS e, CAST(len(regexp_extract_all(text, 'th')) AS DOUBLE) AS t FROM documents)
+SELECT doc_id, e, t, e + t AS total, (e + t) / 2.0 AS average, greatest(e, t) AS most, least(e, t) AS fewest, CASE WHEN e = 0 THEN -1 ELSE t / e * 10 END AS share FROM a""")
+def q_derived(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumns({"e_only": F.regexp_replace("text", "[^e]", ""), "t_only": F.regexp_replace(F.regexp_replace("text", "th", "\x01"), "[^\x01]", "")})
+    leaves = [spec("e", "PatternDimension", pattern="e", input_column="e_only", percentage=False), spec("t", "PatternDimension", pattern="\x01", input_column="t_only", percentage=False)]
+    tree = [spec("total", "CompositeDimension", strategy="CompositeStrategySum", children=leaves), spec("share", "RatioDimension", numerator="t", denominator="e", scale=10, zero_division=-1)]
+    table = features(docs, *tree)
+    others = {k: plans.derived.composite(f"CompositeStrategy{s}", ["e", "t"]) for k, s in (("average", "Avg"), ("most", "Max"), ("fewest", "Min"))}
+    return table.withColumns(others)
+
+
+@query("q_normalize")
+def q_normalize(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.normalized(F.col("text")).alias("text_norm"))
+
+
+@query("q_html_strip", r"SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '<[^>]+>', ' ', 'g') AS plain FROM pages")
+def q_html_strip(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.strip_html(F.col("html")).alias("plain"))
+
+
+def quantiles(c: str) -> str:
+    return f"quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q75"
+
+
+def summary_sql(c: str) -> str:
+    return f"CAST(count({c}) AS DOUBLE) AS count, CAST(count(*) - count({c}) AS DOUBLE) AS missing_count, (count(*) - count({c})) / count(*) AS missing_ratio, round(sum({c}), 4) AS sum, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, {quantiles(c)}, max({c}) AS max, CAST(count(*) FILTER ({c} <> 0) AS DOUBLE) AS nonzero_count, avg(CASE WHEN {c} <> 0 THEN 1.0 WHEN {c} = 0 THEN 0.0 END) AS nonzero_ratio"
+
+
+MEASURES = ("l_quantity", "l_discount", "l_tax")
+NO_MODE = tuple(s for s in statistics.STATISTICS if s != "mode")
+
+
+def rounded(table: DataFrame) -> DataFrame:
+    return table.withColumns({"sum": F.round("sum", 4), "mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("q_summary", " UNION ALL ".join(f"SELECT '{m}' AS feature, {summary_sql(f'CAST({m} AS DOUBLE)')} FROM lineitem" for m in MEASURES))
+def q_summary(spark, sf_dir):
+    return rounded(statistics.summary(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), list(MEASURES), NO_MODE))
+
+
+@query("q_summary_by_language", f"WITH f AS (SELECT lang, CAST(length(text) AS DOUBLE) AS n FROM documents) SELECT lang, 'n' AS feature, {summary_sql('n')} FROM f WHERE lang IS NOT NULL GROUP BY lang")
+def q_summary_by_language(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("lang", F.length("text").alias("n"))
+    return rounded(statistics.summary(docs, ["n"], NO_MODE, ("lang",)))
+
+
+@query("q_mode", "SELECT l_linenumber, min(v) AS mode FROM (SELECT l_linenumber, CAST(l_quantity AS DOUBLE) AS v, count(*) AS n, max(count(*)) OVER (PARTITION BY l_linenumber) AS most FROM lineitem GROUP BY 1, 2) WHERE n = most GROUP BY 1")
+def q_mode(spark, sf_dir):
+    return statistics.summary(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity"], ("mode",), ("l_linenumber",)).select("l_linenumber", "mode")
+
+
+@query("q_summary_long", " UNION ALL ".join(f"SELECT '{m}' AS feature, '{s}' AS statistic, round({f}(CAST({m} AS DOUBLE)), 6) AS value FROM lineitem" for m in MEASURES for s, f in (("min", "min"), ("max", "max"), ("mean", "avg"))))
+def q_summary_long(spark, sf_dir):
+    wide = statistics.summary(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), list(MEASURES), ("min", "max", "mean"))
+    return statistics.long_summary(wide).withColumn("value", F.round("value", 6))
+
+
+RANKED = " UNION ALL ".join(f"SELECT '{m}' AS feature, round(avg(CAST({m} AS DOUBLE)), 6) AS value, avg(CASE WHEN {m} <> 0 THEN 1.0 ELSE 0.0 END) AS nonzero_ratio FROM (SELECT *, 0 AS nothing, CASE WHEN l_orderkey % 500 = 0 THEN 1 ELSE 0 END AS seldom FROM lineitem)" for m in (*MEASURES, "nothing", "seldom"))
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"nothing": F.lit(0), "seldom": F.when(F.col("l_orderkey") % 500 == 0, 1).otherwise(0)})
+    return statistics.summary(items, [*MEASURES, "nothing", "seldom"], ("mean", "nonzero_count", "nonzero_ratio"))
+
+
+@query("q_rank", f"SELECT CAST(row_number() OVER (ORDER BY value DESC, feature) AS INTEGER) AS rank, feature, value FROM ({RANKED}) ORDER BY rank LIMIT 3")
+def q_rank(spark, sf_dir):
+    return statistics.ranked(measured(spark, sf_dir), "mean", 3).withColumn("value", F.round("value", 6))
+
+
+@query("q_zero_only", f"SELECT feature FROM ({RANKED}) WHERE nonzero_ratio = 0")
+def q_zero_only(spark, sf_dir):
+    return statistics.zero_only(measured(spark, sf_dir))
+
+
+@query("q_sparse", f"SELECT feature, nonzero_ratio FROM ({RANKED}) WHERE nonzero_ratio <= 0.01")
+def q_sparse(spark, sf_dir):
+    return statistics.sparse(measured(spark, sf_dir))
+
+
+@query("q_metadata", "SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def q_metadata(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    return statistics.with_metadata(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", ["quality", "toxic"])
+
+
+PATTERNS = {"commas": ("text", [","]), "stops": ("text", [r"[.]"])}
+
+
+def found_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.evidence(documents(spark, sf_dir), PATTERNS, "doc_id")
+
+
+def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").alias("length"))
+
+
+CHARACTERS = "WITH c AS (SELECT doc_id AS id, length(text) AS n, unnest(range(length(text))) AS s, unnest(string_split(text, '')) AS ch FROM documents), e AS (SELECT id, n, CASE ch WHEN ',' THEN 'commas' ELSE 'stops' END AS dimension, s FROM c WHERE ch IN (',', '.'))"
+SEGMENTS = ", h AS (SELECT id, dimension, CAST(least(floor((2 * s + 1) / 2.0 / n * 5), 4) AS INTEGER) AS segment FROM e), k AS (SELECT id, dimension, count(*) AS total FROM h GROUP BY ALL), p AS (SELECT id, dimension, total, CAST(unnest(range(5)) AS INTEGER) AS segment FROM k), f AS (SELECT p.id, p.dimension, p.segment, count(h.segment) AS n, count(h.segment) / total AS share, total FROM p LEFT JOIN h ON p.id = h.id AND p.dimension = h.dimension AND p.segment = h.segment GROUP BY p.id, p.dimension, p.segment, total)"
+
+
+@query("q_evidence", CHARACTERS + " SELECT id, dimension, CAST(s AS INTEGER) AS start, CAST(s + 1 AS INTEGER) AS \"end\", CASE dimension WHEN 'commas' THEN ',' ELSE '.' END AS text FROM e")
+def q_evidence(spark, sf_dir):
+    return found_spans(spark, sf_dir)
+
+
+@query("q_positions", CHARACTERS + SEGMENTS + " SELECT id, dimension, segment, n, share, total FROM f")
+def q_positions(spark, sf_dir):
+    return E.histogram(found_spans(spark, sf_dir), text_lengths(spark, sf_dir))
+
+
+@query("q_corpus_positions", CHARACTERS + SEGMENTS + " SELECT dimension, segment, CAST(sum(n) AS BIGINT) AS n, sum(n) / sum(total) AS pooled_share, round(avg(share), 9) AS mean_share FROM f GROUP BY ALL")
+def q_corpus_positions(spark, sf_dir):
+    return E.corpus_positions(q_positions(spark, sf_dir)).withColumn("mean_share", F.round("mean_share", 9))
+
+
+@query("q_vectors", CHARACTERS + SEGMENTS + " SELECT d.doc_id, coalesce(max(total), 0) AS commas__position_total" + "".join(f", coalesce(max(share) FILTER (segment = {k}), 0) AS commas__position_share_{k + 1}" for k in range(5)) + " FROM documents d LEFT JOIN f ON f.id = d.doc_id AND dimension = 'commas' GROUP BY d.doc_id")
+def q_vectors(spark, sf_dir):
+    return E.vectors(documents(spark, sf_dir).select("doc_id"), q_positions(spark, sf_dir), ["commas"], id_col="doc_id")
+
+
+def jsonl(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame]:
+    """The comma evidence of all documents, through the lines of a structured file and back."""
+    docs = documents(spark, sf_dir).select("doc_id", F.length("text").alias("n"), "text")
+    described = {"commas": {"kind": "atomic", "evidence": {"kind": "text_span", "source": "text", "unit": "characters"}}}
+    table = docs.select("doc_id", "n", F.regexp_count("text", F.lit(",")).alias("commas"))
+    lines = writers.jsonl_lines(table, described, found_spans(spark, sf_dir).where("dimension = 'commas'"), {"text": F.col("n")}, "doc_id")
+    parsed = lines.where("place = 1").select(F.from_json("value", readers.DOCUMENT).alias("d")).select("d.id", "d.row", "d.reference_lengths", "d.dimensions")
+    return {"dimensions": ["commas"]}, parsed
+
+
+@query("q_jsonl", "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(text) - length(replace(text, ',', '')) AS DOUBLE) AS commas FROM documents")
+def q_jsonl(spark, sf_dir):
+    return readers.wide_values(*jsonl(spark, sf_dir))
+
+
+@query("q_audit", "SELECT * FROM (VALUES ('duplicate ids', 0), ('missing dimensions', 0), ('unexpected dimensions', 0), ('spans out of order', 0), ('spans out of their text', 0)) AS v(rule, violations)")
+def q_audit(spark, sf_dir):
+    return audit(*jsonl(spark, sf_dir))
+
+
+@query("q_differences", "SELECT 'n_chars' AS \"column\", 'both' AS only_in, count(*) FILTER (doc_id % 7 = 0) AS rows_differing FROM documents UNION ALL SELECT 'lang', 'both', 0 UNION ALL SELECT 'source', 'a', NULL UNION ALL SELECT 'extra', 'b', NULL")
+def q_differences(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "lang", "source")
+    other = docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"), "lang", F.lit(1).alias("extra"))
+    return statistics.differences(docs, other, "doc_id")
+
+
+@query("q_conversations", f"SELECT role, count(*) AS turns, round(avg(len(regexp_extract_all(lower(text), '{TOKEN}'))), 9) AS mean_words FROM conversations GROUP BY role")
+def q_conversations(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.round(F.avg(F.size(T.lexical_tokens(T.ensured(F.col("text"))))), 9).alias("mean_words"))
