@@ -10,4 +10,6 @@ def java_pattern(pattern: str) -> str:
     """pattern for Java: any case of any script, code points by number, pictographs as ranges."""
     pattern = re.sub(r"\\U([0-9A-Fa-f]{8})", lambda m: rf"\x{{{int(m[1], 16):X}}}", pattern)
     pattern = re.sub(r"\\p\{(?:Extended_Pictographic|Emoji|IsEmoji)\}", lambda m: f"[{PICTOGRAPHS}]", pattern)
-    return f"(?iuU){pattern}" if pattern else r"(?!)"
+    # Java's back references in any case misread characters beyond 16 bits, so those of pictographs, which have no case, are exact.
+    flags = "(?uU)" if PICTOGRAPHS in pattern and re.search(r"\\[1-9]", pattern) else "(?iuU)"
+    return flags + pattern if pattern else r"(?!)"
