@@ -1,7 +1,8 @@
 """Lexicon operators as joins.
 
-A lexicon is a table (dictionary, entry, is_exception). Pure-letter entries join the letter runs of the texts, entries
-of the form stem\\p{L}* join their prefixes, and only the others are sought as patterns. Texts are exploded into runs
+A lexicon is a table (dictionary, entry, is_exception), small enough to be spelled out on the driver. Words join the
+letter runs of the texts, beginnings and ends of words their parts, phrases are sought where their first word stands,
+and only what is left is sought as patterns everywhere. Texts are exploded into runs
 counted per document, so what is shuffled is distinct runs, and each entry counts every match: entries that overlap
 or repeat count again.
 """
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import annotations as A
 from ..functions import text as T
 from ..functions.regex import java_pattern
+from . import entries
 
-LITERAL, PREFIX, LONGER = r"^\p{L}+$", r"^(\p{L}+)\\p\{L\}\*$", r"^(\p{L}+)\\p\{L\}\+$"
-#: Patterns that are no literal or prefix are expressions of the plan, so a lexicon may hold so many of them.
+#: Entries that are only patterns are expressions of the plan, so a lexicon may hold so many of them.
 MAX_PATTERNS = 5_000
 #: Lexicons of so many entries at most are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST = 500_000
@@ -55,8 +56,8 @@ def read_lexicons(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("dictionary", F.when(negative, T.trimmed(F.substring("line", 5, 1_000_000))).otherwise(F.col("line")).alias("entry"), negative.alias("is_exception"))
 
 
-def lexicon_of(spark: SparkSession, entries: dict[str, list[str]]) -> DataFrame:
-    rows = [(d, e.removeprefix("NEG:").strip(), e.startswith("NEG:")) for d, all_of in entries.items() for e in all_of]
+def lexicon_of(spark: SparkSession, dictionaries: dict[str, list[str]]) -> DataFrame:
+    rows = [(d, e.removeprefix("NEG:").strip(), e.startswith("NEG:")) for d, all_of in dictionaries.items() for e in all_of]
     return spark.createDataFrame(rows, "dictionary string, entry string, is_exception boolean")
 
 
@@ -75,23 +76,35 @@ def matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: s
     text = T.ensured(F.col(text_col))
     with_exceptions = lexicon.where("is_exception").select("dictionary").distinct()
     usual = lexicon.join(with_exceptions, "dictionary", "left_anti")
-    entry = F.lower("entry")
-    literal = usual.where(F.col("entry").rlike(LITERAL)).groupBy("dictionary", entry.alias("word")).agg(F.count("*").alias("times"))
-    stem = F.when(F.col("entry").rlike(PREFIX), F.regexp_extract(entry, r"^(\p{L}+)", 1)).when(F.col("entry").rlike(LONGER), F.regexp_extract(entry, r"^(\p{L}+)", 1))
-    prefixes = usual.where(stem.isNotNull()).groupBy("dictionary", stem.alias("stem"), F.col("entry").rlike(LONGER).alias("longer")).agg(F.count("*").alias("times"))
-    patterns = usual.where(~F.col("entry").rlike(LITERAL) & stem.isNull()).select("dictionary", "entry").limit(MAX_PATTERNS + 1).collect()
+    rows = [(r.dictionary, r.entry) for r in usual.select("dictionary", "entry").limit(MAX_BROADCAST + 1).collect()]
+    if len(rows) > MAX_BROADCAST:
+        raise ValueError(f"a lexicon has {MAX_BROADCAST} entries at most")
+    spelled = entries.table(rows)
+    patterns = [(d, e) for d, k, _, n, e in spelled if k == "pattern" for _ in range(n)]
     if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} entries are neither words nor prefixes")
-    lengths = [r.n for r in prefixes.select(F.length("stem").alias("n")).distinct().collect()]  # lengths of words
+        raise ValueError(f"over {MAX_PATTERNS} entries are neither words, their beginnings or ends, nor phrases")
     of_docs = runs(docs, id_col, text)
-    found = of_docs.join(sized(literal), F.col("run") == F.col("word")).select("id", "dictionary", F.col("run").alias("matched"), (F.col("n") * F.col("times")).alias("n"))
-    if lengths:
-        heads = of_docs.select("id", "run", "n", F.explode(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda k: k <= F.length("run"))).alias("k"))
-        heads = heads.select("id", "run", "n", F.substring(F.col("run"), F.lit(1), F.col("k")).alias("head"))
-        hits = heads.join(sized(prefixes), (F.col("head") == F.col("stem")) & (~F.col("longer") | (F.length("run") > F.length("stem"))))
-        found = found.union(hits.select("id", "dictionary", F.col("run"), (F.col("n") * F.col("times"))))
+    known = docs.sparkSession.createDataFrame(spelled, "dictionary string, kind string, stem string, times bigint, pattern string")
+    words = known.where("kind = 'word'")
+    found = of_docs.join(F.broadcast(words), F.col("run") == F.col("stem")).select("id", "dictionary", F.col("run").alias("matched"), (F.col("n") * F.col("times")).alias("n"))
+    for kind, cut in (("prefix", lambda run, k: F.substring(run, F.lit(1), k)), ("suffix", lambda run, k: F.right(run, k))):
+        names = (kind, "longer" if kind == "prefix" else "suffix_longer")
+        lengths = sorted({len(stem) for _, k, stem, _, _ in spelled if k in names})
+        if lengths:
+            parts = of_docs.select("id", "run", "n", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length("run"))).alias("k"))
+            parts = parts.select("id", "run", "n", cut(F.col("run"), F.col("k")).alias("part"))
+            stems = known.where(F.col("kind").isin(*names))
+            hits = parts.join(F.broadcast(stems), (F.col("part") == F.col("stem")) & ((F.col("kind") == kind) | (F.length("run") > F.length("stem"))))
+            found = found.union(hits.select("id", "dictionary", F.col("run"), (F.col("n") * F.col("times"))))
+    if any(k == "phrase" for _, k, _, _, _ in spelled):  # sought only where a first word of theirs stands
+        bounded = known.where("kind = 'phrase'").select("dictionary", "stem", "times", F.concat(F.lit(r"(?iuU)(?<!\p{L})(?:"), "pattern", F.lit(r")(?!\p{L})")).alias("pattern"))
+        near = of_docs.join(F.broadcast(bounded), F.col("run") == F.col("stem")).select(F.col("id").alias("of"), "dictionary", "pattern", "times").distinct()
+        near = near.groupBy("of").agg(F.collect_list(F.struct("dictionary", "pattern", "times")).alias("sought"))  # as many as the lexicon has
+        texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(near, F.col("id") == F.col("of"))
+        hits = texts.select("id", "text", F.explode("sought").alias("x")).select("id", "x.dictionary", "x.times", F.explode(F.regexp_extract_all("text", F.col("x.pattern"), F.lit(0))).alias("matched"))
+        found = found.union(hits.groupBy("id", "dictionary", F.lower("matched").alias("matched")).agg(F.sum("times").alias("n")))
     for begin in range(0, len(patterns), 200):
-        each = [F.struct(F.lit(r.dictionary).alias("dictionary"), T.found(text, java_pattern(rf"(?<!\p{{L}})(?:{r.entry})(?!\p{{L}})")).alias("all")) for r in patterns[begin : begin + 200]]
+        each = [F.struct(F.lit(d).alias("dictionary"), T.found(text, java_pattern(rf"(?<!\p{{L}})(?:{e})(?!\p{{L}})")).alias("all")) for d, e in patterns[begin : begin + 200]]
         rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("x")).select("id", "x.dictionary", F.explode("x.all").alias("matched"))
         found = found.union(rows.groupBy("id", "dictionary", F.lower("matched").alias("matched")).agg(F.count("*").alias("n")))
     return found.union(excepted(docs, lexicon.join(with_exceptions, "dictionary", "left_semi"), id_col, text_col)).groupBy("id", "dictionary", "matched").agg(F.sum("n").alias("n"))
