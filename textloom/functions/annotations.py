@@ -56,25 +56,41 @@ def dep_items(column: Column) -> Column:
     return F.flatten(dep_sentences(column))
 
 
+def climbed(sentence: Column, heads: Column) -> Column:
+    """Depths by single steps; a cycle ends at the step that closes it."""
+    none = F.lit(None).cast("int")
+
+    def onward(x: Column) -> Column:
+        above = F.element_at(heads, x["at"])
+        there = F.struct(F.when(F.array_contains(x["seen"], x["at"]), none).otherwise(above).alias("at"), (x["depth"] + 1).alias("depth"), F.concat(x["seen"], F.array(x["at"])).alias("seen"))
+        return F.when(x["at"].isNull() | above.isNull(), F.struct(none.alias("at"), x["depth"].alias("depth"), x["seen"].alias("seen"))).otherwise(there)
+
+    start = F.transform(sentence, lambda x: F.struct(x["head"].alias("at"), F.lit(0).alias("depth"), F.array(x["place"]).alias("seen")))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(sentence)))
+    return F.transform(F.aggregate(rounds, start, lambda s, _: F.transform(s, onward)), lambda x: x["depth"])
+
+
 def depths(sentence: Column) -> Column:
-    """Steps from each item up to the root; a head that is not there ends the walk, a cycle at the step that closes it.
+    """Steps from each item up to the root; a head that is not there ends the walk.
 
-    All items climb together: as many rounds as the sentence has items, each a look at the heads.
+    Each round doubles the steps of all items at once, so there are few; sentences with a cycle are climbed step by step.
     """
 
-    def climb(heads: Column) -> Column:
-        none = F.lit(None).cast("int")
+    def of_heads(heads: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(sentence, lambda x: x["place"])), F.lit(1))
+
+        def first(place: Column) -> Column:
+            head = F.element_at(heads, place)
+            return F.when((head > 0) & F.element_at(heads, head).isNotNull(), F.struct(head.alias("at"), F.lit(1).alias("depth"))).otherwise(F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth")))
 
-        def onward(x: Column) -> Column:
-            above = F.element_at(heads, x["at"])
-            there = F.struct(F.when(F.array_contains(x["seen"], x["at"]), none).otherwise(above).alias("at"), (x["depth"] + 1).alias("depth"), F.concat(x["seen"], F.array(x["at"])).alias("seen"))
-            return F.when(x["at"].isNull() | above.isNull(), F.struct(none.alias("at"), x["depth"].alias("depth"), x["seen"].alias("seen"))).otherwise(there)
+        def double(s: Column) -> Column:
+            return F.transform(s, lambda x: F.when(x["at"] == 0, x).otherwise(F.struct(F.get(s, x["at"] - 1)["at"].alias("at"), (x["depth"] + F.get(s, x["at"] - 1)["depth"]).alias("depth"))))
 
-        step = lambda s, _: F.transform(s, onward)
-        start = F.transform(sentence, lambda x: F.struct(x["head"].alias("at"), F.lit(0).alias("depth"), F.array(x["place"]).alias("seen")))
-        return F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(sentence))), start, step), lambda x: x["depth"])
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(last + 1)).cast("int") + 1)
+        done = F.aggregate(rounds, F.transform(F.sequence(F.lit(1), last), first), lambda s, _: double(s))
+        return let(done, lambda d: F.when(F.exists(d, lambda x: x["at"] > 0), climbed(sentence, heads)).otherwise(F.transform(sentence, lambda x: F.get(d, x["place"] - 1)["depth"])))
 
-    return let(F.map_from_entries(F.transform(sentence, lambda x: F.struct(x["place"], x["head"]))), climb)
+    return let(F.map_from_entries(F.transform(sentence, lambda x: F.struct(x["place"], x["head"]))), of_heads)
 
 
 def entities(column: Column) -> Column:
