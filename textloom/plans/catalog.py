@@ -128,9 +128,9 @@ def q_type_token(spark, sf_dir):
 ORACLE_SQL["q_type_token"] = ORACLE_SQL["q_type_token"].replace("coalesce(list_avg(r), 0)", "round(coalesce(list_avg(r), 0), 9)").replace("ELSE list_stddev_pop(r) END", "ELSE round(list_stddev_pop(r), 9) END")
 
 
-@query("q_type_token_by_sentence")
+@query("q_type_token_by_sentence", BASE + f"""SELECT doc_id, round(coalesce(list_avg([CASE WHEN len(v) = 0 THEN 0 ELSE len(list_distinct(v)) / len(v) END FOR v IN [regexp_extract_all(u, '{TOKEN}') FOR u IN sent]]), 0), 9) AS ttr FROM b""")
 def q_type_token_by_sentence(spark, sf_dir):
-    return features(documents(spark, sf_dir), spec("ttr", "RTIEDimension", separator="by-sentence"))
+    return features(documents(spark, sf_dir), spec("ttr", "RTIEDimension", separator="by-sentence")).select("doc_id", F.round("ttr", 9).alias("ttr"))
 
 
 @query("q_pattern", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)th\p{L}+')) AS DOUBLE) AS n, CASE WHEN length(text) = 0 THEN 0 ELSE 100.0 * len(regexp_extract_all(text, '(?i)\p{N}{2,}')) / length(text) END AS digits FROM documents")
@@ -158,9 +158,16 @@ def q_sentence_starts(spark, sf_dir):
     return features(documents(spark, sf_dir), spec("same_start", "ErrorStyleSentencesStartingWithTheSameWord"))
 
 
-@query("q_sentence_errors")
+@query("q_repeated_words")
+def q_repeated_words(spark, sf_dir):
+    return features(documents(spark, sf_dir), spec("repeated", "ErrorMiscTwoOrMoreEqualWordsDimension"))
+
+
+@query("q_sentence_errors", BASE + r""", s AS (SELECT doc_id, [v FOR v IN sent IF regexp_matches(v, '[\p{L}\p{N}]')] AS n, [v FOR v IN regexp_extract_all(raw, '[^.!?]+[.!?]*') IF regexp_matches(v, '\p{L}')] AS c FROM b)
+SELECT doc_id, CASE WHEN len(n) = 0 THEN 0 ELSE 100.0 * len([v FOR v IN n IF regexp_matches(regexp_extract(v, '[\p{L}\p{N}]+'), '^\p{Nd}')]) / len(n) END AS numbers,
+CASE WHEN len(c) = 0 THEN 0 ELSE 100.0 * len([v FOR v IN c IF regexp_matches(regexp_replace(v, '@\w+:?', '', 'g'), '^[\s\p{P}\p{S}]*\p{Ll}')]) / len(c) END AS lower_start FROM s""")
 def q_sentence_errors(spark, sf_dir):
-    return features(documents(spark, sf_dir), spec("repeated", "ErrorMiscTwoOrMoreEqualWordsDimension"), spec("numbers", "ErrorStyleSentencesStartingWithNumbers"), spec("lower_start", "ErrorCapitalizationStartingWithLowerCaseDimension", input_column="text_raw"))
+    return features(documents(spark, sf_dir), spec("numbers", "ErrorStyleSentencesStartingWithNumbers"), spec("lower_start", "ErrorCapitalizationStartingWithLowerCaseDimension", input_column="text_raw"))
 
 
 ENTRIES = {
@@ -205,7 +212,7 @@ def q_lexicon_tags(spark, sf_dir):
     return features(annotated(spark, sf_dir), spec("nouns", "WordPerDictionary", dictionary="th", pos_tag="NOUN,VERB"), resources=plans.Resources(lexicon))
 
 
-@query("q_lexicon_phrases")
+@query("q_lexicon_phrases", RUNS + rf"SELECT doc_id, {share(chr(39).join(['len([v FOR v IN runs IF v = ', 'of', ' OR v LIKE ', 'in%', ']) + len(regexp_extract_all(replace(x, ', ' ', ', ', '  ', '), ', r'(^|[^\p{L}])of  the([^\p{L}]|$)', '))']))} AS mixed FROM t")
 def q_lexicon_phrases(spark, sf_dir):
     return features(documents(spark, sf_dir), spec("mixed", "WordPerDictionary", dictionary="mixed"), resources=plans.Resources(lexicons(spark)))
 
@@ -239,7 +246,9 @@ def q_misspelling(spark, sf_dir):
     return features(documents(spark, sf_dir), spec("unknown", "ErrorMispellingDimension"), resources=plans.Resources(known=words))
 
 
-@query("q_missing_accents")
+@query("q_missing_accents", RUNS + f""", k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM benchmark), m AS (SELECT translate(word, '{L.ACCENTED[:-1]}', '{L.PLAIN[:-1]}') AS plain FROM k WHERE word <> translate(word, '{L.ACCENTED[:-1]}', '{L.PLAIN[:-1]}') GROUP BY 1 HAVING count(*) = 1),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS v FROM documents), h AS (SELECT doc_id, count(*) AS n FROM r JOIN m ON v = plain WHERE lower(v) NOT IN ({", ".join(repr(a) for a in sequences.AMBIGUOUS)}) GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN nw = 0 THEN 0 ELSE 100.0 * coalesce(n, 0) / nw END AS accents FROM t LEFT JOIN h ON t.doc_id = h.doc_id""")
 def q_missing_accents(spark, sf_dir):
     words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(T.found(F.lower("text"), T.LETTER_RUN)).alias("word")).distinct()
     return features(documents(spark, sf_dir), spec("accents", "ErrorMispellingAccentsDimension"), resources=plans.Resources(accents=sequences.accent_map(words)))
