@@ -418,7 +418,7 @@ def q_jsonl(spark, sf_dir):
     return readers.wide_values(*jsonl(spark, sf_dir))
 
 
-@query("q_audit", "SELECT * FROM (VALUES ('duplicate ids', 0), ('missing dimensions', 0), ('unexpected dimensions', 0), ('spans out of order', 0), ('spans out of their text', 0)) AS v(rule, violations)")
+@query("q_audit", "SELECT rule, CAST(violations AS BIGINT) AS violations FROM (VALUES ('duplicate ids', 0), ('missing dimensions', 0), ('unexpected dimensions', 0), ('spans out of order', 0), ('spans out of their text', 0)) AS v(rule, violations)")
 def q_audit(spark, sf_dir):
     return audit(*jsonl(spark, sf_dir))
 
