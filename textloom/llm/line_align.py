@@ -153,7 +153,7 @@ def deduplicated(docs: DataFrame, text_col: str = "text", rare: int = RARE, min_
     doomed = written(blocks(profile, alignments(profile, candidates(profile, rare)), min_words), "blocks")
     at_id, at_hash, places, lost = free(docs, "__id", "__hash", "__doomed", "__words")
     doomed = doomed.select(F.col("doc.id").alias(at_id), F.col("doc.hash").alias(at_hash), F.col("doomed").alias(places), F.col("doomed_words").alias(lost))
-    joined = docs.join(doomed, docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs[text_col]) == F.col(at_hash)), "left")
+    joined = docs.join(doomed.hint("merge"), docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs[text_col]) == F.col(at_hash)), "left")
     lines = lines_of(F.col(text_col))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
     rest = F.get(F.transform(F.array(lines), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n")), F.lit(0))
