@@ -271,5 +271,5 @@ def one_of_each(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, cand
     at_id, at_hash = free(docs, "__id", "__hash")
     groups = near_duplicates(docs, n_words, radius, candidate_keys)
     heads = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias(at_id), F.col("x.text_hash").alias(at_hash))
-    joined = docs.join(heads, docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs["text"]) == F.col(at_hash)))
+    joined = docs.join(heads.hint("merge"), docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs["text"]) == F.col(at_hash)))
     return joined.dropDuplicates([at_id, at_hash]).drop(at_id, at_hash)

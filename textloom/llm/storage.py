@@ -53,4 +53,4 @@ def without(docs: DataFrame, keys: DataFrame, text_col: str = "text") -> DataFra
     """The rows of docs whose doc_id and text hash are not in keys(doc_id, text_hash), all their columns as they are."""
     at_id, at_hash = free(docs, "__id", "__hash")
     gone = keys.select(F.col("doc_id").alias(at_id), F.col("text_hash").alias(at_hash)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs[text_col]) == F.col(at_hash)), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs[text_col]) == F.col(at_hash)), "left_anti")
