@@ -13,7 +13,7 @@ VOWELS = r"[aeiouáéíóúü]+"
 SENTENCE = r"[^.!?]+[.!?]*"
 SENTENCE_END = r"[.!?]+"
 #: Ends of sentences, without decimal points and the points of abbreviations.
-TERMINATOR = r"(?iU)(?<![.!?])(?!(?<=\d)\.(?=\d))(?<!(?<![\p{L}.])\.{0,16}(?:dra?|etc|profa?|sra?|srta)\.{0,16}\s{0,8})[.!?]+"
+TERMINATOR = r"(?iU)(?=[.!?])(?<![.!?])(?!(?<=\d)\.(?=\d))(?<!(?<![\p{L}.])\.{0,16}(?:dra?|etc|profa?|sra?|srta)\.{0,16}\s{0,8})[.!?]+"
 PARAGRAPH_BREAK = r"(?U)\n\s*\n+"
 DIALOGUE = r"(?U)^\s*[—–-]\s*"
 REPEATED_WORD = r"(?iu)(?<!\p{L})(\p{L}+)(?U:\s)+\1(?!\p{L})"

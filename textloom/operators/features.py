@@ -65,17 +65,39 @@ INPUT: dict[str, str] = {}
 
 
 class Frame:
-    """The columns of the documents at hand; a missing column reads as empty text."""
+    """The columns of the documents at hand; a missing column reads as empty text.
+
+    What several features share (tokens, parsed annotations, counts) becomes a column of its own, computed once.
+    """
 
     def __init__(self, columns: list[str]):
         self.columns = set(columns)
+        self.hidden: dict[str, Column] = {}
 
     def text(self, name: str) -> Column:
         return T.ensured(F.col(f"`{name}`")) if name in self.columns else F.lit("")
 
+    def shared(self, what: str, name: str, build: Callable[[Column], Column]) -> Column:
+        key = f"__{what}_{name}"
+        if key not in self.hidden:
+            self.hidden[key] = build(self.text(name))
+        return F.col(f"`{key}`")
+
     def words(self, name: str) -> Column:
         """Lexical tokens, those of the common features where they are of the same column."""
-        return F.col("words") if name == "text_norm" and "words" in self.columns else T.lexical_tokens(self.text(name))
+        return F.col("words") if name == "text_norm" and "words" in self.columns else self.shared("words", name, T.lexical_tokens)
+
+    def ends(self, name: str) -> Column:
+        return F.col("sentence_count") if name == "text_norm" and "sentence_count" in self.columns else self.shared("ends", name, T.sentence_count)
+
+    def syllables(self, name: str) -> Column:
+        return F.col("syllable_count") if name == "text_norm" and "syllable_count" in self.columns else self.shared("syllables", name, T.syllable_count)
+
+    def tags(self, name: str) -> Column:
+        return self.shared("tags", name, A.pos_items)
+
+    def dependencies(self, name: str) -> Column:
+        return self.shared("dependencies", name, A.dep_sentences)
 
     def count(self, name: str, otherwise: Column) -> Column:
         return F.col(name) if name in self.columns else otherwise
@@ -144,7 +166,7 @@ def java_literal_class(chars: str) -> str:
 
 @operator("SyllableCountDimension")
 def syllable_count(spec: Spec, frame: Frame) -> Parts:
-    return Parts(frame.count("syllable_count", T.syllable_count(frame.text(source(spec)))).cast("double"))
+    return Parts(frame.count("syllable_count", frame.syllables(source(spec))).cast("double"))
 
 
 @operator("SentenceCountDimension")
@@ -157,13 +179,13 @@ def sentence_count(spec: Spec, frame: Frame) -> Parts:
 @operator("SyllablePerWordDimension")
 def syllables_per_word(spec: Spec, frame: Frame) -> Parts:
     text = frame.text(source(spec))
-    syllables, words = T.syllable_count(text), F.size(T.found(F.lower(text), T.SYLLABIFIABLE))
+    syllables, words = frame.syllables(source(spec)), F.size(T.found(F.lower(text), T.SYLLABIFIABLE))
     return Parts(T.ratio(syllables, words), syllables.cast("double"), words.cast("double"))
 
 
 @operator("WordPerSentenceDimension")
 def words_per_sentence(spec: Spec, frame: Frame) -> Parts:
-    words, ends = F.size(frame.words(source(spec))), T.sentence_count(frame.text(source(spec)))
+    words, ends = F.size(frame.words(source(spec))), frame.ends(source(spec))
     return Parts(T.ratio(words, ends), words.cast("double"), ends.cast("double"))
 
 
@@ -205,8 +227,7 @@ def type_token_deviation(spec: Spec, frame: Frame) -> Parts:
 
 
 def _scores(spec: Spec, frame: Frame) -> tuple[Column, Column]:
-    text = frame.text(source(spec))
-    return T.syllable_count(text), F.size(frame.words(source(spec)))
+    return frame.syllables(source(spec)), F.size(frame.words(source(spec)))
 
 
 @operator("ReadabilityDimension")
@@ -221,7 +242,7 @@ def readability(spec: Spec, frame: Frame) -> Parts:
 def perspicuity(spec: Spec, frame: Frame) -> Parts:
     """206.835 - 62.3 syllables per word - words per sentence."""
     syllables, words = _scores(spec, frame)
-    ends = T.sentence_count(frame.text(source(spec)))
+    ends = frame.ends(source(spec))
     return Parts(F.when((words == 0) | (ends == 0), 0.0).otherwise(206.835 - 62.3 * T.ratio(syllables, words) - T.ratio(words, ends)))
 
 
@@ -242,7 +263,7 @@ def tag_pattern(spec: Spec, frame: Frame) -> Parts:
 
 @operator("POSTaggingTag", "tagged_pos")
 def tag_rate(spec: Spec, frame: Frame) -> Parts:
-    items = A.pos_items(frame.text(source(spec)))
+    items = frame.tags(source(spec))
     tags = spec.listed("tag") or spec.listed("pos_tag")
     feats = [x for x in str(spec.get("universal", "") or "").split("|") if x]
     return rate(F.size(F.filter(items, lambda x: A.pos_matches(x, tags, feats))), F.size(items), spec.flag("percentage"))
@@ -261,7 +282,7 @@ def entity_rate(spec: Spec, frame: Frame) -> Parts:
 
 @operator("DependencyTag", "tagged_dep")
 def relation_rate(spec: Spec, frame: Frame) -> Parts:
-    items, relation = A.dep_items(frame.text(source(spec))), str(spec.get("deprel", spec.get("tag", "")))
+    items, relation = F.flatten(frame.dependencies(source(spec))), str(spec.get("deprel", spec.get("tag", "")))
     return rate(F.size(F.filter(items, lambda x: x["relation"] == relation)), F.size(items))
 
 
@@ -273,13 +294,13 @@ def _summary(values: Column, how: str) -> Column:
 
 @operator("DependencyDepthDimension", "tagged_dep")
 def dependency_depth(spec: Spec, frame: Frame) -> Parts:
-    values = F.flatten(F.transform(A.dep_sentences(frame.text(source(spec))), A.depths))
+    values = F.flatten(F.transform(frame.dependencies(source(spec)), A.depths))
     return Parts(T.let(values, lambda v: _summary(v, str(spec.get("mode", "max")).lower())))
 
 
 @operator("DependencyDistanceDimension", "tagged_dep")
 def dependency_distance(spec: Spec, frame: Frame) -> Parts:
-    items = F.filter(A.dep_items(frame.text(source(spec))), lambda x: x["head"] > 0)
+    items = F.filter(F.flatten(frame.dependencies(source(spec))), lambda x: x["head"] > 0)
     values = F.transform(items, lambda x: F.abs(x["place"] - x["head"]))
     return Parts(T.let(values, lambda v: _summary(v, str(spec.get("mode", "mean")).lower())))
 
@@ -288,7 +309,7 @@ def dependency_distance(spec: Spec, frame: Frame) -> Parts:
 def root_tag_rate(spec: Spec, frame: Frame) -> Parts:
     """Tags of the roots; the two annotations are laid side by side, sentence by sentence and item by item."""
     tags = F.transform(A.tagged_sentences(frame.text(source(spec))), lambda s: F.transform(F.filter(A.items_of(s), lambda x: x.rlike(A.POS_ITEM)), lambda x: F.regexp_extract(x, A.POS_ITEM, 2)))
-    deps = A.dep_sentences(frame.text(str(spec.get("dep_input_column", "tagged_dep"))))
+    deps = frame.dependencies(str(spec.get("dep_input_column", "tagged_dep")))
     both = F.zip_with(tags, deps, lambda t, d: F.filter(F.transform(d, lambda x, i: F.when(x["head"] == 0, F.get(t, i))), lambda x: x.isNotNull()))
     wanted = spec.listed("tag") or spec.listed("pos_tag")
     return _of_roots(F.flatten(F.filter(both, lambda x: x.isNotNull())), wanted)
@@ -303,7 +324,7 @@ PASSIVE = ["aux:pass", "nsubj:pass", "expl:pass"]
 
 @operator("PassiveVoiceDependencyDimension", "tagged_dep")
 def passive_rate(spec: Spec, frame: Frame) -> Parts:
-    groups = A.dep_sentences(frame.text(source(spec)))
+    groups = frame.dependencies(source(spec))
     return rate(F.size(F.filter(groups, lambda s: F.exists(s, lambda x: x["relation"].isin(PASSIVE)))), F.size(groups))
 
 

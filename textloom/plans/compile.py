@@ -1,13 +1,13 @@
 """Compile a feature tree into a plan over a document table.
 
-Row-wise features are one projection (in pieces, so that generated code stays within its limits); features over
+Row-wise features are one projection over another of what they share; features over
 lexicons are joins by document, made together for all of them; derived features are projections on top. Catalyst
 prunes whatever the chosen features do not need.
 """
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,8 +15,6 @@ from ..operators import derived, lexicon, sequences
 from ..operators.features import REGISTRY, Frame, Parts, Spec
 from .spec import JOINED, post_order, problems
 
-#: Row-wise features of one projection.
-PIECE = 60
 #: Tags among which grammatical gender is sought.
 GENDERED = ["DET", "ADJ", "NOUN", "PROPN", "PRON", "VERB", "AUX"]
 
@@ -45,10 +43,10 @@ def kind(node: Spec) -> str:
     return "composite"
 
 
-def parts(docs: DataFrame, trees: list[Spec]) -> dict[str, Parts]:
-    """The expressions of all row-wise features."""
+def parts(docs: DataFrame, trees: list[Spec]) -> tuple[dict[str, Parts], dict[str, Column]]:
+    """The expressions of all row-wise features, and of the columns that they share."""
     frame = Frame(docs.columns)
-    return {n.key: REGISTRY[n.operator](n, frame) for n in post_order(trees) if n.operator in REGISTRY}
+    return {n.key: REGISTRY[n.operator](n, frame) for n in post_order(trees) if n.operator in REGISTRY}, frame.hidden
 
 
 def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id_col: str) -> list[DataFrame]:
@@ -93,8 +91,8 @@ def features(docs: DataFrame, trees: list[Spec], resources: Resources | None = N
     """id, the kept columns, and a column for each node, children before parents. Ids must be distinct."""
     if wrong := problems(trees):
         raise ValueError("; ".join(wrong))
-    rows = parts(docs, trees)
-    table = docs.select(id_col, *keep, *(p.value.alias(k) for k, p in rows.items()))
+    rows, shared = parts(docs, trees)
+    table = (docs.withColumns(shared) if shared else docs).select(id_col, *keep, *(p.value.alias(k) for k, p in rows.items()))
     for number, other in enumerate(joined_features(docs, trees, resources or Resources(), id_col)):
         table = table.join(other.withColumnRenamed(id_col, f"__id{number}"), F.col(id_col).eqNullSafe(F.col(f"__id{number}")), "left").drop(f"__id{number}")
     order = [n.key for n in post_order(trees)]
