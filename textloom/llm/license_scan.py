@@ -86,7 +86,8 @@ TELLING = r"(?i)\b(licen[sc](?:e|ed|es|ing)|copyright|copyrighted|spdx|creative
 #: Paragraphs of the class "none" that training may take at most; the bound of the sample.
 MAX_SAMPLE = 4_000
 VARIANTS = 60
-FEATURES = 1 << 16
+#: Buckets of each n-gram length. The optimizer keeps some twenty dense copies of 3 * FEATURES * classes weights on the driver.
+FEATURES = 1 << 14
 CONFIRM = 60
 TARGET_PRECISION = 0.99
 #: Words of one piece of a long paragraph, and words that neighbouring pieces share.
