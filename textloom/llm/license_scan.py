@@ -182,13 +182,14 @@ def confirmed(words: Column, label: Column) -> Column:
 
 def scan(docs: DataFrame, model: PipelineModel, least: float, text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, paragraph, family and p of all paragraphs of a confirmed or unknown licence."""
-    found = scored(model, pieces(docs, text_col))
+    # The row number keeps the filter from moving below the classifier and running it once for each mention.
+    found = scored(model, pieces(docs, text_col)).withColumn("row", F.monotonically_increasing_id())
     sure = (F.col("class") > 0) & (F.col("p") >= least)
     share = F.when(sure, confirmed(F.col("words"), F.col("class"))).otherwise(0.0)
     names = F.array(*map(F.lit, CLASSES))
     family = F.when(sure & (share >= CONFIRM), F.get(names, F.col("class"))).when(F.col("telling"), "unknown")
-    rows = found.select("doc_id", "text_hash", "paragraph", family.alias("family"), "p", F.col("piece")).where("family IS NOT NULL")
-    best = F.max_by(F.struct("family", "p"), F.struct((F.col("family") != "unknown").alias("sure"), "p", -F.col("piece")))
+    rows = found.select("doc_id", "text_hash", "paragraph", family.alias("family"), "p", "row").where("family IS NOT NULL")
+    best = F.max_by(F.struct("family", "p"), F.struct((F.col("family") != "unknown").alias("sure"), "p", -F.col("row")))
     return rows.groupBy("doc_id", "text_hash", "paragraph").agg(best.alias("x")).select("doc_id", "text_hash", "paragraph", "x.*")
 
 
