@@ -85,6 +85,8 @@ CLASSES = ["none", *TEMPLATES]
 TELLING = r"(?i)\b(licen[sc](?:e|ed|es|ing)|copyright|copyrighted|spdx|creative commons|public domain|all rights reserved|proprietary)\b|©"
 #: Paragraphs of the class "none" that training may take at most; the bound of the sample.
 MAX_SAMPLE = 4_000
+#: Documents from which they come, for each of them; copies give equal pieces, so there are more than one.
+OVERSAMPLE = 2
 VARIANTS = 60
 #: Buckets of each n-gram length. The optimizer keeps some twenty dense copies of 3 * FEATURES * classes weights on the driver.
 FEATURES = 1 << 14
@@ -136,8 +138,14 @@ def features() -> list:
 
 
 def trained(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> tuple[PipelineModel, float]:
-    """The fitted model and its threshold; the sample is the MAX_SAMPLE paragraph pieces of the smallest hashes."""
-    plain = pieces(docs, text_col).where(~F.col("telling")).select("words").distinct()
+    """The fitted model and its threshold.
+
+    The sample is at most MAX_SAMPLE distinct paragraph pieces, those of the smallest hashes, of some OVERSAMPLE * MAX_SAMPLE
+    documents chosen by the hashes of their texts (of all documents where there are no more).
+    """
+    share = OVERSAMPLE * MAX_SAMPLE / max(1, docs.count())
+    chosen = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
+    plain = pieces(chosen, text_col).where(~F.col("telling")).select("words").distinct()
     sample = written(plain.orderBy(F.xxhash64("words"), F.concat_ws(" ", "words")).limit(MAX_SAMPLE), "sample")
     rows = written(variants(spark, sample), "variants")
     model = Pipeline(stages=[*features(), LogisticRegression(maxIter=30, regParam=1e-4, family="multinomial")]).fit(rows.where("fold = 0"))
