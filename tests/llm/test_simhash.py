@@ -75,6 +75,49 @@ def test_bands_find_near_copies(spark):
     assert sum(comp[a] == comp[b] for a, b in close) >= 0.98 * len(close)
 
 
+def share_of(a, b):
+    return 100 * len(a & b) >= 80 * len(a | b)
+
+
+def similar_texts():
+    """Near copies from well under to well over similarity 0.8, some of them mostly one repeated word."""
+    rng, out = random.Random(11), []
+    for k in range(40):
+        base = [f"t{k}w{i}" for i in range(rng.choice([12, 60, 150]))]
+        out.append(" ".join(base))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 20))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(copy))
+        out.append(" ".join([*base, *["again"] * rng.choice([0, 8, 2000])]))
+    return out
+
+
+@pytest.mark.parametrize("cell", [1024, 3])
+def test_bands_are_jaccard(spark, cell, monkeypatch):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (simhash.NEAR_SHARE, cell))
+    rows = list(enumerate([*similar_texts(), "", " \t", "One", "one"]))
+    docs = spark.createDataFrame([*rows, *rows[:3], (None, rows[5][1])], "doc_id bigint, text string").repartition(5)
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    comp = {}
+    for i in sets:
+        if i not in comp:
+            comp[i], todo = i, [i]
+            while todo:
+                x = todo.pop()
+                near = [y for y in sets if y not in comp and share_of(sets[x], sets[y])]
+                comp |= dict.fromkeys(near, i)
+                todo += near
+    found = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs, 5, candidate_keys="bands").collect()}
+    assert found == {*comp.items(), (None, comp[5])}
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(comp.values())
+    prints = {i: brute_print(t, 5) for i, t in rows}
+    far = lambda a, b: (prints[a] ^ prints[b]).bit_count() > simhash.NEAR_BITS
+    assert any(share_of(sets[a], sets[b]) and far(a, b) for a in sets for b in sets)
+    assert any(not share_of(sets[a], sets[b]) and not far(a, b) for a in sets for b in sets)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e", 1), (5, "a b c d e", 2), (5, "a b c d e", 2), (7, "x" * 300_000, 3), (8, "y " * 100_000, 3)], "doc_id bigint, text string, fingerprint int")
     rows = sorted(((r.doc_id or -1), r.component_id) for r in simhash.near_duplicates(docs, 4, 4).collect())

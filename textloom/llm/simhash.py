@@ -5,8 +5,11 @@ one word operation updates the distances of a fingerprint to all 64 lanes in ver
 lanes that have all passed the radius are abandoned after each few planes.
 
 Which fingerprints meet: two that differ in at most r bits agree in p of any r + p blocks of bits, so each choice of
-p blocks is a key; p grows with the number of distinct fingerprints so that keys stay selective. This is exact. For
-wide radii, where no block need agree, keys come from min-hashes of the shingles instead (candidate_keys="bands").
+p blocks is a key; p grows with the number of distinct fingerprints so that keys stay selective. This is exact.
+
+For a similarity of the shingle sets (candidate_keys="bands") fingerprints cannot decide: at any radius they miss some
+pairs and link others that are less alike. Texts that share a min-hash band meet, and the Jaccard similarity of their
+shingle sets, counted exactly, is the verdict.
 
 Words are [^\\x20\\x09-\\x0D]+ after lowering A-Z; shingles keep repeats; a text with fewer words has one shingle, a
 text without words (null, empty, white space) fingerprint zero, linked like any other. Repeated rows and ids keep
@@ -30,8 +33,12 @@ from .storage import free, written
 BLOCK = 4096
 #: Bit planes between two looks for rows to abandon, and rows compared at a time.
 PLANES, ROWS = 8, 1 << 17
-#: Radius for pairs of similarity 0.8 by min-hash bands: they differ in 9.7 bits on average, and nearly never in more.
+#: Usual radius of "blocks". It is no test of similarity 0.8: such pairs differ in 9.7 bits on average, and 5 % of them in over 14.
 NEAR_BITS = 14
+#: Jaccard similarity in percent, of the sets of shingles, from which texts are near copies by "bands".
+NEAR_SHARE = 80
+#: Texts of one band that are compared in one task; bands with more are split into cells of pairs of blocks.
+CELL = 1024
 #: Min-hash bands and rows of a band: a pair of Jaccard similarity 0.8 shares a band with probability 1 - 2e-4 and more.
 BANDS, BAND_ROWS, SEED = 16, 4, 42
 _rng = np.random.default_rng(7)
@@ -247,23 +254,73 @@ def links(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
+def links_of_sets(sets: list[np.ndarray], side: np.ndarray, share: int) -> tuple[list[int], list[int]]:
+    """Links that join the sets (sorted, without repeats) of Jaccard similarity share percent or more, as a forest.
+
+    side: 0 and 1 are compared with each other, 2 with all. Pairs that are already joined are not compared.
+    """
+    label, sizes, a, b = np.arange(len(sets)), np.array([len(x) for x in sets]), [], []
+    for i in range(1, len(sets)):
+        may = (side[:i] != side[i]) | (side[i] == 2)
+        may &= 100 * np.minimum(sizes[:i], sizes[i]) >= share * np.maximum(sizes[:i], sizes[i])
+        left = np.flatnonzero(may & (label[:i] != label[i]))
+        while len(left):
+            j, left = left[0], left[1:]
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= share * (sizes[i] + sizes[j] - common):
+                a.append(i)
+                b.append(j)
+                label[label == label[i]] = label[j]
+                left = left[label[left] != label[i]]
+    return a, b
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, n_words: int, share: int = NEAR_SHARE, cell: int = CELL) -> DataFrame:
+    """Edges a, b (text hashes) that join all texts of similarity share that share a band of prints.
+
+    Bands that join the same texts are compared once. Edges are a spanning forest of each cell, never all its pairs.
+    """
+    keyed = prints.select(F.explode("bands").alias("key"), "text_hash").distinct()
+    marks = [F.count("*").alias("n"), F.min("text_hash").alias("least"), *(F.bit_xor(F.xxhash64(F.lit(k), "text_hash")).alias(f"mark{k}") for k in (0, 1))]
+    sizes = keyed.groupBy("key").agg(*marks).where("n > 1").groupBy("n", "least", "mark0", "mark1").agg(F.min("key").alias("of_key"))
+    sizes = sizes.select("of_key", F.ceil(F.col("n") / cell).cast("int").alias("m"))
+    dealt = keyed.join(sizes, F.col("key") == F.col("of_key")).select("key", "text_hash", "m", F.pmod(F.xxhash64("text_hash"), F.col("m")).cast("int").alias("s"))
+    cells = dealt.select("key", "text_hash", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("t"))
+    low, high = F.least("s", "t"), F.greatest("s", "t")
+    side = F.when(low == high, 2).when(F.col("s") == low, 0).otherwise(1)
+    cells = cells.groupBy("text_hash").agg(F.collect_list(F.struct(F.xxhash64("key", low, high).alias("cell"), side.cast("int").alias("side"))).alias("cells"))  # its bands, times m
+    firsts = prints.groupBy(F.col("text_hash").alias("of_text")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x"))
+    wanted = written(cells.join(firsts, F.col("text_hash") == F.col("of_text")).select("text_hash", "cells", F.col("x.doc_id").alias("first_id")), "cells")
+    own = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = own.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("text_hash")))
+    texts = texts.select("text_hash", "text", F.explode("cells").alias("x")).select("text_hash", "text", "x.cell", "x.side")
+
+    def run(rows: pa.Table) -> pa.Table:
+        hashes, at = np.unique(rows.column("text_hash").to_numpy(), return_index=True)  # repeated rows once
+        sets = [np.unique(shingle_hashes(text, n_words)) for text in rows.column("text").take(at).to_pylist()]
+        a, b = links_of_sets(sets, rows.column("side").to_numpy()[at], share)
+        return pa.table({"a": pa.array(hashes[a], pa.int64()), "b": pa.array(hashes[b], pa.int64())})
+
+    return texts.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, candidate_keys: str = "blocks") -> DataFrame:
-    """doc_id, text_hash, fingerprint, component (a fingerprint) and component_id (the smallest doc_id that links reach) of every row.
+    """doc_id, text_hash, fingerprint, component (a node) and component_id (the smallest doc_id that links reach) of every row.
 
-    candidate_keys: "blocks" finds every pair within radius; "bands" those that share a min-hash band besides.
+    candidate_keys: "blocks" links fingerprints within radius, all of them; "bands" links texts (nodes are their hashes)
+    whose shingle sets have a similarity of NEAR_SHARE, whatever their fingerprints.
     """
-    prints = written(fingerprints(docs, n_words, candidate_keys == "bands"), "fingerprints")
-    firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    if candidate_keys == "bands":
-        keyed = prints.select(F.explode("bands").alias("key"), "fingerprint")
+    bands = candidate_keys == "bands"
+    prints, node = written(fingerprints(docs, n_words, bands), "fingerprints"), "text_hash" if bands else "fingerprint"
+    firsts = prints.groupBy(F.col(node).alias("of_node")).agg(F.min("doc_id").alias("first_id"))
+    if bands:
+        found = connected(similar_links(docs, prints, n_words))
     else:
-        keyed = masked_keys(firsts.select("fingerprint"), radius)
-    found = connected(links(keyed, radius))
-    nodes = firsts.join(found, F.col("fingerprint") == F.col("node"), "left")
-    nodes = nodes.select(F.col("fingerprint").alias("of_print"), F.coalesce("component", "fingerprint").alias("component"), "first_id")
+        found = connected(links(masked_keys(firsts.select(F.col("of_node").alias("fingerprint")), radius), radius))
+    nodes = firsts.join(found, F.col("of_node") == F.col("node"), "left").select("of_node", F.coalesce("component", "of_node").alias("component"), "first_id")
     heads = nodes.groupBy(F.col("component").alias("head")).agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(heads, F.col("component") == F.col("head")).select("of_print", "component", "component_id")
-    return prints.join(named, F.col("fingerprint") == F.col("of_print")).select("doc_id", "text_hash", "fingerprint", "component", "component_id")
+    named = nodes.join(heads, F.col("component") == F.col("head")).select("of_node", "component", "component_id")
+    return prints.join(named, F.col(node) == F.col("of_node")).select("doc_id", "text_hash", "fingerprint", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, candidate_keys: str = "bands") -> DataFrame:
