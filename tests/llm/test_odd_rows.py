@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -167,6 +168,24 @@ def test_decontamination(spark, docs):
     assert decontaminate.overlaps(table, benchmark.limit(0)).count() == 0 and decontaminate.overlaps(table.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.MAX_BROADCAST, 0])
+def test_short_items_are_found_by_share(spark, limit):
+    """Every pattern of as many substitutions as the share allows, for items of up to 13 tokens; the sparsest for others."""
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in range(1, 40)}
+    rows, want = [], set()
+    for n, tokens in items.items():
+        few = n // 5
+        holes = list(itertools.combinations(range(n), few)) if n <= 13 else [tuple(range(shift, n, 5))[:few] for shift in range(5)]
+        for hole in [*holes, tuple(range(few + 1))]:
+            rows.append((len(rows), " ".join(["before", *("other" if k in hole else t for k, t in enumerate(tokens)), "behind"])))
+            if len(hole) <= few:
+                want.add((rows[-1][0], n))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(table, benchmark, limit).collect() if 100 * r.matched >= 80 * r.item_tokens}
+    assert found == want
+
+
 def test_license_scan(spark, docs):
     texts = [f"{BLOCK}\n{license_scan.TEMPLATES['mit'][0]}", f"{BLOCK}\nLicensed under the Foo Bar licence of 1987.", f"{BLOCK} {BLOCK} {license_scan.TEMPLATES['gpl'][1]} {BLOCK}"]
     table = docs.select("doc_id", "text", "words").union(spark.createDataFrame([(100 + i, t, "") for i, t in enumerate(texts)], "doc_id bigint, text string, words string"))

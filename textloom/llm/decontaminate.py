@@ -5,8 +5,9 @@ benchmark and training texts are joined. A hit names a diagonal, on which the wh
 and compared token by token. The overlap is confirmed if MIN_SHARE of the item's tokens agree, or if some stretch of
 it scores MIN_SCORE or more, an equal token counting 1 and a different one -2; so substitutions are tolerated.
 
-Tokens are runs of letters, marks and digits of the lowered text, known by 64-bit hash. An item with fewer tokens
-than a mask spans is sought by the masks that fit, or else, shorter than all of them, as the run of all its tokens.
+Tokens are runs of letters, marks and digits of the lowered text, known by 64-bit hash. The masks miss some overlaps
+of short items. So an item of under SHORT tokens is sought by its blocks besides: it is cut into one block more than
+MIN_SHARE lets it have different tokens, so one block is whole in every overlap of that share and none is missed.
 The benchmark is broadcast if it has at most MAX_BROADCAST seeds; a larger one meets the documents' seeds by shuffle.
 
 Cases: null and empty texts have no tokens and no overlaps; null ids are kept as they are, and overlaps of rows with
@@ -22,6 +23,8 @@ from .storage import without, written
 MASKS = ("11011011", "1101100111", "11101011011")
 MIN_SHARE = 80
 MIN_SCORE, MISMATCH = 13, 2
+#: Items with fewer tokens are sought by blocks as well. Of n tokens, n // 5 may differ, so a block has five at most.
+SHORT = 40
 MAX_BROADCAST = 1_000_000
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 
@@ -36,16 +39,30 @@ def seed(number: int, mask: str, tokens: Column, place: Column) -> Column:
     return F.when(place + len(mask) <= F.size(tokens), F.xxhash64(F.lit(number), *chosen))
 
 
+def blocks(size: int) -> list[tuple[int, int]]:
+    """Place and length of each block of an item of size tokens."""
+    n = size * (100 - MIN_SHARE) // 100 + 1
+    bounds = [size * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[str]]:
-    """item (its own hash), item_id, item_size, item_tokens, item_place and seed; and the masks in use, short items' own last."""
+    """item (its own hash), item_id, item_size, item_tokens, item_place and seed; and the masks in use, those of blocks last."""
     items = benchmark.select(F.col("item_id"), token_hashes(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") > 0).distinct()
-    shortest = min(map(len, MASKS))
-    short = [r.n for r in items.where(F.size("item_tokens") < shortest).select(F.size("item_tokens").alias("n")).distinct().collect()]  # under 8 numbers
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
     size = F.size("item_tokens")
-    fits = [(size >= len(m)) if k < len(MASKS) else (size == len(m)) for k, m in enumerate(masks)]
+    short = sorted(r.n for r in items.where(size < SHORT).select(size.alias("n")).distinct().collect())  # under SHORT numbers
+    masks = [*MASKS, *("1" * n for n in sorted({length for n in short for _, length in blocks(n)}))]
+
+    def fits(mask: str) -> Column:
+        at = [(n, place) for n in short for place, length in blocks(n) if length == len(mask)]
+        found = F.lit(False)
+        for n in sorted({n for n, _ in at}):
+            found = found | ((F.col("item_size") == n) & F.col("item_place").isin([place for k, place in at if k == n]))
+        return found
+
     each = items.select("*", F.xxhash64("item_id", "item_tokens").alias("item"), size.alias("item_size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("item_place"))
-    seeds = F.array(*(F.when(fit, seed(k, m, F.col("item_tokens"), F.col("item_place"))) for k, (m, fit) in enumerate(zip(masks, fits, strict=True))))
+    fit = [F.lit(True) if k < len(MASKS) else fits(m) for k, m in enumerate(masks)]
+    seeds = F.array(*(F.when(fit[k], seed(k, m, F.col("item_tokens"), F.col("item_place"))) for k, m in enumerate(masks)))
     return each.select("item", "item_id", "item_size", "item_tokens", "item_place", F.explode(seeds).alias("seed")).where("seed IS NOT NULL"), masks
 
 
@@ -54,9 +71,14 @@ def window(tokens: Column, start: Column, size: Column) -> Column:
     return F.slice(tokens, F.greatest(start, F.lit(0)) + 1, F.greatest(size + F.least(start, F.lit(0)), F.lit(0)))
 
 
+def agreeing() -> Column:
+    """1 for each of item_tokens that window, which begins at start, has in its place, else 0."""
+    return F.transform("item_tokens", lambda x, k: F.when(x == F.get("window", k + F.least(F.col("start"), F.lit(0))), 1).otherwise(0))
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """matched and score of pairs(doc_id, text_hash, item_id, start, window, item_tokens), of overlaps only."""
-    equal = F.transform("item_tokens", lambda x, k: F.when(x == F.get("window", k + F.least(F.col("start"), F.lit(0))), 1).otherwise(0))
+    equal = agreeing()
     rows = pairs.select("doc_id", "text_hash", "item_id", "start", F.size("item_tokens").alias("item_size"), equal.alias("equal"))
     best = F.aggregate(
         "equal", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
@@ -83,10 +105,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BRO
     start = (F.col("place") - F.col("item_place")).alias("start")
     key = ["row", "doc_id", "text_hash", "item", "start"]
     if small:
-        # One span of generated code from the tokens to the hits: only hits leave it, with their own windows.
+        # One span of generated code from the tokens to the hits: only hits leave it, with their own windows, and those
+        # only that have as many equal tokens as an overlap, since blocks hit often.
         found = sought.join(F.broadcast(seeds.drop("item_tokens", "item_id")), F.col("doc_seed") == F.col("seed"))
         found = found.select("row", "doc_id", "text_hash", "item", start, window(F.col("tokens"), F.col("place") - F.col("item_place"), F.col("item_size")).alias("window"))
-        pairs = found.groupBy(*key).agg(F.any_value("window").alias("window")).join(F.broadcast(items), F.col("item") == F.col("of_item"))
+        matched = F.aggregate(agreeing(), F.lit(0), lambda s, x: s + x)
+        found = found.join(F.broadcast(items), F.col("item") == F.col("of_item")).where(matched >= F.least(F.ceil(F.size("item_tokens") * MIN_SHARE / 100), F.lit(MIN_SCORE)))
+        found = found.groupBy(*key).agg(F.any_value("window").alias("window"))
+        pairs = found.join(F.broadcast(items), F.col("item") == F.col("of_item"))
     else:
         found = sought.select("row", "doc_id", "text_hash", "place", "doc_seed").join(seeds.select("item", "item_place", "seed"), F.col("doc_seed") == F.col("seed"))
         found = found.select("row", "doc_id", "text_hash", "item", start).distinct().join(items, F.col("item") == F.col("of_item"))
