@@ -105,6 +105,17 @@ def test_left_alone(spark):
     assert pii.pseudonymized(docs.limit(0), "k").count() == 0
 
 
+def test_values_among_digits_and_capitals(spark):
+    card_, spaced, be, at = "4111111111111111", "4111 1111 1111 1111", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"
+    texts = [f"{card_}.", f"{spaced} 12/27", f"{card_} 123", f"{card_} 12", f"12 {spaced}", f"{be} EUR 500", f"{at} BIC", f"{be}.", f"{at}."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r.text for r in pii.pseudonymized(docs, "k").collect()}
+    new, new_be, new_at = rows[0][:-1], rows[7][:-1], rows[8][:-1]
+    new_spaced = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert luhn(new) and new != card_ and new_be != be and new_at != at
+    assert [rows[i] for i in range(1, 7)] == [f"{new_spaced} 12/27", f"{new} 123", f"{new} 12", f"12 {new_spaced}", f"{new_be} EUR 500", f"{new_at} BIC"]
+
+
 def test_keys_differ(spark):
     docs = spark.createDataFrame([(1, "4041894974608795 42.144.35.254")], "doc_id bigint, text string")
     assert len({pii.pseudonymized(docs, k).first().text for k in ("a", "b")}) == 2

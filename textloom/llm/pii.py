@@ -3,7 +3,9 @@
 Validated values are permuted within their format, so equal values stay equal in all documents and different ones
 stay different: card numbers (Luhn) and IBANs (mod 97) keep their check digits valid, dates stay dates of 1900-2099,
 North American telephone numbers keep valid area codes and exchanges, IPv4 addresses stay addresses, and letters,
-digits and punctuation of all others keep their kinds and places. Values that fail their check are left alone.
+digits and punctuation of all others keep their kinds and places. Values that fail their check are left alone. Where
+other digits or capitals follow or precede a card number or an IBAN, the match holds them too; so if it fails as a
+whole, its groups are tried, and the first valid number in it is replaced (old and new of it are the whole match).
 
 The matches of one pattern and the text between them are taken apart, each match is replaced and the parts joined.
 A network is a fold over its rounds; the round function is a piece of SHA-256 of key, format, round and half.
@@ -126,14 +128,41 @@ def luhn_sum(digits: Column, double_last: bool) -> Column:
     return fold(values, F.lit(0), lambda s, x: s + x)
 
 
+def replaced_at(value: Column, span: Column, renumbered) -> Column:
+    """value with renumbered(its part of span(first, last)); value itself where span is null."""
+    part = lambda at: F.concat(
+        F.substring(value, F.lit(1), at["first"] - 1), renumbered(F.substring(value, at["first"], at["last"] - at["first"] + 1)), F.substring(value, at["last"] + 1, F.length(value))
+    )
+    return let(span, lambda at: F.when(at.isNull(), value).otherwise(part(at)))
+
+
+def group_ends(value: Column, step: int) -> Column:
+    """Places in value of the last (step 1) or first (step -1) character of each run of letters and digits."""
+    own = lambda i: F.substring(value, i, F.lit(1)).rlike("[0-9A-Z]")
+    outside = lambda i: (i < 1) | (i > F.length(value)) | ~own(i)
+    return F.filter(F.sequence(F.lit(1), F.length(value)), lambda i: own(i) & outside(i + step))
+
+
+def span_of(first: Column, last: Column) -> Column:
+    return F.struct(first.alias("first"), last.alias("last"))
+
+
 def card(value: Column, key: str) -> Column:
-    def renumbered(digits: Column) -> Column:
+    """The match as a whole, or else its first part from group to group, longest first, that passes."""
+
+    def renumbered(own: Column) -> Column:
         def with_check(run: Column) -> Column:
-            return refilled(value, DIGITS, F.concat(run, F.pmod(-luhn_sum(run, True), F.lit(10)).cast("string")))
+            return refilled(own, DIGITS, F.concat(run, F.pmod(-luhn_sum(run, True), F.lit(10)).cast("string")))
 
+        digits = kept(own, "0-9")
         return let(permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), DIGITS, key, F.lit("card")), with_check)
 
-    return let(kept(value, "0-9"), lambda digits: F.when(luhn_sum(digits, False) % 10 == 0, renumbered(digits)).otherwise(value))
+    def passes(own: Column) -> Column:
+        return let(kept(own, "0-9"), lambda digits: F.when(F.length(digits).between(13, 19), luhn_sum(digits, False) % 10 == 0).otherwise(False))
+
+    spans = F.flatten(F.transform(group_ends(value, -1), lambda first: F.transform(F.reverse(group_ends(value, 1)), lambda last: span_of(first, last))))
+    within = F.filter(spans, lambda x: (x["last"] - x["first"] >= 12) & passes(F.substring(value, x["first"], x["last"] - x["first"] + 1)))
+    return replaced_at(value, F.when(passes(value), span_of(F.lit(1), F.length(value))).otherwise(F.get(within, F.lit(0))), renumbered)
 
 
 def mod97(text: Column) -> Column:
@@ -142,19 +171,34 @@ def mod97(text: Column) -> Column:
     return fold(characters(text), F.lit(0), lambda r, c: step(r, c).cast("int"))
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = "NO15 BE16 DK18 FI18 FO18 GL18 NL18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 PT25 IS26 TR26 FR27 GR27 IT27 MC27 MR27 SM27 AL28 AZ28 BY28 CY28 DO28 GT28 HU28 LB28 PL28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 MT31 SC31"
+
+
 def iban(value: Column, key: str) -> Column:
-    def renumbered(bare: Column) -> Column:
-        account = F.substring(bare, F.lit(5), F.length(bare) - 4)
+    """The match up to the end of a group where the country's length is reached, or else the longest that passes."""
+    bare_of = lambda own: F.replace(own, F.lit(" "), F.lit(""))
+
+    def renumbered(own: Column) -> Column:
+        bare = bare_of(own)
         country = F.substring(bare, 1, 2)
 
         def with_check(new: Column) -> Column:
             check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-            return refilled(value, UPPER36, F.concat(country, check, new))
+            return refilled(own, UPPER36, F.concat(country, check, new))
+
+        return let(permute_within(F.substring(bare, F.lit(5), F.length(bare) - 4), DIGITS, "0-9", key, "iban"), with_check)
 
-        return let(permute_within(account, DIGITS, "0-9", key, "iban"), with_check)
+    def passes(own: Column) -> Column:
+        valid = lambda bare: mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare) - 4), F.substring(bare, 1, 4))) == 1
+        return let(bare_of(own), lambda bare: F.when(F.length(bare).between(15, 34), valid(bare)).otherwise(False))
 
-    valid = lambda bare: mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare) - 4), F.substring(bare, 1, 4))) == 1
-    return let(F.replace(value, F.lit(" "), F.lit("")), lambda bare: F.when(F.length(bare).between(15, 34) & valid(bare), renumbered(bare)).otherwise(value))
+    at = F.instr(F.lit(IBAN_LENGTHS), F.substring(value, 1, 2))
+    usual = F.when(at > 0, F.substring(F.lit(IBAN_LENGTHS), at + 2, F.lit(2)).cast("int")).otherwise(0)
+    ends = F.reverse(group_ends(value, 1))
+    ordered = F.concat(F.filter(ends, lambda e: F.length(bare_of(F.substring(value, F.lit(1), e))) == usual), ends)
+    last = F.get(F.filter(ordered, lambda e: passes(F.substring(value, F.lit(1), e))), F.lit(0))
+    return replaced_at(value, let(last, lambda e: F.when(e.isNotNull(), span_of(F.lit(1), e))), renumbered)
 
 
 def ipv4(value: Column, key: str) -> Column:
