@@ -37,6 +37,24 @@ def test_bpe_chunks_do_not_change_ids(monkeypatch):
         assert byte_bpe.encode(text, RANKS, PATTERN) == enc.encode_ordinary(text)
 
 
+def test_bpe_long_white_space(monkeypatch):
+    """The ids of the library for runs that it can take, and whole round trips for those of two million characters."""
+    enc = byte_bpe.encoding(RANKS, PATTERN)
+    kinds = [" ", "\n", " \n\t", "\u3000", "\xa0 ", "\x1c", "\r\n"]
+    with monkeypatch.context() as small:
+        small.setattr(byte_bpe, "CHUNK_CHARS", 50)
+        for run, n in itertools.product(kinds, (999, 1000, 1001, 5000)):
+            for text in (run * n, f"{run * n}x", f"a{run * n}", f"a b{run * n}'s{run * n}. {run * n} c", f"1{run * n}\n{run}x"):
+                assert byte_bpe.encode(text, RANKS, PATTERN) == enc.encode_ordinary(text)
+    for run in (" ", "\n", " \n\t "):
+        long = run * (2_000_000 // len(run))
+        for text in (f"{long}x", f"a b {long}c d", f"a b{long}"):
+            ids = byte_bpe.encode(text, RANKS, PATTERN)
+            assert byte_bpe.decode(ids, RANKS, PATTERN) == text.encode()
+            cut = text.replace(long, run * 1000)
+            assert len(ids) > len(byte_bpe.encode(cut, RANKS, PATTERN))
+
+
 def test_bpe_frames(docs):
     rows = byte_bpe.round_trip(docs, RANKS, PATTERN).collect()
     assert len(rows) == 12 and all(r.exact for r in rows)

@@ -1,9 +1,12 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
 A text is encoded as tiktoken's encode_ordinary would, special tokens excluded. Long texts are cut first
-at boundaries that the splitting pattern can never cross, so that one call never holds more than a chunk.
+at boundaries that the splitting pattern (public_tokenizers.PATTERN) can never cross, so that one call never holds
+more than a chunk.
 
-Cases: a null text counts as empty (no ids); an id column may be null or repeated, each row is encoded by
+A run of 1000 or more white-space characters in a long text is encoded as the one piece that it is, without the pattern.
+
+Cases: a null text counts as empty (no ids); a text of nothing but white space, of any length, is one piece; an id column may be null or repeated, each row is encoded by
 itself; other columns of the input are ignored, so clashing names do no harm; an empty table gives an empty one.
 """
 
@@ -22,6 +25,8 @@ CHUNK_CHARS = 1 << 16
 #: Before white space that follows anything else, the pattern always begins a new piece: no alternative of it
 #: holds white space after another character, and what is left of the boundary never looks past it.
 SAFE = re.compile(r"(?<=\S)[ \n]")
+#: Long runs of white space (what the pattern's \s matches) never meet the pattern, whose matcher recurses over them.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @lru_cache(maxsize=4)
@@ -34,9 +39,9 @@ def encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
+def chunks(text: str, size: int | None = None) -> Iterator[str]:
     """text in order, cut at the first safe boundary after each size characters."""
-    begin = 0
+    begin, size = 0, size or CHUNK_CHARS
     while len(text) - begin > size:
         cut = SAFE.search(text, begin + size)
         if not cut:
@@ -46,13 +51,28 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[begin:]
 
 
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """text in order, in chunks for the pattern (false) and long runs of white space that are one piece of it (true).
+
+    The pattern makes one piece of a run that ends the text. Of any other run the last character is left for the
+    piece after it.
+    """
+    begin = 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield from ((chunk, False) for chunk in chunks(text[begin : run.start()]))
+        yield text[run.start() : end], True
+        begin = end
+    yield from ((chunk, False) for chunk in chunks(text[begin:]))
+
+
 def encode(text: str | None, ranks_path: str, pattern: str) -> list[int]:
     enc = encoding(ranks_path, pattern)
     if not text:
         return []
     if len(text) <= CHUNK_CHARS:
         return enc.encode_ordinary(text)
-    return [i for chunk in chunks(text) for i in enc.encode_ordinary(chunk)]
+    return [i for part, whole in stretches(text) for i in (enc._encode_single_piece(part) if whole else enc.encode_ordinary(part))]
 
 
 def decode(ids: Iterable[int], ranks_path: str, pattern: str) -> bytes:
