@@ -2,28 +2,36 @@
 
 A leaf is a stretch of text of about LEAF characters that begins at a safe boundary (white space after another
 character, which no pre-token crosses), with its token count; inner nodes hold sums of length and tokens, level by
-level. An edit replaces a range of characters: the leaves that it touches are found from the top, joined with their
-neighbours until both ends are safe boundaries again, re-encoded, and the sums above them are renewed. All other
-leaves keep their counts, and the result equals a count of the whole new text.
+level. The edits of a document are applied together. The leaves that they touch are found from the top by the stored
+sums of lengths; touched leaves that lie next to each other are one region, which takes in a neighbour where its end is
+no safe boundary of the new text. Each region is cut into leaves and encoded once, and only the sums above it are renewed;
+where the number of leaves changed, those behind it too. All other leaves keep their counts, and the result equals a
+count of the whole new text.
 
 A tree is kept as arrays: the leaves' lengths and tokens, and for each level above the sums of runs of FAN nodes.
-Cases: a null text is empty, one empty leaf; null edits count as none; edits past the end are clipped to it; a text
-without a safe boundary is one leaf; edits of a document apply in their order, each to the text that the one before
-left; repeated rows each have their own tree; other columns are ignored; an empty table gives an empty one.
+
+Edits are places in the text that the tree was built for, in any order; they apply in the order of their starts (ties in
+the given order), and one that reaches into another begins where that one ends. Work is linear in the text and the edits.
+Cases: a null text is empty, one empty leaf; null edits count as none, and so does an edit without a start; a null length
+is zero and a null new text is empty; edits past the end are clipped to it; a text without a safe boundary, however long,
+is one leaf; repeated rows each have their own tree; other columns are ignored; an empty table gives an empty one.
 """
 
+import re
+from dataclasses import dataclass
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import SAFE, encode
 
-LEAF, FAN = 256, 16
-TREE = "lengths array<int>, tokens array<int>, sums array<array<bigint>>"
-
-
-def is_safe(text: str, at: int) -> bool:
-    return at in (0, len(text)) or bool(SAFE.match(text, at))
+LEAF, FAN = 64, 16
+LEVELS = "array<array<bigint>>"
+TREE = f"lengths array<int>, tokens array<int>, length_sums {LEVELS}, token_sums {LEVELS}"
+COLUMNS = ["lengths", "tokens", "length_sums", "token_sums"]
+EDITS = "array<struct<start:int,length:int,new:string>>"
 
 
 def leaf_texts(text: str) -> list[str]:
@@ -38,135 +46,201 @@ def leaf_texts(text: str) -> list[str]:
 
 
 class Tree:
-    """levels[0] is [length, tokens] of each leaf, levels[k] the sums of runs of FAN nodes of the level below."""
+    """lengths[0] and tokens[0] are those of each leaf; level k + 1 holds the sums of runs of FAN nodes of level k."""
 
-    def __init__(self, leaves: list[list[int]]):
-        self.levels = [leaves]
-        self.renew(0, len(leaves))
+    def __init__(self, lengths: list[list[int]], tokens: list[list[int]]):
+        self.lengths, self.tokens = lengths, tokens
 
     @property
-    def tokens(self) -> int:
-        return self.levels[-1][0][1]
-
-    def renew(self, begin: int, end: int) -> None:
-        """Sums above leaves begin to end; where the number of leaves changed, of all behind them too."""
-        level = 0
-        while len(self.levels[level]) > 1:
-            below = self.levels[level]
-            begin, end, size = begin // FAN, -(-end // FAN), -(-len(below) // FAN)
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            above = self.levels[level + 1]
-            if len(above) != size:
-                end = size
+    def n_tokens(self) -> int:
+        return self.tokens[-1][0]
+
+    def renew(self, spans: list[tuple[int, int]]) -> None:
+        """The sums above the leaves of spans (first, end); each node once."""
+        for levels in (self.lengths, self.tokens):
+            level, now = 0, spans
+            while len(levels[level]) > 1:
+                below, size = levels[level], -(-len(levels[level]) // FAN)
+                if level + 1 == len(levels):
+                    levels.append([])
+                above = levels[level + 1]
+                if len(above) < size:
+                    above += [0] * (size - len(above))
                 del above[size:]
-                above += [[0, 0] for _ in range(size - len(above))]
-            for k in range(begin, end):
-                above[k] = [sum(n[0] for n in below[k * FAN : k * FAN + FAN]), sum(n[1] for n in below[k * FAN : k * FAN + FAN])]
-            level += 1
-        del self.levels[level + 1 :]
+                up, done = [], 0
+                for first, end in now:
+                    begin, stop = max(done, first // FAN), min(size, -(-end // FAN))
+                    for k in range(begin, stop):
+                        above[k] = sum(below[k * FAN : k * FAN + FAN])
+                    if begin < stop:
+                        up.append((begin, stop))
+                        done = stop
+                now, level = up, level + 1
+            del levels[level + 1 :]
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at place (the last one at the end), and where it begins."""
         node, begin = 0, 0
-        for level in range(len(self.levels) - 1, -1, -1):
-            if level < len(self.levels) - 1:
-                node *= FAN
-            last = min(node + FAN, len(self.levels[level])) - 1 if level < len(self.levels) - 1 else 0
-            while node < last and place >= begin + self.levels[level][node][0]:
-                begin += self.levels[level][node][0]
+        for level in range(len(self.lengths) - 1, -1, -1):
+            nodes = self.lengths[level]
+            node = node * FAN if level < len(self.lengths) - 1 else 0
+            last = min(node + FAN, len(nodes)) - 1 if level < len(self.lengths) - 1 else 0
+            while node < last and place >= begin + nodes[node]:
+                begin += nodes[node]
                 node += 1
         return node, begin
 
-    def replace(self, first: int, last: int, leaves: list[list[int]]) -> None:
-        """Leaves first to last (inclusive) become leaves."""
-        grown = len(leaves) != last - first + 1
-        self.levels[0][first : last + 1] = leaves
-        self.renew(first, len(self.levels[0]) if grown else last + 1)
-
 
 def build(text: str, count) -> Tree:
-    return Tree([[len(t), count(t)] for t in leaf_texts(text)])
+    leaves = leaf_texts(text)
+    tree = Tree([[len(t) for t in leaves]], [[count(t) for t in leaves]])
+    tree.renew([(0, len(leaves))])
+    return tree
+
+
+def clipped(edits, size: int) -> list[tuple[int, int, str]]:
+    """Start, end and new text of each edit, in order and apart from each other."""
+    found, at = [], 0
+    for start, length, new in sorted((e for e in edits if e[0] is not None), key=lambda e: min(max(e[0], 0), size)):
+        start = max(at, min(max(start, 0), size))
+        at = max(start, min(start + max(length or 0, 0), size))
+        found.append((start, at, new or ""))
+    return found
+
+
+@dataclass
+class Region:
+    """Leaves first to last, text from begin to end, and the edits in it."""
+
+    first: int
+    last: int
+    begin: int
+    end: int
+    edits: list
+
+    def take(self, other: "Region") -> None:
+        self.last, self.end = max(self.last, other.last), max(self.end, other.end)
+        self.edits += other.edits
+
+    def new_text(self, text: str) -> str:
+        parts, at = [], self.begin
+        for start, stop, new in self.edits:
+            parts += (text[at:start], new)
+            at = stop
+        return "".join((*parts, text[at : self.end]))
 
 
-def edit(text: str, tree: Tree, start: int, length: int, new: str, count) -> tuple[str, int]:
+def regions(text: str, tree: Tree, edits: list[tuple[int, int, str]]) -> list[Region]:
+    """The stretches of leaves to encode again, with safe boundaries at both ends in the new text.
+
+    One leaf more on a side is always enough: one that no edit touches begins and ends at a safe boundary.
+    """
+    leaves, touched, found = tree.lengths[0], [], []
+    for edit in edits:
+        (first, begin), (last, at) = tree.leaf_at(edit[0]), tree.leaf_at(max(edit[0], edit[1] - 1))
+        now = Region(first, last, begin, at + leaves[last], [edit])
+        if touched and first <= touched[-1].last + 1:
+            touched[-1].take(now)
+        else:
+            touched.append(now)
+    for now in touched:
+        new = now.new_text(text)
+        head = new[:1] or text[now.end : now.end + 1]
+        if now.first and head and head not in " \n":
+            now.first -= 1
+            now.begin -= leaves[now.first]
+        if now.last < len(leaves) - 1 and new[-1:].isspace():
+            now.last += 1
+            now.end += leaves[now.last]
+        if found and now.first <= found[-1].last:
+            found[-1].take(now)
+        else:
+            found.append(now)
+    return found
+
+
+def edit(text: str, tree: Tree, edits, count) -> tuple[str, int]:
     """The new text, and how many characters were encoded again; tree is brought up to date."""
-    start = min(max(start, 0), len(text))
-    end = min(start + max(length, 0), len(text))
-    first, begin = tree.leaf_at(start)
-    last, last_begin = tree.leaf_at(max(start, end - 1))
-    stop = last_begin + tree.levels[0][last][0]
-    after = text[:start] + new + text[end:]
-    moved = len(after) - len(text)
-    while first > 0 and not is_safe(after, begin):
-        first -= 1
-        begin -= tree.levels[0][first][0]
-    while last < len(tree.levels[0]) - 1 and not is_safe(after, stop + moved):
-        last += 1
-        stop += tree.levels[0][last][0]
-    region = after[begin : stop + moved]
-    leaves = [[len(t), count(t)] for t in leaf_texts(region)] if region or len(tree.levels[0]) == last - first + 1 else []
-    tree.replace(first, last, leaves)
-    return after, len(region)
+    parts, at, leaf, again = [], 0, 0, 0
+    lengths, tokens, spans, moved_from = [], [], [], None
+    for now in regions(text, tree, clipped(edits, len(text))):
+        new = now.new_text(text)
+        leaves = leaf_texts(new) if new else []
+        lengths += tree.lengths[0][leaf : now.first]
+        tokens += tree.tokens[0][leaf : now.first]
+        if moved_from is None and len(leaves) != now.last - now.first + 1:
+            moved_from = len(lengths)
+        spans.append((len(lengths), len(lengths) + len(leaves)))
+        lengths += map(len, leaves)
+        tokens += map(count, leaves)
+        parts += (text[at : now.begin], new)
+        at, leaf, again = now.end, now.last + 1, again + len(new)
+    if not spans:
+        return text, 0
+    lengths += tree.lengths[0][leaf:]
+    tokens += tree.tokens[0][leaf:]
+    if not lengths:
+        lengths, tokens = [0], [0]
+    tree.lengths[0], tree.tokens[0] = lengths, tokens
+    if moved_from is not None:
+        spans = [x for x in spans if x[0] < moved_from] + [(max(0, moved_from - 1), len(lengths))]
+    tree.renew(spans)
+    return "".join((*parts, text[at:])), again
+
+
+def stored(built: list[Tree]) -> list[pa.Array]:
+    """The columns of TREE."""
+    leaves = [pa.array([x[0] for x in levels], pa.list_(pa.int32())) for levels in ([t.lengths for t in built], [t.tokens for t in built])]
+    return leaves + [pa.array([x[1:] for x in levels], pa.list_(pa.list_(pa.int64()))) for levels in ([t.lengths for t in built], [t.tokens for t in built])]
 
 
 def trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, text, and the tree (lengths, tokens, sums) of every document."""
+    """id_col, text, and the tree (the columns of TREE) of every document."""
     kept = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         for batch in batches:
             built = [build(t, lambda x: len(encode(x, ranks_path, pattern))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *stored(built)], ["id", "text", "lengths", "tokens", "sums"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *stored(built)], ["id", "text", *COLUMNS])
 
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, text string, {TREE}").withColumnRenamed("id", id_col)
 
 
-def stored(built: list[Tree]) -> list[pa.Array]:
-    """Arrays of lengths, tokens and of the token sums of the levels above, lowest first."""
-    leaves = [t.levels[0] for t in built]
-    return [pa.array([[x[k] for x in rows] for rows in leaves], pa.list_(pa.int32())) for k in (0, 1)] + [pa.array([[[n[1] for n in level] for level in t.levels[1:]] for t in built], pa.list_(pa.list_(pa.int64())))]
-
-
 def edited(with_edits: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Apply edits (array of struct start, length, new) to trees with their texts.
 
     Returns id_col, the new text and tree, n_before, n_after and reencoded (characters encoded again).
     """
-    kept = with_edits.select(F.col(id_col).alias("id"), "text", "lengths", "tokens", "edits")
+    kept = with_edits.select(F.col(id_col).alias("id"), "text", *COLUMNS, "edits")
 
     def run(batches):
         count = lambda x: len(encode(x, ranks_path, pattern))
         for batch in batches:
             texts, built, before, work = [], [], [], []
             for row in batch.to_pylist():
-                text, tree, again = row["text"], Tree([list(x) for x in zip(row["lengths"], row["tokens"], strict=True)]), 0
-                before.append(tree.tokens)
-                for e in row["edits"] or ():
-                    text, region = edit(text, tree, e["start"], e["length"], e["new"] or "", count)
-                    again += region
+                tree = Tree([row["lengths"], *row["length_sums"]], [row["tokens"], *row["token_sums"]])
+                before.append(tree.n_tokens)
+                text, again = edit(row["text"], tree, [(e["start"], e["length"], e["new"]) for e in row["edits"] or () if e], count)
                 texts.append(text)
                 built.append(tree)
                 work.append(again)
-            columns = [batch.column("id"), pa.array(texts, pa.string()), *stored(built), pa.array(before, pa.int64()), pa.array([t.tokens for t in built], pa.int64()), pa.array(work, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text", "lengths", "tokens", "sums", "n_before", "n_after", "reencoded"])
+            columns = [batch.column("id"), pa.array(texts, pa.string()), *stored(built), pa.array(before, pa.int64()), pa.array([t.n_tokens for t in built], pa.int64()), pa.array(work, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text", *COLUMNS, "n_before", "n_after", "reencoded"])
 
     id_type = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(run, f"id {id_type}, text string, {TREE}, n_before bigint, n_after bigint, reencoded bigint").withColumnRenamed("id", id_col)
 
 
 def masking_edits(text: Column, pattern: str, mask: str) -> Column:
-    """Edits that replace each match of pattern by mask, the last match first, so that earlier places stay true."""
-    pieces = F.split(text, pattern)
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
-    start = lambda s, k: s["at"] + F.length(F.get(pieces, k))
-    step = lambda s, k: F.struct((start(s, k) + F.get(lengths, k)).alias("at"), F.concat(F.array(F.struct(start(s, k).alias("start"), F.get(lengths, k).alias("length"), F.lit(mask).alias("new"))), s["out"]).alias("out"))
-    none = F.expr("CAST(array() AS array<struct<start:int,length:int,new:string>>)")
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(lengths) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(lengths) > 0, folded).otherwise(none)
+    """Edits that replace each match of pattern (of Python's re) by mask; one pass over each text."""
+    seek = re.compile(pattern)
 
+    @F.pandas_udf(EDITS)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": m.start(), "length": m.end() - m.start(), "new": mask} for m in seek.finditer(t or "")])
 
-def appended(text: Column, new: str) -> Column:
-    return F.array(F.struct(F.length(text).alias("start"), F.lit(0).alias("length"), F.lit(new).alias("new")))
+    return found(text)
 
 
+def appended(text: Column, new: str) -> Column:
+    return F.array(F.struct(F.length(text).alias("start"), F.lit(0).alias("length"), F.lit(new).alias("new")))
