@@ -91,7 +91,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op9_spaced_seeds": decontaminate.ORACLE_SQL,
-    "op3_line_align": line_align.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
     "op2_warc_index": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
