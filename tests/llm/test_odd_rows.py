@@ -6,13 +6,12 @@ import random
 import re
 import zlib
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import byte_bpe, decontaminate, license_scan, line_align, orc_tokens, quality, warc
+from textloom.llm import byte_bpe, decontaminate, line_align, orc_tokens, quality, warc
 from textloom.llm.storage import fresh_path
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -196,20 +195,5 @@ def test_short_items_are_found_by_share(spark, limit):
     assert found == want
 
 
-def test_license_scan(spark, docs):
-    texts = [f"{BLOCK}\n{license_scan.TEMPLATES['mit'][0]}", f"{BLOCK}\nLicensed under the Foo Bar licence of 1987.", f"{BLOCK} {BLOCK} {license_scan.TEMPLATES['gpl'][1]} {BLOCK}"]
-    table = docs.select("doc_id", "text", "words").union(spark.createDataFrame([(100 + i, t, "") for i, t in enumerate(texts)], "doc_id bigint, text string, words string"))
-    found = license_scan.licences(table)
-    rows = {r.doc_id: r.families for r in found.collect()}
-    assert found.count() == 15
-    assert (rows[100], rows[101], rows[102]) == ("mit", "unknown", "gpl") and all(not rows[i] for i in (0, 1, 2, 3, 5, 6, None))
-
-
-def test_threshold():
-    bins = [{"bin": b, "n": n, "right": r} for b, n, r in ((30, 10, 2), (60, 10, 9), (90, 100, 100))]
-    assert license_scan.threshold(bins) == 0.6 or license_scan.threshold(bins) == 0.9
-    assert np.isclose(license_scan.threshold([{"bin": 40, "n": 1, "right": 0}]), 0.99)
-
-
 def test_word_pattern_matches_queries(docs):
     assert docs.select(F.size(quality.words_of(F.col("text"))).alias("n")).agg(F.sum("n")).first()[0] > 0
