@@ -2,8 +2,12 @@
 
 Validated values are permuted within their format, so equal values stay equal in all documents and different ones
 stay different: card numbers (Luhn) and IBANs (mod 97) keep their check digits valid, dates stay dates of 1900-2099,
-North American telephone numbers keep valid area codes and exchanges, IPv4 addresses stay addresses, and letters,
-digits and punctuation of all others keep their kinds and places. Values that fail their check are left alone. Where
+North American telephone numbers keep valid area codes and exchanges, social security numbers stay valid, IPv4 addresses
+stay addresses, and letters, digits and punctuation of all others keep their kinds and places. What is permuted is one
+canonical value however it is spelled: the ten digits of a North American number with or without its 1 and whatever stands
+between them, the digits behind the country code of other numbers, the day of a date, the lower-case form of a mailbox or
+secret (whose new letters take the case of the old ones). A date with slashes is day, month, year, or if that is no date
+month, day, year. Values that fail their check are left alone. Where
 other digits or capitals follow or precede a card number or an IBAN, the match holds them too; so if it fails as a
 whole, its groups are tried, and the first valid number in it is replaced (old and new of it are the whole match).
 
@@ -22,19 +26,19 @@ from .storage import free
 ROUNDS = 10
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 UPPER36 = DIGITS + LETTERS.upper()
-#: Longer runs of a 36-letter alphabet are permuted by pieces, so that half a piece fits 63 bits.
-PIECE = 24
+#: Longer runs are permuted by pieces, so that the sum of two halves fits 63 bits: of alphabets up to 26, and of larger ones.
+PIECE, SHORT_PIECE = 24, 22
 
 #: Kinds in the order in which they are tried, each with its pattern; no capturing groups.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,7}\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api_?key)\w{0,20} ?[=:] ?\x22?[0-9a-f]{12,128}(?![0-9a-z]))",
+    "secret": r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api_?key)\w{0,20} ?[=:] ?\x22?[0-9a-f]{12,}(?![0-9a-z]))",
     "hex_token": r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{32})(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date_ymd": r"(?<![0-9/.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9/-])",
-    "date_dmy": r"(?<![0-9/.-])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9/-])",
+    "date_ymd": r"(?<![0-9/.-])[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}(?![0-9/-])",
+    "date_dmy": r"(?<![0-9/.-])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9/-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "phone_intl": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
@@ -98,7 +102,8 @@ def permuted_run(run: Column, alphabet: str, key: str, tweak: Column) -> Column:
 
 def permuted(run: Column, alphabet: str, key: str, tweak: Column) -> Column:
     """run permuted piece by piece, each piece by its place."""
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(run), F.lit(1)) - 1) / PIECE).cast("int")), lambda k: F.struct(k.alias("k"), F.substring(run, k * PIECE + 1, F.lit(PIECE)).alias("s")))
+    size = PIECE if len(alphabet) <= len(LETTERS) else SHORT_PIECE
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(run), F.lit(1)) - 1) / size).cast("int")), lambda k: F.struct(k.alias("k"), F.substring(run, k * size + 1, F.lit(size)).alias("s")))
     return F.array_join(F.transform(pieces, lambda p: permuted_run(p["s"], alphabet, key, F.concat_ws("|", tweak, p["k"].cast("string")))), "")
 
 
@@ -187,7 +192,8 @@ def iban(value: Column, key: str) -> Column:
             check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
             return refilled(own, UPPER36, F.concat(country, check, new))
 
-        return let(permute_within(F.substring(bare, F.lit(5), F.length(bare) - 4), DIGITS, "0-9", key, "iban"), with_check)
+        digits = permute_within(F.substring(bare, F.lit(5), F.length(bare) - 4), DIGITS, "0-9", key, "iban")
+        return let(let(digits, lambda x: permute_within(x, LETTERS.upper(), "A-Z", key, "iban")), with_check)
 
     def passes(own: Column) -> Column:
         valid = lambda bare: mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare) - 4), F.substring(bare, 1, 4))) == 1
@@ -234,33 +240,76 @@ def phone(value: Column, key: str) -> Column:
     return let(F.concat(prefix, renumbered(F.right(all_digits, F.lit(10)))), lambda run: refilled(value, DIGITS, run))
 
 
+#: The country codes of one and two digits; all others have three.
+COUNTRY_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def phone_intl(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .-])|^\+[0-9]{2}", 0)
-    return F.concat(country, permute_within(F.substring(value, F.length(country) + 1, F.length(value)), DIGITS, "0-9", key, "phone_intl"))
+    """A North American number as phone() has it; of others the digits behind the country code are permuted."""
+
+    def renumbered(digits: Column) -> Column:
+        code = F.regexp_extract(digits, COUNTRY_CODE, 0)
+        rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+        return F.concat(code, permuted(rest, DIGITS, key, F.concat_ws("|", F.lit("phone_intl"), code)))
+
+    digits = kept(value, "0-9")
+    abroad = let(let(digits, renumbered), lambda run: refilled(value, DIGITS, run))
+    return F.when(digits.rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$"), phone(value, key)).otherwise(abroad)
+
+
+#: Valid first parts of a social security number (001 to 899 without 666), and values of the other two parts.
+SSN_AREAS, SSN_REST = 898, 99 * 9999
 
 
 def ssn(value: Column, key: str) -> Column:
-    return F.when(value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"), permute_within(value, DIGITS, "0-9", key, "ssn")).otherwise(value)
+    """The number's place among all valid ones is permuted, so that it stays valid."""
+    part = lambda at, n: F.substring(value, at, n).try_cast("bigint")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+
+    def spelled(s: Column) -> Column:
+        first = s["a"] + F.when(s["a"] >= 665, 2).otherwise(1)
+        number = lambda x, n: F.lpad(x.cast("bigint").cast("string"), n, "0")
+        return F.concat_ws("-", number(first, 3), number(F.floor(s["b"] / 9999) + 1, 2), number(s["b"] % 9999 + 1, 4))
+
+    moved = rounds(area, (part(5, 2) - 1) * 9999 + part(8, 4) - 1, F.lit(SSN_AREAS), F.lit(SSN_REST), key, F.lit("ssn"), spelled)
+    return F.when(value.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"), moved).otherwise(value)
+
+
+def cased(new: Column, old: Column) -> Column:
+    """new with capitals where old has them."""
+    return F.array_join(F.zip_with(characters(new), characters(old), lambda a, b: F.when(b.rlike("[A-Z]"), F.upper(a)).otherwise(a)), "")
 
 
 def email(value: Column, key: str) -> Column:
-    """The part before the @ is lowered, and its letters and digits are permuted; the domain stays."""
-    local = F.lower(F.substring_index(value, "@", 1))
-    letters = permute_within(local, LETTERS, "a-z", key, "email")
-    return F.concat(let(letters, lambda x: permute_within(x, DIGITS, "0-9", key, "email")), F.lit("@"), F.substring_index(value, "@", -1))
+    """The letters and digits before the @ are permuted in their lower-case form and take their case again; the domain stays."""
+    own = F.substring_index(value, "@", 1)
+    letters = permute_within(F.lower(own), LETTERS, "a-z", key, "email")
+    both = let(letters, lambda x: permute_within(x, DIGITS, "0-9", key, "email"))
+    return F.concat(let(both, lambda x: F.when(own.rlike("[A-Z]"), cased(x, own)).otherwise(x)), F.lit("@"), F.substring_index(value, "@", -1))
 
 
 def secret(value: Column, key: str) -> Column:
+    """The hexadecimal digits are permuted in their lower-case form; capitals stay capitals if all letters are."""
     name = F.regexp_extract(value, r"^[^=:]{1,40}[=: \x22]+", 0)
-    return F.concat(name, permute_within(F.lower(F.substring(value, F.length(name) + 1, F.length(value))), HEX, "0-9a-f", key, "secret"))
+    own = F.substring(value, F.length(name) + 1, F.length(value))
+    moved = permute_within(F.lower(own), HEX, "0-9a-f", key, "secret")
+    return F.concat(name, let(moved, lambda x: F.when(own.rlike("[A-F]") & ~own.rlike("[a-f]"), F.upper(x)).otherwise(x)))
+
+
+def dated(value: Column, forms: tuple[str, ...], key: str) -> Column:
+    """The date in the first of forms in which it is one."""
+    out = value
+    for form in reversed(forms):
+        out = F.when(F.try_to_timestamp(value, F.lit(form)).isNotNull(), date(value, form, key)).otherwise(out)
+    return out
 
 
 PSEUDONYMS = {
     "email": email, "iban": iban, "secret": secret, "ipv4": ipv4, "ssn": ssn, "phone": phone, "phone_intl": phone_intl, "card": card,
     "aws_key": lambda v, key: F.concat(F.substring(v, 1, 4), permute_within(F.substring(v, 5, 16), UPPER36, "0-9A-Z", key, "aws_key")),
     "hex_token": lambda v, key: permute_within(v, HEX, "0-9a-f", key, "secret"),
-    "date_ymd": lambda v, key: date(v, "yyyy-MM-dd", key),
-    "date_dmy": lambda v, key: F.when(F.substring(v, 3, 1) == F.substring(v, 6, 1), F.when(F.substring(v, 3, 1) == "/", date(v, "dd/MM/yyyy", key)).otherwise(date(v, "dd.MM.yyyy", key))).otherwise(v),
+    "date_ymd": lambda v, key: dated(v, ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd"), key),
+    "date_dmy": lambda v, key: dated(v, ("dd/MM/yyyy", "dd.MM.yyyy", "MM/dd/yyyy"), key),
 }
 
 
