@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .storage import free, written
+from .storage import HOT, free, met, written
 
 #: Fingerprints of one key that are compared in one task; keys with more are split into cells of pairs of blocks.
 BLOCK = 4096
@@ -39,8 +39,8 @@ NEAR_BITS = 14
 NEAR_SHARE = 80
 #: Texts of one band that are compared in one task; bands with more are split into cells of pairs of blocks.
 CELL = 1024
-#: Min-hash bands and rows of a band: a pair of Jaccard similarity 0.8 shares a band with probability 1 - 2e-4 and more.
-BANDS, BAND_ROWS, SEED = 16, 4, 42
+#: Min-hash bands and rows of a band: a pair of Jaccard similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
+BANDS, BAND_ROWS, SEED = 32, 4, 42
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -312,15 +312,18 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS,
     """
     bands = candidate_keys == "bands"
     prints, node = written(fingerprints(docs, n_words, bands), "fingerprints"), "text_hash" if bands else "fingerprint"
-    firsts = prints.groupBy(F.col(node).alias("of_node")).agg(F.min("doc_id").alias("first_id"))
+    firsts = written(prints.groupBy(F.col(node).alias("of_node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "nodes")
     if bands:
         found = connected(similar_links(docs, prints, n_words))
     else:
         found = connected(links(masked_keys(firsts.select(F.col("of_node").alias("fingerprint")), radius), radius))
-    nodes = firsts.join(found, F.col("of_node") == F.col("node"), "left").select("of_node", F.coalesce("component", "of_node").alias("component"), "first_id")
-    heads = nodes.groupBy(F.col("component").alias("head")).agg(F.min("first_id").alias("component_id"))
-    named = nodes.join(heads, F.col("component") == F.col("head")).select("of_node", "component", "component_id")
-    return prints.join(named, F.col(node) == F.col("of_node")).select("doc_id", "text_hash", "fingerprint", "component", "component_id")
+    nodes = written(firsts.join(found, F.col("of_node") == F.col("node"), "left").select("of_node", "component", "first_id", "n_rows"), "linked")
+    linked = nodes.where("component IS NOT NULL")
+    heads = written(linked.groupBy(F.col("component").alias("head")).agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_nodes")), "heads")
+    named = met(linked, heads, "component", "head", F.col("n_nodes") > max(1, linked.count() // HOT)).select("of_node", "component", "component_id", "n_rows")
+    alone = nodes.where("component IS NULL").select("of_node", F.col("of_node").alias("component"), F.col("first_id").alias("component_id"), "n_rows")
+    facts = written(named.union(alone), "named")
+    return met(prints, facts, node, "of_node", F.col("n_rows") > max(1, prints.count() // HOT)).select("doc_id", "text_hash", "fingerprint", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, candidate_keys: str = "bands") -> DataFrame:

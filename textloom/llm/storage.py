@@ -3,19 +3,22 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset (tests, one machine) a temporary folder becomes the checkpoint folder of this session.
+    Where that is unset on one machine (tests) a temporary folder becomes the checkpoint folder of this session; on a
+    cluster that is an error, since executors do not share the driver's folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="textloom-")
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -49,6 +52,21 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+#: Keys that each hold over one HOT-th of the rows are HOT at most.
+HOT = 1_000
+
+
+def met(rows: DataFrame, facts: DataFrame, key: str, of_key: str, hot: Column) -> DataFrame:
+    """rows joined with facts, which has one row for each of_key; hot tells which keys hold over one HOT-th of the rows.
+
+    Rows of hot keys meet their facts, HOT at most, by broadcast and stay where they are; all others meet by shuffle.
+    """
+    few = facts.where(hot)
+    by_broadcast = rows.join(F.broadcast(few), F.col(key) == F.col(of_key))
+    others = rows.join(F.broadcast(few.select(of_key)), F.col(key) == F.col(of_key), "left_anti")
+    return by_broadcast.unionByName(others.join(facts.where(~hot), F.col(key) == F.col(of_key)))
+
+
 def without(docs: DataFrame, keys: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs whose doc_id and text hash are not in keys(doc_id, text_hash), all their columns as they are."""
     at_id, at_hash = free(docs, "__id", "__hash")
