@@ -87,8 +87,8 @@ def test_long_white_space():
 def test_frames(spark):
     texts = [None, "", "call 12345 now, 99999", "é 漢字 😀 1234", "x" * 50_000, "a b " * 30_000 + "77777"]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(2, texts[2], 2)], "doc_id bigint, text string, edits int")
-    built = edit_counts.trees(docs, RANKS, PATTERN).withColumn("edits", F.concat(edit_counts.appended(F.col("text"), "\nEnd."), edit_counts.masking_edits(F.col("text"), "[0-9]{4,}", "<n>")))
-    done = edit_counts.edited(built, RANKS, PATTERN)
+    built, masked = edit_counts.trees(docs, RANKS, PATTERN), edit_counts.masking("[0-9]{4,}", "<n>")
+    done = edit_counts.edited(built, RANKS, PATTERN, lambda text: [*masked(text), (len(text), 0, "\nEnd.")])
     rows = done.collect()
     assert len(rows) == 7
     for r in rows:
@@ -97,7 +97,7 @@ def test_frames(spark):
         assert (r.n_before, r.n_after, r.text) == (count(before), count(after), after)
     again = edit_counts.edited(done.drop("n_before", "n_after").withColumn("edits", edit_counts.appended(F.col("text"), " Or not.")), RANKS, PATTERN)
     assert all(r.n_after == count(r.text) and r.text.endswith("End. Or not.") for r in again.collect())
-    assert edit_counts.edited(built.limit(0), RANKS, PATTERN).collect() == []
+    assert edit_counts.edited(built.limit(0), RANKS, PATTERN, masked).collect() == []
 
 
 def test_null_edits(spark):

@@ -20,7 +20,6 @@ is one leaf; repeated rows each have their own tree; other columns are ignored;
 import re
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,12 +205,14 @@ def trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, text string, {TREE}").withColumnRenamed("id", id_col)
 
 
-def edited(with_edits: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """Apply edits (array of struct start, length, new) to trees with their texts.
+def edited(with_trees: DataFrame, ranks_path: str, pattern: str, edits_of=None, id_col: str = "doc_id") -> DataFrame:
+    """Apply edits to trees with their texts.
 
-    Returns id_col, the new text and tree, n_before, n_after and reencoded (characters encoded again).
+    The edits are those of the column edits (EDITS), or what edits_of(text) gives: start, length and new of each. Returns
+    id_col, the new text and tree, n_before, n_after and reencoded (characters encoded again).
     """
-    kept = with_edits.select(F.col(id_col).alias("id"), "text", *COLUMNS, "edits")
+    own = [] if edits_of else ["edits"]
+    kept = with_trees.select(F.col(id_col).alias("id"), "text", *COLUMNS, *own)
 
     def run(batches):
         count = lambda x: len(encode(x, ranks_path, pattern))
@@ -220,7 +221,8 @@ def edited(with_edits: DataFrame, ranks_path: str, pattern: str, id_col: str = "
             for row in batch.to_pylist():
                 tree = Tree([row["lengths"], *row["length_sums"]], [row["tokens"], *row["token_sums"]])
                 before.append(tree.n_tokens)
-                text, again = edit(row["text"], tree, [(e["start"], e["length"], e["new"]) for e in row["edits"] or () if e], count)
+                edits = edits_of(row["text"]) if edits_of else [(e["start"], e["length"], e["new"]) for e in row["edits"] or () if e]
+                text, again = edit(row["text"], tree, edits, count)
                 texts.append(text)
                 built.append(tree)
                 work.append(again)
@@ -231,16 +233,12 @@ def edited(with_edits: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     return kept.mapInArrow(run, f"id {id_type}, text string, {TREE}, n_before bigint, n_after bigint, reencoded bigint").withColumnRenamed("id", id_col)
 
 
-def masking_edits(text: Column, pattern: str, mask: str) -> Column:
-    """Edits that replace each match of pattern (of Python's re) by mask; one pass over each text."""
+def masking(pattern: str, mask: str):
+    """For edited(): the edits that replace each match of pattern (of Python's re) by mask."""
     seek = re.compile(pattern)
-
-    @F.pandas_udf(EDITS)
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start": m.start(), "length": m.end() - m.start(), "new": mask} for m in seek.finditer(t or "")])
-
-    return found(text)
+    return lambda text: [(m.start(), m.end() - m.start(), mask) for m in seek.finditer(text)]
 
 
 def appended(text: Column, new: str) -> Column:
+    """A column of edits that add new at the end."""
     return F.array(F.struct(F.length(text).alias("start"), F.lit(0).alias("length"), F.lit(new).alias("new")))

@@ -47,9 +47,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts before and after each run of four digits or more is masked and a line is appended."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    built = edit_counts.trees(table(spark, sf_dir, "documents"), ranks, pattern)
-    edits = F.concat(edit_counts.appended(F.col("text"), "\nEnd of document."), edit_counts.masking_edits(F.col("text"), "[0-9]{4,}", "<number>"))
-    found = edit_counts.edited(built.withColumn("edits", edits), ranks, pattern)
+    built, masked = edit_counts.trees(table(spark, sf_dir, "documents"), ranks, pattern), edit_counts.masking("[0-9]{4,}", "<number>")
+    found = edit_counts.edited(built, ranks, pattern, lambda text: [*masked(text), (len(text), 0, "\nEnd of document.")])
     return found.select("doc_id", "n_before", "n_after", F.length("text").cast("bigint").alias("n_chars_after"), "reencoded")
 
 
