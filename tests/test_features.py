@@ -125,4 +125,60 @@ def test_no_python_in_row_wise_plans(spark):
     docs = plans.prepared(spark.createDataFrame([(0, "x")], "id bigint, text string"))
     nodes = [Spec(f"k{i}", c[0].operator, pattern="x", params=dict(c[0].params)) for i, c in enumerate(CASES)]
     plan = plans.features(docs, nodes)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert "Python" not in plan and "InArrow" not in plan  # a name of an HTML reference may hold "Arrow"
+
+
+def test_html_references(spark):
+    """The characters of Python's own rules, with and without semicolons, and what is no reference."""
+    import html
+
+    texts = ["&lt;b&gt;", "&amp;lt;", "&notit;", "&#65;&#x41", "&#X1F600;", "&#0;&#128;&#129;", "&#xD800;", "&#1114112;", "&#99999999999999999999;", "&#x1;", "AT&T R&D & &&", "&eacute;&copy2", "&x &#", "&#xfdd0;a", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.unescaped(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [t and html.unescape(t) for t in texts]
+
+
+def test_line_breaks_of_any_length(spark):
+    import re
+
+    def plainly(text):
+        def by(m):
+            before = text[: m.start()].rstrip()
+            return " " if not before or before[-1] in ".!?" else ". "
+
+        return re.sub(r"[\r\n]+", by, text)
+
+    texts = ["a\nb", "a.\nb", " \n \nx", f"a.{' ' * 5000}\nb", f"a{' ' * 70}\n \n b", "a!\r\n\t\r\nb\n", f"a{chr(10)}{' ' + chr(10):s}" * 3, "\n" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.line_breaks_replaced(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [plainly(t) for t in texts]
+
+
+def test_word_case_counts_uncased_words(spark):
+    """Words without case fit both rules, the configuration's name of the parameter wins, and upper is the default."""
+    docs = spark.createDataFrame([(1, "HOLA mundo 漢字 12 ABC @you x")], "id int, text_raw string")
+    trees = [Spec(k, "WordCase", params=p) for k, p in (("default", {}), ("lower", {"word_comparator": "lower", "comparator": "upper"}), ("title", {"comparator": "title"}))]
+    row = plans.features(docs, trees).first()
+    assert (row.default, row.lower, row.title) == (60.0, 60.0, 0.0)
+
+
+def test_gender_is_of_the_tagged_items(spark):
+
+    tagged = "casa__(NOUN)(), roja__(ADJ)(), y__(CCONJ)(), muy__(ADV)(), bien__(ADV)(), hoy__(ADV)()"
+    docs = spark.createDataFrame([(1, "casa roja y muy bien hoy", tagged, ""), (2, "y", "y__(CCONJ)()", "")], "id int, text_norm string, mine string, tagged_pos string")
+    lexicon = L.lexicon_of(spark, {"feminine": ["casa", "roja"]})
+    trees = [Spec("own", "GrammaticalGenderDimension", dictionary="feminine", params={"tagged_pos_column": "mine"}), Spec("none", "GrammaticalGenderDimension", dictionary="feminine")]
+    rows = {r.id: r for r in plans.features(docs, trees, plans.Resources(lexicon)).collect()}
+    assert (rows[1].own, rows[1].none, rows[2].own) == (100.0, 0.0, 0.0)
+
+
+def test_defaults(spark):
+    docs = spark.createDataFrame([(1, " ".join(["a", "b"] * 600))], "id int, text_norm string")
+    row = plans.features(docs, [Spec("chunks", "RTIEDimension"), Spec("length", "WordLengthDimension")]).first()
+    assert (row.chunks, row.length) == (pytest.approx((2 / 1000 + 2 / 200) / 2), 0.0)
+
+
+def test_too_many_entries_with_exceptions_are_an_error(spark, monkeypatch):
+
+    docs = spark.createDataFrame([(1, "a b")], "id int, text_norm string")
+    monkeypatch.setattr(L, "MAX_BROADCAST", 2)
+    with pytest.raises(ValueError, match="exceptions"):
+        L.excepted(docs, L.lexicon_of(spark, {"d": ["a", "b", "NEG:c"]}), "id", "text_norm")

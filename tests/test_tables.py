@@ -23,7 +23,7 @@ def test_statistics(spark):
     assert (a["count"], a.missing_count, a["sum"], a.q25, a.median, a.q75, a.mode, a.nonzero_ratio) == (4, 1, 9, 1.75, 2, 2.5, 2, 1)
     assert a.std == pytest.approx(1.258305739) and got["b"]["count"] == 3 and got["z"].nonzero_count == 0
     empty = S.summary(table.limit(0), ["a"]).collect()
-    assert empty == [] and S.numeric_columns(table) == ["a", "z"]
+    assert [(r.feature, r["count"], r.missing_count, r.nonzero_count, r["mean"]) for r in empty] == [("a", 0, 0, 0, None)] and S.numeric_columns(table) == ["a", "z"]
     assert [r.feature for r in S.zero_only(S.summary(table, ["a", "z"])).collect()] == ["z"]
     assert [r.feature for r in S.ranked(S.summary(table, ["a", "z"]), "mean", 1).collect()] == ["a"]
     assert [r.feature for r in S.sparse(S.summary(table, ["a", "z"])).collect()] == ["z"]

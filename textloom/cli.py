@@ -1,6 +1,7 @@
 """Command line: python -m textloom.cli COMMAND ... over files or folders that Spark reads."""
 
 import argparse
+import csv
 import hashlib
 import json
 import shutil
@@ -26,11 +27,13 @@ def session() -> SparkSession:
 
 
 def show(df: DataFrame, path: str | None, form: str | None = None) -> None:
-    """To a sink, or as CSV to the screen (reports are small)."""
+    """To a sink, or as CSV to the screen, partition by partition."""
     if path:
         writers.write(df, path, form)
     else:
-        df.toPandas().to_csv(sys.stdout, index=False)
+        out = csv.writer(sys.stdout)
+        out.writerow(df.columns)
+        out.writerows(df.toLocalIterator())
 
 
 def loaded(args) -> list:

@@ -1,5 +1,9 @@
 """Column builders for text: tokens, sentences, syllables, paragraphs and normalization. All stay in the JVM."""
 
+import json
+from functools import cache
+from html import entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,14 +119,41 @@ def type_token_ratios(text: Column, strategy: str = "whole", chunk: int = 1000)
     return F.array(let(lexical_tokens(text), share))
 
 
-#: HTML entities by name that texts are likely to hold; numeric ones are decoded by rule.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+#: References to characters: by number, or by name with or without its semicolon.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@cache
+def _entity_tables() -> tuple[str, str]:
+    """JSON of the characters of all names, and of the numbers that stand for another character than their own."""
+    odd = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    return json.dumps(entities.html5), json.dumps(odd)
+
+
+def character_of(number: Column) -> Column:
+    """The character of a numeric reference; null numbers are beyond all characters."""
+    odd = F.try_element_at(F.from_json(F.lit(_entity_tables()[1]), "map<string,string>"), number.cast("string"))
+    none = number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number % 0x10000 >= 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    beyond = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    return F.when(beyond, "\ufffd").otherwise(F.coalesce(odd, F.when(none, "").otherwise(plain)))
+
+
+def entity_text(reference: Column) -> Column:
+    """What a reference stands for; of a name without a semicolon the longest known beginning, and itself if there is none."""
+    names = F.from_json(F.lit(_entity_tables()[0]), "map<string,string>")
+    body = F.substring(reference, F.lit(2), F.length(reference))
+    digits = F.regexp_replace(F.rtrim(body, F.lit(";")), "^#[xX]?", "")
+    number = F.when(body.rlike("^#[xX]"), F.when(F.length(F.regexp_replace(digits, "^0+", "")) <= 8, F.conv(digits, 16, 10).try_cast("bigint"))).otherwise(digits.try_cast("bigint"))
+    known = F.filter(F.transform(F.sequence(F.length(body), F.lit(2), F.lit(-1)), lambda n: F.struct(n.alias("n"), F.try_element_at(names, F.substring(body, F.lit(1), n)).alias("text"))), lambda x: x["text"].isNotNull())
+    named = let(F.get(known, F.lit(0)), lambda x: F.when(x.isNull(), reference).otherwise(F.concat(x["text"], F.substring(body, x["n"] + 1, F.length(body)))))
+    return F.when(body.startswith("#"), character_of(number)).otherwise(F.when(F.length(body) < 2, reference).otherwise(named))
 
 
 def unescaped(text: Column) -> Column:
-    for name, character in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text
+    """Character references of HTML as the characters that they stand for."""
+    joined = lambda t: F.array_join(F.flatten(F.zip_with(F.split(t, ENTITY), F.transform(found(t, ENTITY), entity_text), lambda gap, x: F.array(gap, F.coalesce(x, F.lit(""))))), "")
+    return F.when(text.contains("&"), joined(text)).otherwise(text)
 
 
 def strip_html(text: Column) -> Column:
@@ -130,8 +161,11 @@ def strip_html(text: Column) -> Column:
 
 
 def line_breaks_replaced(text: Column) -> Column:
-    """A run of line breaks becomes a space after the end of a sentence or at the start, else a full stop and a space."""
-    ended = F.regexp_replace(text, r"(?U)(?:(?<=[.!?]\s{0,64})|(?<=^\s{0,64}))[\r\n]+", " ")
+    """A run of line breaks becomes a space after the end of a sentence or at the start, else a full stop and a space.
+
+    Other white space between may be of any length: each match goes on where the one before it ended.
+    """
+    ended = F.regexp_replace(text, r"(?U)((?:^|(?<=[.!?])|\G(?<!^))[^\S\r\n]*+)[\r\n]++", "$1 ")
     return F.regexp_replace(ended, r"[\r\n]+", ". ")
 
 

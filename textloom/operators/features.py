@@ -140,7 +140,7 @@ def average_word_length(spec: Spec, frame: Frame) -> Parts:
 
 @operator("WordLengthDimension")
 def word_length(spec: Spec, frame: Frame) -> Parts:
-    words, limit, symbol = frame.words(source(spec)), int(spec.get("length", 6)), str(spec.get("comparator", ">="))
+    words, limit, symbol = frame.words(source(spec)), int(spec.get("length", 0)), str(spec.get("comparator", "="))
     return rate(F.size(F.filter(words, lambda w: compare(F.length(w), symbol, limit))), F.size(words), spec.flag("percentage"))
 
 
@@ -199,20 +199,20 @@ def unique_words(spec: Spec, frame: Frame) -> Parts:
 def word_case(spec: Spec, frame: Frame) -> Parts:
     """Words in the asked case, of all that are no mention, link or number; one mention at the start is no word either."""
     text = F.regexp_replace(F.regexp_replace(frame.text(source(spec)), T.URL, ""), r"(?U)^\s*@\w+:?\s*", "")
-    case = str(spec.get("comparator", spec.get("strategy", "lower"))).lower()
-    words = F.filter(T.found(text, T.MENTIONABLE), lambda w: ~w.startswith("@") & ~w.rlike(r"^\p{N}+$"))
-    if "title" in case:
+    case = str(spec.get("word_comparator") or spec.get("comparator") or "upper").lower()
+    words = T.found(text, T.MENTIONABLE)
+    if case == "title":  # short words are counted at the start only
         words = F.filter(words, lambda w, i: (i == 0) | (F.length(w) > 3))
-        fits = lambda w: w.rlike(r"^[\p{N}]*[\p{Lu}\p{Lt}](?:(?<=\p{L})\P{Lu}|(?<!\p{L})[\p{Lu}\p{N}])*$")
-    elif "upper" in case:
-        fits = lambda w: (w == F.upper(w)) & (w != F.lower(w))
-    else:
-        fits = lambda w: (w == F.lower(w)) & (w != F.upper(w))
+    words = F.filter(words, lambda w: ~w.startswith("@") & ~w.rlike(r"^\p{N}+$"))
+    fits = {
+        "lower": lambda w: w == F.lower(w),
+        "title": lambda w: w.rlike(r"^[\p{N}]*[\p{Lu}\p{Lt}\p{Lo}](?:(?<=\p{L})\P{Lu}|(?<!\p{L})[\p{Lu}\p{N}])*$"),
+    }.get(case, lambda w: w == F.upper(w))
     return rate(F.size(F.filter(words, fits)), F.size(words))
 
 
 def _type_token(spec: Spec, frame: Frame) -> Column:
-    strategy = str(spec.get("separator", spec.get("strategy", "whole"))).lower()
+    strategy = str(spec.get("separator") or spec.get("strategy") or "by-chunks").lower()
     return T.type_token_ratios(frame.text(source(spec)), strategy, int(spec.get("chunk_size", 1000)))
 
 
@@ -309,7 +309,7 @@ def dependency_distance(spec: Spec, frame: Frame) -> Parts:
 def root_tag_rate(spec: Spec, frame: Frame) -> Parts:
     """Tags of the roots; the two annotations are laid side by side, sentence by sentence and item by item."""
     tags = F.transform(A.tagged_sentences(frame.text(source(spec))), lambda s: F.transform(F.filter(A.items_of(s), lambda x: x.rlike(A.POS_ITEM)), lambda x: F.regexp_extract(x, A.POS_ITEM, 2)))
-    deps = frame.dependencies(str(spec.get("dep_input_column", "tagged_dep")))
+    deps = frame.dependencies(str(spec.get("tagged_dep_column") or spec.get("dep_input_column") or "tagged_dep"))
     both = F.zip_with(tags, deps, lambda t, d: F.filter(F.transform(d, lambda x, i: F.when(x["head"] == 0, F.get(t, i))), lambda x: x.isNotNull()))
     wanted = spec.listed("tag") or spec.listed("pos_tag")
     return _of_roots(F.flatten(F.filter(both, lambda x: x.isNotNull())), wanted)

@@ -21,7 +21,7 @@ from . import entries
 
 #: Entries that are only patterns are expressions of the plan, so a lexicon may hold so many of them.
 MAX_PATTERNS = 5_000
-#: Lexicons of so many entries at most are broadcast; larger ones are joined by shuffle.
+#: Words of a lexicon are broadcast if there are so many at most, else joined by shuffle; lexicons with patterns have no more entries.
 MAX_BROADCAST = 500_000
 
 # The forms of the auxiliary verb and the pronouns that Spanish verbs take at their end.
@@ -43,6 +43,9 @@ class LexiconFeature:
     feats: list[str] = field(default_factory=list)
     plain: bool = False
     percentage: bool = True
+    pos_column: str = "tagged_pos"
+    #: Whether the percentage is of the items that have the tags, not of all tokens.
+    of_tagged: bool = False
 
 
 def read_lexicons(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +89,7 @@ def matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: s
     of_docs = runs(docs, id_col, text)
     known = docs.sparkSession.createDataFrame(spelled, "dictionary string, kind string, stem string, times bigint, pattern string")
     words = known.where("kind = 'word'")
-    found = of_docs.join(F.broadcast(words), F.col("run") == F.col("stem")).select("id", "dictionary", F.col("run").alias("matched"), (F.col("n") * F.col("times")).alias("n"))
+    found = of_docs.join(sized(words), F.col("run") == F.col("stem")).select("id", "dictionary", F.col("run").alias("matched"), (F.col("n") * F.col("times")).alias("n"))
     for kind, cut in (("prefix", lambda run, k: F.substring(run, F.lit(1), k)), ("suffix", lambda run, k: F.right(run, k))):
         names = (kind, "longer" if kind == "prefix" else "suffix_longer")
         lengths = sorted({len(stem) for _, k, stem, _, _ in spelled if k in names})
@@ -94,11 +97,11 @@ def matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: s
             parts = of_docs.select("id", "run", "n", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length("run"))).alias("k"))
             parts = parts.select("id", "run", "n", cut(F.col("run"), F.col("k")).alias("part"))
             stems = known.where(F.col("kind").isin(*names))
-            hits = parts.join(F.broadcast(stems), (F.col("part") == F.col("stem")) & ((F.col("kind") == kind) | (F.length("run") > F.length("stem"))))
+            hits = parts.join(sized(stems), (F.col("part") == F.col("stem")) & ((F.col("kind") == kind) | (F.length("run") > F.length("stem"))))
             found = found.union(hits.select("id", "dictionary", F.col("run"), (F.col("n") * F.col("times"))))
     if any(k == "phrase" for _, k, _, _, _ in spelled):  # sought only where a first word of theirs stands
         bounded = known.where("kind = 'phrase'").select("dictionary", "stem", "times", F.concat(F.lit(r"(?iuU)(?<!\p{L})(?:"), "pattern", F.lit(r")(?!\p{L})")).alias("pattern"))
-        near = of_docs.join(F.broadcast(bounded), F.col("run") == F.col("stem")).select(F.col("id").alias("of"), "dictionary", "pattern", "times").distinct()
+        near = of_docs.join(sized(bounded), F.col("run") == F.col("stem")).select(F.col("id").alias("of"), "dictionary", "pattern", "times").distinct()
         near = near.groupBy("of").agg(F.collect_list(F.struct("dictionary", "pattern", "times")).alias("sought"))  # as many as the lexicon has
         texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(near, F.col("id") == F.col("of"))
         hits = texts.select("id", "text", F.explode("sought").alias("x")).select("id", "x.dictionary", "x.times", F.explode(F.regexp_extract_all("text", F.col("x.pattern"), F.lit(0))).alias("matched"))
@@ -125,7 +128,10 @@ def compiled(entries: list[str]) -> list:
 def excepted(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Matches of dictionaries that have exceptions; places of matches are needed, so texts go to Python by batches."""
     grouped: dict[str, tuple[list[str], list[str]]] = {}
-    for r in lexicon.limit(MAX_BROADCAST).collect():
+    rows = lexicon.limit(MAX_BROADCAST + 1).collect()
+    if len(rows) > MAX_BROADCAST:
+        raise ValueError(f"dictionaries with exceptions have {MAX_BROADCAST} entries at most")
+    for r in rows:
         grouped.setdefault(r.dictionary, ([], []))[r.is_exception].append(r.entry)
     kept = docs.select(F.col(id_col).alias("id"), T.ensured(F.col(text_col)).alias("text"))
     if not grouped:
@@ -151,18 +157,22 @@ def plain_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_
     return tokens.join(sized(words), F.col("token") == F.col("word")).select("id", "dictionary", F.col("token").alias("matched"), "n")
 
 
-def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str, pos_col: str) -> DataFrame:
+def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str) -> DataFrame:
     """id, feature, word and allowed: how often each word stands with the tags that a feature asks for."""
-    items = docs.select(F.col(id_col).alias("id"), F.explode(A.pos_items(F.col(pos_col))).alias("item"))
-    wanted = F.array(*(F.when(A.pos_matches(F.col("item"), f.tags, f.feats), f.key) for f in features))
-    rows = items.select("id", F.lower("item.word").alias("word"), F.explode(wanted).alias("feature")).where("feature IS NOT NULL")
-    return rows.groupBy("id", "feature", "word").agg(F.count("*").alias("allowed"))
+    found = None
+    for column in sorted({f.pos_column for f in features}):
+        items = docs.select(F.col(id_col).alias("id"), F.explode(A.pos_items(F.col(column))).alias("item"))
+        wanted = F.array(*(F.when(A.pos_matches(F.col("item"), f.tags, f.feats), f.key) for f in features if f.pos_column == column))
+        rows = items.select("id", F.lower("item.word").alias("word"), F.explode(wanted).alias("feature")).where("feature IS NOT NULL")
+        found = found.union(rows) if found else rows
+    return found.groupBy("id", "feature", "word").agg(F.count("*").alias("allowed"))
 
 
-def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm", pos_col: str = "tagged_pos") -> DataFrame:
+def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
     """id and a column for each feature: matches, or their percentage of the lexical tokens.
 
-    With tags, a word counts as often as the document holds it with them, and no more.
+    With tags, a word counts as often as the document holds it with them, and no more. The tokens are those of word_count
+    where docs has that column.
     """
     spark = docs.sparkSession
     of_feature = spark.createDataFrame([(f.key, d, f.plain, bool(f.tags or f.feats)) for f in features for d in f.dictionaries], "feature string, of string, plain boolean, tagged boolean")
@@ -172,19 +182,26 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[Lexicon
         found = found.union(plain_matches(docs, needed, id_col, text_col).withColumn("how", F.lit(True)))
     rows = found.join(F.broadcast(of_feature), (F.col("dictionary") == F.col("of")) & (F.col("how") == F.col("plain")))
     per_word = rows.groupBy("id", "feature", "tagged", "matched").agg(F.sum("n").alias("n"))
-    filtered = [f for f in features if f.tags or f.feats]
-    if filtered and pos_col in docs.columns:
-        allowed = tagged_words(docs, filtered, id_col, pos_col).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
+    filtered = [f for f in features if (f.tags or f.feats) and f.pos_column in docs.columns]
+    if filtered:
+        allowed = tagged_words(docs, filtered, id_col).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
         joined = per_word.join(allowed, (F.col("id") == F.col("of_id")) & (F.col("feature") == F.col("of_feature")) & (F.col("matched") == F.col("word")), "left")
         per_word = joined.withColumn("n", F.when(F.col("tagged"), F.least("n", F.coalesce("allowed", F.lit(0)))).otherwise(F.col("n")))
     else:
         per_word = per_word.where("NOT tagged")
     totals = per_word.groupBy(F.col("id").alias("of")).agg(*(F.sum(F.when(F.col("feature") == f.key, F.col("n"))).alias(f.key) for f in features))
-    tokens = F.size(T.lexical_tokens(T.ensured(F.col(text_col))))
-    base = docs.select(F.col(id_col).alias(id_col), tokens.alias("__tokens"))
+    tokens = F.col("word_count") if "word_count" in docs.columns else F.size(T.lexical_tokens(T.ensured(F.col(text_col))))
+    bases = {f.key: tagged_items(f) if f.of_tagged and f.pos_column in docs.columns else F.lit(0) if f.of_tagged else None for f in features}
+    base = docs.select(F.col(id_col).alias(id_col), tokens.alias("__tokens"), *(c.alias(f"__base_{k}") for k, c in bases.items() if c is not None))
     joined = base.join(totals, F.col(id_col) == F.col("of"), "left")
     count = lambda f: F.coalesce(F.col(f"`{f.key}`"), F.lit(0))
-    return joined.select(id_col, *((T.percent(count(f), F.col("__tokens")) if f.percentage else count(f).cast("double")).alias(f.key) for f in features))
+    whole = lambda f: F.col("__tokens" if bases[f.key] is None else f"`__base_{f.key}`")
+    return joined.select(id_col, *((T.percent(count(f), whole(f)) if f.percentage else count(f).cast("double")).alias(f.key) for f in features))
+
+
+def tagged_items(feature: LexiconFeature) -> Column:
+    """How many annotated items have the tags of a feature."""
+    return F.size(F.filter(A.pos_items(F.col(feature.pos_column)), lambda x: A.pos_matches(x, feature.tags, feature.feats)))
 
 
 def verb_candidates(words: Column) -> Column:

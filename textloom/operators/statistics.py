@@ -38,7 +38,7 @@ def long_values(features: DataFrame, columns: list[str], keys: tuple[str, ...] =
 
 
 def summary(features: DataFrame, columns: list[str] | None = None, statistics: tuple[str, ...] = STATISTICS, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, feature and a column for each statistic. Groups with a null key are left out.
+    """by, feature and a column for each statistic. Groups with a null key are left out; without by, an empty table has counts of zero.
 
     One aggregation over the long form: as many rows leave the map side as there are groups and features, apart from
     the exact quantiles and the mode, whose partial states hold distinct values.
@@ -47,7 +47,12 @@ def summary(features: DataFrame, columns: list[str] | None = None, statistics: t
     for key in by:
         features = features.where(F.col(key).isNotNull())
     rows = long_values(features, columns, by)
-    return rows.groupBy(*by, "feature").agg(*(aggregate(s, F.col("value")).alias(s) for s in statistics))
+    found = rows.groupBy(*by, "feature").agg(*(aggregate(s, F.col("value")).alias(s) for s in statistics))
+    if by:
+        return found
+    names = features.sparkSession.createDataFrame([(c,) for c in columns], "of_feature string")
+    zero = [F.coalesce(s, F.lit(0.0)).alias(s) if s in ("count", "missing_count", "nonzero_count") else F.col(s) for s in statistics]
+    return F.broadcast(names).join(found, F.col("of_feature") == F.col("feature"), "left").select(F.col("of_feature").alias("feature"), *zero)
 
 
 def long_summary(wide: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

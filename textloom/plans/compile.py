@@ -58,11 +58,13 @@ def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id
         groups: dict[str, list[lexicon.LexiconFeature]] = {}
         for n in nodes:
             if n.operator in ("WordPerDictionary", "GrammaticalGenderDimension"):
-                tags = GENDERED if n.operator == "GrammaticalGenderDimension" else n.listed("pos_tag")
-                feats = [x for x in str(n.get("universal", "") or "").split("|") if x]
+                gender = n.operator == "GrammaticalGenderDimension"
+                tags = GENDERED if gender else n.listed("pos_tag")
+                feats = [] if gender else [x for x in str(n.get("universal", "") or "").split("|") if x]
                 column = n.get("input_column") or "text_norm"
+                tagged = n.get("tagged_pos_column") or n.get("pos_input_column") or n.pos_input_column or "tagged_pos"
                 plain = str(n.get("disabledregexp", n.disabled_regexp)).strip().lower() in ("true", "1", "yes", "y")
-                groups.setdefault(column, []).append(lexicon.LexiconFeature(n.key, dictionaries(n), tags, feats, plain, n.flag("percentage")))
+                groups.setdefault(column, []).append(lexicon.LexiconFeature(n.key, dictionaries(n), tags, feats, plain, n.flag("percentage"), tagged, gender))
         found += [lexicon.lexicon_features(docs, resources.lexicons, features, id_col, column) for column, features in groups.items()]
         done |= {f.key for features in groups.values() for f in features}
         for n in nodes:
@@ -70,9 +72,12 @@ def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id
             if rate:
                 found.append(rate(docs, resources.lexicons, dictionaries(n), n.key, id_col, n.get("input_column") or "text_norm"))
                 done.add(n.key)
-    rules = {n.key: str(n.get("auxiliar_verbs", "")) for n in nodes if n.operator == "PeriphrasisDimension"}
-    if rules:
-        found.append(sequences.periphrases(docs, rules, id_col))
+    by_column: dict[str, dict[str, str]] = {}
+    for n in nodes:
+        if n.operator == "PeriphrasisDimension":
+            by_column.setdefault(n.get("tagged_pos_column") or "tagged_pos", {})[n.key] = str(n.get("auxiliar_verbs", ""))
+    for column, rules in by_column.items():
+        found.append(sequences.periphrases(docs, rules, id_col, pos_col=column))
         done |= rules.keys()
     for n in nodes:
         if n.operator == "ErrorMispellingAccentsDimension" and resources.accents is not None:
