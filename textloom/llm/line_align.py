@@ -38,7 +38,8 @@ BUCKETS = 16
 MIN_WORDS = 20
 #: Later documents that one task aligns with one and the same earlier document before these are dealt to several.
 SLICE = 64
-EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: White space at the ends; the look behind keeps a long run within a line from being tried from each of its places.
+EDGES = r"^[\x20\x09-\x0D]+|(?<![\x20\x09-\x0D])[\x20\x09-\x0D]+$"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
