@@ -23,7 +23,8 @@ DIALOGUE = r"(?U)^\s*[—–-]\s*"
 REPEATED_WORD = r"(?iu)(?<!\p{L})(\p{L}+)(?U:\s)+\1(?!\p{L})"
 URL = r"(?iU)https?://\S+|www\.\S+"
 MENTION = r"(?U)@\w+:?"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+#: The look behind keeps a long run within a text from being tried from each of its places.
+EDGE_SPACE = r"(?U)^\s+|(?<!\s)\s+$"
 
 
 def let(value: Column, body) -> Column:
@@ -171,7 +172,7 @@ def line_breaks_replaced(text: Column) -> Column:
 
 def cleaned_spaces(text: Column) -> Column:
     text = F.replace(text, F.lit(" . "), F.lit(". "))
-    for pattern, by in ((r"(?U)\s+([.,;:!?])", "$1"), (r"\.+", "."), (r"(?U)\s+", " ")):
+    for pattern, by in ((r"(?U)(?<!\s)\s+([.,;:!?])", "$1"), (r"\.+", "."), (r"(?U)\s+", " ")):
         text = F.regexp_replace(text, pattern, by)
     return trimmed(text)
 
