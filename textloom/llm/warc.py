@@ -19,6 +19,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import HOT, written
+
 MIN_BYTES = 100
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 1 << 30
@@ -37,14 +39,20 @@ RECORD = "page_id bigint, url string, record_type string, refers_to bigint, head
 def classified(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """page_id, url, payload, its digest and length, record_type and refers_to of every page.
 
-    The groups of equal payloads are counted from digests alone; only digests that occur twice meet the pages again.
+    The groups of equal payloads are counted from digests alone; only digests that occur twice meet the pages again. Those
+    of over one HOT-th of all pages (HOT at most) meet them by broadcast, so that the pages of a common payload stay where
+    they are.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2(F.encode("payload", "UTF-8"), 256), "payload_bytes": F.octet_length("payload").cast("bigint")})
     groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("of_digest")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    several = groups.where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n")
-    joined = rows.join(several, F.col("payload_digest") == F.col("of_digest"), "left")
+    several = written(groups.where((F.col("n") > 1) & F.col("first_id").isNotNull()), "digests")
+    is_hot = F.col("n") > max(1, pages.count() // HOT)
+    hot, others = several.where(is_hot).drop("n"), several.where(~is_hot).drop("n")
+    same = F.col("payload_digest") == F.col("of_digest")
+    apart = rows.join(F.broadcast(hot.select("of_digest")), same, "left_anti").join(others, same, "left")
+    joined = rows.join(F.broadcast(hot), same).unionByName(apart)
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes",
