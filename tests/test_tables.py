@@ -131,3 +131,21 @@ def test_stream(spark, tmp_path):
     run = out.writeStream.format("memory").queryName("streamed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     run.awaitTermination(60)
     assert spark.table("streamed").collect()[0].words == 2
+
+
+def test_evidence_and_parts_of_more_features(spark, tmp_path):
+    """Spans of lexicons (without what exceptions cover), characters and repeated words, and the parts of rates, in the JSON lines."""
+    folder = tmp_path / "lexicons"
+    folder.mkdir()
+    (folder / "d.txt").write_text("ca\\p{L}+\nNEG:cada\n")
+    (tmp_path / "t.yaml").write_text("dimensions:\n- {key: lex, class: WordPerDictionary, dictionary: d}\n- {key: commas, class: CharacterFrequencyDimension, pattern: ','}\n- {key: twice, class: ErrorMiscTwoOrMoreEqualWordsDimension, input_column: text_norm}\n")
+    (tmp_path / "docs.csv").write_text("id,text\n1,\"casa cada cama, la la\"\n2,\n")
+    from textloom import cli
+
+    options = cli.parser().parse_args(["extract", str(tmp_path / "docs.csv"), "--config", str(tmp_path / "t.yaml"), "--lexicons", str(folder), "--output", str(tmp_path / "x.jsonl")])
+    options.run(options)
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "x.jsonl")).collect()]
+    row = next(x for x in lines if x["_type"] == "document" and str(x["id"]) == "1")["dimensions"]
+    assert [(x["text"], x["start"], x["end"]) for x in row["lex"]["evidence"]] == [("casa", 0, 4), ("cama", 10, 14)]
+    assert [x["start"] for x in row["commas"]["evidence"]] == [14] and (row["commas"]["numerator"], row["commas"]["denominator"]) == (1.0, 21.0)
+    assert [x["text"] for x in row["twice"]["evidence"]] == ["la la"]

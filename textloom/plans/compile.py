@@ -19,6 +19,10 @@ from .spec import JOINED, post_order, problems
 GENDERED = ["DET", "ADJ", "NOUN", "PROPN", "PRON", "VERB", "AUX"]
 
 
+#: Prefixes of the columns of numerators and denominators.
+PARTS = ("__numerator_", "__denominator_")
+
+
 @dataclass
 class Resources:
     """Tables that some features need: lexicons (dictionary, entry, is_exception), accents (plain, accented), known (word)."""
@@ -92,12 +96,17 @@ def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id
     return found
 
 
-def features(docs: DataFrame, trees: list[Spec], resources: Resources | None = None, id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the kept columns, and a column for each node, children before parents. Ids must be distinct."""
+def features(docs: DataFrame, trees: list[Spec], resources: Resources | None = None, id_col: str = "id", keep: tuple[str, ...] = (), with_parts: bool = False) -> DataFrame:
+    """id, the kept columns, and a column for each node, children before parents. Ids must be distinct.
+
+    with_parts adds the numerators and denominators of the row-wise features that have them; parts_in() finds them.
+    """
     if wrong := problems(trees):
         raise ValueError("; ".join(wrong))
     rows, shared = parts(docs, trees)
-    table = (docs.withColumns(shared) if shared else docs).select(id_col, *keep, *(p.value.alias(k) for k, p in rows.items()))
+    both = {k: p for k, p in rows.items() if with_parts and p.numerator is not None and p.denominator is not None}
+    more = [c.alias(f"{mark}{k}") for k, p in both.items() for mark, c in zip(PARTS, (p.numerator, p.denominator), strict=True)]
+    table = (docs.withColumns(shared) if shared else docs).select(id_col, *keep, *(p.value.alias(k) for k, p in rows.items()), *more)
     for number, other in enumerate(joined_features(docs, trees, resources or Resources(), id_col)):
         table = table.join(other.withColumnRenamed(id_col, f"__id{number}"), F.col(id_col).eqNullSafe(F.col(f"__id{number}")), "left").drop(f"__id{number}")
     order = [n.key for n in post_order(trees)]
@@ -109,7 +118,13 @@ def features(docs: DataFrame, trees: list[Spec], resources: Resources | None = N
         level = {n.key: derived_column(n) for n in ready}
         table = table.withColumns(level)
         left = [n for n in left if n.key not in level]
-    return table.select(id_col, *keep, *(F.col(f"`{k}`") for k in order))
+    return table.select(id_col, *keep, *(F.col(f"`{k}`") for k in order), *(F.col(f"`{mark}{k}`") for k in both for mark in PARTS))
+
+
+def parts_in(table: DataFrame) -> dict[str, tuple[Column, Column]]:
+    """The numerator and denominator of each feature of a table made with_parts."""
+    keys = [c.removeprefix(PARTS[0]) for c in table.columns if c.startswith(PARTS[0])]
+    return {k: (F.col(f"`{PARTS[0]}{k}`"), F.col(f"`{PARTS[1]}{k}`")) for k in keys}
 
 
 def needs(node: Spec) -> list[str]:
