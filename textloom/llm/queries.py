@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, edit_counts, license_scan, line_align, orc_tokens, pii, quality, simhash, warc
+from . import byte_bpe, centroids, decontaminate, edit_counts, license_scan, line_align, orc_tokens, pii, quality, quality_model, simhash, spelling, warc
 from .storage import fresh_path, table
 
 #: Texts of one file in the ORC output, in rows of the table.
@@ -75,6 +75,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.scores(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_spelling_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_feistel_pii": op1_feistel_pii,
     "op2_warc_index": op2_warc_index,
@@ -86,10 +99,15 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_simhash": op10_simhash,
+    "op11_quality_model": op11_quality_model,
+    "op12_spelling_bands": op12_spelling_bands,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL = {
     "op9_spaced_seeds": decontaminate.ORACLE_SQL,
+    "op12_spelling_bands": spelling.ORACLE_SQL,
+    "op13_centroids": centroids.ORACLE_SQL,
     "op5_quality_rules": quality.ORACLE_SQL,
     "op2_warc_index": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -52,6 +52,15 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+#: Rows up to which a table is broadcast.
+FEW = 200_000
+
+
+def sized(facts: DataFrame) -> DataFrame:
+    """facts (few columns of fixed width), to be broadcast if it has FEW rows at most; beyond, the join decides for itself."""
+    return F.broadcast(facts) if facts.count() <= FEW else facts
+
+
 #: Keys that each hold over one HOT-th of the rows are HOT at most.
 HOT = 1_000
 
