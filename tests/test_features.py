@@ -176,9 +176,9 @@ def test_defaults(spark):
     assert (row.chunks, row.length) == (pytest.approx((2 / 1000 + 2 / 200) / 2), 0.0)
 
 
-def test_too_many_entries_with_exceptions_are_an_error(spark, monkeypatch):
+def test_too_many_entries_are_an_error(spark, monkeypatch):
 
     docs = spark.createDataFrame([(1, "a b")], "id int, text_norm string")
     monkeypatch.setattr(L, "MAX_BROADCAST", 2)
-    with pytest.raises(ValueError, match="exceptions"):
-        L.excepted(docs, L.lexicon_of(spark, {"d": ["a", "b", "NEG:c"]}), "id", "text_norm")
+    with pytest.raises(ValueError, match="entries at most"):
+        L.occurrences(docs, L.lexicon_of(spark, {"d": ["a", "b", "NEG:c"]}), "id", "text_norm")

@@ -4,7 +4,6 @@ import argparse
 import csv
 import hashlib
 import json
-import re
 import shutil
 import sys
 import time
@@ -14,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import evidence as E
-from .operators import lexicon, statistics
+from .operators import lexicon, places, statistics
 from .operators.audit import audit
-from .operators.features import source
 from .plans import compile as plans
 from .plans import spec as trees
 from .sources import readers, writers
@@ -76,40 +74,17 @@ def analyze(args) -> None:
         print(json.dumps({"stage": "analyze", "seconds": round(time.time() - began, 3)}), file=sys.stderr)
 
 
-def patterns_of(nodes: list, lexicons=None) -> dict:
-    """What E.evidence seeks for each feature whose matches are those of patterns: its column, expressions and exceptions."""
-    found = {}
-    by_dictionary: dict[str, tuple[list, list]] = {}
-    if lexicons is not None:
-        rows = lexicons.limit(lexicon.MAX_BROADCAST + 1).collect()
-        if len(rows) > lexicon.MAX_BROADCAST:
-            raise ValueError(f"lexicons have {lexicon.MAX_BROADCAST} entries at most")
-        for r in rows:
-            by_dictionary.setdefault(r.dictionary, ([], []))[r.is_exception].append(rf"(?<!\p{{L}})(?:{r.entry})(?!\p{{L}})")
-    for n, _ in trees.walk(nodes):
-        if n.operator == "PatternDimension":
-            found[n.key] = (source(n), [str(n.get("pattern", ""))])
-        elif n.operator == "CharacterFrequencyDimension":
-            characters = str(n.get("character", n.get("pattern", ""))).replace("SPACE", " ")
-            found[n.key] = (source(n), [r"\s"] * (r"\s" in characters) + [re.escape(c) for c in dict.fromkeys(characters.replace(r"\s", ""))])
-        elif n.operator == "ErrorMiscTwoOrMoreEqualWordsDimension":
-            found[n.key] = (source(n), [r"(?<!\p{L})(\p{L}+)\s+\1(?!\p{L})"])
-        elif n.operator == "WordPerDictionary" and by_dictionary and not n.listed("pos_tag") and not n.get("universal"):
-            of = [by_dictionary.get(d, ((), ())) for d in n.listed("dictionary") or n.listed("dictionaries")]
-            found[n.key] = (n.get("input_column") or "text_norm", [e for yes, _ in of for e in yes], [e for _, no in of for e in no])
-    return found
-
-
 def extract(args) -> None:
     spark, nodes = session(), loaded(args)
     docs = ready_documents(spark, args)
     known = resources(spark, args)
-    table, patterns = plans.features(docs, nodes, known, with_parts=True), patterns_of(nodes, known.lexicons)
-    described = {n.key: {"kind": plans.kind(n), "class_name": n.operator} | ({"evidence": {"kind": "text_span", "source": source(n), "unit": "characters"}} if n.key in patterns else {}) for n in trees.post_order(nodes)}
-    sources = sorted({c for c, *_ in patterns.values()})
-    lengths = docs.select(F.col("id").alias("__of"), *(F.length(c).alias(f"__n_{c}") for c in sources))
+    table, found = plans.features(docs, nodes, known, with_parts=True), plans.evidence(docs, nodes, known)
+    sources = {n.key: places.source_of(n) for n in trees.post_order(nodes) if places.has_places(n, known)}
+    described = {n.key: {"kind": plans.kind(n), "class_name": n.operator} | ({"evidence": {"kind": "text_span", "source": sources[n.key], "unit": "characters"}} if n.key in sources else {}) for n in trees.post_order(nodes)}
+    columns = sorted(set(sources.values()) & set(docs.columns))
+    lengths = docs.select(F.col("id").alias("__of"), *(F.length(c).alias(f"__n_{c}") for c in columns))
     table = table.join(lengths, F.col("id") == F.col("__of")).drop("__of")
-    lines = writers.jsonl_lines(table, described, E.evidence(docs, patterns) if patterns else None, {c: F.col(f"__n_{c}") for c in sources}, numerators=plans.parts_in(table))
+    lines = writers.jsonl_lines(table, described, found, {c: F.col(f"__n_{c}") for c in columns}, numerators=plans.parts_in(table))
     writers.write_jsonl(lines, args.output)
 
 
@@ -156,9 +131,10 @@ def inspect(args) -> None:
     """One feature of one text, with what it matched."""
     spark, nodes = session(), trees.pruned(trees.load(args.config), [args.key])
     docs = spark.createDataFrame([(0, args.input, args.input, args.input)], "id bigint, text string, text_raw string, text_norm string")
-    value = plans.features(docs, nodes, resources(spark, args)).first().asDict()[args.key]
-    patterns = {k: v for k, v in patterns_of(nodes, resources(spark, args).lexicons).items() if k == args.key}
-    matches = [r.asDict() for r in E.evidence(docs, patterns).drop("id").collect()] if patterns else []
+    known = resources(spark, args)
+    value = plans.features(docs, nodes, known).first().asDict()[args.key]
+    found = plans.evidence(docs, [n for n in trees.post_order(nodes) if n.key == args.key], known)
+    matches = [r.asDict() for r in found.drop("id").orderBy("start", "end").collect()] if found is not None else []
     print(json.dumps({"key": args.key, "value": value, "matches": matches}, ensure_ascii=False, indent=2))
 
 

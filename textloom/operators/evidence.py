@@ -1,43 +1,27 @@
 """Evidence spans and where in the documents they lie.
 
-Spans are found by Arrow batches with the pattern library, since Spark has no function that gives the places of all
-matches; everything after that (histograms, corpus sums, vectors) is grouped aggregation.
+Spans are expressions (functions/spans.py) or joins (places.py); everything after that (histograms, corpus sums, vectors) is
+grouped aggregation. No Python runs.
 """
 
 from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexicon import spans_without
+from ..functions import spans as S
+from ..functions.regex import java_pattern
 
-SPAN = "dimension string, start int, end int, text string"
 
+def evidence(docs: DataFrame, patterns: dict[str, tuple[str, list[str]]], id_col: str = "id") -> DataFrame:
+    """id, dimension, start, end and text of all matches; patterns: dimension to its column and expressions, in any case.
 
-def evidence(docs: DataFrame, patterns: dict[str, tuple], id_col: str = "id") -> DataFrame:
-    """id, dimension, start, end and text of all matches; patterns: dimension to its column, expressions and exceptions.
-
-    Exceptions may be left out; a match that lies within a match of one of them is none. Places count characters. Null
-    texts have none.
+    Places count characters. Null texts have none.
     """
-    columns = sorted({c for c, *_ in patterns.values()})
-    kept = docs.select(F.col(id_col).alias("id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c{k}") for k, c in enumerate(columns)))
-    id_type = kept.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        import regex
-
-        compiled = lambda every: [regex.compile(p, regex.IGNORECASE) for p in every]
-        ready = [(d, columns.index(c), compiled(every), compiled(but[0] if but else ())) for d, (c, every, *but) in patterns.items()]
-        for batch in batches:
-            keys, texts = batch.column("id"), [batch.column(f"c{k}").to_pylist() for k in range(len(columns))]
-            rows = [(n, d, a, b, texts[k][n][a:b]) for n in range(batch.num_rows) for d, k, every, but in ready for a, b in spans_without(texts[k][n], every, but)]
-            at, *rest = zip(*rows, strict=True) if rows else ((),) * 5
-            types = (pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(x, t) for x, t in zip(rest, types, strict=True))], ["id", "dimension", "start", "end", "text"])
-
-    return kept.mapInArrow(run, f"id {id_type}, {SPAN}")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    each = [F.struct(F.lit(d).alias("dimension"), S.spans(text(c), java_pattern(p)).alias("all")) for d, (c, every) in patterns.items() for p in every]
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("x"))
+    return rows.select("id", "x.dimension", F.explode("x.all").alias("s")).select("id", "dimension", "s.*")
 
 
 def histogram(spans: DataFrame, lengths: DataFrame, segments: int = 5) -> DataFrame:

@@ -328,11 +328,19 @@ def passive_rate(spec: Spec, frame: Frame) -> Parts:
     return rate(F.size(F.filter(groups, lambda s: F.exists(s, lambda x: x["relation"].isin(PASSIVE)))), F.size(groups))
 
 
+def lower_start(sentence: Column) -> Column:
+    """Whether a sentence begins with a small letter, mentions and signs aside."""
+    return F.regexp_replace(F.regexp_replace(sentence, T.MENTION, ""), r"(?U)^[\s\p{P}\p{S}]+", "").rlike(r"^\p{Ll}")
+
+
+def number_start(sentence: Column) -> Column:
+    return sentence.rlike(r"(?U)^.*?\b(?=[\p{L}\p{N}])\p{Nd}") & F.regexp_extract(sentence, r"(?U)\b[\p{L}\p{N}]+", 0).rlike(r"^\p{Nd}")
+
+
 @operator("ErrorCapitalizationStartingWithLowerCaseDimension")
 def starts_in_lower_case(spec: Spec, frame: Frame) -> Parts:
     kept = F.filter(T.sentences(frame.text(source(spec))), lambda s: s.rlike(r"\p{L}"))
-    bare = F.transform(kept, lambda s: F.regexp_replace(F.regexp_replace(s, T.MENTION, ""), r"(?U)^[\s\p{P}\p{S}]+", ""))
-    return rate(F.size(F.filter(bare, lambda s: s.rlike(r"^\p{Ll}"))), F.size(kept))
+    return rate(F.size(F.filter(kept, lower_start)), F.size(kept))
 
 
 @operator("ErrorMiscTwoOrMoreEqualWordsDimension")
@@ -343,7 +351,7 @@ def repeated_words(spec: Spec, frame: Frame) -> Parts:
 @operator("ErrorStyleSentencesStartingWithNumbers")
 def starts_with_number(spec: Spec, frame: Frame) -> Parts:
     kept = F.filter(T.sentences(frame.text(source(spec))), lambda s: s.rlike(r"[\p{L}\p{N}]"))
-    return rate(F.size(F.filter(kept, lambda s: s.rlike(r"(?U)^.*?\b(?=[\p{L}\p{N}])\p{Nd}") & F.regexp_extract(s, r"(?U)\b[\p{L}\p{N}]+", 0).rlike(r"^\p{Nd}"))), F.size(kept))
+    return rate(F.size(F.filter(kept, number_start)), F.size(kept))
 
 
 @operator("ErrorStyleSentencesStartingWithTheSameWord")

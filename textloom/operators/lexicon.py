@@ -1,27 +1,28 @@
 """Lexicon operators as joins.
 
 A lexicon is a table (dictionary, entry, is_exception), small enough to be spelled out on the driver. Words join the
-letter runs of the texts, beginnings and ends of words their parts, phrases are sought where their first word stands,
-and only what is left is sought as patterns everywhere. Texts are exploded into runs
-counted per document, so what is shuffled is distinct runs, and each entry counts every match: entries that overlap
-or repeat count again.
+letter runs of the texts, beginnings and ends of words their parts, phrases are sought where their first word stands, patterns
+where letters that they need stand. Texts are exploded into runs counted per document, so what is shuffled is distinct runs,
+and each entry counts every match: entries that overlap or repeat count again. Features with exceptions, and evidence, need
+the places of matches: there the runs keep theirs. No Python runs.
 """
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import annotations as A
+from ..functions import spans as S
 from ..functions import text as T
 from ..functions.regex import java_pattern
 from . import entries
 
-#: Entries that are only patterns are expressions of the plan, so a lexicon may hold so many of them.
+#: Entries without letters to seek them by are literals of the plan, so a lexicon may hold so many of them.
 MAX_PATTERNS = 5_000
-#: Words of a lexicon are broadcast if there are so many at most, else joined by shuffle; lexicons with patterns have no more entries.
+#: Entries of a lexicon that are spelled out, and rows up to which their table is broadcast instead of shuffled.
 MAX_BROADCAST = 500_000
 
 # The forms of the auxiliary verb and the pronouns that Spanish verbs take at their end.
@@ -49,19 +50,20 @@ class LexiconFeature:
 
 
 def read_lexicons(spark: SparkSession, folder: str) -> DataFrame:
-    """dictionary, entry and is_exception from a folder of text files, one entry a line.
+    """dictionary, entry, is_exception and position (in the order of a file) from a folder of text files, one entry a line.
 
     Blank lines and lines that begin with # are left out; NEG: marks an exception.
     """
     lines = spark.read.text(f"{folder.rstrip('/')}/*.txt").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("dictionary"), T.trimmed(F.col("value")).alias("line"))
     kept = lines.where((F.col("line") != "") & ~F.col("line").startswith("#"))
     negative = F.col("line").startswith("NEG:")
-    return kept.select("dictionary", F.when(negative, T.trimmed(F.substring("line", 5, 1_000_000))).otherwise(F.col("line")).alias("entry"), negative.alias("is_exception"))
+    entry = F.when(negative, T.trimmed(F.substring("line", 5, 1_000_000))).otherwise(F.col("line"))
+    return kept.select("dictionary", entry.alias("entry"), negative.alias("is_exception"), F.monotonically_increasing_id().alias("position"))
 
 
 def lexicon_of(spark: SparkSession, dictionaries: dict[str, list[str]]) -> DataFrame:
-    rows = [(d, e.removeprefix("NEG:").strip(), e.startswith("NEG:")) for d, all_of in dictionaries.items() for e in all_of]
-    return spark.createDataFrame(rows, "dictionary string, entry string, is_exception boolean")
+    rows = [(d, e.removeprefix("NEG:").strip(), e.startswith("NEG:"), k) for d, all_of in dictionaries.items() for k, e in enumerate(all_of)]
+    return spark.createDataFrame(rows, "dictionary string, entry string, is_exception boolean, position bigint")
 
 
 def sized(lexicon: DataFrame) -> DataFrame:
@@ -74,87 +76,173 @@ def runs(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(T.found(F.lower(text), T.LETTER_RUN)).alias("run")).groupBy("id", "run").agg(F.count("*").alias("n"))
 
 
-def matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
-    """id, dictionary, matched (in lower case) and n: all matches of all entries of dictionaries without exceptions."""
-    text = T.ensured(F.col(text_col))
-    with_exceptions = lexicon.where("is_exception").select("dictionary").distinct()
-    usual = lexicon.join(with_exceptions, "dictionary", "left_anti")
-    rows = [(r.dictionary, r.entry) for r in usual.select("dictionary", "entry").limit(MAX_BROADCAST + 1).collect()]
+def spelled_out(lexicon: DataFrame, *columns: str) -> list[tuple]:
+    """Rows of columns, kind, stem, times and pattern of the entries of a lexicon that is small enough."""
+    rows = [tuple(r) for r in lexicon.select(*columns, "entry").limit(MAX_BROADCAST + 1).collect()]
     if len(rows) > MAX_BROADCAST:
         raise ValueError(f"a lexicon has {MAX_BROADCAST} entries at most")
     spelled = entries.table(rows)
-    patterns = [(d, e) for d, k, _, n, e in spelled if k == "pattern" for _ in range(n)]
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} entries are neither words, their beginnings or ends, nor phrases")
+    if len({r[-1] for r in spelled if r[-4] == "pattern"}) > MAX_PATTERNS:
+        raise ValueError(f"over {MAX_PATTERNS} entries hold no letters by which to seek them")
+    return spelled
+
+
+def run_hits(rows: DataFrame, known: DataFrame, spelled: list[tuple]) -> DataFrame:
+    """rows (run and others) beside the columns of all words, beginnings and ends in known that their runs match: one join."""
+    ends = {"prefix": ("prefix", "longer"), "suffix": ("suffix", "suffix_longer")}
+    lengths = {k: sorted({len(r[-3]) for r in spelled if r[-4] in names}) for k, names in ends.items()}
+    part = lambda kind, text: F.struct(F.lit(kind).alias("of"), text.alias("part"))
+    fit = lambda k: F.filter(F.array(*map(F.lit, lengths[k])), lambda n: n <= F.length("run"))
+    parts = [F.array(part("word", F.col("run")))]
+    parts += [F.transform(fit("prefix"), lambda n: part("prefix", F.substring(F.col("run"), F.lit(1), n)))] if lengths["prefix"] else []
+    parts += [F.transform(fit("suffix"), lambda n: part("suffix", F.right(F.col("run"), n)))] if lengths["suffix"] else []
+    each = rows.select("*", F.explode(F.concat(*parts)).alias("__x")).select(*rows.columns, "__x.of", "__x.part") if len(parts) > 1 else rows.select("*", F.lit("word").alias("of"), F.col("run").alias("part"))
+    stems = known.where(F.col("kind").isin("word", *ends["prefix"], *ends["suffix"])).withColumn("end", F.regexp_replace(F.regexp_replace("kind", "^longer$", "prefix"), "_longer$", ""))
+    stems = stems.withColumnRenamed("end", "of_end")
+    longer = ~F.col("kind").isin("longer", "suffix_longer") | (F.length("run") > F.length("stem"))
+    return each.join(sized(stems), (F.col("part") == F.col("stem")) & (F.col("of") == F.col("of_end")) & longer).drop("of", "part", "of_end")
+
+
+def sought(docs: DataFrame, of_docs: DataFrame, known: DataFrame, spelled: list[tuple], columns: list[str], id_col: str, text: Column) -> DataFrame | None:
+    """id, text, the columns and the bounded pattern of each document and phrase or pattern that may be in it.
+
+    Those are sought by their first word, or by letters that they need; a pattern without either is sought in all texts, in
+    the same scan. The patterns of a document are as many as the lexicon has, at most.
+    """
+    kinds = {r[-4] for r in spelled}
+    if not kinds & {"phrase", "gram", "pattern"}:
+        return None
+    keep = [*columns, "pattern"]
+    near = None
+    if "phrase" in kinds:
+        near = of_docs.join(sized(known.where("kind = 'phrase'")), F.col("run") == F.col("stem")).select("id", *keep)
+    if "gram" in kinds:
+        grams = known.where("kind = 'gram'")
+        places = F.sequence(F.lit(1), F.length("run") - (entries.GRAM - 1))
+        pieces = F.array_distinct(F.transform(places, lambda k: F.substring(F.col("run"), k, F.lit(entries.GRAM))))
+        cut = of_docs.where(F.length("run") >= entries.GRAM).select("id", F.explode(pieces).alias("piece"))
+        hits = cut.join(sized(grams), F.col("piece") == F.col("stem")).select("id", *keep)
+        near = near.union(hits) if near is not None else hits
+    each = F.struct(*keep)
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    everywhere = [r for r in spelled if r[-4] == "pattern"]
+    fixed = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(keep, (*r[: len(columns) - 1], r[-2], r[-1]), strict=True))) for r in everywhere))
+    if near is not None:
+        near = near.distinct().groupBy(F.col("id").alias("of")).agg(F.collect_list(each).alias("sought"))
+        texts = texts.join(near, F.col("id") == F.col("of"), "left" if everywhere else "inner")
+        all_of = F.concat(F.coalesce("sought", F.slice(fixed, F.lit(1), F.lit(0))), fixed) if everywhere else F.col("sought")
+    else:
+        all_of = fixed
+    rows = texts.select("id", "text", F.explode(all_of).alias("x")).select("id", "text", *(f"x.{c}" for c in keep))
+    return rows.withColumn("pattern", F.concat(F.lit(r"(?iuU)(?<!\p{L})(?:"), java_dialect(F.col("pattern"), spelled), F.lit(r")(?!\p{L})")))
+
+
+def java_dialect(pattern: Column, spelled: list[tuple]) -> Column:
+    """pattern, or what stands for it in Java's dialect where the two differ."""
+    changed = {p: java_pattern(p) for p in {r[-1] for r in spelled if r[-4] in ("gram", "pattern")}}
+    changed = {p: f"(?-iuU:{j})" if not j.startswith("(?iuU)") else j.removeprefix("(?iuU)") for p, j in changed.items()}
+    changed = {p: j for p, j in changed.items() if p != j}
+    if not changed:
+        return pattern
+    table = F.create_map(*(F.lit(x) for pair in changed.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, pattern), pattern)
+
+
+def matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    """id, dictionary, matched (in lower case) and n: all matches of all entries, exceptions aside."""
+    text = T.ensured(F.col(text_col))
+    spelled = spelled_out(lexicon.where("NOT is_exception"), "dictionary")
     of_docs = runs(docs, id_col, text)
     known = docs.sparkSession.createDataFrame(spelled, "dictionary string, kind string, stem string, times bigint, pattern string")
-    words = known.where("kind = 'word'")
-    found = of_docs.join(sized(words), F.col("run") == F.col("stem")).select("id", "dictionary", F.col("run").alias("matched"), (F.col("n") * F.col("times")).alias("n"))
-    for kind, cut in (("prefix", lambda run, k: F.substring(run, F.lit(1), k)), ("suffix", lambda run, k: F.right(run, k))):
-        names = (kind, "longer" if kind == "prefix" else "suffix_longer")
-        lengths = sorted({len(stem) for _, k, stem, _, _ in spelled if k in names})
-        if lengths:
-            parts = of_docs.select("id", "run", "n", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length("run"))).alias("k"))
-            parts = parts.select("id", "run", "n", cut(F.col("run"), F.col("k")).alias("part"))
-            stems = known.where(F.col("kind").isin(*names))
-            hits = parts.join(sized(stems), (F.col("part") == F.col("stem")) & ((F.col("kind") == kind) | (F.length("run") > F.length("stem"))))
-            found = found.union(hits.select("id", "dictionary", F.col("run"), (F.col("n") * F.col("times"))))
-    if any(k == "phrase" for _, k, _, _, _ in spelled):  # sought only where a first word of theirs stands
-        bounded = known.where("kind = 'phrase'").select("dictionary", "stem", "times", F.concat(F.lit(r"(?iuU)(?<!\p{L})(?:"), "pattern", F.lit(r")(?!\p{L})")).alias("pattern"))
-        near = of_docs.join(sized(bounded), F.col("run") == F.col("stem")).select(F.col("id").alias("of"), "dictionary", "pattern", "times").distinct()
-        near = near.groupBy("of").agg(F.collect_list(F.struct("dictionary", "pattern", "times")).alias("sought"))  # as many as the lexicon has
-        texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(near, F.col("id") == F.col("of"))
-        hits = texts.select("id", "text", F.explode("sought").alias("x")).select("id", "x.dictionary", "x.times", F.explode(F.regexp_extract_all("text", F.col("x.pattern"), F.lit(0))).alias("matched"))
+    found = run_hits(of_docs, known, spelled).select("id", "dictionary", F.col("run").alias("matched"), (F.col("n") * F.col("times")).alias("n"))
+    near = sought(docs, of_docs, known, spelled, ["dictionary", "times"], id_col, text)
+    if near is not None:
+        hits = near.select("id", "dictionary", "times", F.explode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("matched"))
         found = found.union(hits.groupBy("id", "dictionary", F.lower("matched").alias("matched")).agg(F.sum("times").alias("n")))
-    for begin in range(0, len(patterns), 200):
-        each = [F.struct(F.lit(d).alias("dictionary"), T.found(text, java_pattern(rf"(?<!\p{{L}})(?:{e})(?!\p{{L}})")).alias("all")) for d, e in patterns[begin : begin + 200]]
-        rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("x")).select("id", "x.dictionary", F.explode("x.all").alias("matched"))
-        found = found.union(rows.groupBy("id", "dictionary", F.lower("matched").alias("matched")).agg(F.count("*").alias("n")))
-    return found.union(excepted(docs, lexicon.join(with_exceptions, "dictionary", "left_semi"), id_col, text_col)).groupBy("id", "dictionary", "matched").agg(F.sum("n").alias("n"))
+    return found.groupBy("id", "dictionary", "matched").agg(F.sum("n").alias("n"))
 
 
-def spans_without(text: str, entries: list, exceptions: list) -> list[tuple[int, int]]:
-    """All matches of entries that no match of an exception covers."""
-    covers = [m.span() for e in exceptions for m in e.finditer(text)]
-    return [m.span() for e in entries for m in e.finditer(text) if not any(a <= m.start() and m.end() <= b for a, b in covers)]
+def occurrences(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    """id, dictionary, is_exception, position, start, end and text: every match of every entry, exceptions too, with its place.
 
+    An index of the letter runs with their places is joined with words, beginnings and ends; only phrases and patterns are
+    sought in the texts. position is that of the entry where the lexicon has that column, else 0.
+    """
+    text, columns = T.ensured(F.col(text_col)), ["dictionary", "is_exception", "position"]
+    placed = lexicon if "position" in lexicon.columns else lexicon.withColumn("position", F.lit(0).cast("bigint"))
+    spelled = spelled_out(placed, *columns)
+    known = docs.sparkSession.createDataFrame(spelled, "dictionary string, is_exception boolean, position bigint, kind string, stem string, times bigint, pattern string")
+    index = docs.select(F.col(id_col).alias("id"), F.explode(S.spans(text, T.LETTER_RUN)).alias("x")).select("id", "x.start", "x.end", "x.text", F.lower("x.text").alias("run"))
+    each = lambda rows: rows.select("id", *columns, "start", "end", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__k")).drop("__k")
+    found = each(run_hits(index, known, spelled))
+    near = sought(docs, index.select("id", "run").distinct(), known, spelled, [*columns, "times"], id_col, text)
+    if near is not None:
+        hits = near.select("id", *columns, "times", F.explode(S.spans(F.col("text"), F.col("pattern"))).alias("x"))
+        found = found.union(each(hits.select("id", *columns, "times", "x.start", "x.end", "x.text")))
+    return found
+
+
+def uncovered(spans: DataFrame, *keys: str) -> DataFrame:
+    """The rows of spans(start, end, is_exception, keys) that no exception with the same keys covers, exceptions left out.
+
+    A sweep in the order of the starts: the largest end of the exceptions that began so far tells whether one covers a match.
+    """
+    so_far = Window.partitionBy(*keys).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.coalesce(F.max(F.when(F.col("is_exception"), F.col("end"))).over(so_far), F.lit(-1))
+    return spans.withColumn("__reach", reach).where(~F.col("is_exception") & (F.col("end") > F.col("__reach"))).drop("__reach")
 
-def compiled(entries: list[str]) -> list:
-    import regex
 
-    return [regex.compile(rf"(?<!\p{{L}})(?:{e})(?!\p{{L}})", regex.IGNORECASE | regex.V0) for e in entries]
+def feature_table(spark: SparkSession, features: list[LexiconFeature]) -> DataFrame:
+    return spark.createDataFrame([(f.key, d) for f in features for d in f.dictionaries], "feature string, of string")
 
 
-def excepted(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Matches of dictionaries that have exceptions; places of matches are needed, so texts go to Python by batches."""
-    grouped: dict[str, tuple[list[str], list[str]]] = {}
-    rows = lexicon.limit(MAX_BROADCAST + 1).collect()
-    if len(rows) > MAX_BROADCAST:
-        raise ValueError(f"dictionaries with exceptions have {MAX_BROADCAST} entries at most")
-    for r in rows:
-        grouped.setdefault(r.dictionary, ([], []))[r.is_exception].append(r.entry)
-    kept = docs.select(F.col(id_col).alias("id"), T.ensured(F.col(text_col)).alias("text"))
-    if not grouped:
-        kept = kept.where(F.lit(False))
-    id_type = kept.schema["id"].dataType
-
-    def run(batches):
-        ready = {d: (compiled(a), compiled(b)) for d, (a, b) in grouped.items()}
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                rows += [(key, d, text[a:b].lower(), 1) for d, (yes, no) in ready.items() for a, b in spans_without(text, yes, no)]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("id").type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], ["id", "dictionary", "matched", "n"])
-
-    return kept.mapInArrow(run, f"id {id_type.simpleString()}, dictionary string, matched string, n bigint")
-
-
-def plain_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
-    """Lexical tokens that are entries, each once however many entries say so."""
+def plain_words(lexicon: DataFrame, features: list[LexiconFeature]) -> DataFrame:
+    """feature and word: the words of a feature's dictionaries, each once, without those that are exceptions."""
+    words = lexicon.join(F.broadcast(feature_table(lexicon.sparkSession, features)), F.col("dictionary") == F.col("of"))
+    return words.groupBy("feature", F.lower("entry").alias("word")).agg(F.max("is_exception").alias("out")).where("NOT out").select("feature", "word")
+
+
+def plain_matches(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    """id, feature, matched and n: lexical tokens that are entries, each once however many entries say so."""
     tokens = docs.select(F.col(id_col).alias("id"), F.explode(T.lexical_tokens(T.ensured(F.col(text_col)))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-    words = lexicon.where("NOT is_exception").select("dictionary", F.lower("entry").alias("word")).distinct()
-    return tokens.join(sized(words), F.col("token") == F.col("word")).select("id", "dictionary", F.col("token").alias("matched"), "n")
+    return tokens.join(sized(plain_words(lexicon, features)), F.col("token") == F.col("word")).select("id", "feature", F.col("token").alias("matched"), "n")
+
+
+def accepted_spans(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    """id, feature, position, start, end and text of all matches of features that no exception covers; tags are not asked for.
+
+    The exceptions of all dictionaries of a feature hold for all its matches. In plain mode matches are tokens, each once.
+    """
+    found = None
+    usual, plain = [f for f in features if not f.plain], [f for f in features if f.plain]
+    if usual:
+        of_feature = feature_table(docs.sparkSession, usual)
+        needed = lexicon.join(F.broadcast(of_feature.select(F.col("of").alias("dictionary")).distinct()), "dictionary", "left_semi")
+        rows = occurrences(docs, needed, id_col, text_col).join(F.broadcast(of_feature), F.col("dictionary") == F.col("of"))
+        found = uncovered(rows.select("id", "feature", "is_exception", "position", "start", "end", "text"), "id", "feature").drop("is_exception")
+    if plain:
+        tokens = docs.select(F.col(id_col).alias("id"), F.explode(S.spans(T.ensured(F.col(text_col)), T.LEXICAL)).alias("x")).select("id", "x.*")
+        hits = tokens.join(sized(plain_words(lexicon, plain)), F.lower("text") == F.col("word"))
+        hits = hits.select("id", "feature", F.lit(0).cast("bigint").alias("position"), "start", "end", "text")
+        found = found.unionByName(hits) if found is not None else hits
+    return found
+
+
+def lexicon_evidence(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    """id, dimension, start, end and text of what each feature counts.
+
+    With tags, a word has as many spans as the document holds it with them: the first ones, by entry and then by place.
+    """
+    found = accepted_spans(docs, lexicon, features, id_col, text_col)
+    tagged = [f for f in features if f.tags or f.feats]
+    free = found.where(~F.col("feature").isin([f.key for f in tagged])) if tagged else found
+    known = [f for f in tagged if f.pos_column in docs.columns]
+    if known:
+        allowed = tagged_words(docs, known, id_col).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
+        own = found.join(allowed, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("feature") == F.col("of_feature")) & (F.lower("text") == F.col("word")))
+        turn = F.row_number().over(Window.partitionBy("id", "feature", "word").orderBy("position", "start", "end"))
+        free = free.unionByName(own.withColumn("turn", turn).where("turn <= allowed").select(*free.columns))
+    return free.select("id", F.col("feature").alias("dimension"), "start", "end", "text")
 
 
 def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str) -> DataFrame:
@@ -174,14 +262,22 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[Lexicon
     With tags, a word counts as often as the document holds it with them, and no more. The tokens are those of word_count
     where docs has that column.
     """
-    spark = docs.sparkSession
-    of_feature = spark.createDataFrame([(f.key, d, f.plain, bool(f.tags or f.feats)) for f in features for d in f.dictionaries], "feature string, of string, plain boolean, tagged boolean")
-    needed = lexicon.join(F.broadcast(of_feature.select(F.col("of").alias("dictionary")).distinct()), "dictionary", "left_semi")
-    found = matches(docs, needed, id_col, text_col).withColumn("how", F.lit(False))
-    if any(f.plain for f in features):
-        found = found.union(plain_matches(docs, needed, id_col, text_col).withColumn("how", F.lit(True)))
-    rows = found.join(F.broadcast(of_feature), (F.col("dictionary") == F.col("of")) & (F.col("how") == F.col("plain")))
-    per_word = rows.groupBy("id", "feature", "tagged", "matched").agg(F.sum("n").alias("n"))
+    excepted = {r.dictionary for r in lexicon.where("is_exception").select("dictionary").distinct().where(F.col("dictionary").isin([d for f in features for d in f.dictionaries])).collect()}
+    counted = [f for f in features if not f.plain and not excepted & set(f.dictionaries)]
+    plain, placed = [f for f in features if f.plain], [f for f in features if not f.plain and excepted & set(f.dictionaries)]
+    rows = []
+    if counted:
+        of_feature = feature_table(docs.sparkSession, counted)
+        needed = lexicon.join(F.broadcast(of_feature.select(F.col("of").alias("dictionary")).distinct()), "dictionary", "left_semi")
+        rows.append(matches(docs, needed, id_col, text_col).join(F.broadcast(of_feature), F.col("dictionary") == F.col("of")).select("id", "feature", "matched", "n"))
+    if plain:
+        rows.append(plain_matches(docs, lexicon, plain, id_col, text_col))
+    if placed:
+        spans = accepted_spans(docs, lexicon, placed, id_col, text_col)
+        rows.append(spans.groupBy("id", "feature", F.lower("text").alias("matched")).agg(F.count("*").alias("n")))
+    of_tags = [f.key for f in features if f.tags or f.feats]
+    tagged = F.col("feature").isin(of_tags) if of_tags else F.lit(False)
+    per_word = reduce(DataFrame.union, rows).groupBy("id", "feature", tagged.alias("tagged"), "matched").agg(F.sum("n").alias("n"))
     filtered = [f for f in features if (f.tags or f.feats) and f.pos_column in docs.columns]
     if filtered:
         allowed = tagged_words(docs, filtered, id_col).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
@@ -216,6 +312,12 @@ def enclitic_stems(text: Column) -> Column:
     return F.flatten(F.transform(T.found(plain, T.LETTER_RUN), lambda r: F.transform(F.filter(ends, lambda e: r.endswith(e) & (F.length(r) > F.length(e))), lambda e: F.substring(r, F.lit(1), F.length(r) - F.length(e)))))
 
 
+def plain_entries(lexicon: DataFrame, dictionaries: list[str]) -> DataFrame:
+    """word: the entries of dictionaries in lower case without accents, exceptions aside."""
+    own = lexicon.where(F.col("dictionary").isin(dictionaries) & ~F.col("is_exception"))
+    return own.select(F.translate(F.lower("entry"), ACCENTED, PLAIN).alias("word")).distinct()
+
+
 def membership_rate(docs: DataFrame, candidates: Column, lexicon: DataFrame, dictionaries: list[str], key: str, id_col: str = "id", text_col: str = "text_norm", plain: bool = False) -> DataFrame:
     """id and key: the percentage of lexical tokens whose candidates are in the dictionaries."""
     entry = F.lower("entry")

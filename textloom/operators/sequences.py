@@ -29,19 +29,32 @@ def _rate(docs: DataFrame, hits: DataFrame, key: str, id_col: str, text_col: str
     return joined.select(id_col, T.percent(F.coalesce("hits", F.lit(0)), F.col("__tokens")).alias(key))
 
 
+def unaccented_runs(rows: DataFrame, run: str) -> DataFrame:
+    """Runs that may lack an accent: without one, and not right both ways."""
+    return rows.where(~F.lower(run).isin(AMBIGUOUS) & ~F.col(run).rlike(f"[{ACCENTED[:-2]}]"))
+
+
+def checked_runs(rows: DataFrame, run: str) -> DataFrame:
+    """Runs that a word list is asked for: two letters and more, no capitals within."""
+    return rows.where((F.length(run) > 1) & ~F.col(run).rlike(r"^\p{Lu}+$|\p{Ll}\p{Lu}"))
+
+
+def known_words(known: DataFrame) -> DataFrame:
+    return known.select(F.lower("word").alias("word")).distinct()
+
+
 def missing_accents(docs: DataFrame, accents: DataFrame, key: str, id_col: str = "id", text_col: str = "text_raw") -> DataFrame:
     """id and key: the percentage of tokens that the map knows with an accent only."""
     of_docs = docs.select(F.col(id_col).alias("id"), F.explode(T.found(T.ensured(F.col(text_col)), T.LETTER_RUN)).alias("run")).groupBy("id", "run").agg(F.count("*").alias("n"))
-    plain = of_docs.where(~F.lower("run").isin(AMBIGUOUS) & ~F.col("run").rlike(f"[{ACCENTED[:-2]}]"))
+    plain = unaccented_runs(of_docs, "run")
     return _rate(docs, plain.join(sized(accents), F.col("run") == F.col("plain")), key, id_col, text_col)
 
 
 def unknown_words(docs: DataFrame, known: DataFrame, key: str, id_col: str = "id", text_col: str = "text_raw") -> DataFrame:
     """id and key: the percentage of words that known(word) lacks, of those checked: two letters and more, no capitals within."""
-    checked = docs.select(F.col(id_col).alias("id"), F.explode(T.found(T.ensured(F.col(text_col)), T.LETTER_RUN)).alias("run")).where((F.length("run") > 1) & ~F.col("run").rlike(r"^\p{Lu}+$|\p{Ll}\p{Lu}"))
+    checked = checked_runs(docs.select(F.col(id_col).alias("id"), F.explode(T.found(T.ensured(F.col(text_col)), T.LETTER_RUN)).alias("run")), "run")
     counted = checked.groupBy("id", F.lower("run").alias("run")).agg(F.count("*").alias("n"))
-    words = known.select(F.lower("word").alias("word")).distinct()
-    bad = counted.join(sized(words), F.col("run") == F.col("word"), "left_anti").groupBy(F.col("id").alias("bad_id")).agg(F.sum("n").alias("bad"))
+    bad = counted.join(sized(known_words(known)), F.col("run") == F.col("word"), "left_anti").groupBy(F.col("id").alias("bad_id")).agg(F.sum("n").alias("bad"))
     sums = counted.groupBy(F.col("id").alias("all_id")).agg(F.sum("n").alias("all"))
     joined = docs.select(id_col).join(sums, F.col(id_col) == F.col("all_id"), "left").join(bad, F.col(id_col) == F.col("bad_id"), "left")
     return joined.select(id_col, T.percent(F.coalesce("bad", F.lit(0)), F.coalesce("all", F.lit(0))).alias(key))

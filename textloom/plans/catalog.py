@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import spans as S
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import lexicon as L
@@ -255,6 +256,71 @@ def q_verbs(spark, sf_dir):
 def q_enclitics(spark, sf_dir):
     return features(documents(spark, sf_dir), spec("enclitics", "EncliticsPersonalPronounsDictionary", dictionaries="infinitives"), resources=plans.Resources(lexicons(spark)))
 
+#: Matches of a pattern with their places: the running length of what stands between matches and of the matches.
+PLACED = """{name} AS (SELECT doc_id, i, v, CAST(sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) - length(v) AS INTEGER) AS a,
+  CAST(sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS b, g
+  FROM (SELECT doc_id, i, w[i] AS v, gaps[i] AS g FROM (SELECT doc_id, regexp_extract_all({text}, '{pattern}') AS w, string_split_regex({text}, '{pattern}') AS gaps FROM {table}), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)))"""
+
+
+def placed(name: str, pattern: str, text: str = "text", table: str = "documents") -> str:
+    return PLACED.format(name=name, pattern=pattern, text=text, table=table)
+
+
+@query("q_token_spans", f"""WITH {placed("p", TOKEN)} SELECT doc_id, a AS start, b AS "end", lower(v) AS token FROM p""")
+def q_token_spans(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(S.token_spans(F.col("text_raw"))).alias("x"))
+    return rows.select("doc_id", "x.start", "x.end", F.col("x.text").alias("token"))
+
+
+@query("q_paragraph_spans", """WITH p AS (SELECT doc_id, i, lines[i] AS v, sum(length(lines[i]) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(lines[i]) - 2 AS a
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)),
+t AS (SELECT doc_id, a + length(v) - length(ltrim(v, ' ' || chr(9))) AS a, trim(v, ' ' || chr(9)) AS v FROM p)
+SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(a + length(v) AS INTEGER) AS "end", v AS paragraph FROM t WHERE v <> ''""")
+def q_paragraph_spans(spark, sf_dir):
+    spread = F.replace("text_raw", F.lit("\n"), F.lit("\n\n"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(S.paragraph_spans(spread)).alias("x"))
+    return rows.select("doc_id", "x.start", "x.end", F.col("x.text").alias("paragraph"))
+
+
+@query("q_tag_evidence", BASE + """, k AS (SELECT doc_id, i, w[i] AS v, length(w[i]) % 5 AS k, length(w[i]) AS n FROM b, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+s AS (SELECT *, n + 6 + CASE WHEN k < 2 THEN 4 ELSE 3 END + CASE WHEN n % 2 = 0 THEN 22 WHEN n % 3 = 0 THEN 12 ELSE 11 END + CASE WHEN i % 10 = 0 THEN 4 ELSE 2 END AS tagged, n + CASE k WHEN 3 THEN 4 ELSE 3 END + 4 AS entity FROM k),
+p AS (SELECT *, sum(tagged) OVER (PARTITION BY doc_id ORDER BY i) - tagged AS a, sum(entity) OVER (PARTITION BY doc_id ORDER BY i) - entity + CASE k WHEN 3 THEN 4 ELSE 3 END + 1 AS c FROM s)
+SELECT doc_id AS id, 'verbs' AS dimension, CAST(a AS INTEGER) AS start, CAST(a + n AS INTEGER) AS "end", v AS text FROM p WHERE k = 1
+UNION ALL SELECT doc_id, 'people', CAST(c AS INTEGER), CAST(c + n AS INTEGER), v FROM p WHERE k IN (0, 4)""")
+def q_tag_evidence(spark, sf_dir):
+    """Items of the serialized tags and entities with the places of their words; an item's signs differ with its tag."""
+    return plans.evidence(annotated(spark, sf_dir), [spec("verbs", "POSTaggingTag", tag="VERB"), spec("people", "NERTaggingTag", tag="PER")], id_col="doc_id")
+
+
+LEXICON_EVIDENCE = f"""WITH l AS (SELECT doc_id, lower(text) AS x FROM documents), {placed("r", "[\\p{L}]+", "x", "l")}, {placed("k", TOKEN, "x", "l")},
+a AS (SELECT doc_id, v, count(*) AS allowed FROM k WHERE length(v) % 5 IN (0, 1) GROUP BY ALL),
+n AS (SELECT doc_id, v, a, b, row_number() OVER (PARTITION BY doc_id, v ORDER BY a) AS turn FROM r WHERE v LIKE 'th%'),
+m AS (SELECT doc_id, 'words' AS dimension, a, b, v FROM r WHERE v IN ('and', 'der', 'und', 'les', 'de', 'the') UNION ALL SELECT doc_id, 'words', a, b, v FROM r WHERE v = 'the'
+  UNION ALL SELECT doc_id, 'stems', a, b, v FROM r WHERE v LIKE 'th%' OR v LIKE 'an_%' OR v LIKE 'ge%'
+  UNION ALL SELECT doc_id, 'kept', a, b, v FROM r WHERE v LIKE 'th%' AND v <> 'the' AND v NOT LIKE 'tha%'
+  UNION ALL SELECT doc_id, 'plain', a, b, v FROM k WHERE v IN ('and', 'der', 'und', 'les', 'de', 'the')
+  UNION ALL SELECT n.doc_id, 'tagged', a, b, n.v FROM n JOIN a ON n.doc_id = a.doc_id AND n.v = a.v WHERE turn <= allowed)
+SELECT doc_id AS id, dimension, a AS start, b AS "end", v AS text FROM m"""
+
+
+@query("q_lexicon_evidence", LEXICON_EVIDENCE)
+def q_lexicon_evidence(spark, sf_dir):
+    """Spans of repeated entries, stems, exceptions, plain words and tags."""
+    extra = L.lexicon_of(spark, {"th": [r"th\p{L}*"]})
+    nodes = [spec(k, "WordPerDictionary", dictionary=k) for k in ("words", "stems", "kept")]
+    nodes += [Spec("plain", "WordPerDictionary", dictionary="words", disabled_regexp=True), spec("tagged", "WordPerDictionary", dictionary="th", pos_tag="NOUN,VERB")]
+    return plans.evidence(annotated(spark, sf_dir), nodes, plans.Resources(lexicons(spark).union(extra)), "doc_id")
+
+
+@query("q_exceptions", f"""WITH l AS (SELECT doc_id, lower(text) AS x FROM documents), {placed("r", "[\\p{L}]+", "x", "l")},
+n AS (SELECT *, lead(v) OVER o AS v1, lead(g) OVER o AS g1, lag(v) OVER o AS v0 FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, g1 = ' ' AND ((v = 'of' AND v1 IN ('in', 'the')) OR (v = 'in' AND v1 LIKE 'th%')) AS ahead, g = ' ' AND ((v0 = 'of' AND v IN ('in', 'the')) OR (v0 = 'in' AND v LIKE 'th%')) AS behind FROM n)
+SELECT doc_id AS id, 'few' AS dimension, a AS start, b AS "end", v AS text FROM e WHERE (v IN ('of', 'in') OR v LIKE 'th%') AND NOT coalesce(ahead, false) AND NOT coalesce(behind, false)""")
+def q_exceptions(spark, sf_dir):
+    """Exceptions that overlap each other and cover more than one match, in another dictionary than some of the entries."""
+    lexicon = L.lexicon_of(spark, {"a": ["of", "in", "NEG:of in"], "b": [r"th\p{L}*", r"NEG:in th\p{L}*", "NEG:of the"]})
+    return plans.evidence(documents(spark, sf_dir), [spec("few", "WordPerDictionary", dictionary="a|b")], plans.Resources(lexicon), "doc_id")
+
 
 @query("q_periphrases")
 def q_periphrases(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import derived, lexicon, sequences
+from ..operators import derived, lexicon, places, sequences
 from ..operators.features import REGISTRY, Frame, Parts, Spec
 from .spec import JOINED, post_order, problems
 
@@ -53,6 +53,20 @@ def parts(docs: DataFrame, trees: list[Spec]) -> tuple[dict[str, Parts], dict[st
     return {n.key: REGISTRY[n.operator](n, frame) for n in post_order(trees) if n.operator in REGISTRY}, frame.hidden
 
 
+def lexicon_feature(node: Spec) -> lexicon.LexiconFeature:
+    gender = node.operator == "GrammaticalGenderDimension"
+    tags = GENDERED if gender else node.listed("pos_tag")
+    feats = [] if gender else [x for x in str(node.get("universal", "") or "").split("|") if x]
+    tagged = node.get("tagged_pos_column") or node.get("pos_input_column") or node.pos_input_column or "tagged_pos"
+    plain = str(node.get("disabledregexp", node.disabled_regexp)).strip().lower() in ("true", "1", "yes", "y")
+    return lexicon.LexiconFeature(node.key, node.listed("dictionary") or node.listed("dictionaries"), tags, feats, plain, node.flag("percentage"), tagged, gender)
+
+
+def evidence(docs: DataFrame, trees: list[Spec], resources: Resources | None = None, id_col: str = "id") -> DataFrame | None:
+    """id, dimension, start, end and text of what the features of trees count, where they have places; None if none has."""
+    return places.evidence_of(docs, list(post_order(trees)), resources or Resources(), lexicon_feature, id_col)
+
+
 def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id_col: str) -> list[DataFrame]:
     """A table of id and features for each kind of join; features whose tables are missing are null."""
     nodes = [n for n in post_order(trees) if n.operator in JOINED]
@@ -62,13 +76,7 @@ def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id
         groups: dict[str, list[lexicon.LexiconFeature]] = {}
         for n in nodes:
             if n.operator in ("WordPerDictionary", "GrammaticalGenderDimension"):
-                gender = n.operator == "GrammaticalGenderDimension"
-                tags = GENDERED if gender else n.listed("pos_tag")
-                feats = [] if gender else [x for x in str(n.get("universal", "") or "").split("|") if x]
-                column = n.get("input_column") or "text_norm"
-                tagged = n.get("tagged_pos_column") or n.get("pos_input_column") or n.pos_input_column or "tagged_pos"
-                plain = str(n.get("disabledregexp", n.disabled_regexp)).strip().lower() in ("true", "1", "yes", "y")
-                groups.setdefault(column, []).append(lexicon.LexiconFeature(n.key, dictionaries(n), tags, feats, plain, n.flag("percentage"), tagged, gender))
+                groups.setdefault(n.get("input_column") or "text_norm", []).append(lexicon_feature(n))
         found += [lexicon.lexicon_features(docs, resources.lexicons, features, id_col, column) for column, features in groups.items()]
         done |= {f.key for features in groups.values() for f in features}
         for n in nodes:
