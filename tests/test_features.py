@@ -182,3 +182,29 @@ def test_too_many_entries_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_BROADCAST", 2)
     with pytest.raises(ValueError, match="entries at most"):
         L.occurrences(docs, L.lexicon_of(spark, {"d": ["a", "b", "NEG:c"]}), "id", "text_norm")
+
+
+def test_sentences_end_beyond_any_white_space(spark):
+    """Stops against a walk over each of them; abbreviations may be followed by any white space and any number of points."""
+    import random
+    import re
+
+    import regex
+
+    short = {"dr", "dra", "etc", "prof", "profa", "sr", "sra", "srta"}
+
+    def walked(text):
+        text = text.strip()
+        ends = 0
+        for m in re.finditer(r"[.!?]+", text):
+            near = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
+            token = regex.search(r"[\p{L}.]+$", text[: m.start()].rstrip())
+            ends += not (m.group() == "." and m.start() and len(near) == 2 and near.isdigit()) and not (token and token.group().lower().strip(".") in short)
+        return max(1, ends) if text else 0
+
+    rng = random.Random(11)
+    kit = ["Sr", "etc", "dra", "x", "Vale", "3", ".", ".", "..", "!", "?", " ", "  ", "\n", ",", "é"]
+    texts = ["".join(rng.choice(kit) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += ["Hola. Sr" + " " * n + ". Vale." for n in (8, 9, 500)] + ["Sr" + "." * n + " ! x" for n in (1, 17, 400)] + ["." * 50_000, "a" + " " * 50_000 + "."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.sentence_count(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: walked(t) for i, t in enumerate(texts)}

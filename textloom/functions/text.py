@@ -16,8 +16,10 @@ SPANISH_WORD = r"(?U)\b[a-záéíóúüñ]+\b"
 VOWELS = r"[aeiouáéíóúü]+"
 SENTENCE = r"[^.!?]+[.!?]*"
 SENTENCE_END = r"[.!?]+"
-#: Ends of sentences, without decimal points and the points of abbreviations.
-TERMINATOR = r"(?iU)(?=[.!?])(?<![.!?])(?!(?<=\d)\.(?=\d))(?<!(?<![\p{L}.])\.{0,16}(?:dra?|etc|profa?|sra?|srta)\.{0,16}\s{0,8})[.!?]+"
+#: A point within a number, and abbreviations whose own stops, or the stops behind these, end no sentence.
+DECIMAL = r"(?U)(?<=\d)\.(?=\d)"
+ABBREVIATION = r"(?iuU)(?<![\p{L}.])\.*+(?:dra?|etc|profa?|sra?|srta)"
+ABBREVIATED, ABBREVIATED_TWICE = ABBREVIATION + r"(?=\s*+[.!?])", ABBREVIATION + r"\.++(?=\s++[.!?])"
 PARAGRAPH_BREAK = r"(?U)\n\s*\n+"
 DIALOGUE = r"(?U)^\s*[—–-]\s*"
 REPEATED_WORD = r"(?iu)(?<!\p{L})(\p{L}+)(?U:\s)+\1(?!\p{L})"
@@ -67,8 +69,14 @@ def sentence_endings(text: Column) -> Column:
 
 
 def sentence_count(text: Column) -> Column:
-    """Ends of sentences, with abbreviations known; one at least, none in a blank text."""
-    return let(trimmed(text), lambda t: F.when(t == "", 0).otherwise(F.greatest(F.lit(1), F.regexp_count(t, F.lit(TERMINATOR)))))
+    """Ends of sentences but those of decimals and abbreviations; one at least, none in a blank text.
+
+    A stop belongs to an abbreviation if that is the last token before it, over any white space: so the stop next to it, and
+    one that follows its own stops.
+    """
+    count = lambda t, p: F.regexp_count(t, F.lit(p))
+    real = lambda t: count(t, SENTENCE_END) - count(t, DECIMAL) - count(t, ABBREVIATED) - count(t, ABBREVIATED_TWICE)
+    return let(trimmed(text), lambda t: F.when(t == "", 0).otherwise(F.greatest(F.lit(1), real(t))))
 
 
 def word_syllables(word: Column) -> Column:
