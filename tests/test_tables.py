@@ -16,19 +16,42 @@ from textloom.streaming.features import streamed_features
 
 
 def test_statistics(spark):
-    rows = [(1.0, "1", 0), (2.0, "2", 0), (2.0, None, 0), (4.0, "bad", 0), (float("nan"), "3", 0)]
+    rows = [(3.5, "7", 0), (9.0, "-1", 0), (3.5, None, 0), (-2.0, "x7", 0), (float("nan"), "0.5", 0), (10.0, " ", 0)]
     table = spark.createDataFrame(rows, "a double, b string, z int")
     got = {r.feature: r for r in S.summary(table, ["a", "b", "z"]).collect()}
     a = got["a"]
-    assert (a["count"], a.missing_count, a["sum"], a.q25, a.median, a.q75, a.mode, a.nonzero_ratio) == (4, 1, 9, 1.75, 2, 2.5, 2, 1)
-    assert a.std == pytest.approx(1.258305739) and got["b"]["count"] == 3 and got["z"].nonzero_count == 0
+    assert (a["count"], a.missing_count, a["sum"], a.q25, a.median, a.q75, a.mode, a.nonzero_ratio) == (5, 1, 24, 3.5, 3.5, 9, 3.5, 1)
+    assert a.std == pytest.approx(23.575**0.5) and got["b"]["count"] == 3 and got["z"].nonzero_count == 0
     empty = S.summary(table.limit(0), ["a"]).collect()
-    assert [(r.feature, r["count"], r.missing_count, r.nonzero_count, r["mean"]) for r in empty] == [("a", 0, 0, 0, None)] and S.numeric_columns(table) == ["a", "z"]
+    assert [(r.feature, r["count"], r.missing_count, r.nonzero_count, r["mean"], r["median"], r["mode"]) for r in empty] == [("a", 0, 0, 0, None, None, None)] and S.numeric_columns(table) == ["a", "z"]
     assert [r.feature for r in S.zero_only(S.summary(table, ["a", "z"])).collect()] == ["z"]
     assert [r.feature for r in S.ranked(S.summary(table, ["a", "z"]), "mean", 1).collect()] == ["a"]
     assert [r.feature for r in S.sparse(S.summary(table, ["a", "z"])).collect()] == ["z"]
 
 
+def test_exact_quantiles_by_ranges(spark, monkeypatch):
+    """Those of the state that holds all values, for hot groups, ties, few rows and infinite values, with ranges that are many or few."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for g, n in (("hot", 3000), ("ties", 400), ("one", 1), ("two", 2), ("three", 3), ("none", 2)):
+        for _ in range(n):
+            v = {"hot": rng.gauss(0, 1), "ties": float(rng.randint(0, 3)), "none": None}.get(g, rng.random())
+            rows.append((g, v, rng.choice([v, None, -v if v else 0.0, 1e300])))
+    rows += [("far", x, 0.0) for x in (float("inf"), float("-inf"), 1.0, float("nan"), 0.0)]
+    table = spark.createDataFrame(rows, "g string, a double, b double").repartition(5)
+    long = S.long_values(table, ["a", "b"], ("g",))
+    plain = long.groupBy("g", "feature").agg(*(F.percentile("value", F.lit(p)).alias(s) for s, p in S.QUANTILES.items()), F.mode("value", True).alias("mode"))
+    expected = {(r.g, r.feature): tuple(repr(x) for x in r[2:]) for r in plain.collect()}
+    for ranges in (64, 5):
+        monkeypatch.setattr(S.exact_quantiles, "__defaults__", (ranges,))
+        found = S.summary(table, ["a", "b"], ("q25", "median", "q75", "mode"), ("g",))
+        got = {(r.g, r.feature): tuple(repr(x) for x in r[2:]) for r in found.collect()}
+        assert {k: tuple(x.replace("-0.0", "0.0") for x in v) for k, v in got.items()} == {k: tuple(x.replace("-0.0", "0.0") for x in v) for k, v in expected.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert " percentile(" not in plan and "mode(" not in plan.replace("executionMode(", "")
+
+
 def test_groups_drop_null_keys(spark):
     table = spark.createDataFrame([("x", 1.0), (None, 2.0), ("x", 3.0)], "g string, a double")
     rows = S.summary(table, ["a"], ("mean",), ("g",)).collect()
