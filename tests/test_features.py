@@ -208,3 +208,20 @@ def test_sentences_end_beyond_any_white_space(spark):
     texts += ["Hola. Sr" + " " * n + ". Vale." for n in (8, 9, 500)] + ["Sr" + "." * n + " ! x" for n in (1, 17, 400)] + ["." * 50_000, "a" + " " * 50_000 + "."]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.sentence_count(F.col("t")).alias("n")).collect()
     assert {r.i: r.n for r in rows} == {i: walked(t) for i, t in enumerate(texts)}
+
+
+def test_many_verb_nodes_take_one_scan(spark, tmp_path):
+    """Twenty-six features of dictionaries that overlap: the values of each by itself, one scan of the texts, and parts beside the values."""
+    spark.createDataFrame([(1, "él ha ido y va ido no"), (2, ""), (None, "va"), (4, None)], "id int, text_norm string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    lexicon = L.lexicon_of(spark, {f"d{k}": ["ido", "ha ido", "va", "no"][: k % 5] for k in range(26)})
+    nodes = [Spec(f"k{k}", "VerbPerDictionary", dictionary=f"d{k}|d{(k + 1) % 26}") for k in range(26)]
+    table = plans.features(docs, nodes, plans.Resources(lexicon), with_parts=True)
+    rows = {r.id: r for r in table.collect()}
+    for k, n in enumerate(nodes):
+        words = {w for d in (k, (k + 1) % 26) for w in ["ido", "ha ido", "va", "no"][: d % 5]}
+        hits = sum(c in words for c in ("él", "ha", "ha ido", "y", "va", "ido", "no"))
+        assert rows[1][n.key] == pytest.approx(100 * hits / 7) and rows[2][n.key] == rows[4][n.key] == 0 and rows[None][n.key] == 100.0 * ("va" in words)
+        assert (rows[1][f"__numerator_k{k}"], rows[1][f"__denominator_k{k}"]) == (hits, 7)
+    rates = L.verb_rates(docs, lexicon, {n.key: n.listed("dictionary") for n in nodes})
+    assert rates._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1

@@ -122,6 +122,16 @@ def rate(numerator: Column, denominator: Column, percentage: bool = True) -> Par
     return Parts(value, numerator.cast("double"), denominator.cast("double"))
 
 
+#: Prefixes of the columns of numerators and denominators.
+PARTS = ("__numerator_", "__denominator_")
+
+
+def with_parts(key: str, numerator: Column, denominator: Column, percentage: bool = True) -> list[Column]:
+    """A joined feature and its parts as columns; a plain count has no denominator."""
+    whole = denominator.cast("double") if percentage else F.lit(None).cast("double")
+    return [rate(numerator, denominator, percentage).value.alias(key), numerator.cast("double").alias(PARTS[0] + key), whole.alias(PARTS[1] + key)]
+
+
 def compare(left: Column, symbol: str, right: int) -> Column:
     return {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}.get(symbol, left == right)
 

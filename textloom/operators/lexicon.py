@@ -19,6 +19,7 @@ from ..functions import spans as S
 from ..functions import text as T
 from ..functions.regex import java_pattern
 from . import entries
+from .features import with_parts
 
 #: Entries without letters to seek them by are literals of the plan, so a lexicon may hold so many of them.
 MAX_PATTERNS = 5_000
@@ -257,7 +258,7 @@ def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str) -
 
 
 def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
-    """id and a column for each feature: matches, or their percentage of the lexical tokens.
+    """id and a column for each feature (matches, or their percentage of the lexical tokens), with its parts.
 
     With tags, a word counts as often as the document holds it with them, and no more. The tokens are those of word_count
     where docs has that column.
@@ -292,7 +293,7 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[Lexicon
     joined = base.join(totals, F.col(id_col) == F.col("of"), "left")
     count = lambda f: F.coalesce(F.col(f"`{f.key}`"), F.lit(0))
     whole = lambda f: F.col("__tokens" if bases[f.key] is None else f"`__base_{f.key}`")
-    return joined.select(id_col, *((T.percent(count(f), whole(f)) if f.percentage else count(f).cast("double")).alias(f.key) for f in features))
+    return joined.select(id_col, *(c for f in features for c in with_parts(f.key, count(f), whole(f), f.percentage)))
 
 
 def tagged_items(feature: LexiconFeature) -> Column:
@@ -318,19 +319,27 @@ def plain_entries(lexicon: DataFrame, dictionaries: list[str]) -> DataFrame:
     return own.select(F.translate(F.lower("entry"), ACCENTED, PLAIN).alias("word")).distinct()
 
 
-def membership_rate(docs: DataFrame, candidates: Column, lexicon: DataFrame, dictionaries: list[str], key: str, id_col: str = "id", text_col: str = "text_norm", plain: bool = False) -> DataFrame:
-    """id and key: the percentage of lexical tokens whose candidates are in the dictionaries."""
+def membership_rates(docs: DataFrame, candidates: Column, lexicon: DataFrame, features: dict[str, list[str]], id_col: str = "id", text_col: str = "text_norm", plain: bool = False) -> DataFrame:
+    """id and for each feature the percentage of lexical tokens whose candidates are in its dictionaries, with its parts.
+
+    One scan of the texts and one join for all features: each word carries the features that it serves. The candidates of a
+    document are added up where they are made, so a row a document is shuffled.
+    """
     entry = F.lower("entry")
-    words = lexicon.where(F.col("dictionary").isin(dictionaries) & ~F.col("is_exception")).select((F.translate(entry, ACCENTED, PLAIN) if plain else entry).alias("word")).distinct()
-    rows = docs.select(F.col(id_col).alias("of"), F.explode(candidates).alias("candidate")).groupBy("of", "candidate").agg(F.count("*").alias("n"))
-    hits = rows.join(sized(words), F.col("candidate") == F.col("word")).groupBy("of").agg(F.sum("n").alias("hits"))
-    base = docs.select(id_col, F.size(T.lexical_tokens(T.ensured(F.col(text_col)))).alias("__tokens"))
-    return base.join(hits, F.col(id_col) == F.col("of"), "left").select(id_col, T.percent(F.coalesce("hits", F.lit(0)), F.col("__tokens")).alias(key))
+    of_feature = docs.sparkSession.createDataFrame([(k, d) for k, every in features.items() for d in every], "feature string, of string")
+    own = lexicon.where(~F.col("is_exception")).join(F.broadcast(of_feature), F.col("dictionary") == F.col("of"))
+    words = own.groupBy((F.translate(entry, ACCENTED, PLAIN) if plain else entry).alias("word")).agg(F.collect_set("feature").alias("serves"))
+    tokens = F.size(T.lexical_tokens(T.ensured(F.col(text_col))))
+    made = docs.select(id_col, tokens.alias("__tokens"), candidates.alias("__all"))  # below the explosion, so once a text
+    rows = made.select(id_col, "__tokens", F.explode_outer("__all").alias("__candidate")).join(sized(words), F.col("__candidate") == F.col("word"), "left")
+    hits = [F.count_if(F.array_contains("serves", k)).alias(f"__hits_{k}") for k in features]
+    sums = rows.groupBy(id_col).agg(F.max("__tokens").alias("__tokens"), *hits)
+    return sums.select(id_col, *(c for k in features for c in with_parts(k, F.col(f"`__hits_{k}`"), F.col("__tokens"))))
 
 
-def verb_rate(docs: DataFrame, lexicon: DataFrame, dictionaries: list[str], key: str, id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
-    return membership_rate(docs, verb_candidates(T.lexical_tokens(T.ensured(F.col(text_col)))), lexicon, dictionaries, key, id_col, text_col)
+def verb_rates(docs: DataFrame, lexicon: DataFrame, features: dict[str, list[str]], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    return membership_rates(docs, verb_candidates(T.lexical_tokens(T.ensured(F.col(text_col)))), lexicon, features, id_col, text_col)
 
 
-def enclitic_rate(docs: DataFrame, lexicon: DataFrame, dictionaries: list[str], key: str, id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
-    return membership_rate(docs, enclitic_stems(T.ensured(F.col(text_col))), lexicon, dictionaries, key, id_col, text_col, plain=True)
+def enclitic_rates(docs: DataFrame, lexicon: DataFrame, features: dict[str, list[str]], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    return membership_rates(docs, enclitic_stems(T.ensured(F.col(text_col))), lexicon, features, id_col, text_col, plain=True)

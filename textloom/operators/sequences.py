@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .features import with_parts
 from .lexicon import ACCENTED, PLAIN, runs, sized
 
 # Words that are right with and without an accent, and the pronouns that an auxiliary may take.
@@ -26,7 +27,7 @@ def accent_map(words: DataFrame) -> DataFrame:
 def _rate(docs: DataFrame, hits: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(id_col, F.size(T.lexical_tokens(T.ensured(F.col(text_col)))).alias("__tokens"))
     joined = base.join(hits.groupBy(F.col("id").alias("of")).agg(F.sum("n").alias("hits")), F.col(id_col) == F.col("of"), "left")
-    return joined.select(id_col, T.percent(F.coalesce("hits", F.lit(0)), F.col("__tokens")).alias(key))
+    return joined.select(id_col, *with_parts(key, F.coalesce("hits", F.lit(0)), F.col("__tokens")))
 
 
 def unaccented_runs(rows: DataFrame, run: str) -> DataFrame:
@@ -57,7 +58,7 @@ def unknown_words(docs: DataFrame, known: DataFrame, key: str, id_col: str = "id
     bad = counted.join(sized(known_words(known)), F.col("run") == F.col("word"), "left_anti").groupBy(F.col("id").alias("bad_id")).agg(F.sum("n").alias("bad"))
     sums = counted.groupBy(F.col("id").alias("all_id")).agg(F.sum("n").alias("all"))
     joined = docs.select(id_col).join(sums, F.col(id_col) == F.col("all_id"), "left").join(bad, F.col(id_col) == F.col("bad_id"), "left")
-    return joined.select(id_col, T.percent(F.coalesce("bad", F.lit(0)), F.coalesce("all", F.lit(0))).alias(key))
+    return joined.select(id_col, *with_parts(key, F.coalesce("bad", F.lit(0)), F.coalesce("all", F.lit(0))))
 
 
 def grammar(specification: str) -> list[tuple[str, list[str], str]]:

@@ -12,17 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import derived, lexicon, places, sequences
-from ..operators.features import REGISTRY, Frame, Parts, Spec
+from ..operators.features import PARTS, REGISTRY, Frame, Parts, Spec
 from .spec import JOINED, post_order, problems
 
 #: Tags among which grammatical gender is sought.
 GENDERED = ["DET", "ADJ", "NOUN", "PROPN", "PRON", "VERB", "AUX"]
 
 
-#: Prefixes of the columns of numerators and denominators.
-PARTS = ("__numerator_", "__denominator_")
-
-
 @dataclass
 class Resources:
     """Tables that some features need: lexicons (dictionary, entry, is_exception), accents (plain, accented), known (word)."""
@@ -79,11 +75,13 @@ def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id
                 groups.setdefault(n.get("input_column") or "text_norm", []).append(lexicon_feature(n))
         found += [lexicon.lexicon_features(docs, resources.lexicons, features, id_col, column) for column, features in groups.items()]
         done |= {f.key for features in groups.values() for f in features}
+        rates: dict[tuple, dict[str, list[str]]] = {}
         for n in nodes:
-            rate = {"VerbPerDictionary": lexicon.verb_rate, "EncliticsPersonalPronounsDictionary": lexicon.enclitic_rate}.get(n.operator)
+            rate = {"VerbPerDictionary": lexicon.verb_rates, "EncliticsPersonalPronounsDictionary": lexicon.enclitic_rates}.get(n.operator)
             if rate:
-                found.append(rate(docs, resources.lexicons, dictionaries(n), n.key, id_col, n.get("input_column") or "text_norm"))
+                rates.setdefault((rate, n.get("input_column") or "text_norm"), {})[n.key] = dictionaries(n)
                 done.add(n.key)
+        found += [rate(docs, resources.lexicons, own, id_col, column) for (rate, column), own in rates.items()]
     by_column: dict[str, dict[str, str]] = {}
     for n in nodes:
         if n.operator == "PeriphrasisDimension":
@@ -107,7 +105,7 @@ def joined_features(docs: DataFrame, trees: list[Spec], resources: Resources, id
 def features(docs: DataFrame, trees: list[Spec], resources: Resources | None = None, id_col: str = "id", keep: tuple[str, ...] = (), with_parts: bool = False) -> DataFrame:
     """id, the kept columns, and a column for each node, children before parents. Ids must be distinct.
 
-    with_parts adds the numerators and denominators of the row-wise features that have them; parts_in() finds them.
+    with_parts adds the numerators and denominators of the features that have them; parts_in() finds them.
     """
     if wrong := problems(trees):
         raise ValueError("; ".join(wrong))
@@ -126,7 +124,8 @@ def features(docs: DataFrame, trees: list[Spec], resources: Resources | None = N
         level = {n.key: derived_column(n) for n in ready}
         table = table.withColumns(level)
         left = [n for n in left if n.key not in level]
-    return table.select(id_col, *keep, *(F.col(f"`{k}`") for k in order), *(F.col(f"`{mark}{k}`") for k in both for mark in PARTS))
+    parted = [k for k in order if with_parts and f"{PARTS[0]}{k}" in table.columns]
+    return table.select(id_col, *keep, *(F.col(f"`{k}`") for k in order), *(F.col(f"`{mark}{k}`") for k in parted for mark in PARTS))
 
 
 def parts_in(table: DataFrame) -> dict[str, tuple[Column, Column]]:
