@@ -17,7 +17,7 @@ from .operators import lexicon, places, statistics
 from .operators.audit import audit
 from .plans import compile as plans
 from .plans import spec as trees
-from .sources import readers, writers
+from .sources import hunspell, readers, writers
 from .sources.shipping import ship
 
 
@@ -63,7 +63,8 @@ def ready_documents(spark: SparkSession, args) -> DataFrame:
 
 
 def resources(spark: SparkSession, args) -> plans.Resources:
-    return plans.Resources(lexicon.read_lexicons(spark, args.lexicons) if args.lexicons else None)
+    known = hunspell.words(spark, args.hunspell) if getattr(args, "hunspell", None) else None
+    return plans.Resources(lexicon.read_lexicons(spark, args.lexicons) if args.lexicons else None, known=known)
 
 
 def analyze(args) -> None:
@@ -182,7 +183,7 @@ def parser() -> argparse.ArgumentParser:
     def opt(*flags, **kwargs):
         return flags, kwargs
 
-    reading = [opt("input"), opt("--text", default="text"), opt("--head", type=int), opt("--preserve-case", action="store_true"), opt("--cache"), opt("--config", required=True), opt("--only"), opt("--lexicons")]
+    reading = [opt("input"), opt("--text", default="text"), opt("--head", type=int), opt("--preserve-case", action="store_true"), opt("--cache"), opt("--config", required=True), opt("--only"), opt("--lexicons"), opt("--hunspell", help="path of the .aff and .dic files without their ending")]
     output, segments = opt("--output"), opt("--segments", type=int, default=5)
     command("analyze", analyze, *reading, output, opt("--format"), opt("--stats", action="store_true"))
     command("extract", extract, *reading, opt("--output", required=True))

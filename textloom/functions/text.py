@@ -178,6 +178,26 @@ def line_breaks_replaced(text: Column) -> Column:
     return F.regexp_replace(ended, r"[\r\n]+", ". ")
 
 
+def emojis_named(text: Column, names: dict[str, str]) -> Column:
+    """Each emoji as " /name/ ", the longest sequence that the table knows; what it does not know stays. No two slashes meet.
+
+    names: sequence of code points (with joiners, skin tones and selectors as they stand) to its name. Sequences are grouped by
+    their first code point, and looked for only where one of these stands.
+    """
+    code = lambda s: "".join(rf"\x{{{ord(c):X}}}" for c in s)
+    ends: dict[str, list[str]] = {}
+    for sequence in sorted(filter(None, names), key=len, reverse=True):
+        ends.setdefault(sequence[0], []).append(sequence[1:])
+    if ends:
+        begins = f"[{''.join(map(code, ends))}]"
+        pattern = f"(?={begins})(?:" + "|".join(f"{code(first)}(?:{'|'.join(map(code, rest))})" for first, rest in ends.items()) + ")"
+        table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+        named = lambda t: F.transform(found(t, pattern), lambda m: F.concat(F.lit(" /"), F.element_at(table, m), F.lit("/ ")))
+        joined = lambda t: F.array_join(F.flatten(F.zip_with(F.split(t, pattern, -1), named(t), lambda gap, x: F.array(gap, F.coalesce(x, F.lit(""))))), "")
+        text = F.when(text.rlike(begins), joined(text)).otherwise(text)
+    return F.replace(text, F.lit("//"), F.lit("/ /"))
+
+
 def cleaned_spaces(text: Column) -> Column:
     text = F.replace(text, F.lit(" . "), F.lit(". "))
     for pattern, by in ((r"(?U)(?<!\s)\s+([.,;:!?])", "$1"), (r"\.+", "."), (r"(?U)\s+", " ")):
@@ -207,12 +227,14 @@ STEPS = {
 }
 
 
-def normalized(text: Column, preserve_case: bool = False, remove_repeated: bool = True, abbreviations: dict[str, str] | None = None, without: tuple[str, ...] = ()) -> Column:
-    """All steps as one expression; a null text becomes empty."""
+def normalized(text: Column, preserve_case: bool = False, remove_repeated: bool = True, abbreviations: dict[str, str] | None = None, without: tuple[str, ...] = (), emojis: dict[str, str] | None = None) -> Column:
+    """All steps as one expression, with names for emojis and expansions for abbreviations where they are given; a null text becomes empty."""
     text = ensured(text)
     off = {*without, *(["lowercase"] * preserve_case), *(["remove_repeated_characters"] * (not remove_repeated))}
     for name, step in STEPS.items():
         text = text if name in off else step(text)
+        if name == "replace_line_breaks" and emojis is not None:
+            text = emojis_named(text, emojis)
         if name == "remove_repeated_characters" and abbreviations:
             text = expanded(text, abbreviations)
     return text
