@@ -93,7 +93,7 @@ def test_jsonl_round_trip(spark, tmp_path):
     meta, parsed = readers.read_jsonl(spark, str(tmp_path / "out.jsonl"))
     assert {r.id: r.commas for r in readers.wide_values(meta, parsed).collect()} == {"1": 1.0, "2": None, "3": 3.0}
     assert sorted((r.id, r.start, r.end) for r in readers.spans(meta, parsed).collect()) == [("1", 1, 2), ("1", 3, 4), ("3", 1, 2)]
-    assert all(r.violations == 0 for r in audit(meta, parsed).collect())
+    assert all(r.violations == 0 for r in audit(readers.numbered_lines(spark, str(tmp_path / "out.jsonl"))).collect())
     vectors = E.vectors(readers.wide_values(meta, parsed), E.histogram(readers.spans(meta, parsed), readers.source_lengths(parsed, "text"), 2), ["commas"], 2)
     assert {r.id: r.commas__position_total for r in vectors.collect()} == {"1": 2, "2": 0, "3": 1}
     (tmp_path / "bad.jsonl").write_text('{"_type":"document","id":"1"}\n')

@@ -162,7 +162,8 @@ def cache(args) -> None:
 
 
 def check(args) -> None:
-    show(audit(*readers.read_jsonl(session(), args.input, strict=False)), None)
+    found = audit(readers.numbered_lines(session(), args.input))
+    show(found.withColumn("offenders", F.array_join("offenders", "; ")), None)
 
 
 def diff(args) -> None:

@@ -1,23 +1,145 @@
-"""Checks of structured JSON Lines: counts of records that break a rule."""
+"""Checks of structured JSON Lines: every rule is counted in one pass over the lines, with a few offenders of each.
 
-from pyspark.sql import DataFrame
+Lines are read as variants, so the kinds of JSON values are known (a string of digits is no number). Offenders are those with
+the smallest hashes, so their sample does not grow with the violations.
+"""
+
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import readers
+VERSIONS = ("1.0", "1.1")
+#: Offenders that are shown of each rule.
+SHOWN = 3
+# The rules in the order of the report.
+METADATA_RULES = ("metadata is missing or repeated", "version is unknown", "dimensions are no list", "dimension is declared twice", "dimension has no metadata", "metadata of no dimension", "descriptor is no mapping", "descriptor lacks a field")
+LINE_RULES = (
+    "line is no JSON", "record is unknown", "identifier is missing", "identifier is repeated", "dimensions are no mapping", "dimension is missing", "dimension is unexpected",
+    "lengths are no mapping", "length is no count", "dimension is no mapping", "value is missing", "numerator is no number", "denominator is no number", "evidence is no list", "evidence is missing",
+    "numerator is not the number of spans", "length of the source is missing", "span is no mapping", "start is no count", "end is no count", "span ends before it starts", "span ends beyond its text",
+)
+NUMBER, COUNT = r"^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "BIGINT"
+
+
+def kind(v: Column, path: str = "$") -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a kind of number; null where there is nothing."""
+    found = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.regexp_extract(found, r"^[A-Z]+(?:\(.*\))?", 0)
+
+
+def count_at(v: Column, path: str) -> Column:
+    """A whole number that is not negative, or null."""
+    number = F.try_variant_get(v, path, "bigint")
+    return F.when((kind(v, path) == COUNT) & (number >= 0), number)
+
+
+def problem(rule: str, wrong: Column, detail: Column | str = "") -> Column:
+    return F.when(wrong, F.struct(F.lit(rule).alias("rule"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
+
 
+def metadata_problems(meta: dict | None) -> list[tuple[str, str]]:
+    """(rule, detail) of the one metadata record."""
+    if meta is None:
+        return [("metadata is missing or repeated", "")]
+    found = [] if meta.get("schema_version") in VERSIONS else [("version is unknown", str(meta.get("schema_version")))]
+    names, of = meta.get("dimensions"), meta.get("dimension_metadata")
+    if not isinstance(names, list):
+        return [*found, ("dimensions are no list", "")]
+    found += [("dimension is declared twice", d) for k, d in enumerate(names) if d in names[:k]]
+    of = of if isinstance(of, dict) else {}
+    found += [("dimension has no metadata", d) for d in dict.fromkeys(names) if not isinstance(of.get(d), dict)]
+    found += [("metadata of no dimension", d) for d in of if d not in names]
+    for d, own in of.items():
+        if isinstance(own, dict) and own.get("evidence") is not None:
+            if not isinstance(own["evidence"], dict):
+                found.append(("descriptor is no mapping", d))
+            else:
+                found += [("descriptor lacks a field", f"{d}: {f}") for f in ("kind", "source", "unit") if not isinstance(own["evidence"].get(f), str)]
+    return found
 
-def audit(meta: dict, docs: DataFrame) -> DataFrame:
-    """rule and violations: duplicate ids, missing and unexpected dimensions, spans out of order or out of their text."""
-    declared = F.array(*map(F.lit, meta["dimensions"]))
-    key = F.coalesce("id", F.col("row").cast("string"))
-    rows = docs.agg(
-        (F.count("*") - F.count_distinct(key)).alias("duplicate ids"),
-        F.count_if(F.size(F.array_except(declared, F.map_keys("dimensions"))) > 0).alias("missing dimensions"),
-        F.count_if(F.size(F.array_except(F.map_keys("dimensions"), declared)) > 0).alias("unexpected dimensions"),
+
+def of_span(span: Column, length: Column, name: Column) -> Column:
+    start, end = count_at(span, "$.start"), count_at(span, "$.end")
+    return F.array(
+        problem("span is no mapping", kind(span) != "OBJECT", name),
+        problem("start is no count", (kind(span) == "OBJECT") & start.isNull(), name),
+        problem("end is no count", (kind(span) == "OBJECT") & end.isNull(), name),
+        problem("span ends before it starts", end < start, name),
+        problem("span ends beyond its text", end > length, name),
     )
-    spans = readers.spans(meta, docs)
-    longest = docs.select(key.alias("of"), F.array_max(F.map_values("reference_lengths")).alias("longest"))
-    bad = spans.join(longest, spans["id"] == F.col("of"), "left").agg(F.count_if((F.col("start") < 0) | (F.col("end") < F.col("start"))).alias("spans out of order"), F.count_if(F.col("end") > F.col("longest")).alias("spans out of their text"))
-    both = rows.crossJoin(bad)  # one row each
-    each = F.array(*(F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("bigint").alias("violations")) for c in both.columns))
-    return both.select(F.explode(each).alias("x")).select("x.*")
+
+
+def of_dimension(name: Column, d: Column, lengths: Column, sources: Column, counted: Column) -> Column:
+    """The problems of one dimension of a document; sources: dimension to the source of its evidence, counted: those whose numerators count spans."""
+    source = F.try_element_at(sources, name)
+    of_source = F.try_element_at(F.try_variant_get(lengths, "$", "map<string,variant>"), source)
+    length = count_at(of_source, "$")
+    spans = F.try_variant_get(d, "$.evidence", "array<variant>")
+    listed, mapping = kind(d, "$.evidence") == "ARRAY", kind(d) == "OBJECT"
+    bad = lambda path: mapping & ~kind(d, path).rlike(NUMBER) & ~kind(d, path).isin("VOID")
+    numerator = F.try_variant_get(d, "$.numerator", "double")
+    own = F.array(
+        problem("dimension is no mapping", ~mapping & ~kind(d).rlike(NUMBER) & (kind(d) != "VOID"), name),
+        problem("value is missing", mapping & kind(d, "$.value").isNull(), name),
+        problem("numerator is no number", bad("$.numerator"), name),
+        problem("denominator is no number", bad("$.denominator"), name),
+        problem("evidence is no list", mapping & kind(d, "$.evidence").isNotNull() & ~listed, name),
+        problem("evidence is missing", mapping & source.isNotNull() & kind(d, "$.evidence").isNull(), name),
+        problem("numerator is not the number of spans", listed & F.array_contains(counted, name) & ~numerator.eqNullSafe(F.size(spans).cast("double")), name),
+        problem("length of the source is missing", listed & source.isNotNull() & of_source.isNull(), name),
+    )
+    return F.concat(own, F.when(listed, F.flatten(F.transform(spans, lambda s: of_span(s, length, name)))).otherwise(F.slice(own, 1, 0)))
+
+
+def line_problems(v: Column, names: list[str], sources: dict[str, str], counted: list[str]) -> Column:
+    """All problems of one document line but repeated identifiers."""
+    text = "CAST(array() AS array<string>)"
+    declared = F.array(*map(F.lit, names)) if names else F.expr(text)
+    of = F.create_map(*(F.lit(x) for pair in sources.items() for x in pair)) if sources else F.expr("CAST(map() AS map<string,string>)")
+    counts = F.array(*map(F.lit, counted)) if counted else F.expr(text)
+    dims, lengths = F.try_variant_get(v, "$.dimensions", "map<string,variant>"), F.try_variant_get(v, "$.reference_lengths", "variant")
+    each = F.try_variant_get(lengths, "$", "map<string,variant>")
+    mapping = kind(v, "$.dimensions") == "OBJECT"
+    missing, odd = F.array_except(declared, F.map_keys(dims)), F.array_except(F.map_keys(dims), declared)
+    own = F.array(
+        problem("record is unknown", ~F.coalesce(F.try_variant_get(v, "$._type", "string") == "document", F.lit(False))),
+        problem("identifier is missing", F.coalesce(kind(v, "$.id"), F.lit("VOID")).isin("VOID") & F.coalesce(kind(v, "$.row"), F.lit("VOID")).isin("VOID")),
+        problem("dimensions are no mapping", ~F.coalesce(mapping, F.lit(False))),
+        problem("lengths are no mapping", kind(v, "$.reference_lengths") != "OBJECT"),
+    )
+    none = F.slice(own, 1, 0)
+    more = [
+        F.when(mapping, F.transform(missing, lambda d: F.struct(F.lit("dimension is missing").alias("rule"), d.alias("detail")))).otherwise(none),
+        F.when(mapping, F.transform(odd, lambda d: F.struct(F.lit("dimension is unexpected").alias("rule"), d.alias("detail")))).otherwise(none),
+        F.when(each.isNotNull(), F.transform(F.map_entries(each), lambda e: problem("length is no count", count_at(e["value"], "$").isNull(), e["key"]))).otherwise(none),
+        F.when(mapping, F.flatten(F.transform(F.map_entries(dims), lambda e: of_dimension(e["key"], e["value"], lengths, of, counts)))).otherwise(none),
+    ]
+    return F.filter(F.concat(own, *more), lambda p: p.isNotNull())
+
+
+def audit(lines: DataFrame) -> DataFrame:
+    """rule, violations and offenders (place and detail of a few) of all rules; lines: place (such as file:line) and value."""
+    parsed = lines.where(F.trim("value") != "").select("place", F.try_parse_json("value").alias("v"))
+    record = F.try_variant_get("v", "$._type", "string") == "metadata"
+    heads = parsed.where(record).select(F.to_json("v").alias("v")).limit(2).collect()
+    meta = json.loads(heads[0].v) if len(heads) == 1 else None
+    names = meta["dimensions"] if meta and isinstance(meta.get("dimensions"), list) else []
+    of = {d: x["evidence"] for d, x in ((meta or {}).get("dimension_metadata") or {}).items() if isinstance(x, dict) and isinstance(x.get("evidence"), dict)}
+    sources = {d: e["source"] for d, e in of.items() if isinstance(e.get("source"), str)}
+    counted = [d for d, e in of.items() if e.get("cardinality") == "numerator"]
+    docs = parsed.where(~F.coalesce(record, F.lit(False)))
+    broken = F.array(F.struct(F.lit("line is no JSON").alias("rule"), F.lit("").alias("detail")))
+    found = docs.select("place", F.explode(F.when(F.col("v").isNull(), broken).otherwise(line_problems(F.col("v"), names, sources, counted))).alias("p")).select("place", "p.*")
+    key = F.coalesce(F.try_variant_get("v", "$.id", "string"), F.try_variant_get("v", "$.row", "string"))
+    repeated = docs.select("place", key.alias("detail")).where("detail IS NOT NULL").groupBy("detail").agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n > 1")
+    own = found.sparkSession.createDataFrame([(r, "metadata", d) for r, d in metadata_problems(meta)], "rule string, place string, detail string")
+    one = F.lit(1).cast("bigint")
+    every = found.select("rule", "place", "detail", one.alias("n")).union(repeated.select(F.lit("identifier is repeated"), "place", "detail", F.col("n") - 1)).union(own.select("rule", "place", "detail", one))
+    shown = [F.min(F.struct(F.xxhash64(F.lit(k), "place", "detail"), "place", "detail")).alias(f"x{k}") for k in range(SHOWN)]
+    sums = every.groupBy("rule").agg(F.sum("n").alias("violations"), *shown)
+    offenders = F.array_distinct(F.array(*(F.concat_ws(" ", f"x{k}.place", f"x{k}.detail") for k in range(SHOWN))))
+    rules = found.sparkSession.createDataFrame([(r,) for r in (*METADATA_RULES, *LINE_RULES)], "of_rule string")
+    joined = F.broadcast(rules).join(sums, F.col("of_rule") == F.col("rule"), "left")  # a row for each rule
+    none = F.expr("CAST(array() AS array<string>)")
+    return joined.select(F.col("of_rule").alias("rule"), F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"), F.when(F.col("violations").isNotNull(), offenders).otherwise(none).alias("offenders"))

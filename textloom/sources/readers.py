@@ -69,11 +69,46 @@ def read_stdin(spark: SparkSession, text_col: str = "text", id_col: str = "id")
     return documents(spark.createDataFrame([(0, whole)], f"{id_col} bigint, {text_col} string"), text_col, id_col)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), place (file:line) and value of text files, numbered without a sort of all lines.
+
+    Lines are counted by file and block; where a block begins is the sum of those before it in its file.
+    """
+    from pyspark.sql import Window
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select(F.col("file").alias("of_file"), F.col("block").alias("of_block"), "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    joined = lines.join(base, (F.col("file") == F.col("of_file")) & (F.col("block") == F.col("of_block")))
+    line = F.col("before") + F.col("at") - F.col("first") + 1
+    return joined.select("file", line.alias("line"), F.concat_ws(":", "file", line).alias("place"), "value")
+
+
+def check_lines(lines: DataFrame) -> None:
+    """Raises an error that names the first line that is no JSON (or repeats a key), is of an unknown record, or stands before the metadata."""
+    parsed = F.try_parse_json("value")
+    record = F.coalesce(F.try_variant_get(parsed, "$._type", "string"), F.lit(""))
+    rows = lines.where(F.trim("value") != "").select("file", "line", F.when(parsed.isNull(), "broken").otherwise(record).alias("record"))
+    first = rows.groupBy("record").agg(F.min(F.struct("file", "line")).alias("at"), F.count("*").alias("n")).orderBy("record")
+    found = {r.record: r for r in first.limit(100).collect()}  # a row for each kind of record
+    said = lambda r: f"{r.at.file}:{r.at.line}"
+    if "broken" in found:
+        raise ValueError(f"{said(found['broken'])}: no JSON, or a key stands twice")
+    for record in found.keys() - {"metadata", "document"}:
+        raise ValueError(f"{said(found[record])}: unknown record {record!r}")
+    if "metadata" in found and "document" in found and tuple(found["document"].at) < tuple(found["metadata"].at):
+        raise ValueError(f"{said(found['document'])}: a document stands before the metadata")
+
+
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True) -> tuple[dict, DataFrame]:
     """The metadata record and the documents of structured JSON Lines: id, row, reference_lengths, dimensions (text of each).
 
-    strict also refuses unknown versions and dimensions that the metadata does not declare.
+    strict also refuses lines that are no JSON or repeat a key, documents before the metadata (all with file and line), unknown
+    versions and dimensions that the metadata does not declare.
     """
+    if strict:
+        check_lines(numbered_lines(spark, path))
     lines = spark.read.text(path).where(F.trim("value") != "")
     kinds = lines.select(F.get_json_object("value", "$._type").alias("kind")).groupBy("kind").count().collect()  # a row for each type
     counts = {r.kind: r["count"] for r in kinds}
