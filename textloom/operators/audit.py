@@ -9,6 +9,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 VERSIONS = ("1.0", "1.1")
 #: Offenders that are shown of each rule.
 SHOWN = 3
@@ -129,8 +131,11 @@ def audit(lines: DataFrame) -> DataFrame:
     sources = {d: e["source"] for d, e in of.items() if isinstance(e.get("source"), str)}
     counted = [d for d, e in of.items() if e.get("cardinality") == "numerator"]
     docs = parsed.where(~F.coalesce(record, F.lit(False)))
+    raw = lines.where(F.trim("value") != "")
     broken = F.array(F.struct(F.lit("line is no JSON").alias("rule"), F.lit("").alias("detail")))
-    found = docs.select("place", F.explode(F.when(F.col("v").isNull(), broken).otherwise(line_problems(F.col("v"), names, sources, counted))).alias("p")).select("place", "p.*")
+    is_head = lambda v: F.coalesce(F.try_variant_get(v, "$._type", "string") == "metadata", F.lit(False))
+    of_line = lambda v: F.when(v.isNull(), broken).when(~is_head(v), line_problems(v, names, sources, counted))
+    found = raw.select("place", F.explode_outer(let(F.try_parse_json("value"), of_line)).alias("p")).where("p IS NOT NULL").select("place", "p.*")  # each line is parsed once
     key = F.coalesce(F.try_variant_get("v", "$.id", "string"), F.try_variant_get("v", "$.row", "string"))
     repeated = docs.select("place", key.alias("detail")).where("detail IS NOT NULL").groupBy("detail").agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n > 1")
     own = found.sparkSession.createDataFrame([(r, "metadata", d) for r, d in metadata_problems(meta)], "rule string, place string, detail string")
