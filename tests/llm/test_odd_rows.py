@@ -68,8 +68,7 @@ def test_word_ids_match_the_library():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
-    rng, kit = random.Random(1), [*"aAbé É1²½ \t\n\r\x0b\x0c\x1c\x85\xa0 ́'’.,!<>|İΣςß漢😀", "'s", " <|endoftext|> "]
+    rng, kit = random.Random(1), [*"aAbé É1²½ \t\n\r\x0b\x0c\x1c\x85\xa0 ́'’.,!<>|İΣςß漢😀", "'s", " <|endoftext|> ", "<|startoftext|>", "<|EndOfText|>", "<unk>"]
     texts = ["".join(rng.choice(kit) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     ids, bounds = orc_tokens.encode_texts(pa.array(texts), WORDS)
     for k, text in enumerate(texts):
@@ -96,6 +95,25 @@ def test_orc_round_trip(spark, docs):
     assert orc_tokens.digests(orc_tokens.read(spark, empty)).count() == 0
 
 
+def rows_read(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "Adaptive" in plan.getClass().getName() else plan
+    return plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def test_orc_filters_skip_row_groups_and_files(spark):
+    """A filter on doc_id reads one row group by the index, none where the Bloom filter says no, and only files whose range fits."""
+    texts = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    path = fresh_path(spark, "orc")
+    orc_tokens.write(texts, path, WORDS, 2, 2)
+    tokens = orc_tokens.read(spark, path)
+    assert rows_read(tokens.where("doc_id = 12344").select("n_tokens")) == orc_tokens.INDEX_ROWS
+    absent = [rows_read(tokens.where(f"doc_id = {k}").select("n_tokens")) for k in range(12_341, 12_361, 2)]
+    assert absent.count(0) >= 8  # the chance of a wrong yes is 1 %
+    assert rows_read(tokens.where("doc_id > 39000").select("n_tokens")) <= 2 * orc_tokens.INDEX_ROWS  # groups that begin before and after
+
+
 def test_warc(spark):
     html = "<p>" + "é" * 200
     rows = [(1, "http://a/", html, 1), (2, None, html, 2), (3, "http://b/ \r\nX: y", "short", 3), (4, "u", None, 4), (5, "u", "", 5), (6, "u", "short", 6), (None, "u", html, 7), (7, "u", "x\r\n\r\ny" * 50_000, 8), (1, "u", html, 9)]

@@ -3,7 +3,7 @@
 Each file holds an ascending range of document ids, so readers prune files and stripes by their min and max,
 row groups by the row index and the Bloom filter on doc_id, and read stripes in parallel.
 
-Cases: a null text is empty (only the end id is stored); null document ids come first, in one run; repeated
+Cases: the string of a special token in a text is that token, as the library has it; a null text is empty (only the end id is stored); null document ids come first, in one run; repeated
 ids keep all their rows, in the order of their texts' hashes; extra columns are ignored; an empty table writes
 an empty one.
 """
@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Entries of a worker's cache of encoded words; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Files of one table at most, and so rows of the table of their totals.
 MAX_PARTS = 200_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 #: Rows between two entries of ORC's row index, and with them Bloom filters.
 INDEX_ROWS = 2_000
 
@@ -34,9 +34,10 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found, {}
+    plain, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    words.encode_special_tokens = True  # words are lowered before they come here, so the string of an added token is only text
+    added = [x.content for x in plain.get_added_tokens_decoder().values()]
+    return plain, words, added, {}
 
 
 def _core(word: str) -> str:
@@ -47,7 +48,7 @@ def _core(word: str) -> str:
 
 def _learn(words: list[str], path: str) -> dict[str, bytes]:
     """The worker's cache (word to its ids as little-endian 32-bit integers), now with all these words."""
-    tokenizer, cache = _tokenizer(path)
+    _, tokenizer, _, cache = _tokenizer(path)
     if len(cache) > CACHE_WORDS:
         cache.clear()
     parts = {w: (core, w[len(core) :]) for w in words if w not in cache for core in (_core(w),)}
@@ -70,9 +71,31 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple
     """The ids of all texts in one array, and where those of each text begin, with the total at the end.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn;
-    each distinct word is encoded once. ASCII letters are lowered first, which the tokenizer does anyway.
+    each distinct word is encoded once. ASCII letters are lowered first, which the tokenizer does anyway. A text that holds
+    the string of an added token goes to the library whole, which finds these before all else.
     """
-    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    plain, _, added, _ = _tokenizer(path)
+    special = np.flatnonzero(np.logical_or.reduce([pc.match_substring(texts, x).to_numpy(zero_copy_only=False) for x in added])) if added and len(texts) else []
+    whole = {}
+    if len(special):
+        for row in special.tolist():
+            whole[row] = np.asarray(plain.encode(texts[row].as_py(), add_special_tokens=False).ids, dtype="<i4")
+        keep = np.ones(len(texts), bool)
+        keep[special] = False
+        texts = pc.if_else(pa.array(keep), texts, "")
+    ids, bounds = _encode_words(texts, path)
+    if whole:
+        parts = [whole.get(k, ids[bounds[k] : bounds[k + 1]]) for k in range(len(texts))]
+        ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    if end_id is not None:
+        ids = np.insert(ids, bounds[1:], np.int32(end_id))
+        bounds = bounds + np.arange(len(bounds))
+    return ids, bounds
+
+
+def _encode_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     begins = words.offsets.to_numpy() - words.offsets[0].as_py()
     coded = words.flatten().dictionary_encode()
     distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
@@ -83,11 +106,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None = None) -> tuple
     each = sizes[which]
     ends = np.cumsum(each)
     ids = pool[np.repeat(at[which] - (ends - each), each) + np.arange(int(each.sum()))]
-    bounds = np.concatenate([np.zeros(1, np.int64), ends])[begins]
-    if end_id is not None:
-        ids = np.insert(ids, bounds[1:], np.int32(end_id))
-        bounds = bounds + np.arange(len(bounds))
-    return ids, bounds
+    return ids, np.concatenate([np.zeros(1, np.int64), ends])[begins]
 
 
 def slices(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
