@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache of encoded words; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+#: Entries of each of the two generations of a worker's cache of encoded words; words in use move on to the younger one.
+CACHE_WORDS = 500_000
 #: Files of one table at most, and so rows of the table of their totals.
 MAX_PARTS = 200_000
 #: Bytes of text that are encoded at once.
@@ -37,7 +37,7 @@ def _tokenizer(path: str):
     plain, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
     words.encode_special_tokens = True  # words are lowered before they come here, so the string of an added token is only text
     added = [x.content for x in plain.get_added_tokens_decoder().values()]
-    return plain, words, added, {}
+    return plain, words, added, [{}, {}]
 
 
 def _core(word: str) -> str:
@@ -48,9 +48,12 @@ def _core(word: str) -> str:
 
 def _learn(words: list[str], path: str) -> dict[str, bytes]:
     """The worker's cache (word to its ids as little-endian 32-bit integers), now with all these words."""
-    _, tokenizer, _, cache = _tokenizer(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
+    _, tokenizer, _, generations = _tokenizer(path)
+    if len(generations[0]) > CACHE_WORDS:
+        generations[:] = [{}, generations[0]]
+    cache, older = generations
+    if older:
+        cache.update((w, older[w]) for w in words if w not in cache and w in older)
     parts = {w: (core, w[len(core) :]) for w in words if w not in cache for core in (_core(w),)}
     pieces = [p for p in dict.fromkeys(x for both in parts.values() for x in both if x) if p not in cache]
     cache[""] = b""
