@@ -22,10 +22,20 @@ def items_of(sentence: Column) -> Column:
     return F.split(sentence, ", ")
 
 
+#: Stands between the fields of an item while it is taken apart.
+CUT = "\ue002"
+
+
+def fields(items: Column, pattern: str) -> Column:
+    """The three groups of each item that fits the pattern; one pass of the pattern an item, null for others."""
+    cut = F.transform(items, lambda x: F.split(F.regexp_replace(F.replace(x, F.lit(CUT), F.lit("")), pattern, f"$1{CUT}$2{CUT}$3"), CUT))
+    return F.transform(cut, lambda x: F.when(F.size(x) == 3, x))
+
+
 def pos_items(column: Column) -> Column:
-    """word, tag and feats (array) of every well-formed item, sentence by sentence in one array."""
-    items = F.flatten(F.transform(tagged_sentences(column), items_of))
-    return F.transform(F.filter(items, lambda x: x.rlike(POS_ITEM)), pos_item)
+    """word, tag and feats (as they stand: A=x|B=y) of every well-formed item, sentence by sentence in one array."""
+    items = F.filter(fields(F.flatten(F.transform(tagged_sentences(column), items_of)), POS_ITEM), lambda x: x.isNotNull())
+    return F.transform(items, lambda x: F.struct(F.get(x, F.lit(0)).alias("word"), F.get(x, F.lit(1)).alias("tag"), F.get(x, F.lit(2)).alias("feats")))
 
 
 def pos_item(x: Column) -> Column:
@@ -34,20 +44,22 @@ def pos_item(x: Column) -> Column:
 
 
 def pos_matches(item: Column, tags: list[str], feats: list[str]) -> Column:
-    """One of the tags (any, if none is named) and all feats; nothing matches where neither is named."""
+    """One of the tags (any, if none is named) and all feats; nothing matches where neither is named. Of an item of pos_items()."""
     if not tags and not feats:
         return F.lit(False)
-    tagged = item["tag"].isin(tags) if tags else F.lit(True)
-    return tagged & (F.size(F.array_except(F.array(*map(F.lit, feats)), item["feats"])) == 0 if feats else F.lit(True))
+    found = item["tag"].isin(tags) if tags else F.lit(True)
+    for feat in feats:
+        found = found & F.concat(F.lit("|"), item["feats"], F.lit("|")).contains(f"|{feat}|")
+    return found
 
 
 def dep_sentences(column: Column) -> Column:
     """For each sentence the items with place (from 1, malformed items count), relation and head."""
 
     def parsed(sentence: Column) -> Column:
-        placed = F.transform(items_of(sentence), lambda x, i: F.struct((i + 1).alias("place"), x.alias("item")))
-        good = F.filter(placed, lambda x: x["item"].rlike(DEP_ITEM))
-        return F.transform(good, lambda x: F.struct(x["place"].alias("place"), F.regexp_extract(x["item"], DEP_ITEM, 2).alias("relation"), F.regexp_extract(x["item"], DEP_ITEM, 3).cast("int").alias("head")))
+        placed = F.transform(fields(items_of(sentence), DEP_ITEM), lambda x, i: F.struct((i + 1).alias("place"), x.alias("item")))
+        good = F.filter(placed, lambda x: x["item"].isNotNull())
+        return F.transform(good, lambda x: F.struct(x["place"].alias("place"), F.get(x["item"], F.lit(1)).alias("relation"), F.get(x["item"], F.lit(2)).cast("int").alias("head")))
 
     return F.transform(tagged_sentences(column), parsed)
 

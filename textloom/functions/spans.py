@@ -5,7 +5,7 @@ whose running sums are the places; those are taken in chunks of chunks, so that
 Places count characters from 0, ends are exclusive.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import annotations as A
@@ -53,6 +53,14 @@ def spans(text: Column, pattern: str | Column) -> Column:
     return let(text, lambda t: let(F.struct(F.split(t, of, -1).alias("pieces"), F.regexp_extract_all(t, of, F.lit(0)).alias("matches")), placed))
 
 
+def exploded(docs: DataFrame, key: Column, found: Column) -> DataFrame:
+    """key and x, a row for each element of an array that is costly to make.
+
+    The plain explode lets the optimizer filter by the array's size, which makes it once more; the outer one does not.
+    """
+    return docs.select(key, F.explode_outer(found).alias("x")).where("x IS NOT NULL")
+
+
 def token_spans(text: Column) -> Column:
     """start, end and text (in lower case) of the lexical tokens."""
     return F.transform(spans(text, LEXICAL), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["text"]).alias("text")))

@@ -19,9 +19,9 @@ def evidence(docs: DataFrame, patterns: dict[str, tuple[str, list[str]]], id_col
     Places count characters. Null texts have none.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    each = [F.struct(F.lit(d).alias("dimension"), S.spans(text(c), java_pattern(p)).alias("all")) for d, (c, every) in patterns.items() for p in every]
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(F.array(*each)).alias("x"))
-    return rows.select("id", "x.dimension", F.explode("x.all").alias("s")).select("id", "dimension", "s.*")
+    named = lambda d, c, p: F.transform(S.spans(text(c), java_pattern(p)), lambda s: F.struct(F.lit(d).alias("dimension"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+    each = [named(d, c, p) for d, (c, every) in patterns.items() for p in every]
+    return S.exploded(docs, F.col(id_col).alias("id"), F.flatten(F.array(*each))).select("id", "x.*")
 
 
 def histogram(spans: DataFrame, lengths: DataFrame, segments: int = 5) -> DataFrame:

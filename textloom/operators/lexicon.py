@@ -173,7 +173,7 @@ def occurrences(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_co
     placed = lexicon if "position" in lexicon.columns else lexicon.withColumn("position", F.lit(0).cast("bigint"))
     spelled = spelled_out(placed, *columns)
     known = docs.sparkSession.createDataFrame(spelled, "dictionary string, is_exception boolean, position bigint, kind string, stem string, times bigint, pattern string")
-    index = docs.select(F.col(id_col).alias("id"), F.explode(S.spans(text, T.LETTER_RUN)).alias("x")).select("id", "x.start", "x.end", "x.text", F.lower("x.text").alias("run"))
+    index = S.exploded(docs, F.col(id_col).alias("id"), S.spans(text, T.LETTER_RUN)).select("id", "x.start", "x.end", "x.text", F.lower("x.text").alias("run"))
     each = lambda rows: rows.select("id", *columns, "start", "end", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__k")).drop("__k")
     found = each(run_hits(index, known, spelled))
     near = sought(docs, index.select("id", "run").distinct(), known, spelled, [*columns, "times"], id_col, text)
@@ -222,7 +222,7 @@ def accepted_spans(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFe
         rows = occurrences(docs, needed, id_col, text_col).join(F.broadcast(of_feature), F.col("dictionary") == F.col("of"))
         found = uncovered(rows.select("id", "feature", "is_exception", "position", "start", "end", "text"), "id", "feature").drop("is_exception")
     if plain:
-        tokens = docs.select(F.col(id_col).alias("id"), F.explode(S.spans(T.ensured(F.col(text_col)), T.LEXICAL)).alias("x")).select("id", "x.*")
+        tokens = S.exploded(docs, F.col(id_col).alias("id"), S.spans(T.ensured(F.col(text_col)), T.LEXICAL)).select("id", "x.*")
         hits = tokens.join(sized(plain_words(lexicon, plain)), F.lower("text") == F.col("word"))
         hits = hits.select("id", "feature", F.lit(0).cast("bigint").alias("position"), "start", "end", "text")
         found = found.unionByName(hits) if found is not None else hits

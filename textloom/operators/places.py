@@ -101,7 +101,8 @@ def of_dialogues(node: Spec, text: Column) -> Column:
 def of_tags(node: Spec, text: Column) -> Column:
     tags = node.listed("tag") or node.listed("pos_tag")
     feats = [x for x in str(node.get("universal", "") or "").split("|") if x]
-    hits = F.filter(S.tag_spans(text), lambda x: A.pos_matches(x, tags, feats))
+    joined = lambda x: {"tag": x["tag"], "feats": F.array_join(x["feats"], "|")}
+    hits = F.filter(S.tag_spans(text), lambda x: A.pos_matches(joined(x), tags, feats))
     return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("text")))
 
 
@@ -127,12 +128,12 @@ def has_places(node: Spec, resources) -> bool:
 def row_wise(docs: DataFrame, nodes: list[Spec], id_col: str) -> DataFrame:
     """The occurrences of row-wise features, one scan for all of them."""
     frame = Frame(docs.columns)
-    each = F.array(*(F.struct(F.lit(n.key).alias("dimension"), PLACES[n.operator](n, frame.text(source_of(n))).alias("all")) for n in nodes))
-    return docs.select(F.col(id_col).alias("id"), F.explode(each).alias("x")).select("id", "x.dimension", F.explode("x.all").alias("s")).select("id", "dimension", "s.*")
+    named = lambda n: F.transform(PLACES[n.operator](n, frame.text(source_of(n))), lambda s: F.struct(F.lit(n.key).alias("dimension"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
+    return S.exploded(docs, F.col(id_col).alias("id"), F.flatten(F.array(*map(named, nodes)))).select("id", "x.*")
 
 
 def placed_runs(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.explode(S.spans(text, T.LETTER_RUN)).alias("x")).select("id", "x.start", "x.end", "x.text")
+    return S.exploded(docs, F.col(id_col).alias("id"), S.spans(text, T.LETTER_RUN)).select("id", "x.start", "x.end", "x.text")
 
 
 def evidence_of(docs: DataFrame, nodes: list[Spec], resources, lexicon_features: Callable[[Spec], L.LexiconFeature], id_col: str = "id") -> DataFrame | None:

@@ -96,8 +96,8 @@ def periphrases(docs: DataFrame, features: dict[str, str], id_col: str = "id", t
     """id and for each key the number of its periphrases; features: key to specification."""
     from ..functions import annotations as A
 
-    tags = A.pos_items(F.col(pos_col)) if pos_col in docs.columns else F.expr("CAST(array() AS array<struct<word:string,tag:string,feats:array<string>>>)")
-    kept = docs.select(F.col(id_col).alias("id"), T.lexical_tokens(T.ensured(F.col(text_col))).alias("tokens"), F.transform(tags, lambda x: x["tag"]).alias("tags"), F.transform(tags, lambda x: F.array_join(x["feats"], "|")).alias("feats"))
+    tags = A.pos_items(F.col(pos_col)) if pos_col in docs.columns else F.expr("CAST(array() AS array<struct<word:string,tag:string,feats:string>>)")
+    kept = docs.select(F.col(id_col).alias("id"), T.lexical_tokens(T.ensured(F.col(text_col))).alias("tokens"), F.transform(tags, lambda x: x["tag"]).alias("tags"), F.transform(tags, lambda x: x["feats"]).alias("feats"))
     id_type = kept.schema["id"].dataType.simpleString()
 
     def run(batches):

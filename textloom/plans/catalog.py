@@ -268,7 +268,7 @@ def placed(name: str, pattern: str, text: str = "text", table: str = "documents"
 
 @query("q_token_spans", f"""WITH {placed("p", TOKEN)} SELECT doc_id, a AS start, b AS "end", lower(v) AS token FROM p""")
 def q_token_spans(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(S.token_spans(F.col("text_raw"))).alias("x"))
+    rows = S.exploded(documents(spark, sf_dir), F.col("doc_id"), S.token_spans(F.col("text_raw")))
     return rows.select("doc_id", "x.start", "x.end", F.col("x.text").alias("token"))
 
 
@@ -278,7 +278,7 @@ t AS (SELECT doc_id, a + length(v) - length(ltrim(v, ' ' || chr(9))) AS a, trim(
 SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(a + length(v) AS INTEGER) AS "end", v AS paragraph FROM t WHERE v <> ''""")
 def q_paragraph_spans(spark, sf_dir):
     spread = F.replace("text_raw", F.lit("\n"), F.lit("\n\n"))
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(S.paragraph_spans(spread)).alias("x"))
+    rows = S.exploded(documents(spark, sf_dir), F.col("doc_id"), S.paragraph_spans(spread))
     return rows.select("doc_id", "x.start", "x.end", F.col("x.text").alias("paragraph"))
 
 
