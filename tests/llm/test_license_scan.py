@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import license_scan
 
@@ -48,6 +49,20 @@ NO_LICENCE = (
     "My sister reserved two rooms by the lake for all of June.",
 )
 
+#: Texts, the families that they grant and those that they only mention; none is a wording that was learned from.
+STATEMENTS = (
+    ("Dual-licensed under the MIT License or the Apache License 2.0", "apache-2.0,mit", ""),
+    ("Nobody may use this under the MIT License any more.", "", "mit"),
+    ("This document stopped being under the Apache License, Version 2.0 in 2019.", "", "apache-2.0"),
+    ("We dropped the GPLv3 and all of our code is closed now.", "", "gpl"),
+    ("We love the MIT License and wrote an essay about it.", "", "mit"),
+    ("The lawyers compared the Mozilla Public License, version 2.0 with other texts for a whole year.", "", "mpl"),
+    ("All rights reserved by the hotel guests were honoured.", "", "reserved"),
+    ("The MIT License", "mit", ""),
+    ("Do not panic. The code is released under the Apache License, Version 2.0.", "apache-2.0", ""),
+)
+BOOST = "Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce, display, distribute,\nexecute, and transmit the Software"
+
 
 @pytest.fixture(scope="module")
 def corpus(spark):
@@ -80,6 +95,38 @@ def test_held_out_wordings(spark, corpus):
     assert set(plain) <= {"", "unknown"} and plain.count("") >= 0.8 * len(NO_LICENCE)
 
 
+def test_grants_and_mentions(spark, corpus):
+    """No text grants what it only mentions, and all families of a paragraph are found."""
+    table = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(STATEMENTS)], "doc_id bigint, text string")
+    rows = {r.doc_id: (r.families, r.mentions) for r in license_scan.licences(table, model=corpus[1]).collect()}
+    for i, (text, families, mentions) in enumerate(STATEMENTS):
+        got = {x for x in rows[i][0].split(",") if x not in ("", "unknown")}
+        assert got == set(filter(None, families.split(","))), (text, rows[i])
+        assert rows[i][1] in (mentions, ""), (text, rows[i])
+
+
+def test_all_families_of_a_paragraph(spark, corpus):
+    """Two licence texts in one paragraph, and a licence that only begins like another."""
+    notice = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    mit = next(t for f, t in HELD_OUT if f == "mit" and "hereby granted" in t)
+    got = found(spark, corpus, [f"{notice}\n{corpus[2](100)}\n{mit}", BOOST])
+    assert set(got[0].split(",")) == {"gpl", "mit"} and got[1] in ("", "unknown")
+
+
+def test_statements(spark):
+    """Sentences by themselves: a grant, a mention, or no name."""
+    from textloom.llm.licence_statements import granted
+
+    names, rows = list(license_scan.NAMES["apache-2.0"]), (
+        ("It is released under the Apache License, Version 2.0.", True), ("It is released under the Apache\nLicense Version 2.0", True), ("Not under the Apache License 2.0!", False),
+        ("This is no toy, it is available under the Apache License 2.0.", True), ("Unlike A, which is under the Apache License 2.0, B is closed.", False), ("Apache 2.0 is a version of a server.", None),
+        ("The Apache License 2.0 was discussed. All of it is licensed under the Apache License 2.0.", True), ("", None), (None, None),
+    )
+    table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = {r.i: r.g for r in table.select("i", granted(F.col("t"), names).alias("g")).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+
+
 def test_corpus(corpus):
     docs, model, _ = corpus
     rows = {r.doc_id: (r.families, list(r.paragraphs)) for r in license_scan.licences(docs, model=model).collect()}

@@ -9,10 +9,15 @@ Beside the families it knows "unknown", legal prose and licence statements of no
 * Calibration: one temperature is fitted on held-out wordings (frames and paragraphs that no fold-0 row uses), and the
   threshold is the probability from which on TARGET_PRECISION of the families predicted there, and confirmed by templates
   that are no held-out wordings, are right.
-* Verdict: a paragraph has a family if its calibrated probability reaches the threshold, a template of that family has at
-  least CONFIRM percent of its word pairs in it, and no other family's template has as large a share; otherwise it is
-  "unknown" if "none" is not the likeliest class. Text that two families have in common is "unknown" too, and nothing is
-  learned from it.
+* Verdict: where the calibrated probability of all families together reaches the threshold, every family that is likelier
+  than "none" and confirmed by its templates is found, so a paragraph can have several. A template confirms its family if
+  CONFIRM percent of its word pairs are there beside those that templates with as large a share explain, of other families
+  or of other legal texts (a name that stands there whole: if a pair is left). Text that two families have in common is
+  "unknown", and nothing is learned from it.
+* Grants and mentions: a name (a template of fewer than NAME pairs) is no licence text. A family that only names confirm is
+  granted if a sentence says so (licence_statements) and no licence text of another family stands in the same piece; else
+  it is a mention.
+* A paragraph without a confirmed family is "unknown" if "none" is not the likeliest class of one of its pieces.
 
 Paragraphs end at blank lines, so hard-wrapped notices stay whole. Long ones are scored in pieces that overlap, all of them;
 a template is never longer than the overlap, so it lies whole in some piece. The vocabulary holds only n-grams of the
@@ -38,6 +43,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licence_statements import granted
 from .storage import written
 
 #: Names of the families in notices, and their identifiers; the texts of most are in licences/<family>.txt.
@@ -104,6 +110,8 @@ OVERSAMPLE = 2
 #: N-grams at most, in how many texts to learn from they must be, and the share of ordinary pieces that may hold them.
 VOCABULARY, LEAST_TEXTS, ORDINARY_SHARE = 1 << 14, 2, 0.01
 CONFIRM = 60
+#: Word pairs from which on a template is licence text and not only a name.
+NAME = 8
 TARGET_PRECISION = 0.95
 #: How often notices count, and the clauses of families that have FEW of them at most.
 REPEATS, FEW = 12, 20
@@ -172,12 +180,12 @@ def wordings() -> list[tuple[str, int, str]]:
 
 
 def template_texts() -> list[tuple[str, int, str]]:
-    """Family, fold (1 for held-out wordings) and text of every template."""
+    """Family ("unknown": other legal text), fold (1 for held-out wordings) and text of every template."""
     texts = []
     for family, names in NAMES.items():
         texts += [(family, 0, name) for name in names] + [(family, 0, name.split(" ", 1)[1]) for name in names if name.startswith(("the ", "a ", "an "))]
         texts += [(family, 0, f"SPDX-License-Identifier: {i}") for i in IDENTIFIERS.get(family, ())] + [(family, 0, t) for t in NOTICES.get(family, ())]
-    return texts + [x for x in clauses() if x[0] != "unknown"]
+    return texts + clauses()
 
 
 @cache
@@ -197,10 +205,11 @@ def telling_clauses() -> list[tuple[str, int, str]]:
 
 
 def templates(spark: SparkSession, folds: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """template (its number), family, size (distinct word pairs) and pair (hash) of the templates; bounded by the texts above."""
+    """template (its number), family, named (whether only a name), size (distinct word pairs) and pair (hash) of the templates; bounded by the texts above."""
     rows = spark.createDataFrame([(k, *x) for k, x in enumerate(template_texts()) if x[1] in folds], "template int, family string, fold int, text string")
-    rows = rows.select("template", "family", pairs_of(words_of(F.col("text"))).alias("pairs"))
-    return rows.select("template", "family", F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
+    rows = rows.select("template", "family", "text", pairs_of(words_of(F.col("text"))).alias("pairs"))
+    named = (F.size("pairs") < NAME) & ~F.col("text").startswith("SPDX")
+    return rows.select("template", "family", named.alias("named"), F.size("pairs").alias("size"), F.explode("pairs").alias("pair"))
 
 
 def pairs_of(words: Column) -> Column:
@@ -209,23 +218,25 @@ def pairs_of(words: Column) -> Column:
     return F.when(F.size(words) == 1, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array_compact(F.array_distinct(both)))
 
 
-def shares(rows: DataFrame, key: list[str], folds: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """key, family and share: the largest share in percent of a template's pairs that words hold, of families with any."""
+def compared(rows: DataFrame, key: list[str], folds: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """key, family, named, size and held (the pairs that words hold) of the templates of which words hold CONFIRM percent."""
     held = rows.select(*key, F.explode(pairs_of(F.col("words"))).alias("own_pair")).distinct()
     hits = held.join(F.broadcast(templates(rows.sparkSession, folds)), F.col("own_pair") == F.col("pair"))  # a few thousand templates' pairs
-    each = hits.groupBy(*key, "template", "family", "size").agg(F.count("*").alias("n"))
-    return each.groupBy(*key, "family").agg(F.max(100.0 * F.col("n") / F.col("size")).alias("share"))
+    each = hits.groupBy(*key, "template", "family", "named", "size").agg(F.collect_set("pair").alias("held"))  # at most size
+    return each.where(100 * F.size("held") >= CONFIRM * F.col("size")).drop("template")
 
 
-def ranked(rows: DataFrame, key: list[str], folds: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """key and ranked: the families' shares, the largest first."""
-    return shares(rows, key, folds).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("share", "family")), asc=False).alias("ranked"))  # families at most
+def confirming(rows: DataFrame, key: list[str], folds: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """key and confirmed: family and named of the templates that confirm their family."""
+    one = F.struct("family", "named", "size", "held", (F.size("held") / F.col("size")).alias("share"))
+    each = compared(rows, key, folds).groupBy(*key).agg(F.collect_list(one).alias("all"))  # templates at most
 
+    def confirms(t: Column) -> Column:
+        others = F.filter("all", lambda u: (u["family"] != t["family"]) & (u["share"] >= t["share"]))
+        left = F.size(F.array_except(t["held"], F.flatten(F.transform(others, lambda u: u["held"]))))
+        return (t["family"] != "unknown") & ((100 * left >= CONFIRM * t["size"]) | (t["named"] & (t["share"] == 1) & (left > 0)))
 
-def is_confirmed(found: Column, family: Column) -> Column:
-    """Whether family alone has the largest of the shares found, and one of CONFIRM percent at least."""
-    most, next_most = F.get(found, F.lit(0)), F.coalesce(F.get(found, F.lit(1))["share"], F.lit(0.0))
-    return F.coalesce((most["family"] == family) & (most["share"] >= CONFIRM) & (most["share"] > next_most), F.lit(False))
+    return each.select(*key, F.transform(F.filter("all", confirms), lambda t: F.struct(t["family"].alias("family"), t["named"].alias("named"))).alias("confirmed"))
 
 
 def class_name(number: Column) -> Column:
@@ -260,7 +271,7 @@ def corpus_sample(docs: DataFrame, text_col: str = "text") -> DataFrame:
     chosen = docs.where(F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40)) < int(min(1.0, share) * (1 << 40)))
     distinct = pieces(paragraphs(chosen, text_col)).select("words").distinct().withColumn("of", F.xxhash64("words"))
     few = written(distinct.orderBy("of", F.concat_ws(" ", "words")).limit(MAX_SAMPLE), "sample")
-    confirmed = shares(few, ["of"]).where(F.col("share") >= CONFIRM).select(F.col("of").alias("gone"))
+    confirmed = compared(few, ["of"]).where("family != 'unknown'").select(F.col("of").alias("gone"))
     return few.join(confirmed, F.col("of") == F.col("gone"), "left_anti").select("words")
 
 
@@ -297,10 +308,12 @@ def calibrated(fitted: LogisticRegressionModel, held_out: DataFrame) -> tuple[fl
     log_sum = lambda t: F.log(F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("best")) / t)))
     losses = rows.agg(*(F.avg(log_sum(t) - (F.get("z", F.col("label")) - F.col("best")) / t).alias(f"t{k}") for k, t in enumerate(TEMPERATURES))).first()
     temperature = min(zip((x if x is not None else math.inf for x in losses), TEMPERATURES, strict=True))[1]
-    named = rows.select("label", F.xxhash64("words").alias("of"), "words", (F.array_position("z", F.col("best")) - 1).cast("int").alias("class"), F.exp(-log_sum(temperature)).alias("p"))
-    compared = ranked(named.dropDuplicates(["of"]), ["of"], (0,)).withColumnRenamed("of", "like")
-    known = named.join(compared, F.col("of") == F.col("like")).where((F.col("class") > 1) & is_confirmed(F.col("ranked"), class_name(F.col("class"))))
-    bins = known.groupBy(F.floor(F.col("p") * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum((F.col("class") == F.col("label")).cast("int")).alias("right"))
+    p = lambda k: F.exp((F.get("z", F.lit(k)) - F.col("best")) / temperature - log_sum(temperature))
+    families = sum((p(k) for k in range(2, fitted.numClasses)), F.lit(0.0))
+    named = rows.select("label", F.xxhash64("words").alias("of"), "words", (F.array_position("z", F.col("best")) - 1).cast("int").alias("class"), families.alias("p"))
+    known = named.join(confirming(named.dropDuplicates(["of"]), ["of"], (0,)).withColumnRenamed("of", "like"), F.col("of") == F.col("like"))
+    known = known.where((F.col("class") > 1) & F.exists("confirmed", lambda x: x["family"] == class_name(F.col("class"))))
+    bins = known.groupBy(F.floor(F.least(F.col("p"), F.lit(1.0)) * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum((F.col("class") == F.col("label")).cast("int")).alias("right"))
     return temperature, threshold(bins.orderBy("bin").collect())  # 101 bins at most
 
 
@@ -314,7 +327,7 @@ def threshold(bins: list) -> float:
 
 
 def classified(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text_hash, paragraph, piece, class and p of every piece whose class is not "none".
+    """doc_id, text_hash, paragraph, piece, class, p and ps (of all classes) of every piece whose class is not "none".
 
     One span of generated code from words to hits: each n-gram is looked up in the vocabulary, and what a piece has of it is
     gathered before any shuffle. Pieces without a weighted n-gram have the class of the largest intercept.
@@ -336,34 +349,61 @@ def classified(rows: DataFrame, model: Model) -> DataFrame:
     summed = held.groupBy(*key).agg(*(F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(len(CLASSES))))
     z = F.array(*(F.lit(b) + F.col(f"s{k}") for k, b in enumerate(model.intercepts)))
     scored = summed.select("doc_id", "text_hash", "paragraph", "piece", z.alias("z")).withColumn("best", F.array_max("z"))
-    p = 1 / F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("best")) / model.temperature))
-    return scored.select("doc_id", "text_hash", "paragraph", "piece", (F.array_position("z", F.col("best")) - 1).cast("int").alias("class"), p.alias("p")).where("class > 0")
+    total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp((x - F.col("best")) / model.temperature))
+    ps = F.transform("z", lambda x: F.exp((x - F.col("best")) / model.temperature) / total)
+    return scored.select("doc_id", "text_hash", "paragraph", "piece", (F.array_position("z", F.col("best")) - 1).cast("int").alias("class"), (1 / total).alias("p"), ps.alias("ps")).where("class > 0")
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, paragraph, family and p of all paragraphs of a confirmed or unknown licence."""
+    """doc_id, text_hash, paragraph, family, granted and p: a row for each family of a paragraph, or one "unknown".
+
+    granted is false where the family is only mentioned.
+    """
     key = ["doc_id", "text_hash", "paragraph", "piece"]
     found = written(classified(paragraphs(docs, text_col), model), "classified")
-    sure = found.where((F.col("class") > 1) & (F.col("p") >= model.threshold)).select(*(F.col(k).alias(f"of_{k}") for k in key))
+    of_families = F.aggregate(F.slice("ps", 3, len(NAMES)), F.lit(0.0), lambda s, x: s + x)
+    sure = found.where(of_families >= model.threshold).select(*(F.col(k).alias(f"of_{k}") for k in key), F.col("ps").alias("of_ps"))
     # The words of these pieces only: their texts are read again, met by id and hash (broadcast by Spark if they are few).
     ids = sure.select("of_doc_id", "of_text_hash").distinct()
     again = docs.select("doc_id", text_col).join(ids, F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.xxhash64(text_col) == F.col("of_text_hash")), "left_semi").distinct()
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
     words = pieces(paragraphs(again, text_col)).join(sure, same[0] & same[1] & same[2] & same[3], "left_semi")
-    best = ranked(words, key).select(*(F.col(k).alias(f"in_{k}") for k in key), "ranked")
-    name = class_name(F.col("class"))
-    joined = found.join(best, F.col("doc_id").eqNullSafe(F.col("in_doc_id")) & (F.col("text_hash") == F.col("in_text_hash")) & (F.col("paragraph") == F.col("in_paragraph")) & (F.col("piece") == F.col("in_piece")), "left")
-    confirmed = (F.col("class") > 1) & (F.col("p") >= model.threshold) & is_confirmed(F.col("ranked"), name)
-    named = joined.select("doc_id", "text_hash", "paragraph", F.when(confirmed, name).otherwise("unknown").alias("family"), "p", "piece")
-    chosen = F.max_by(F.struct("family", "p"), F.struct((F.col("family") != "unknown").alias("sure"), "p", -F.col("piece")))
-    return named.groupBy("doc_id", "text_hash", "paragraph").agg(chosen.alias("x")).select("doc_id", "text_hash", "paragraph", "x.*")
+    best = confirming(words, key).select(*(F.col(k).alias(f"in_{k}") for k in key), "confirmed")
+    met = lambda mark, n: F.col("doc_id").eqNullSafe(F.col(f"{mark}_doc_id")) & (F.col("text_hash") == F.col(f"{mark}_text_hash")) & (F.col("paragraph") == F.col(f"{mark}_paragraph")) & (F.col("piece") == F.col(f"{mark}_piece") if n else F.lit(True))
+    joined = found.withColumn("likely", of_families >= model.threshold).join(best, met("in", 1), "left")
+
+    p_of = lambda family: F.get("ps", (F.array_position(F.array(*map(F.lit, CLASSES)), family) - 1).cast("int"))
+    kept = F.filter(F.coalesce("confirmed", F.expr("CAST(array() AS array<struct<family:string,named:boolean>>)")), lambda x: F.col("likely") & (p_of(x["family"]) > F.get("ps", F.lit(0))))
+    by_text = lambda family: F.exists("kept", lambda y: (y["family"] == family) & ~y["named"])
+    beside = lambda family: F.exists("kept", lambda y: (y["family"] != family) & ~y["named"])
+    rows = joined.withColumn("kept", kept).withColumn("families", F.array_distinct(F.transform("kept", lambda x: x["family"])))
+    facts = F.transform("families", lambda f: F.struct(f.alias("family"), by_text(f).alias("whole"), beside(f).alias("beside"), p_of(f).alias("p")))
+    unknown = F.array(F.struct(F.lit("unknown").alias("family"), F.lit(True).alias("whole"), F.lit(False).alias("beside"), F.col("p").alias("p")))
+    each = rows.select("doc_id", "text_hash", "paragraph", F.explode(F.when(F.size("families") > 0, facts).otherwise(unknown)).alias("x")).select("doc_id", "text_hash", "paragraph", "x.*")
+    each = each.groupBy("doc_id", "text_hash", "paragraph", "family").agg(F.bool_or("whole").alias("whole"), F.bool_or(~F.col("beside")).alias("alone"), F.max("p").alias("p"))
+    each = written(each, "families")
+
+    # Sentences of the paragraphs in which a family is confirmed by its name alone.
+    by_name = each.where(~F.col("whole")).select(F.col("doc_id").alias("at_doc_id"), F.col("text_hash").alias("at_text_hash"), F.col("paragraph").alias("at_paragraph"), "family")
+    lines = again.select("doc_id", F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), PARAGRAPH_END)).alias("paragraph", "lines"))
+    stated = F.coalesce(*(F.when(F.col("family") == f, granted(F.col("lines"), list(names) or ["all rights reserved"], not names)) for f, names in NAMES.items()))
+    says = lines.join(by_name, met("at", 0)).select(*(F.col(k).alias(f"in_{k}") for k in key[:3]), F.col("family").alias("in_family"), stated.alias("stated"))
+    both = each.join(says, met("in", 0) & (F.col("family") == F.col("in_family")), "left")
+    verdict = F.col("whole") | (F.col("alone") & F.coalesce("stated", F.lit(True)))
+    named = both.select("doc_id", "text_hash", "paragraph", "family", verdict.alias("granted"), "p")
+    any_family = named.where("family != 'unknown'").select(*(F.col(k).alias(f"by_{k}") for k in key[:3])).distinct()
+    return named.where("family != 'unknown'").union(named.where("family = 'unknown'").join(any_family, met("by", 0), "left_anti"))
 
 
 def licences(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """doc_id, families (sorted, comma-separated, empty if none), n_paragraphs and paragraphs (numbers) of every document."""
+    """doc_id, families (sorted, comma-separated, empty if none), paragraphs (their numbers) and mentions (families that are named
+    but not granted anywhere in it, likewise) of every document."""
     model = model or trained(docs.sparkSession, docs, text_col)
     found = scan(docs, model, text_col).groupBy(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_hash"))
-    found = found.agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.array_sort(F.collect_set("paragraph")).alias("paragraphs"))
+    own = lambda cond, c: F.array_sort(F.collect_set(F.when(cond, F.col(c))))
+    found = found.agg(own(F.col("granted"), "family").alias("families"), own(F.col("granted"), "paragraph").alias("paragraphs"), own(~F.col("granted"), "family").alias("mentions"))
     rows = docs.select("doc_id", F.xxhash64(text_col).alias("text_hash"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_hash")), "left")
-    return joined.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("paragraphs", F.expr("CAST(array() AS array<int>)")).alias("paragraphs"))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    paragraphs_of = F.coalesce("paragraphs", F.expr("CAST(array() AS array<int>)")).alias("paragraphs")
+    return joined.select("doc_id", listed(F.col("families")).alias("families"), paragraphs_of, listed(F.array_except("mentions", "families")).alias("mentions"))
