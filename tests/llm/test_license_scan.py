@@ -121,12 +121,23 @@ def test_statements(spark):
         ("It is released under the Apache License, Version 2.0.", True), ("It is released under the Apache\nLicense Version 2.0", True), ("Not under the Apache License 2.0!", False),
         ("This is no toy, it is available under the Apache License 2.0.", True), ("Unlike A, which is under the Apache License 2.0, B is closed.", False), ("Apache 2.0 is a version of a server.", None),
         ("The Apache License 2.0 was discussed. All of it is licensed under the Apache License 2.0.", True), ("", None), (None, None),
+        ("We never met.\nlicensed under the Apache License 2.0.\nnot a word of a licence follows", True), ("Licensed under the Apache License, Version\n2.0", True),
     )
     table = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
     got = {r.i: r.g for r in table.select("i", granted(F.col("t"), names).alias("g")).collect()}
     assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
 
 
+def test_reserved_statements(spark):
+    """A line of lower-case words behind the statement does not make it a mention."""
+    from textloom.llm.licence_statements import granted
+
+    rows = (("All rights reserved.\nbut many | small | words | stand | in the | table below", True), ("All rights reserved by the hotel guests were honoured.", False), ("The rights are reserved.", None))
+    table = spark.createDataFrame(list(enumerate(t for t, _ in rows)), "i int, t string")
+    got = {r.i: r.g for r in table.select("i", granted(F.col("t"), ["all rights reserved"], True).alias("g")).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+
+
 def test_corpus(corpus):
     docs, model, _ = corpus
     rows = {r.doc_id: (r.families, list(r.paragraphs)) for r in license_scan.licences(docs, model=model).collect()}

@@ -21,12 +21,14 @@ FAR = r"\b(?:unlike|except for|apart from|other than|in contrast to)\b"
 TAKEN_BACK = r"^(?: ,)? (?:any ?more|no longer|does not|do not|did not|is not|are not|was not|has not|never|until|was dropped|was withdrawn)\b| (?:any more|anymore|no longer)$"
 #: Words that a sentence may have beside the name and still be a heading, and behind "all rights reserved".
 HEADING, RESERVED = 4, 5
-END = " | "
 
 
 def spelled(text: Column) -> Column:
-    """text as lower-case words with one space between, a comma as a word and END where a sentence ends."""
-    ended = F.regexp_replace(text, r"""[.!?;]+["')\]]*\s+(?=["'(\[]*[\p{Lu}©])|[.!?;\s]+$""", " \u0001 ")
+    """text as lower-case words with one space between, a comma as a word and | where a sentence ends.
+
+    It ends at a stop before a capital letter, and at one that ends a line unless a digit follows.
+    """
+    ended = F.regexp_replace(text, r"""[.!?;]+["')\]]*(?:\s+(?=["'(\[]*[\p{Lu}©])|[ \t\r]*\n\s*(?!\d))|[.!?;\s]+$""", " \u0001 ")
     comma = F.regexp_replace(F.lower(ended), r"[ \t]*,", " \u0002 ")
     words = F.regexp_replace(comma, r"[^\p{L}\p{N}\x01\x02©]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(words, "\u0001", "|"), "\u0002", ","))
