@@ -144,7 +144,31 @@ def test_trees(tmp_path, spark, capsys):
     options.run(options)
     options = cli.parser().parse_args(["position", str(tmp_path / "x.jsonl"), "--dimension", "commas"])
     options.run(options)
-    assert "commas" in capsys.readouterr().out
+    one = json.loads(capsys.readouterr().out)
+    assert (one["dimension"], one["document_count"], one["documents_with_evidence"], one["occurrence_counts"]) == ("commas", 2, 1, [0, 1, 0])  # its middle is 1.5 of 4
+    assert (one["occurrence_delta"], one["mean_document_delta"]) == (0.0, 0.0)
+    options = cli.parser().parse_args(["position", str(tmp_path / "x.jsonl"), "--output", str(tmp_path / "position.json")])
+    options.run(options)
+    assert [x["dimension"] for x in json.loads((tmp_path / "position.json").read_text())] == ["words", "commas", "total", "ratio", "len"]
+    options = cli.parser().parse_args(["position", str(tmp_path / "x.jsonl"), "--dimension", "nothing"])
+    with pytest.raises(ValueError, match="not declared"):
+        options.run(options)
+    options = cli.parser().parse_args(["vectorize", str(tmp_path / "x.jsonl")])
+    options.run(options)
+    assert "commas__position_share_5" in capsys.readouterr().out
+
+
+def test_position_report(spark):
+    """Documents without a span, of length zero and without a length; a dimension without any span."""
+    spans = spark.createDataFrame([("a", "d", 0, 2), ("a", "d", 8, 10), ("a", "d", 9, 10), ("b", "d", 1, 2)], "id string, dimension string, start int, end int")
+    lengths = spark.createDataFrame([("a", 10), ("b", 10), ("c", 7), ("z", 0), ("n", None)], "id string, length int")
+    d, none = E.position_report(E.histogram(spans, lengths, 2), lengths, ["d", "none", "d"], 2).orderBy("dimension").collect()
+    assert (d.document_count, d.documents_with_evidence, d.total_occurrences, d.occurrence_counts) == (4, 2, 4, [2, 2])
+    assert d.mean_document_shares == pytest.approx([2 / 3, 1 / 3]) and d.occurrence_shares == [0.5, 0.5]
+    assert (d.occurrence_delta, d.mean_document_delta) == pytest.approx((0.0, -1 / 3))
+    assert (none.document_count, none.documents_with_evidence, none.occurrence_counts, none.occurrence_shares, none.occurrence_delta) == (4, 0, [0, 0], [0.0, 0.0], None)
+    empty = E.position_report(E.histogram(spans.limit(0), lengths.limit(0), 2), lengths.limit(0), ["d"], 2).collect()
+    assert [(r.document_count, r.total_occurrences, r.mean_document_delta) for r in empty] == [(0, 0, None)]
 
 
 def test_stream(spark, tmp_path):

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .operators import evidence as E
 from .operators import lexicon, places, statistics
 from .operators.audit import audit
@@ -41,10 +42,10 @@ def loaded(args) -> list:
 
 
 def cache_key(args) -> str:
-    """Of what the stage reads (path, time and size) and of its parameters."""
+    """Of the stage and the version of the package, of what it reads (path, time and size) and of its parameters."""
     path = Path(args.input)
     facts = [str(path.resolve()), path.stat().st_mtime, path.stat().st_size] if path.exists() else [args.input]
-    return hashlib.md5(json.dumps([*facts, args.text, args.preserve_case], sort_keys=True).encode()).hexdigest()
+    return hashlib.md5(json.dumps(["prepared", __version__, *facts, args.text, args.preserve_case], sort_keys=True).encode()).hexdigest()
 
 
 def ready_documents(spark: SparkSession, args) -> DataFrame:
@@ -111,21 +112,41 @@ def aggregate(args) -> None:
     show(statistics.summary(table, by=(args.group,)), args.output)
 
 
-def positions(args) -> tuple[dict, DataFrame, DataFrame]:
+def positions(args) -> tuple[dict, DataFrame, DataFrame, DataFrame]:
     meta, docs = readers.read_jsonl(session(), args.input)
+    if args.dimension and args.dimension not in meta["dimensions"]:
+        raise ValueError(f"{args.input}: dimension {args.dimension} is not declared")
     described = json.loads(meta["dimension_metadata"].get(args.dimension) or "{}") if args.dimension else {}
     of = (described.get("evidence") or {}).get("source", "text_norm")
     spans = readers.spans(meta, docs, [args.dimension] if args.dimension else None)
-    return meta, docs, E.histogram(spans, readers.source_lengths(docs, of), args.segments)
+    lengths = readers.source_lengths(docs, of)
+    return meta, docs, E.histogram(spans, lengths, args.segments), lengths
 
 
 def position(args) -> None:
-    show(E.corpus_positions(positions(args)[2]).orderBy("dimension", "segment"), args.output)
+    """A JSON object for the dimension asked for, an array for all; or a table of segments as CSV."""
+    meta, _, found, lengths = positions(args)
+    if args.segments < 1:
+        raise ValueError("there must be a segment")
+    if args.table:
+        show(E.corpus_positions(found).orderBy("dimension", "segment"), args.output)
+        return
+    asked = [args.dimension] if args.dimension else meta["dimensions"]
+    rows = [r.asDict() for r in E.position_report(found, lengths, asked, args.segments).collect()]  # a row for each dimension
+    rows.sort(key=lambda r: asked.index(r["dimension"]))
+    out = json.dumps(rows[0] if args.dimension else rows, ensure_ascii=False, indent=2)
+    if args.output:
+        Path(args.output).write_text(out + "\n", encoding="utf-8")
+    else:
+        print(out)
 
 
 def vectorize(args) -> None:
-    meta, docs, found = positions(args)
-    show(E.vectors(readers.wide_values(meta, docs), found, [args.dimension] if args.dimension else [], args.segments), args.output)
+    """Vectors of the dimension asked for, or of all that are described as having evidence."""
+    meta, docs, found, _ = positions(args)
+    described = lambda d: json.loads(meta["dimension_metadata"].get(d) or "{}").get("evidence")
+    asked = [args.dimension] if args.dimension else [d for d in meta["dimensions"] if described(d)]
+    show(E.vectors(readers.wide_values(meta, docs), found, asked, args.segments), args.output)
 
 
 def inspect(args) -> None:
@@ -190,7 +211,7 @@ def parser() -> argparse.ArgumentParser:
     command("extract", extract, *reading, opt("--output", required=True))
     command("summarize", summarize, opt("input"), output, opt("--by", default="mean"), opt("--top", type=int), opt("--bottom", type=int), opt("--zero-only", action="store_true"), opt("--sparse", type=float), opt("--long", action="store_true"))
     command("aggregate", aggregate, opt("input"), opt("--group", required=True), opt("--metadata"), opt("--id", default="id"), output)
-    command("position", position, opt("input"), opt("--dimension"), opt("--segments", type=int, default=3), output)
+    command("position", position, opt("input"), opt("--dimension"), opt("--segments", type=int, default=3), opt("--table", action="store_true"), output)
     command("vectorize", vectorize, opt("input"), opt("--dimension"), segments, output)
     command("inspect", inspect, opt("key"), opt("input"), opt("--config", required=True), opt("--lexicons"))
     command("config", config, opt("action", choices=["validate", "tree", "convert"]), opt("config"), opt("--depth", type=int))

@@ -58,6 +58,28 @@ def deltas(positions: DataFrame) -> DataFrame:
     return positions.groupBy("dimension").agg((last("pooled_share") - first("pooled_share")).alias("pooled_delta"), (last("mean_share") - first("mean_share")).alias("mean_delta"))
 
 
+def position_report(histograms: DataFrame, lengths: DataFrame, dimensions: Iterable[str], segments: int = 3) -> DataFrame:
+    """One row for each of dimensions: where in the texts its spans lie, over all documents.
+
+    segments, document_count (documents with a length), documents_with_evidence, total_occurrences, and by segment
+    occurrence_counts, occurrence_shares (all spans weigh the same) and mean_document_shares (all documents with a span do);
+    occurrence_delta and mean_document_delta are the last share less the first. Without a span counts and shares are zero and
+    the deltas null. Documents of length zero count in document_count only.
+    """
+    one = F.struct("segment", "n", (F.col("n") / F.col("all")).alias("pooled"), "mean")
+    each = histograms.groupBy("dimension", "segment").agg(F.sum("n").alias("n"), F.sum("total").alias("all"), F.avg("share").alias("mean"), F.count("*").alias("docs"))
+    wide = each.groupBy(F.col("dimension").alias("of")).agg(F.array_sort(F.collect_list(one)).alias("s"), F.max("docs").alias("docs"), F.max("all").alias("all"))  # segments at most
+    asked = histograms.sparkSession.createDataFrame([(d,) for d in dict.fromkeys(dimensions)], "dimension string")
+    listed = lambda c, kind: F.coalesce(F.transform("s", lambda x: x[c]), F.array_repeat(F.lit(0).cast(kind), segments))
+    delta = lambda c: F.element_at("s", -1)[c] - F.get("s", F.lit(0))[c]
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return asked.join(wide, F.col("dimension") == F.col("of"), "left").select(
+        "dimension", F.lit(segments).alias("segments"), lengths.agg(F.count("length")).scalar().alias("document_count"), count("docs").alias("documents_with_evidence"), count("all").alias("total_occurrences"),
+        listed("n", "bigint").alias("occurrence_counts"), listed("pooled", "double").alias("occurrence_shares"), listed("mean", "double").alias("mean_document_shares"),
+        delta("pooled").alias("occurrence_delta"), delta("mean").alias("mean_document_delta"),
+    )
+
+
 def vectors(values: DataFrame, histograms: DataFrame, dimensions: Iterable[str], segments: int = 5, id_col: str = "id") -> DataFrame:
     """values with total and share of each segment of the asked dimensions; no spans: zeros."""
     dimensions = list(dimensions)

@@ -495,6 +495,18 @@ def q_corpus_positions(spark, sf_dir):
     return E.corpus_positions(q_positions(spark, sf_dir)).withColumn("mean_share", F.round("mean_share", 9))
 
 
+@query("q_position_report", CHARACTERS + SEGMENTS + """, t AS (
+  SELECT dimension, segment, sum(n) AS n, sum(total) AS total, sum(n) / sum(total) AS pooled, avg(share) AS mean, count(*) AS docs FROM f GROUP BY ALL)
+SELECT dimension, CAST((SELECT count(*) FROM documents WHERE text IS NOT NULL) AS BIGINT) AS document_count, CAST(max(docs) AS BIGINT) AS documents_with_evidence, CAST(max(total) AS BIGINT) AS total_occurrences,
+  string_agg(CAST(CAST(n AS BIGINT) AS VARCHAR), ',' ORDER BY segment) AS occurrence_counts, round(arg_max(pooled, segment) - arg_min(pooled, segment), 9) AS occurrence_delta, round(arg_max(mean, segment) - arg_min(mean, segment), 9) AS mean_document_delta
+FROM t GROUP BY dimension""")
+def q_position_report(spark, sf_dir):
+    lengths = text_lengths(spark, sf_dir)
+    report = E.position_report(q_positions(spark, sf_dir), lengths, PATTERNS, 5)
+    deltas = [F.round(c, 9).alias(c) for c in ("occurrence_delta", "mean_document_delta")]
+    return report.select("dimension", "document_count", "documents_with_evidence", "total_occurrences", F.array_join("occurrence_counts", ",").alias("occurrence_counts"), *deltas)
+
+
 @query("q_vectors", CHARACTERS + SEGMENTS + " SELECT d.doc_id, coalesce(max(total), 0) AS commas__position_total" + "".join(f", coalesce(max(share) FILTER (segment = {k}), 0) AS commas__position_share_{k + 1}" for k in range(5)) + " FROM documents d LEFT JOIN f ON f.id = d.doc_id AND dimension = 'commas' GROUP BY d.doc_id")
 def q_vectors(spark, sf_dir):
     return E.vectors(documents(spark, sf_dir).select("doc_id"), q_positions(spark, sf_dir), ["commas"], id_col="doc_id")
