@@ -9,6 +9,7 @@ from textloom import cli
 from textloom.operators import evidence as E
 from textloom.operators import statistics as S
 from textloom.operators.audit import audit
+from textloom.plans import catalog
 from textloom.plans import spec as trees
 from textloom.plans.catalog import spec
 from textloom.sources import readers, writers
@@ -196,3 +197,15 @@ def test_evidence_and_parts_of_more_features(spark, tmp_path):
     assert [(x["text"], x["start"], x["end"]) for x in row["lex"]["evidence"]] == [("casa", 0, 4), ("cama", 10, 14)]
     assert [x["start"] for x in row["commas"]["evidence"]] == [14] and (row["commas"]["numerator"], row["commas"]["denominator"]) == (1.0, 21.0)
     assert [x["text"] for x in row["twice"]["evidence"]] == ["la la"]
+
+
+def test_html_references_as_in_sql(spark, tmp_path):
+    """References cut off at the end of a page, by number, without semicolons and unknown ones."""
+    duckdb = pytest.importorskip("duckdb")
+    pages = ["a &amp", "&am &amp;lt; &ampx &notit; &notin;", "&#0; &#13 &#x80; &#129;&#xD800; &#1114112; &#99999999999999999999;", "&#xFFFE;&#1;&#65;&#x41 &# &#x &;", "&lt;b&gt;x<i>", None, "", "&CounterClockwiseContourIntegral;&nbsp&copy©"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(connection.execute(catalog.ORACLE_SQL["q_html_strip"]).fetchall())
+    assert {r.page_id: r.plain for r in catalog.QUERIES["q_html_strip"](spark, str(tmp_path)).collect()} == want
+    assert want[0] == "a &" and want[4] == " x "

@@ -4,6 +4,7 @@ Queries run over whole tables. Annotations that no table has are made from the t
 """
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -385,15 +386,24 @@ def q_normalize(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.normalized(F.col("text")).alias("text_norm"))
 
 
-def unescaped_sql(column: str) -> str:
-    """The names of characters that the pages hold, and those that any page may; the ampersand is last."""
-    names = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-    for name, character in names.items():
-        column = f"replace({column}, '{name}', '{character}')"
-    return column
-
-
-@query("q_html_strip", rf"SELECT page_id, regexp_replace({unescaped_sql('html')}, '<[^>]+>', ' ', 'g') AS plain FROM pages")
+def html_strip_sql() -> str:
+    """HTML's rule for references: by number with its corrections, or by the longest known name, with or without a semicolon."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = lambda pairs: "MAP {" + ", ".join(f"{k}: {quoted(v)}" for k, v in pairs) + "}"
+    by_length = sorted(html5, key=lambda n: (-len(n), n))
+    reference = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|" + "|".join(by_length) + ")"
+    odd = table([(0, "\ufffd"), (13, "\r"), *((n, bytes([n]).decode("cp1252", "ignore") or chr(n)) for n in range(0x80, 0xA0))])
+    return f"""WITH p AS MATERIALIZED (SELECT row_number() OVER () AS k, page_id, html, regexp_extract_all(html, '{reference}') AS refs, string_split_regex(html, '{reference}') AS gaps FROM pages),
+r AS (SELECT k, unnest(range(1, len(refs) + 1)) AS i, unnest(refs) AS ref FROM p),
+d AS (SELECT *, CASE WHEN ref LIKE '&#%' THEN CASE WHEN lower(ref[3]) = 'x' THEN try_cast('0x' || rtrim(ref[4:], ';') AS BIGINT) ELSE try_cast(rtrim(ref[3:], ';') AS BIGINT) END END AS n FROM r),
+c AS (SELECT k, list(CASE WHEN ref NOT LIKE '&#%' THEN names[ref[2:]] WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN '\ufffd' WHEN odd[CAST(n AS INTEGER)] IS NOT NULL THEN odd[CAST(n AS INTEGER)]
+  WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(CAST(n AS INTEGER)) END ORDER BY i) AS characters
+  FROM d, (SELECT {table([(quoted(k), v) for k, v in html5.items()])} AS names, {odd} AS odd) GROUP BY k)
+SELECT p.page_id, regexp_replace(CASE WHEN len(refs) = 0 THEN html ELSE array_to_string([gaps[i] || coalesce(characters[i], '') FOR i IN range(1, len(gaps) + 1)], '') END, '<[^>]+>', ' ', 'g') AS plain
+FROM p LEFT JOIN c ON p.k = c.k"""
+
+
+@query("q_html_strip", html_strip_sql())
 def q_html_strip(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
