@@ -14,33 +14,52 @@ DEP_ITEM = r"(?s)^(.+)__\(([^()]*)\)\((\d+)\)$"
 NER_ITEM = r"([A-Z]+)\((.*?)\)"
 
 
+#: What stands behind the last "__(" of a well-formed item.
+POS_REST = r"^[^()]*\)(?:\([^()]*\))?$"
+DEP_REST = r"^[^()]*\)\(\d+\)$"
+
+
+def edge_trimmed(text: Column) -> Column:
+    """trimmed(), which reads all of the text, only where white space stands at an end; text is evaluated more than once."""
+    return F.when(F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1)).rlike(r"(?U)\s"), trimmed(text)).otherwise(text)
+
+
 def tagged_sentences(column: Column) -> Column:
-    return F.filter(F.transform(F.split(ensured(column), r" \|\| "), trimmed), lambda s: s != "")
+    return F.filter(F.transform(F.split(ensured(column), r" \|\| "), edge_trimmed), lambda s: s != "")
 
 
 def items_of(sentence: Column) -> Column:
     return F.split(sentence, ", ")
 
 
-#: Stands between the fields of an item while it is taken apart.
-CUT = "\ue002"
+def rest_of(item: Column) -> Column:
+    return F.substring_index(item, "__(", -1)
 
 
-def fields(items: Column, pattern: str) -> Column:
-    """The three groups of each item that fits the pattern; one pass of the pattern an item, null for others."""
-    cut = F.transform(items, lambda x: F.split(F.regexp_replace(F.replace(x, F.lit(CUT), F.lit("")), pattern, f"$1{CUT}$2{CUT}$3"), CUT))
-    return F.transform(cut, lambda x: F.when(F.size(x) == 3, x))
+def fits(n: Column, rest: Column, pattern: str) -> Column:
+    """Whether an item of n characters has a word, and rest (behind its last "__(") is as the pattern says."""
+    return (n > F.length(rest) + 3) & rest.rlike(pattern)
 
 
-def pos_items(column: Column) -> Column:
-    """word, tag and feats (as they stand: A=x|B=y) of every well-formed item, sentence by sentence in one array."""
-    items = F.filter(fields(F.flatten(F.transform(tagged_sentences(column), items_of)), POS_ITEM), lambda x: x.isNotNull())
-    return F.transform(items, lambda x: F.struct(F.get(x, F.lit(0)).alias("word"), F.get(x, F.lit(1)).alias("tag"), F.get(x, F.lit(2)).alias("feats")))
+def tag_of(rest: Column) -> Column:
+    return F.substring_index(rest, ")", 1)
+
+
+def feats_of(rest: Column) -> Column:
+    """The feats as they stand, empty if there are none."""
+    return F.when(rest.contains("("), F.substring_index(F.substring_index(rest, "(", -1), ")", 1)).otherwise("")
 
 
-def pos_item(x: Column) -> Column:
-    feats = F.array_remove(F.split(F.regexp_extract(x, POS_ITEM, 3), r"\|"), "")
-    return F.struct(F.regexp_extract(x, POS_ITEM, 1).alias("word"), F.regexp_extract(x, POS_ITEM, 2).alias("tag"), feats.alias("feats"))
+def well_formed(items: Column) -> Column:
+    """item and rest of the items that are well-formed tags."""
+    return F.filter(F.transform(items, lambda x: F.struct(x.alias("item"), rest_of(x).alias("rest"))), lambda x: fits(F.length(x["item"]), x["rest"], POS_REST))
+
+
+def pos_items(column: Column) -> Column:
+    """word, tag and feats (as they stand: A=x|B=y) of every well-formed item, sentence by sentence in one array."""
+    word = lambda x: F.substring(x["item"], F.lit(1), F.length(x["item"]) - F.length(x["rest"]) - 3)
+    good = well_formed(F.flatten(F.transform(tagged_sentences(column), items_of)))
+    return F.transform(good, lambda x: F.struct(word(x).alias("word"), tag_of(x["rest"]).alias("tag"), feats_of(x["rest"]).alias("feats")))
 
 
 def pos_matches(item: Column, tags: list[str], feats: list[str]) -> Column:
@@ -57,9 +76,10 @@ def dep_sentences(column: Column) -> Column:
     """For each sentence the items with place (from 1, malformed items count), relation and head."""
 
     def parsed(sentence: Column) -> Column:
-        placed = F.transform(fields(items_of(sentence), DEP_ITEM), lambda x, i: F.struct((i + 1).alias("place"), x.alias("item")))
-        good = F.filter(placed, lambda x: x["item"].isNotNull())
-        return F.transform(good, lambda x: F.struct(x["place"].alias("place"), F.get(x["item"], F.lit(1)).alias("relation"), F.get(x["item"], F.lit(2)).cast("int").alias("head")))
+        placed = F.transform(items_of(sentence), lambda x, i: F.struct((i + 1).alias("place"), F.length(x).alias("n"), rest_of(x).alias("rest")))
+        head = lambda x: F.substring_index(F.substring_index(x["rest"], "(", -1), ")", 1).cast("int")
+        good = F.filter(placed, lambda x: fits(x["n"], x["rest"], DEP_REST))
+        return F.transform(good, lambda x: F.struct(x["place"].alias("place"), tag_of(x["rest"]).alias("relation"), head(x).alias("head")))
 
     return F.transform(tagged_sentences(column), parsed)
 
@@ -82,27 +102,32 @@ def climbed(sentence: Column, heads: Column) -> Column:
     return F.transform(F.aggregate(rounds, start, lambda s, _: F.transform(s, onward)), lambda x: x["depth"])
 
 
+#: A place and the steps up to it are one number: place * STEPS + steps.
+STEPS = 1 << 32
+
+
 def depths(sentence: Column) -> Column:
     """Steps from each item up to the root; a head that is not there ends the walk.
 
     Each round doubles the steps of all items at once, so there are few; sentences with a cycle are climbed step by step.
     """
-
-    def of_heads(heads: Column) -> Column:
-        last = F.coalesce(F.array_max(F.transform(sentence, lambda x: x["place"])), F.lit(1))
-
-        def first(place: Column) -> Column:
-            head = F.element_at(heads, place)
-            return F.when((head > 0) & F.element_at(heads, head).isNotNull(), F.struct(head.alias("at"), F.lit(1).alias("depth"))).otherwise(F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth")))
-
-        def double(s: Column) -> Column:
-            return F.transform(s, lambda x: F.when(x["at"] == 0, x).otherwise(F.struct(F.get(s, x["at"] - 1)["at"].alias("at"), (x["depth"] + F.get(s, x["at"] - 1)["depth"]).alias("depth"))))
-
-        rounds = F.sequence(F.lit(1), F.ceil(F.log2(last + 1)).cast("int") + 1)
-        done = F.aggregate(rounds, F.transform(F.sequence(F.lit(1), last), first), lambda s, _: double(s))
-        return let(done, lambda d: F.when(F.exists(d, lambda x: x["at"] > 0), climbed(sentence, heads)).otherwise(F.transform(sentence, lambda x: F.get(d, x["place"] - 1)["depth"])))
-
-    return let(F.map_from_entries(F.transform(sentence, lambda x: F.struct(x["place"], x["head"]))), of_heads)
+    by_place = lambda: F.map_from_entries(F.transform(sentence, lambda x: F.struct(x["place"], x["head"])))
+    last = F.coalesce(F.get(sentence, F.size(sentence) - 1)["place"], F.lit(1))
+    spread = let(by_place(), lambda m: F.transform(F.sequence(F.lit(1), last), lambda k: F.element_at(m, k)))
+    heads = F.when(F.size(sentence) == last, F.transform(sentence, lambda x: x["head"])).otherwise(spread)
+
+    def doubled(s: Column) -> Column:
+        at = lambda v: F.shiftright(v, 32).cast("int")
+        return F.transform(s, lambda v: F.when(v < STEPS, v).otherwise(F.get(s, at(v) - 1) + v.bitwiseAND(STEPS - 1)))
+
+    def of_heads(h: Column) -> Column:
+        up = F.transform(h, lambda k: F.when((k > 0) & F.get(h, k - 1).isNotNull(), k.cast("bigint") * STEPS + 1).otherwise(F.lit(0).cast("bigint")))
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(h) + 1)).cast("int") + 1)
+        done = F.aggregate(rounds, up, lambda s, _: doubled(s))
+        each = lambda d: F.transform(sentence, lambda x: F.get(d, x["place"] - 1).cast("int"))
+        return let(done, lambda d: F.when(F.exists(d, lambda v: v >= STEPS), climbed(sentence, by_place())).otherwise(each(d)))
+
+    return let(heads, of_heads)
 
 
 def entities(column: Column) -> Column:

@@ -68,10 +68,10 @@ def token_spans(text: Column) -> Column:
 
 def stripped(piece: Column, start: Column) -> Column:
     """start, end and text of a piece without white space at its ends."""
-    text = F.regexp_replace(piece, r"(?U)^\s+", "")
-    inner = F.regexp_replace(text, r"(?U)(?<!\s)\s+$", "")
-    lead = start + F.length(piece) - F.length(text)
-    return F.struct(lead.alias("start"), (lead + F.length(inner)).alias("end"), inner.alias("text"))
+    left = lambda p: F.when(F.substring(p, 1, 1).rlike(r"(?U)\s"), F.regexp_replace(p, r"(?U)^\s+", "")).otherwise(p)
+    right = lambda t: F.when(F.substring(t, -1, 1).rlike(r"(?U)\s"), F.regexp_replace(t, r"(?U)(?<!\s)\s+$", "")).otherwise(t)
+    of_text = lambda lead, inner: F.struct(lead.alias("start"), (lead + F.length(inner)).alias("end"), inner.alias("text"))
+    return let(left(piece), lambda t: let(right(t), lambda inner: of_text(start + F.length(piece) - F.length(t), inner)))
 
 
 def pieces_of(text: Column, separator: str) -> Column:
@@ -97,23 +97,22 @@ def sentence_spans(text: Column) -> Column:
     return F.filter(F.transform(spans(text, SENTENCE), lambda s: stripped(s["text"], s["start"])), lambda s: s["text"] != "")
 
 
-def tag_spans(column: Column) -> Column:
-    """word, tag, feats, and start and end of the word in the serialized column, of every well-formed item."""
-
-    def items(sentence: Column) -> Column:
-        inner = stripped(sentence["text"], sentence["start"])
-        return let(inner, lambda s: F.transform(pieces_of(s["text"], ", "), lambda x: F.struct((s["start"] + x["start"]).alias("start"), x["text"].alias("item"))))
+#: Between items of a sentence, and between sentences with the white space at their ends; a comma before such an end separates nothing.
+ITEM_BREAK = r"(?U),(?! \|\| ) (?!\s*(?:\z| \|\| ))|(?<!\s)(?:\s* \|\| )+\s*|\A\s+|(?<!\s)\s+\z"
 
-    placed = F.flatten(F.transform(pieces_of(ensured(column), r" \|\| "), items))
-    good = F.filter(placed, lambda x: x["item"].rlike(A.POS_ITEM))
 
-    def parsed(x: Column) -> Column:
-        return let(A.pos_item(x["item"]), lambda p: F.struct(p["word"].alias("word"), p["tag"].alias("tag"), p["feats"].alias("feats"), x["start"].alias("start"), (x["start"] + F.length(p["word"])).alias("end")))
+def tag_spans(column: Column) -> Column:
+    """word, tag, feats, and start and end of the word in the serialized column, of every well-formed item."""
 
-    return F.transform(good, parsed)
+    placed = F.transform(pieces_of(ensured(column), ITEM_BREAK), lambda x: F.struct(x["start"].alias("start"), F.length(x["text"]).alias("n"), x["text"].alias("item"), A.rest_of(x["text"]).alias("rest")))
+    good = F.filter(placed, lambda x: A.fits(x["n"], x["rest"], A.POS_REST))
+    size = lambda x: x["n"] - F.length(x["rest"]) - 3
+    feats = lambda x: F.array_remove(F.split(A.feats_of(x["rest"]), r"\|"), "")
+    return F.transform(good, lambda x: F.struct(F.substring(x["item"], F.lit(1), size(x)).alias("word"), A.tag_of(x["rest"]).alias("tag"), feats(x).alias("feats"), x["start"].alias("start"), (x["start"] + size(x)).alias("end")))
 
 
 def entity_spans(column: Column) -> Column:
     """kind, and start, end and text of the words, of every entity of the serialized column."""
-    kind = lambda x: F.regexp_extract(x["text"], A.NER_ITEM, 1)
-    return F.transform(spans(ensured(column), A.NER_ITEM), lambda x: let(kind(x), lambda k: F.struct(k.alias("kind"), (x["start"] + F.length(k) + 1).alias("start"), (x["end"] - 1).alias("end"), F.regexp_extract(x["text"], A.NER_ITEM, 2).alias("text"))))
+    inner = lambda x, k: F.substring(x["text"], F.length(k) + 2, F.length(x["text"]) - F.length(k) - 2)
+    kind = lambda x: F.substring_index(x["text"], "(", 1)
+    return F.transform(spans(ensured(column), A.NER_ITEM), lambda x: F.struct(kind(x).alias("kind"), (x["start"] + F.length(kind(x)) + 1).alias("start"), (x["end"] - 1).alias("end"), inner(x, kind(x)).alias("text")))

@@ -318,7 +318,7 @@ def dependency_distance(spec: Spec, frame: Frame) -> Parts:
 @operator("RootPOSTagDimension", "tagged_pos")
 def root_tag_rate(spec: Spec, frame: Frame) -> Parts:
     """Tags of the roots; the two annotations are laid side by side, sentence by sentence and item by item."""
-    tags = F.transform(A.tagged_sentences(frame.text(source(spec))), lambda s: F.transform(F.filter(A.items_of(s), lambda x: x.rlike(A.POS_ITEM)), lambda x: F.regexp_extract(x, A.POS_ITEM, 2)))
+    tags = F.transform(A.tagged_sentences(frame.text(source(spec))), lambda s: F.transform(A.well_formed(A.items_of(s)), lambda x: A.tag_of(x["rest"])))
     deps = frame.dependencies(str(spec.get("tagged_dep_column") or spec.get("dep_input_column") or "tagged_dep"))
     both = F.zip_with(tags, deps, lambda t, d: F.filter(F.transform(d, lambda x, i: F.when(x["head"] == 0, F.get(t, i))), lambda x: x.isNotNull()))
     wanted = spec.listed("tag") or spec.listed("pos_tag")
