@@ -6,7 +6,9 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from textloom.functions import annotations as A
 from textloom.functions import spans as S
+from textloom.functions import text as T
 from textloom.operators import entries
 from textloom.operators import lexicon as L
 from textloom.operators import places
@@ -173,3 +175,19 @@ def test_one_scan_for_many_patterns(spark):
     ready = [regex.compile(rf"(?<!\p{{L}})(?:{e})(?!\p{{L}})", regex.IGNORECASE) for e in set(lexicon)]
     times = {e: lexicon.count(e) for e in set(lexicon)}
     assert found == {i: n for i, t in enumerate(texts) if (n := sum(times[e] * len(p.findall(t)) for e, p in zip(set(lexicon), ready, strict=True)))}
+
+
+def test_tags_at_the_ends_of_sentences(spark):
+    """White space at the ends of sentences, a comma there, and a line break behind an item, whose feats end before it."""
+    text = "\n a__(X)(F=y)\n, b__(Y),  ||  ||  c d__(Z), || e__(W) "
+    row = spark.createDataFrame([(text,)], "t string").select(S.tag_spans(F.col("t")).alias("s"), A.pos_items(F.col("t")).alias("p")).first()
+    assert [(x.word, x.tag, "|".join(x.feats)) for x in row.s] == [tuple(x) for x in row.p]
+    assert all(text[x.start : x.end] == x.word for x in row.s)
+
+
+def test_runs_sought_by_their_beginnings(spark):
+    """Only runs that begin like an entry leave the texts; letters that become ASCII in lower case are among them."""
+    pattern = L.run_pattern(L.entries.table([("d", "the"), ("d", r"an\p{L}*"), ("d", "kg"), ("d", "o"), ("d", "ñu")]))
+    text = "The ANY xthe kg Kg Kg İx o of Ñu toad"
+    runs = spark.createDataFrame([(text,)], "t string").select(T.found(F.col("t"), pattern)).first()[0]
+    assert runs == ["The", "ANY", "kg", "Kg", "Kg", "İx", "o", "of", "Ñu"]

@@ -7,6 +7,7 @@ and each entry counts every match: entries that overlap or repeat count again. F
 the places of matches: there the runs keep theirs. No Python runs.
 """
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
@@ -72,9 +73,35 @@ def sized(lexicon: DataFrame) -> DataFrame:
     return F.broadcast(lexicon) if lexicon.count() <= MAX_BROADCAST else lexicon
 
 
-def runs(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+def runs(docs: DataFrame, id_col: str, text: Column, pattern: str = T.LETTER_RUN) -> DataFrame:
     """id, run and n: how often each letter run stands in each document, in lower case."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(T.found(F.lower(text), T.LETTER_RUN)).alias("run")).groupBy("id", "run").agg(F.count("*").alias("n"))
+    return docs.select(F.col(id_col).alias("id"), F.explode(T.found(F.lower(text), pattern)).alias("run")).groupBy("id", "run").agg(F.count("*").alias("n"))
+
+
+def whole_runs(kinds: set[str]) -> bool:
+    """Whether entries of these kinds match nothing but runs, which begin as the entries do."""
+    return not kinds - {"word", "prefix", "longer"}
+
+
+def beginnings(stems: set[str]) -> str:
+    """A look ahead to the first two letters of the stems, in any case, and to any two characters of which one is not ASCII."""
+    seconds: dict[str, set[str]] = {}
+    for stem in stems:
+        if stem[:2].isascii() and stem:
+            seconds.setdefault(stem[0], set()).add(stem[1:2])
+    both = lambda letters: "[" + "".join(sorted({re.escape(y) for x in letters for y in (x, x.upper())})) + "]"
+    alike: dict[str, set[str]] = {}
+    for first, own in seconds.items():
+        alike.setdefault("" if "" in own else both(own), set()).add(first)
+    every = [both(firsts) + second for second, firsts in sorted(alike.items())]
+    return "(?=" + "|".join([r"[^\x00-\x7F]", r"[\x00-\x7F][^\x00-\x7F]", *every]) + ")"
+
+
+def run_pattern(spelled: list[tuple]) -> str:
+    """The letter runs that entries may match or be sought by: those that begin like one of them, or all if entries are sought elsewhere."""
+    if {r[-4] for r in spelled} & {"suffix", "suffix_longer", "gram"}:
+        return T.LETTER_RUN
+    return rf"(?<!\p{{L}}){beginnings({r[-3] for r in spelled if r[-4] != 'pattern'})}\p{{L}}+"
 
 
 def spelled_out(lexicon: DataFrame, *columns: str) -> list[tuple]:
@@ -153,7 +180,7 @@ def matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: s
     """id, dictionary, matched (in lower case) and n: all matches of all entries, exceptions aside."""
     text = T.ensured(F.col(text_col))
     spelled = spelled_out(lexicon.where("NOT is_exception"), "dictionary")
-    of_docs = runs(docs, id_col, text)
+    of_docs = runs(docs, id_col, text, run_pattern(spelled))
     known = docs.sparkSession.createDataFrame(spelled, "dictionary string, kind string, stem string, times bigint, pattern string")
     found = run_hits(of_docs, known, spelled).select("id", "dictionary", F.col("run").alias("matched"), (F.col("n") * F.col("times")).alias("n"))
     near = sought(docs, of_docs, known, spelled, ["dictionary", "times"], id_col, text)
@@ -173,7 +200,7 @@ def occurrences(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_co
     placed = lexicon if "position" in lexicon.columns else lexicon.withColumn("position", F.lit(0).cast("bigint"))
     spelled = spelled_out(placed, *columns)
     known = docs.sparkSession.createDataFrame(spelled, "dictionary string, is_exception boolean, position bigint, kind string, stem string, times bigint, pattern string")
-    index = S.exploded(docs, F.col(id_col).alias("id"), S.spans(text, T.LETTER_RUN)).select("id", "x.start", "x.end", "x.text", F.lower("x.text").alias("run"))
+    index = S.exploded(docs, F.col(id_col).alias("id"), S.spans(text, run_pattern(spelled))).select("id", "x.start", "x.end", "x.text", F.lower("x.text").alias("run"))
     each = lambda rows: rows.select("id", *columns, "start", "end", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__k")).drop("__k")
     found = each(run_hits(index, known, spelled))
     near = sought(docs, index.select("id", "run").distinct(), known, spelled, [*columns, "times"], id_col, text)
@@ -205,8 +232,9 @@ def plain_words(lexicon: DataFrame, features: list[LexiconFeature]) -> DataFrame
 
 def plain_matches(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
     """id, feature, matched and n: lexical tokens that are entries, each once however many entries say so."""
-    tokens = docs.select(F.col(id_col).alias("id"), F.explode(T.lexical_tokens(T.ensured(F.col(text_col)))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-    return tokens.join(sized(plain_words(lexicon, features)), F.col("token") == F.col("word")).select("id", "feature", F.col("token").alias("matched"), "n")
+    tokens = docs.select(F.col(id_col).alias("id"), F.explode(T.lexical_tokens(T.ensured(F.col(text_col)))).alias("token"))
+    hits = tokens.join(sized(plain_words(lexicon, features)), F.col("token") == F.col("word"))
+    return hits.groupBy("id", "feature", F.col("token").alias("matched")).agg(F.count("*").alias("n"))
 
 
 def accepted_spans(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
@@ -239,19 +267,24 @@ def lexicon_evidence(docs: DataFrame, lexicon: DataFrame, features: list[Lexicon
     free = found.where(~F.col("feature").isin([f.key for f in tagged])) if tagged else found
     known = [f for f in tagged if f.pos_column in docs.columns]
     if known:
-        allowed = tagged_words(docs, known, id_col).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
+        allowed = tagged_words(docs, known, id_col, lexicon).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
         own = found.join(allowed, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("feature") == F.col("of_feature")) & (F.lower("text") == F.col("word")))
         turn = F.row_number().over(Window.partitionBy("id", "feature", "word").orderBy("position", "start", "end"))
         free = free.unionByName(own.withColumn("turn", turn).where("turn <= allowed").select(*free.columns))
     return free.select("id", F.col("feature").alias("dimension"), "start", "end", "text")
 
 
-def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str) -> DataFrame:
-    """id, feature, word and allowed: how often each word stands with the tags that a feature asks for."""
+def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str, lexicon: DataFrame) -> DataFrame:
+    """id, feature, word and allowed: how often each word that may be an entry stands with the tags that a feature asks for."""
+    own = lexicon.where(F.col("dictionary").isin(sorted({d for f in features for d in f.dictionaries})))
+    spelled = [] if any(f.plain for f in features) else spelled_out(own, "dictionary")
+    begin = "(?s)^" + beginnings({r[-3] for r in spelled}) if spelled and whole_runs({r[-4] for r in spelled}) else ""
     found = None
     for column in sorted({f.pos_column for f in features}):
-        items = docs.select(F.col(id_col).alias("id"), F.explode(A.pos_items(F.col(column))).alias("item"))
-        wanted = F.array(*(F.when(A.pos_matches(F.col("item"), f.tags, f.feats), f.key) for f in features if f.pos_column == column))
+        keys = [f for f in features if f.pos_column == column]
+        fit = lambda x: reduce(Column.__or__, (A.pos_matches(x, f.tags, f.feats) for f in keys)) & (x["word"].rlike(begin) if begin else F.lit(True))  # noqa: B023, E731
+        items = S.exploded(docs, F.col(id_col).alias("id"), F.filter(A.pos_items(F.col(column)), fit)).withColumnRenamed("x", "item")
+        wanted = F.array(*(F.when(A.pos_matches(F.col("item"), f.tags, f.feats), f.key) for f in keys))
         rows = items.select("id", F.lower("item.word").alias("word"), F.explode(wanted).alias("feature")).where("feature IS NOT NULL")
         found = found.union(rows) if found else rows
     return found.groupBy("id", "feature", "word").agg(F.count("*").alias("allowed"))
@@ -281,7 +314,7 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[Lexicon
     per_word = reduce(DataFrame.union, rows).groupBy("id", "feature", tagged.alias("tagged"), "matched").agg(F.sum("n").alias("n"))
     filtered = [f for f in features if (f.tags or f.feats) and f.pos_column in docs.columns]
     if filtered:
-        allowed = tagged_words(docs, filtered, id_col).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
+        allowed = tagged_words(docs, filtered, id_col, lexicon).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
         joined = per_word.join(allowed, (F.col("id") == F.col("of_id")) & (F.col("feature") == F.col("of_feature")) & (F.col("matched") == F.col("word")), "left")
         per_word = joined.withColumn("n", F.when(F.col("tagged"), F.least("n", F.coalesce("allowed", F.lit(0)))).otherwise(F.col("n")))
     else:
