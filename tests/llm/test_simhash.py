@@ -123,3 +123,18 @@ def test_odd_rows(spark):
     rows = sorted(((r.doc_id or -1), r.component_id) for r in simhash.near_duplicates(docs, 4, 4).collect())
     assert rows == [(-1, 5), (5, 5), (5, 5), (7, 7), (8, 8)]
     assert simhash.near_duplicates(docs.limit(0), 4, 4).collect() == []
+
+
+def test_sets_meet_by_bit_planes():
+    """The fingerprints of sets are compared as the method has it; the exact similarity decides only what they leave."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    prints[75:] = prints[:75] ^ (np.uint64(1) << rng.integers(0, 64, 75).astype(np.uint64))
+    bits = np.unpackbits((prints[:, None] ^ prints[None, :]).view(np.uint8).reshape(150, 150, 8), axis=2).sum(axis=2)
+    for radius in (0, 1, 30, 32):
+        found = np.unpackbits(simhash.lanes_near(prints, radius).view(np.uint8), axis=1, bitorder="little")[:, :150]
+        assert (found == (bits <= radius)).all()
+    base = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
+    sets = [base, np.append(base[:-2], np.uint64(1 << 63)), base[:3]]
+    assert simhash.links_of_sets(sets, np.array([2, 2, 2]), 80) == ([1], [0])
+    assert simhash.links_of_sets(sets, np.array([2, 2, 2]), 80, radius=0) == ([], [])

@@ -9,7 +9,7 @@ p blocks is a key; p grows with the number of distinct fingerprints so that keys
 
 For a similarity of the shingle sets (candidate_keys="bands") fingerprints cannot decide: at any radius they miss some
 pairs and link others that are less alike. Texts that share a min-hash band meet, and the Jaccard similarity of their
-shingle sets, counted exactly, is the verdict.
+shingle sets, counted exactly, is the verdict on those whose fingerprints (of the sets) the bit planes leave within a wide radius.
 
 Words are [^\\x20\\x09-\\x0D]+ after lowering A-Z; shingles keep repeats; a text with fewer words has one shingle, a
 text without words (null, empty, white space) fingerprint zero, linked like any other. Repeated rows and ids keep
@@ -35,6 +35,9 @@ BLOCK = 4096
 PLANES, ROWS = 8, 1 << 17
 #: Usual radius of "blocks". It is no test of similarity 0.8: such pairs differ in 9.7 bits on average, and 5 % of them in over 14.
 NEAR_BITS = 14
+#: Radius for the fingerprints of sets whose exact similarity follows: sets of similarity 0.8 differ in 9.7 bits on average (12, if
+#: they have 4 and 5 shingles), as independent bits in over 32 with probability 4e-9 at most. Two unlike ones do in 45 % of all cases.
+SET_BITS = 32
 #: Jaccard similarity in percent, of the sets of shingles, from which texts are near copies by "bands".
 NEAR_SHARE = 80
 #: Texts of one band that are compared in one task; bands with more are split into cells of pairs of blocks.
@@ -254,14 +257,30 @@ def links(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     return cells.mapInArrow(run, "a bigint, b bigint")
 
 
-def links_of_sets(sets: list[np.ndarray], side: np.ndarray, share: int) -> tuple[list[int], list[int]]:
+def lanes_near(prints: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint and each tile of 64 the lanes (bits of a word) within radius."""
+    tiles = np.zeros((-(-len(prints) // 64), 64), np.uint64)
+    tiles.reshape(-1)[: len(prints)] = prints
+    planes, found = planes_of(tiles), np.zeros((len(prints), len(tiles)), np.uint64)
+    step = max(1, ROWS // len(tiles))
+    for begin in range(0, len(prints), step):
+        of, to = (x.ravel() for x in np.mgrid[begin : min(begin + step, len(prints)), 0 : len(tiles)])
+        rows, words = lanes_within(prints[of], planes[to], np.full(len(of), ~np.uint64(0)), radius)
+        found[of[rows], to[rows]] = words
+    return found
+
+
+def links_of_sets(sets: list[np.ndarray], side: np.ndarray, share: int, radius: int = SET_BITS) -> tuple[list[int], list[int]]:
     """Links that join the sets (sorted, without repeats) of Jaccard similarity share percent or more, as a forest.
 
-    side: 0 and 1 are compared with each other, 2 with all. Pairs that are already joined are not compared.
+    side: 0 and 1 are compared with each other, 2 with all. Pairs that are already joined are not compared. Fingerprints of the
+    sets, compared by bit planes, leave out what is farther apart than radius; the exact similarity follows.
     """
+    near = lanes_near(np.array([fingerprint(x) for x in sets], np.int64).view(np.uint64), radius)
     label, sizes, a, b = np.arange(len(sets)), np.array([len(x) for x in sets]), [], []
     for i in range(1, len(sets)):
         may = (side[:i] != side[i]) | (side[i] == 2)
+        may &= np.unpackbits(near[i].view(np.uint8), bitorder="little")[:i].astype(bool)
         may &= 100 * np.minimum(sizes[:i], sizes[i]) >= share * np.maximum(sizes[:i], sizes[i])
         left = np.flatnonzero(may & (label[:i] != label[i]))
         while len(left):
