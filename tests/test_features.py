@@ -1,6 +1,7 @@
 """Golden rows and null rows of the feature operators, and the plans that they compile to."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,38 @@ def test_words_lists(spark):
     assert rows[0].k == pytest.approx(100 * 2 / 6)
 
 
+def count_periphrases(tokens, tags, rules):
+    """Walks along the tokens; of a document's tokens, (tag, feats) and the rules of grammar()."""
+    found = at = 0
+    while at < len(tokens):
+        step = 1
+        for verb, linkers, form in rules:
+            if tokens[at] in (verb, *(verb + p for p in sequences.PRONOUNS)):
+                for linker in [x.split() for x in linkers] or [[]]:
+                    place = at + 1 + len(linker)
+                    if tokens[at + 1 : place] == linker and place < min(len(tokens), len(tags)) and tags[place][0] in ("VERB", "AUX") and f"VerbForm={form}" in tags[place][1].split("|"):
+                        step = max(step, place - at + 1)
+        found += step > 1
+        at += step
+    return found
+
+
+def test_periphrases_are_counted_in_the_jvm(spark):
+    rng, rows, expected = random.Random(5), [], []
+    specifications = {"a": "voy(a|a por)+infinitive,estar+gerund", "b": "a(voy)+infinitive,voy(a|a a)+gerund", "c": "", "d": "voy+"}
+    for k in range(300):
+        tokens = [rng.choice(["voy", "a", "por", "estar", "estarme", "x"]) for _ in range(rng.randint(0, 12))]
+        items = [(w, rng.choice(["VERB", "AUX", "NOUN"]), rng.choice(["VerbForm=Inf", "A=b|VerbForm=Ger", "XVerbForm=Inf", ""])) for w in tokens]
+        bad = lambda: rng.choice(["", "", "", "mal, ", "__(VERB)(VerbForm=Inf), ", "x__(VERB)(VerbForm=Inf)y, ", "x__(VERB, "]) if k % 3 == 0 else ""
+        text = "".join(bad() + f"{w}__({t})" + (f"({f})" if f or rng.random() < 0.5 else "") + rng.choice([", ", ", ", " || ", " ||  || "] if k % 5 else [", "]) for w, t, f in items)
+        rows.append((k, " ".join(tokens), text.rstrip(", |") if k % 7 else None))
+        expected.append([count_periphrases(tokens, [(t, f) for _, t, f in items] if k % 7 else [], sequences.grammar(s)) for s in specifications.values()])
+    docs = spark.createDataFrame(rows, "id bigint, text_norm string, tagged_pos string")
+    table = plans.features(docs, [spec(k, "PeriphrasisDimension", auxiliar_verbs=s) for k, s in specifications.items()])
+    assert [list(r[1:]) for r in table.orderBy("id").collect()] == expected and sum(e[0] + e[1] for e in expected) > 50
+    assert "InArrow" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_derived_in_any_order(spark):
     tree = [spec("r", "RatioDimension", numerator="a|b", denominator="zero", zero_division=-1), spec("s", "CompositeDimension", strategy="CompositeStrategyMax", children=[spec("a", "LengthDimension"), spec("b", "WordCountDimension")]), spec("zero", "PatternDimension", pattern="#", percentage=False), spec("none", "CompositeDimension", children=[spec("c", "LengthDimension")])]
     docs = spark.createDataFrame([(0, "uno dos")], "id bigint, text_norm string")

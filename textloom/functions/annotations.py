@@ -55,6 +55,20 @@ def well_formed(items: Column) -> Column:
     return F.filter(F.transform(items, lambda x: F.struct(x.alias("item"), rest_of(x).alias("rest"))), lambda x: fits(F.length(x["item"]), x["rest"], POS_REST))
 
 
+#: The end of an item that is surely well-formed: tag and feats behind a word, and behind them a separator or the end.
+POS_END = r"__\((?<=[^\s,|]__\()[^()]*\)(?:\([^()]*\))?(?=, | \|\| |\z)"
+
+
+def well_formed_items(column: Column) -> Column:
+    """The well-formed tag items as they stand, sentence by sentence in one array.
+
+    An item ends once, so where there are as many sure ends as items all are well-formed; else each is looked at.
+    """
+    every = F.flatten(F.transform(tagged_sentences(column), items_of))
+    good = lambda items: F.filter(items, lambda x: x.rlike(POS_ITEM))
+    return let(every, lambda items: F.when(F.regexp_count(ensured(column), F.lit(POS_END)) == F.size(items), items).otherwise(good(items)))
+
+
 def pos_items(column: Column) -> Column:
     """word, tag and feats (as they stand: A=x|B=y) of every well-formed item, sentence by sentence in one array."""
     word = lambda x: F.substring(x["item"], F.lit(1), F.length(x["item"]) - F.length(x["rest"]) - 3)

@@ -1,13 +1,13 @@
 """Operators that walk along a document's tokens or know words one by one.
 
-Misspellings are joins of letter runs with word lists. Periphrases need a scan that does not overlap, done for each
-document in Arrow batches.
+Misspellings are joins of letter runs with word lists. Periphrases need a scan that does not overlap, an aggregation over
+the places where one may begin. No Python runs.
 """
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import annotations as A
 from ..functions import text as T
 from .features import with_parts
 from .lexicon import ACCENTED, PLAIN, runs, sized
@@ -71,43 +71,54 @@ def grammar(specification: str) -> list[tuple[str, list[str], str]]:
     return found
 
 
-def count_periphrases(tokens: list[str], tags: list[tuple[str, str]], rules: list[tuple[str, list[str], str]]) -> int:
-    """Auxiliary, linker if there are any, and a verb in the asked form at the same place of the tags; none overlap."""
-    heads: dict[str, list[tuple[list[list[str]], str]]] = {}
-    for verb, linkers, form in rules:
-        for word in (verb, *(verb + p for p in PRONOUNS)):
-            heads.setdefault(word, []).append(([x.split() for x in linkers], form))
-    found = at = 0
-    while at < len(tokens):
-        step = 1
-        for linkers, form in heads.get(tokens[at], ()):
-            for linker in linkers or [[]]:
-                place = at + 1 + len(linker)
-                if tokens[at + 1 : place] == linker and place < min(len(tokens), len(tags)):
-                    tag, feats = tags[place]
-                    if tag in ("VERB", "AUX") and f"VerbForm={form}" in feats.split("|"):
-                        step = max(step, place - at + 1)
-        found += step > 1
-        at += step
-    return found
+def _steps(tokens: Column, at: Column, rules: dict[tuple[tuple[str, ...], str], list[str]], verb) -> Column:
+    """Tokens of the longest periphrasis at a place, null if there is none; verb tells whether a place may be its verb, or None if that is not asked."""
+    found = []
+    for (linker, form), heads in rules.items():
+        place = at + 1 + len(linker)
+        here = F.get(tokens, at).isin(heads) & (place < F.size(tokens))
+        for k, word in enumerate(linker):
+            here = here & (F.get(tokens, at + 1 + k) == word)
+        found.append(F.when(here & verb(place, form) if verb else here, F.lit(len(linker) + 2)))
+    return F.greatest(*found, F.lit(None).cast("int"), F.lit(None).cast("int"))
+
+
+def periphrasis_count(tokens: Column, pos: Column, specification: str) -> Column:
+    """Auxiliary, linker if there are any, and a verb in the asked form at the same place of the tags; none overlap.
+
+    The tags of a document are read only if auxiliary and linker stand somewhere in it.
+    """
+    rules: dict[tuple[tuple[str, ...], str], list[str]] = {}
+    for head, linkers, form in grammar(specification):
+        for linker in linkers or [""]:
+            rules.setdefault((tuple(linker.split()), form), []).extend([head, *(head + p for p in PRONOUNS)])
+    zero = F.lit(0).cast("bigint")
+    if not rules:
+        return zero
+    heads = sorted({h for every in rules.values() for h in every})
+
+    def counted(items: Column, places: Column) -> Column:
+        verb = lambda place, form: let_item(F.get(items, place), lambda x: A.pos_matches(x, ["VERB", "AUX"], [f"VerbForm={form}"]))
+        start = F.struct(zero.alias("found"), F.lit(0).alias("free"))
+        taken = lambda s, at, step: F.when(step.isNull(), s).otherwise(F.struct((s["found"] + 1).alias("found"), (at + step).alias("free")))
+        onward = lambda s, at: F.when(at < s["free"], s).otherwise(T.let(_steps(tokens, at, rules, verb), lambda step: taken(s, at, step)))
+        return F.aggregate(places, start, onward, lambda s: s["found"])
+
+    def let_item(item: Column, body) -> Column:
+        rest = lambda x: F.struct(A.tag_of(A.rest_of(x)).alias("tag"), A.feats_of(A.rest_of(x)).alias("feats"))
+        return item.isNotNull() & T.let(rest(item), body)
+
+    begins = F.array_compact(F.transform(tokens, lambda w, i: F.when(w.isin(heads), i)))
+    likely = F.filter(begins, lambda at: _steps(tokens, at, rules, None).isNotNull())
+    return T.let(likely, lambda places: F.when(F.size(places) == 0, zero).otherwise(T.let(A.well_formed_items(pos), lambda items: counted(items, places))))
 
 
 def periphrases(docs: DataFrame, features: dict[str, str], id_col: str = "id", text_col: str = "text_norm", pos_col: str = "tagged_pos") -> DataFrame:
     """id and for each key the number of its periphrases; features: key to specification."""
-    from ..functions import annotations as A
-
-    tags = A.pos_items(F.col(pos_col)) if pos_col in docs.columns else F.expr("CAST(array() AS array<struct<word:string,tag:string,feats:string>>)")
-    kept = docs.select(F.col(id_col).alias("id"), T.lexical_tokens(T.ensured(F.col(text_col))).alias("tokens"), F.transform(tags, lambda x: x["tag"]).alias("tags"), F.transform(tags, lambda x: x["feats"]).alias("feats"))
-    id_type = kept.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        rules = {k: grammar(s) for k, s in features.items()}
-        for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("tokens", "tags", "feats")), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([count_periphrases(w, list(zip(t, f, strict=True)), r) for w, t, f in rows], pa.int64()) for r in rules.values())], ["id", *rules])
-
-    out = kept.mapInArrow(run, f"id {id_type}, " + ", ".join(f"`{k}` bigint" for k in features))
-    return out.withColumnRenamed("id", id_col)
+    pos = F.col(pos_col) if pos_col in docs.columns else F.lit("")
+    tokens = T.lexical_tokens(T.ensured(F.col(text_col)))
+    found = T.let(tokens, lambda w: F.struct(*(periphrasis_count(w, pos, s).alias(k) for k, s in features.items())))
+    return docs.select(id_col, found.alias("__found")).select(id_col, *(F.col("__found")[k].alias(k) for k in features))
 
 
-__all__ = ["accent_map", "count_periphrases", "grammar", "missing_accents", "periphrases", "runs", "unknown_words"]
+__all__ = ["accent_map", "grammar", "missing_accents", "periphrases", "periphrasis_count", "runs", "unknown_words"]

@@ -58,8 +58,9 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags by the tokens' lengths, sentences of ten tokens, each token's head the one before it."""
     docs = documents(spark, sf_dir).withColumn("words", T.lexical_tokens(F.col("text_norm")))
     of = lambda names, w: F.element_at(F.array(*map(F.lit, names)), F.length(w) % 5 + 1)
-    feats = lambda w: F.when(F.length(w) % 2 == 0, "Number=Plur|Gender=Fem").when(F.length(w) % 3 == 0, "VerbForm=Inf").otherwise("Number=Sing")
-    pos = F.transform("words", lambda w: F.concat(w, F.lit("__("), of(TAGS, w), F.lit(")("), feats(w), F.lit(")")))
+    feats = lambda n: "Number=Plur|Gender=Fem" if n % 2 == 0 else "VerbForm=Inf" if n % 3 == 0 else "Number=Sing"
+    ends = F.array(*(F.lit(f"__({TAGS[n % 5]})({feats(n)})") for n in range(30)))  # of all remainders that tag and feats go by
+    pos = F.transform("words", lambda w: F.concat(w, F.element_at(ends, F.length(w) % 30 + 1)))
     dep = F.transform("words", lambda w, i: F.concat(w, F.lit("__("), of(RELATIONS, w), F.lit(")("), (i % 10).cast("string"), F.lit(")")))
     kinds = F.transform("words", lambda w: F.concat(of(["PER", "LOC", "ORG", "MISC", "PER"], w), F.lit("("), w, F.lit(")")))
     tens = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / 10).cast("int")), lambda k: F.array_join(F.slice(c, k * 10 + 1, F.lit(10)), ", ")), " || ")).otherwise("")
