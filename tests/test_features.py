@@ -135,6 +135,19 @@ def test_periphrases_are_counted_in_the_jvm(spark):
     assert "InArrow" not in table._jdf.queryExecution().executedPlan().toString()
 
 
+def test_runs_meet_word_lists_before_the_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "uno dos dos tres camion camion"), (1, ""), (2, "Dos HTML x uno camión cuatro")], "id bigint, text_raw string")
+    known = spark.createDataFrame([("uno",), ("Dos",), ("dos",), ("camión",)], "word string")
+    rows = lambda df: [(r.id, r.k) for r in df.orderBy("id").collect()]
+    make = [lambda: sequences.unknown_words(docs, known, "k"), lambda: sequences.missing_accents(docs, sequences.accent_map(known), "k")]
+    few = [f() for f in make]
+    assert not any("hashpartitioning(id#" in p and ", run#" in p for f in few for p in f._jdf.queryExecution().executedPlan().toString().split("\n"))
+    found = [rows(f) for f in few]
+    assert found == [[(0, 50.0), (1, 0.0), (2, 25.0)], [(0, pytest.approx(100 / 3)), (1, 0.0), (2, 0.0)]]
+    monkeypatch.setattr(sequences, "MAX_BROADCAST", 0)
+    assert found == [rows(f()) for f in make]
+
+
 def test_derived_in_any_order(spark):
     tree = [spec("r", "RatioDimension", numerator="a|b", denominator="zero", zero_division=-1), spec("s", "CompositeDimension", strategy="CompositeStrategyMax", children=[spec("a", "LengthDimension"), spec("b", "WordCountDimension")]), spec("zero", "PatternDimension", pattern="#", percentage=False), spec("none", "CompositeDimension", children=[spec("c", "LengthDimension")])]
     docs = spark.createDataFrame([(0, "uno dos")], "id bigint, text_norm string")

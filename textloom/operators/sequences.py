@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import annotations as A
+from ..functions import spans as S
 from ..functions import text as T
 from .features import with_parts
-from .lexicon import ACCENTED, PLAIN, runs, sized
+from .lexicon import ACCENTED, MAX_BROADCAST, PLAIN, runs
 
 # Words that are right with and without an accent, and the pronouns that an auxiliary may take.
 AMBIGUOUS = ["el", "tu", "mi", "si", "se", "te", "de", "mas", "aun", "solo"]
@@ -44,20 +45,32 @@ def known_words(known: DataFrame) -> DataFrame:
     return known.select(F.lower("word").alias("word")).distinct()
 
 
+def letter_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and run of every letter run of the texts."""
+    return S.exploded(docs, F.col(id_col).alias("id"), T.found(T.ensured(F.col(text_col)), T.LETTER_RUN)).select("id", F.col("x").alias("run"))
+
+
 def missing_accents(docs: DataFrame, accents: DataFrame, key: str, id_col: str = "id", text_col: str = "text_raw") -> DataFrame:
     """id and key: the percentage of tokens that the map knows with an accent only."""
-    of_docs = docs.select(F.col(id_col).alias("id"), F.explode(T.found(T.ensured(F.col(text_col)), T.LETTER_RUN)).alias("run")).groupBy("id", "run").agg(F.count("*").alias("n"))
-    plain = unaccented_runs(of_docs, "run")
-    return _rate(docs, plain.join(sized(accents), F.col("run") == F.col("plain")), key, id_col, text_col)
+    plain, few = unaccented_runs(letter_runs(docs, id_col, text_col), "run"), accents.count() <= MAX_BROADCAST
+    if few:  # the runs meet the map where they stand; a row for each document is shuffled
+        hits = plain.join(F.broadcast(accents.select("plain")), F.col("run") == F.col("plain")).groupBy("id").agg(F.count("*").alias("n"))
+    else:
+        hits = plain.groupBy("id", "run").agg(F.count("*").alias("n")).join(accents, F.col("run") == F.col("plain"))
+    return _rate(docs, hits, key, id_col, text_col)
 
 
 def unknown_words(docs: DataFrame, known: DataFrame, key: str, id_col: str = "id", text_col: str = "text_raw") -> DataFrame:
     """id and key: the percentage of words that known(word) lacks, of those checked: two letters and more, no capitals within."""
-    checked = checked_runs(docs.select(F.col(id_col).alias("id"), F.explode(T.found(T.ensured(F.col(text_col)), T.LETTER_RUN)).alias("run")), "run")
-    counted = checked.groupBy("id", F.lower("run").alias("run")).agg(F.count("*").alias("n"))
-    bad = counted.join(sized(known_words(known)), F.col("run") == F.col("word"), "left_anti").groupBy(F.col("id").alias("bad_id")).agg(F.sum("n").alias("bad"))
-    sums = counted.groupBy(F.col("id").alias("all_id")).agg(F.sum("n").alias("all"))
-    joined = docs.select(id_col).join(sums, F.col(id_col) == F.col("all_id"), "left").join(bad, F.col(id_col) == F.col("bad_id"), "left")
+    checked = checked_runs(letter_runs(docs, id_col, text_col), "run").select("id", F.lower("run").alias("run"))
+    words = known_words(known)
+    if words.count() <= MAX_BROADCAST:  # likewise
+        rows, words = checked.withColumn("n", F.lit(1).cast("bigint")), F.broadcast(words)
+    else:
+        rows = checked.groupBy("id", "run").agg(F.count("*").alias("n"))
+    met = rows.join(words, F.col("run") == F.col("word"), "left")
+    sums = met.groupBy(F.col("id").alias("of")).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("bad"))
+    joined = docs.select(id_col).join(sums, F.col(id_col) == F.col("of"), "left")
     return joined.select(id_col, *with_parts(key, F.coalesce("bad", F.lit(0)), F.coalesce("all", F.lit(0))))
 
 
