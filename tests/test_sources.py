@@ -151,6 +151,19 @@ def test_audit_finds_every_planted_violation(spark, tmp_path):
         assert rows[rule].offenders and {int(re.search(r"jsonl:(\d+)", x)[1]) for x in rows[rule].offenders} <= places
 
 
+def test_audit_takes_the_lines_once_for_all_rules(spark, tmp_path):
+    escaped = json.dumps(HEAD).replace('"metadata"', '"meta\\u0064ata"', 1)
+    values = [escaped, *(json.dumps(document(k % 3)) for k in range(7)), json.dumps(document(9, id=...)), "{"]
+    (tmp_path / "x").write_text("\n".join(f"f:{k}\t{v}" for k, v in enumerate(values)))
+    lines = spark.read.text(str(tmp_path / "x")).select(F.substring_index("value", "\t", 1).alias("place"), F.regexp_extract("value", "\t(.*)", 1).alias("value"))
+    table = audit(lines)
+    rows = {r.rule: r for r in table.where("violations > 0").collect()}
+    assert {k: r.violations for k, r in rows.items()} == {"identifier is repeated": 4, "identifier is missing": 1, "line is no JSON": 1}
+    assert set(rows["identifier is repeated"].offenders) <= {"f:1 0", "f:2 1", "f:3 2"} and rows["line is no JSON"].offenders == ["f:9 "]
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+
+
 def test_audit_of_metadata(spark):
     def rules(*heads):
         lines = spark.createDataFrame([(str(k), json.dumps(h)) for k, h in enumerate(heads)], "place string, value string")

@@ -1,41 +1,9 @@
-"""Places that the driver and all executors share, and tables written there to cut lineage."""
-
-import tempfile
-import uuid
+"""Tables of the operators and joins that they share; the folder that driver and executors share is that of sources."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where that is unset on one machine (tests) a temporary folder becomes the checkpoint folder of this session; on a
-    cluster that is an error, since executors do not share the driver's folders.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="textloom-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, computed once: written as Parquet in the shared folder and read from there.
-
-    Lost executors then cost a rerun of the tasks that read it, never of those that made it.
-    """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import fresh_path, shared_dir, written  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import sequences, statistics
 from ..operators.audit import LINE_RULES, METADATA_RULES, audit
 from ..operators.features import Spec
 from ..sources import readers, writers
+from ..sources.shared import written
 from . import compile as plans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -483,6 +484,10 @@ def found_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.evidence(documents(spark, sf_dir), PATTERNS, "doc_id")
 
 
+def comma_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.evidence(documents(spark, sf_dir), {"commas": PATTERNS["commas"]}, "doc_id")
+
+
 def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").alias("length"))
 
@@ -528,7 +533,7 @@ def jsonl(spark: SparkSession, sf_dir: str) -> tuple[dict, DataFrame]:
     docs = documents(spark, sf_dir).select("doc_id", F.length("text").alias("n"), "text")
     described = {"commas": {"kind": "atomic", "evidence": {"kind": "text_span", "source": "text", "unit": "characters"}}}
     table = docs.select("doc_id", "n", F.regexp_count("text", F.lit(",")).alias("commas"))
-    lines = writers.jsonl_lines(table, described, found_spans(spark, sf_dir).where("dimension = 'commas'"), {"text": F.col("n")}, "doc_id")
+    lines = writers.jsonl_lines(table, described, comma_spans(spark, sf_dir), {"text": F.col("n")}, "doc_id")
     parsed = lines.where("place = 1").select(F.from_json("value", readers.DOCUMENT).alias("d")).select("d.id", "d.row", "d.reference_lengths", "d.dimensions")
     return {"dimensions": ["commas"]}, parsed
 
@@ -551,13 +556,15 @@ def q_audit(spark, sf_dir):
     """Lines of all documents, those of six in seven with a violation."""
     docs = documents(spark, sf_dir).select("doc_id", F.length("text").alias("n"), F.regexp_count("text", F.lit(",")).alias("commas"))
     described = {"commas": {"kind": "atomic", "evidence": {"kind": "text_span", "source": "text", "unit": "characters"}}}
-    lines = writers.jsonl_lines(docs, described, found_spans(spark, sf_dir).where("dimension = 'commas'"), {"text": F.col("n")}, "doc_id")
-    m = F.get_json_object("value", "$.id").cast("bigint") % 7
+    lines = writers.jsonl_lines(docs, described, comma_spans(spark, sf_dir), {"text": F.col("n")}, "doc_id")
+    lines = lines.select(F.get_json_object("value", "$.id").alias("of"), "value")
+    m = F.col("of").cast("bigint") % 7
     edits = ((1, '"commas":', '"comas":'), (2, '"_type":"document"', '"_type":"thing"'), (3, '"value":[0-9.]+,', ""), (4, '"id":[0-9]+', '"id":"x"'), (5, '"text":[0-9]+', '"text":-1'), (6, '"start":', '"begin":'))
     value = F.col("value")
     for k, old, new in edits:
         value = F.when(m == k, F.regexp_replace("value", old, new)).otherwise(value)
-    return audit(lines.select(F.coalesce(F.get_json_object("value", "$.id"), F.lit("metadata")).alias("place"), value.alias("value"))).select("rule", "violations")
+    edited = written(lines.select(F.coalesce("of", F.lit("metadata")).alias("place"), value.alias("value")), "lines")  # read twice
+    return audit(edited).select("rule", "violations")
 
 
 @query("q_differences", "SELECT 'n_chars' AS \"column\", 'both' AS only_in, count(*) FILTER (doc_id % 7 = 0) AS rows_differing FROM documents UNION ALL SELECT 'lang', 'both', 0 UNION ALL SELECT 'source', 'a', NULL UNION ALL SELECT 'extra', 'b', NULL")
