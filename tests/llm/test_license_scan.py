@@ -188,6 +188,23 @@ def test_odd_rows(spark, corpus):
     assert license_scan.licences(table.limit(0), model=model).collect() == []
 
 
+def test_only_texts_likely_to_hold_a_licence_move(spark, corpus, monkeypatch):
+    plans, write = {}, license_scan.written
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(license_scan, "written", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many documents
+    try:
+        license_scan.scan(corpus[0], corpus[1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans["likely"] and "SortMergeJoin" not in plans["likely"]
+
+
 def test_trained_on_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert license_scan.licences(empty).collect() == []

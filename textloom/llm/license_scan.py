@@ -120,6 +120,8 @@ ALIKE = 80
 TEMPERATURES = [round(0.25 * 1.25**k, 3) for k in range(16)]
 #: Words of one piece of a long paragraph, words that neighbouring pieces share, and words of a template at most.
 PIECE, SHARED, TEMPLATE = 64, 32, 32
+#: Documents that are likely to hold a licence are met by broadcast up to so many (two numbers each), by shuffle beyond.
+MAX_IDS = 1_000_000
 WORD = r"[\p{L}\p{N}]+"
 PARAGRAPH_END = r"\n[ \t\r\f\x0B]*\n"
 
@@ -363,9 +365,11 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     found = written(classified(paragraphs(docs, text_col), model), "classified")
     of_families = F.aggregate(F.slice("ps", 3, len(NAMES)), F.lit(0.0), lambda s, x: s + x)
     sure = found.where(of_families >= model.threshold).select(*(F.col(k).alias(f"of_{k}") for k in key), F.col("ps").alias("of_ps"))
-    # The words of these pieces only: their texts are read again, met by id and hash (broadcast by Spark if they are few).
+    # The words of these pieces only: their texts are read again, met by id and hash, and kept, so no other text is shuffled.
     ids = sure.select("of_doc_id", "of_text_hash").distinct()
+    ids = F.broadcast(ids) if ids.count() <= MAX_IDS else ids
     again = docs.select("doc_id", text_col).join(ids, F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.xxhash64(text_col) == F.col("of_text_hash")), "left_semi").distinct()
+    again = written(again, "likely")
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
     words = pieces(paragraphs(again, text_col)).join(sure, same[0] & same[1] & same[2] & same[3], "left_semi")
     best = confirming(words, key).select(*(F.col(k).alias(f"in_{k}") for k in key), "confirmed")
