@@ -1,6 +1,7 @@
 """Licence scans on wordings that nothing was learned from."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +206,29 @@ def test_only_texts_likely_to_hold_a_licence_move(spark, corpus, monkeypatch):
     assert "BroadcastHashJoin" in plans["likely"] and "SortMergeJoin" not in plans["likely"]
 
 
+def full_collections(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_the_driver_stays_small_while_the_model_is_fitted(spark, corpus, monkeypatch):
+    """A step sends one gradient to the driver, and what past steps left there is collected."""
+    fit, seen = license_scan.LogisticRegression.fit, []
+
+    def watched(self, rows):
+        before = full_collections(spark)
+        model = fit(self, rows)
+        seen.append((rows._jdf.rdd().getNumPartitions(), full_collections(spark) - before))
+        return model
+
+    monkeypatch.setattr(license_scan.LogisticRegression, "fit", watched)
+    license_scan.trained(spark, corpus[0])
+    assert [n for n, _ in seen] == [1] and seen[0][1] >= 2
+    after = full_collections(spark)
+    time.sleep(2 * license_scan.COLLECT_EVERY)
+    assert full_collections(spark) == after
+
+
 def test_trained_on_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert license_scan.licences(empty).collect() == []

@@ -33,7 +33,10 @@ the executors.
 import itertools
 import math
 import re
+import threading
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from importlib.resources import files
 
@@ -117,6 +120,8 @@ TARGET_PRECISION = 0.95
 REPEATS, FEW = 12, 20
 #: Share in percent from which a held-out clause that another class has too is no measure of the model.
 ALIKE = 80
+#: Seconds between collections of the driver's heap while the model is fitted.
+COLLECT_EVERY = 1.0
 TEMPERATURES = [round(0.25 * 1.25**k, 3) for k in range(16)]
 #: Words of one piece of a long paragraph, words that neighbouring pieces share, and words of a template at most.
 PIECE, SHARED, TEMPLATE = 64, 32, 32
@@ -264,6 +269,29 @@ class Model:
         self.weights, self.intercepts, self.temperature, self.threshold = weights, intercepts, temperature, threshold
 
 
+@contextmanager
+def collecting(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, and at the end, the driver's heap is collected every COLLECT_EVERY seconds.
+
+    The optimizer leaves some hundred vectors of VOCABULARY times CLASSES numbers a step. Arrays of that size (2 MB) are for G1
+    a reason to collect at each few of them and to grow the heap, but those of past steps stay until all of it is collected.
+    """
+    done, system = threading.Event(), spark.sparkContext._jvm.System
+
+    def collect() -> None:
+        while not done.wait(COLLECT_EVERY):
+            system.gc()
+
+    beside = threading.Thread(target=collect, daemon=True)
+    beside.start()
+    try:
+        yield
+    finally:
+        done.set()
+        beside.join()
+        system.gc()
+
+
 def corpus_sample(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """words of at most MAX_SAMPLE distinct pieces, those of the smallest hashes, that no template confirms.
 
@@ -290,9 +318,10 @@ def trained(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> Mod
     ordinary = rows.where("label = 0").select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     usual = {r.gram for r in ordinary.where(F.col("n") > ORDINARY_SHARE * max(100, rows.where("label = 0").count())).collect()}  # some 100 / ORDINARY_SHARE grams at most
     counts = CountVectorizerModel.from_vocabulary([g for g in learned.vocabulary if g not in usual], inputCol="grams", outputCol="features").setBinary(True)
-    vectors = counts.transform(rows).select("label", "fold", "words", "features").cache()
-    fitted = LogisticRegression(maxIter=50, regParam=1e-4, elasticNetParam=0.2, family="multinomial", standardization=False).fit(vectors.where("fold = 0"))
-    temperature, threshold = calibrated(fitted, vectors.where("fold = 1"))
+    vectors = counts.transform(rows).select("label", "fold", "words", "features").coalesce(1).cache()  # bounded; each task of a step sends a gradient to the driver
+    with collecting(spark):
+        fitted = LogisticRegression(maxIter=50, regParam=1e-4, elasticNetParam=0.2, family="multinomial", standardization=False).fit(vectors.where("fold = 0"))
+        temperature, threshold = calibrated(fitted, vectors.where("fold = 1"))
     vectors.unpersist()
 
     matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
