@@ -191,3 +191,22 @@ def test_runs_sought_by_their_beginnings(spark):
     text = "The ANY xthe kg Kg Kg İx o of Ñu toad"
     runs = spark.createDataFrame([(text,)], "t string").select(T.found(F.col("t"), pattern)).first()[0]
     assert runs == ["The", "ANY", "kg", "Kg", "Kg", "İx", "o", "of", "Ñu"]
+
+
+def test_only_features_with_exceptions_are_sorted(spark):
+    """Matches of features without exceptions stay where they are, and all features of a tree are found in one scan of the texts."""
+    words, tags = ["casa", "Casas", "vino", "el", "vi", "a-casa", "é", "casa,"], ["NOUN", "VERB", "DET"]
+    rng, rows = random.Random(5), []
+    for k in range(40):
+        own = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        rows.append((k % 37, " ".join(own), ", ".join(f"{w.strip(',')}__({rng.choice(tags)})()" for w in own)))
+    docs = spark.createDataFrame([*rows, (None, "casa vino", "casa__(NOUN)(), vino__(DET)()")], "id int, text_norm string, tagged_pos string")
+    known = plans.Resources(L.lexicon_of(spark, {"a": ["casa", "casa", "ca\\p{L}*", "vi\\p{L}+"], "b": ["vi\\p{L}*", "NEG:vino", "el casa"]}))
+    tagged = Spec("tagged", "WordPerDictionary", dictionary="a", percentage=False, pos_tag="NOUN")
+    nodes = [Spec("free", "WordPerDictionary", dictionary="a"), Spec("swept", "WordPerDictionary", dictionary="a|b"), Spec("plain", "WordPerDictionary", dictionary="a", disabled_regexp=True), tagged]
+    rows_of = lambda own: sorted(map(str, plans.evidence(docs, own, known).collect()))
+    alone = [rows_of([n]) for n in nodes]
+    assert all(alone) and rows_of(nodes) == sorted(sum(alone, []))
+    plan_of = lambda own: plans.evidence(docs, own, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan_of(nodes[:1]) and "Window" in plan_of(nodes[1:2])
+    assert "regexp_extract_all" not in plan_of([*nodes[:2], tagged])

@@ -69,10 +69,14 @@ def well_formed_items(column: Column) -> Column:
     return let(every, lambda items: F.when(F.regexp_count(ensured(column), F.lit(POS_END)) == F.size(items), items).otherwise(good(items)))
 
 
-def pos_items(column: Column) -> Column:
-    """word, tag and feats (as they stand: A=x|B=y) of every well-formed item, sentence by sentence in one array."""
+def pos_items(column: Column, begin: str = "") -> Column:
+    """word, tag and feats (as they stand: A=x|B=y) of every well-formed item, sentence by sentence in one array.
+
+    Items that a pattern begin does not find are left out before they are taken apart.
+    """
     word = lambda x: F.substring(x["item"], F.lit(1), F.length(x["item"]) - F.length(x["rest"]) - 3)
-    good = well_formed(F.flatten(F.transform(tagged_sentences(column), items_of)))
+    every = F.flatten(F.transform(tagged_sentences(column), items_of))
+    good = well_formed(F.filter(every, lambda x: x.rlike(begin)) if begin else every)
     return F.transform(good, lambda x: F.struct(word(x).alias("word"), tag_of(x["rest"]).alias("tag"), feats_of(x["rest"]).alias("feats")))
 
 

@@ -1,7 +1,7 @@
 """Places of matches as expressions, without Python.
 
 Spark has no function for the places of all matches. The pieces between matches and the matches themselves have lengths
-whose running sums are the places; those are taken in chunks of chunks, so that the arrays that grow by one element stay short.
+whose running sums are the places; those are taken by doubling: each round adds to every sum the one that ends where it begins.
 Places count characters from 0, ends are exclusive.
 """
 
@@ -11,33 +11,23 @@ from pyspark.sql import functions as F
 from . import annotations as A
 from .text import LEXICAL, PARAGRAPH_BREAK, ensured, let
 
-#: Elements of a chunk of the running sums.
-CHUNK = 16
 NO_SUMS = "CAST(array() AS array<int>)"
 
 
-def _step_sums(values: Column, base: Column) -> Column:
-    """base, base + v0, ...: the sums before each value; quadratic in the values, so for few."""
-    grown = F.aggregate(values, F.array(base), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    return let(grown, lambda s: F.slice(s, 1, F.size(s) - 1))
-
-
-def running(values: Column, levels: int = 3) -> Column:
+def running(values: Column) -> Column:
     """The sum of the values before each one, as an array of int."""
-    if not levels:
-        return let(values, lambda v: F.when(F.size(v) > 0, _step_sums(v, F.lit(0))).otherwise(F.expr(NO_SUMS)))
-
-    def chunked(v: Column) -> Column:
-        places = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int"))
-        pieces = F.transform(places, lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK)))
 
-        def joined(c: Column) -> Column:
-            totals = F.transform(c, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
-            return F.flatten(F.zip_with(c, running(totals, levels - 1), lambda p, base: _step_sums(p, base)))
+    def added(sums: Column, k: Column) -> Column:
+        """To each sum of 2 ** k values that of the 2 ** k values before them."""
+        before = lambda d: F.concat(F.array_repeat(F.lit(0), d), F.slice(sums, F.lit(1), F.size(sums) - d))
+        return let(F.call_function("shiftleft", F.lit(1), k), lambda d: F.when(d < F.size(sums), F.zip_with(sums, before(d), lambda x, y: x + y)).otherwise(sums))
 
-        return F.when(F.size(v) > 0, let(pieces, joined)).otherwise(F.expr(NO_SUMS))
+    def summed(v: Column) -> Column:
+        shifted = F.concat(F.array(F.lit(0)), F.slice(v, F.lit(1), F.size(v) - 1))
+        rounds = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(v).cast("double"))).cast("int") - 1))
+        return F.when(F.size(v) > 0, F.aggregate(rounds, shifted, added)).otherwise(F.expr(NO_SUMS))
 
-    return let(values, chunked)
+    return let(values, summed)
 
 
 def spans(text: Column, pattern: str | Column) -> Column:

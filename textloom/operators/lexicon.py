@@ -19,6 +19,7 @@ from ..functions import annotations as A
 from ..functions import spans as S
 from ..functions import text as T
 from ..functions.regex import java_pattern
+from ..sources.shared import written
 from . import entries
 from .features import with_parts
 
@@ -26,6 +27,8 @@ from .features import with_parts
 MAX_PATTERNS = 5_000
 #: Entries of a lexicon that are spelled out, and rows up to which their table is broadcast instead of shuffled.
 MAX_BROADCAST = 500_000
+#: Stems that may stand in the plan, so that parts of runs that are none of them are not joined.
+MAX_STEMS = 1_000
 
 # The forms of the auxiliary verb and the pronouns that Spanish verbs take at their end.
 HABER = """ha habe habed haber habido habiendo habremos habrá habrán habrás habré habréis habría habríais habríamos habrían
@@ -118,13 +121,13 @@ def spelled_out(lexicon: DataFrame, *columns: str) -> list[tuple]:
 def run_hits(rows: DataFrame, known: DataFrame, spelled: list[tuple]) -> DataFrame:
     """rows (run and others) beside the columns of all words, beginnings and ends in known that their runs match: one join."""
     ends = {"prefix": ("prefix", "longer"), "suffix": ("suffix", "suffix_longer")}
-    lengths = {k: sorted({len(r[-3]) for r in spelled if r[-4] in names}) for k, names in ends.items()}
-    part = lambda kind, text: F.struct(F.lit(kind).alias("of"), text.alias("part"))
-    fit = lambda k: F.filter(F.array(*map(F.lit, lengths[k])), lambda n: n <= F.length("run"))
-    parts = [F.array(part("word", F.col("run")))]
-    parts += [F.transform(fit("prefix"), lambda n: part("prefix", F.substring(F.col("run"), F.lit(1), n)))] if lengths["prefix"] else []
-    parts += [F.transform(fit("suffix"), lambda n: part("suffix", F.right(F.col("run"), n)))] if lengths["suffix"] else []
-    each = rows.select("*", F.explode(F.concat(*parts)).alias("__x")).select(*rows.columns, "__x.of", "__x.part") if len(parts) > 1 else rows.select("*", F.lit("word").alias("of"), F.col("run").alias("part"))
+    own = {k: sorted({r[-3] for r in spelled if r[-4] in names}) for k, names in {"word": ("word",), **ends}.items()}
+    few = sum(map(len, own.values())) <= MAX_STEMS
+    part = lambda kind, n, text: F.when((F.length("run") >= n) & (text.isin(own[kind]) if few else F.lit(True)), F.struct(F.lit(kind).alias("of"), text.alias("part")))
+    parts = [part("word", 0, F.col("run"))]
+    parts += [part("prefix", n, F.substring("run", 1, n)) for n in sorted(set(map(len, own["prefix"])))]
+    parts += [part("suffix", n, F.right(F.col("run"), F.lit(n))) for n in sorted(set(map(len, own["suffix"])))]
+    each = rows.select("*", F.explode_outer(F.array(*parts)).alias("__x")).where("__x IS NOT NULL").select(*rows.columns, "__x.of", "__x.part")
     stems = known.where(F.col("kind").isin("word", *ends["prefix"], *ends["suffix"])).withColumn("end", F.regexp_replace(F.regexp_replace("kind", "^longer$", "prefix"), "_longer$", ""))
     stems = stems.withColumnRenamed("end", "of_end")
     longer = ~F.col("kind").isin("longer", "suffix_longer") | (F.length("run") > F.length("stem"))
@@ -202,7 +205,8 @@ def occurrences(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_co
     known = docs.sparkSession.createDataFrame(spelled, "dictionary string, is_exception boolean, position bigint, kind string, stem string, times bigint, pattern string")
     index = S.exploded(docs, F.col(id_col).alias("id"), S.spans(text, run_pattern(spelled))).select("id", "x.start", "x.end", "x.text", F.lower("x.text").alias("run"))
     each = lambda rows: rows.select("id", *columns, "start", "end", "text", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("__k")).drop("__k")
-    found = each(run_hits(index, known, spelled))
+    repeated = docs.sparkSession.createDataFrame([r for r in spelled for _ in range(r[-2])], known.schema)  # an entry that repeats matches by each of its rows
+    found = run_hits(index, repeated, spelled).select("id", *columns, "start", "end", "text")
     near = sought(docs, index.select("id", "run").distinct(), known, spelled, [*columns, "times"], id_col, text)
     if near is not None:
         hits = near.select("id", *columns, "times", F.explode(S.spans(F.col("text"), F.col("pattern"))).alias("x"))
@@ -237,24 +241,64 @@ def plain_matches(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFea
     return hits.groupBy("id", "feature", F.col("token").alias("matched")).agg(F.count("*").alias("n"))
 
 
+def swept_keys(lexicon: DataFrame, features: list[LexiconFeature]) -> set[str]:
+    """The features that have exceptions in one of their dictionaries."""
+    asked = F.col("dictionary").isin(sorted({d for f in features for d in f.dictionaries}))
+    excepted = {r.dictionary for r in lexicon.where("is_exception").select("dictionary").distinct().where(asked).collect()}
+    return {f.key for f in features if not f.plain and excepted & set(f.dictionaries)}
+
+
+def feature_hits(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    """id, feature, is_exception, position, start, end and text of all matches of features, exceptions too."""
+    of_feature = feature_table(docs.sparkSession, features)
+    needed = lexicon.join(F.broadcast(of_feature.select(F.col("of").alias("dictionary")).distinct()), "dictionary", "left_semi")
+    rows = occurrences(docs, needed, id_col, text_col).join(F.broadcast(of_feature), F.col("dictionary") == F.col("of"))
+    return rows.select("id", "feature", "is_exception", "position", "start", "end", "text")
+
+
+def plain_hits(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
+    """id, feature, position (0), start, end and text of the tokens that are entries; only those that begin like one leave the texts."""
+    words, found = plain_words(lexicon, features), S.spans(T.ensured(F.col(text_col)), T.LEXICAL)
+    spelled = [r.word for r in words.select("word").distinct().limit(MAX_BROADCAST + 1).collect()]
+    if len(spelled) <= MAX_BROADCAST:
+        begin = "(?s)^" + beginnings(set(spelled))
+        found = F.filter(found, lambda x: x["text"].rlike(begin))
+    tokens = S.exploded(docs, F.col(id_col).alias("id"), found).select("id", "x.*")
+    hits = tokens.join(sized(words), F.lower("text") == F.col("word"))
+    return hits.select("id", "feature", F.lit(0).cast("bigint").alias("position"), "start", "end", "text")
+
+
+def accepted_groups(docs: DataFrame, lexicon: DataFrame, groups: list[list[LexiconFeature]], id_col: str = "id", text_col: str = "text_norm") -> list[DataFrame | None]:
+    """accepted_spans() of each group of features, None of an empty one.
+
+    The texts are scanned once for all groups. Only matches of features with exceptions are sorted; those of others stay where
+    they are. If the matches are read more than once they are written.
+    """
+    usual = [f for group in groups for f in group if not f.plain]
+    swept = swept_keys(lexicon, usual) if usual else set()
+    parts = [[{f.key for f in group if not f.plain and (f.key in swept) == sweep} for sweep in (True, False)] for group in groups]
+    hits = feature_hits(docs, lexicon, usual, id_col, text_col) if usual else None
+    if sum(map(bool, sum(parts, []))) > 1:
+        hits = written(hits, "lexicon-hits")
+    out = []
+    for group, (with_exceptions, others) in zip(groups, parts, strict=True):
+        found, plain = [], [f for f in group if f.plain]
+        if with_exceptions:
+            found.append(uncovered(hits.where(F.col("feature").isin(sorted(with_exceptions))), "id", "feature").drop("is_exception"))
+        if others:
+            found.append(hits.where(F.col("feature").isin(sorted(others)) & ~F.col("is_exception")).drop("is_exception"))
+        if plain:
+            found.append(plain_hits(docs, lexicon, plain, id_col, text_col))
+        out.append(reduce(DataFrame.unionByName, found) if found else None)
+    return out
+
+
 def accepted_spans(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
     """id, feature, position, start, end and text of all matches of features that no exception covers; tags are not asked for.
 
     The exceptions of all dictionaries of a feature hold for all its matches. In plain mode matches are tokens, each once.
     """
-    found = None
-    usual, plain = [f for f in features if not f.plain], [f for f in features if f.plain]
-    if usual:
-        of_feature = feature_table(docs.sparkSession, usual)
-        needed = lexicon.join(F.broadcast(of_feature.select(F.col("of").alias("dictionary")).distinct()), "dictionary", "left_semi")
-        rows = occurrences(docs, needed, id_col, text_col).join(F.broadcast(of_feature), F.col("dictionary") == F.col("of"))
-        found = uncovered(rows.select("id", "feature", "is_exception", "position", "start", "end", "text"), "id", "feature").drop("is_exception")
-    if plain:
-        tokens = S.exploded(docs, F.col(id_col).alias("id"), S.spans(T.ensured(F.col(text_col)), T.LEXICAL)).select("id", "x.*")
-        hits = tokens.join(sized(plain_words(lexicon, plain)), F.lower("text") == F.col("word"))
-        hits = hits.select("id", "feature", F.lit(0).cast("bigint").alias("position"), "start", "end", "text")
-        found = found.unionByName(hits) if found is not None else hits
-    return found
+    return accepted_groups(docs, lexicon, [features], id_col, text_col)[0]
 
 
 def lexicon_evidence(docs: DataFrame, lexicon: DataFrame, features: list[LexiconFeature], id_col: str = "id", text_col: str = "text_norm") -> DataFrame:
@@ -262,16 +306,18 @@ def lexicon_evidence(docs: DataFrame, lexicon: DataFrame, features: list[Lexicon
 
     With tags, a word has as many spans as the document holds it with them: the first ones, by entry and then by place.
     """
-    found = accepted_spans(docs, lexicon, features, id_col, text_col)
     tagged = [f for f in features if f.tags or f.feats]
-    free = found.where(~F.col("feature").isin([f.key for f in tagged])) if tagged else found
     known = [f for f in tagged if f.pos_column in docs.columns]
-    if known:
+    free, own = accepted_groups(docs, lexicon, [[f for f in features if f not in tagged], known], id_col, text_col)
+    if own is not None:
         allowed = tagged_words(docs, known, id_col, lexicon).withColumnsRenamed({"id": "of_id", "feature": "of_feature"})
-        own = found.join(allowed, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("feature") == F.col("of_feature")) & (F.lower("text") == F.col("word")))
+        own = own.join(allowed, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("feature") == F.col("of_feature")) & (F.lower("text") == F.col("word")))
         turn = F.row_number().over(Window.partitionBy("id", "feature", "word").orderBy("position", "start", "end"))
-        free = free.unionByName(own.withColumn("turn", turn).where("turn <= allowed").select(*free.columns))
-    return free.select("id", F.col("feature").alias("dimension"), "start", "end", "text")
+        own = own.withColumn("turn", turn).where("turn <= allowed")
+    found = [t.select("id", F.col("feature").alias("dimension"), "start", "end", "text") for t in (free, own) if t is not None]
+    if not found:
+        return docs.select(F.col(id_col).alias("id"), F.lit("").alias("dimension"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text")).limit(0)
+    return reduce(DataFrame.unionByName, found)
 
 
 def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str, lexicon: DataFrame) -> DataFrame:
@@ -282,8 +328,8 @@ def tagged_words(docs: DataFrame, features: list[LexiconFeature], id_col: str, l
     found = None
     for column in sorted({f.pos_column for f in features}):
         keys = [f for f in features if f.pos_column == column]
-        fit = lambda x: reduce(Column.__or__, (A.pos_matches(x, f.tags, f.feats) for f in keys)) & (x["word"].rlike(begin) if begin else F.lit(True))  # noqa: B023, E731
-        items = S.exploded(docs, F.col(id_col).alias("id"), F.filter(A.pos_items(F.col(column)), fit)).withColumnRenamed("x", "item")
+        fit = lambda x: reduce(Column.__or__, (A.pos_matches(x, f.tags, f.feats) for f in keys))  # noqa: B023, E731
+        items = S.exploded(docs, F.col(id_col).alias("id"), F.filter(A.pos_items(F.col(column), begin), fit)).withColumnRenamed("x", "item")
         wanted = F.array(*(F.when(A.pos_matches(F.col("item"), f.tags, f.feats), f.key) for f in keys))
         rows = items.select("id", F.lower("item.word").alias("word"), F.explode(wanted).alias("feature")).where("feature IS NOT NULL")
         found = found.union(rows) if found else rows
@@ -296,9 +342,9 @@ def lexicon_features(docs: DataFrame, lexicon: DataFrame, features: list[Lexicon
     With tags, a word counts as often as the document holds it with them, and no more. The tokens are those of word_count
     where docs has that column.
     """
-    excepted = {r.dictionary for r in lexicon.where("is_exception").select("dictionary").distinct().where(F.col("dictionary").isin([d for f in features for d in f.dictionaries])).collect()}
-    counted = [f for f in features if not f.plain and not excepted & set(f.dictionaries)]
-    plain, placed = [f for f in features if f.plain], [f for f in features if not f.plain and excepted & set(f.dictionaries)]
+    swept = swept_keys(lexicon, features)
+    counted = [f for f in features if not f.plain and f.key not in swept]
+    plain, placed = [f for f in features if f.plain], [f for f in features if f.key in swept]
     rows = []
     if counted:
         of_feature = feature_table(docs.sparkSession, counted)
