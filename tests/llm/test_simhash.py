@@ -138,3 +138,43 @@ def test_sets_meet_by_bit_planes():
     sets = [base, np.append(base[:-2], np.uint64(1 << 63)), base[:3]]
     assert simhash.links_of_sets(sets, np.array([2, 2, 2]), 80) == ([1], [0])
     assert simhash.links_of_sets(sets, np.array([2, 2, 2]), 80, radius=0) == ([], [])
+
+
+def test_first_shingles_and_parities_lose_no_pair():
+    rng = np.random.default_rng(5)
+    common = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    order = (common, rng.integers(3, 99, len(common)))
+    sets = []
+    for _ in range(40):
+        base = np.unique(np.concatenate([rng.choice(common, rng.integers(0, 40)), rng.integers(0, 1 << 63, rng.integers(1, 150), dtype=np.uint64)]))
+        sets += [base, *(np.unique(np.concatenate([rng.permutation(base)[: len(base) - rng.integers(0, 2 + len(base) // 7)], rng.integers(0, 1 << 63, rng.integers(0, 2 + len(base) // 9), dtype=np.uint64)])) for _ in range(3))]
+    sets += [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    close = {(i, j) for i in range(len(sets)) for j in range(i) if share_of(set(sets[i].tolist()), set(sets[j].tolist()))}
+    exactly = [simhash.first_shingles(s, 80, order) for s in sets]
+    assert len(close) > 40 and all(set(exactly[i].tolist()) & set(exactly[j].tolist()) for i, j in close)
+    a, b = simhash.pairs_left(np.array([len(s) for s in sets]), np.full(len(sets), 2), np.arange(len(sets)), [simhash.parities(s) for s in sets], 80)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert len(found) == len(a) and {(max(p), min(p)) for p in found} >= close and len(found) < len(sets) ** 2 // 20
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_pairs_that_the_first_step_leaves_are_found(spark, few, monkeypatch):
+    """Similar texts meet whatever their fingerprints, and also if they share none of the first shingles by which most meet."""
+    monkeypatch.setattr(simhash, "SET_BITS", 0)
+    monkeypatch.setattr(simhash, "FIRST", 1)
+    monkeypatch.setattr(simhash, "FEW", few)
+    rows = list(enumerate([*texts(120, 9), *similar_texts()[:60]]))
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id bigint, text string").repartition(3)
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, candidate_keys="bands").collect()}
+    assert all(comp[a] == comp[b] for a in sets for b in sets if share_of(sets[a], sets[b]))
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(comp.values())
+
+
+def test_similar_texts_with_far_fingerprints(spark):
+    """Four of five shingles are common, but 34 bits of the fingerprints of the sets differ."""
+    long = "w85474 w88333 w45018 w55761 w90611 w62169 w54286 w1791 x98629"
+    docs = spark.createDataFrame([(1, long), (2, long.rsplit(" ", 1)[0]), (3, "another text of some words")], "doc_id bigint, text string")
+    a, b = (simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 5))) for t in (long, long.rsplit(" ", 1)[0]))
+    assert ((a ^ b) & (2**64 - 1)).bit_count() == 34
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 3]

@@ -8,8 +8,11 @@ Which fingerprints meet: two that differ in at most r bits agree in p of any r +
 p blocks is a key; p grows with the number of distinct fingerprints so that keys stay selective. This is exact.
 
 For a similarity of the shingle sets (candidate_keys="bands") fingerprints cannot decide: at any radius they miss some
-pairs and link others that are less alike. Texts that share a min-hash band meet, and the Jaccard similarity of their
-shingle sets, counted exactly, is the verdict on those whose fingerprints (of the sets) the bit planes leave within a wide radius.
+pairs and link others that are less alike. There the Jaccard similarity, counted exactly, is the verdict, and every pair that may
+reach it meets: the sets are put in one order (rare shingles first), and two that are similar enough share one of their first
+shingles, of which each has as many as it may lack, and one. First texts meet that share one of the first few; the bit planes leave
+out what is far apart, and most near copies are joined. Then all that share any of those keys and are not joined yet meet: the
+parities of their sets in small bitmaps bound the difference from below and rule out most pairs, the rest is counted. This is exact.
 
 Words are [^\\x20\\x09-\\x0D]+ after lowering A-Z; shingles keep repeats; a text with fewer words has one shingle, a
 text without words (null, empty, white space) fingerprint zero, linked like any other. Repeated rows and ids keep
@@ -23,11 +26,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
-from .storage import HOT, free, met, written
+from .storage import FEW, HOT, free, met, written
 
 #: Fingerprints of one key that are compared in one task; keys with more are split into cells of pairs of blocks.
 BLOCK = 4096
@@ -35,18 +38,18 @@ BLOCK = 4096
 PLANES, ROWS = 8, 1 << 17
 #: Usual radius of "blocks". It is no test of similarity 0.8: such pairs differ in 9.7 bits on average, and 5 % of them in over 14.
 NEAR_BITS = 14
-#: Radius for the fingerprints of sets whose exact similarity follows: sets of similarity 0.8 differ in 9.7 bits on average (12, if
-#: they have 4 and 5 shingles), as independent bits in over 32 with probability 4e-9 at most. Two unlike ones do in 45 % of all cases.
+#: Radius for the fingerprints of sets that meet first: sets of similarity 0.8 differ in 9.7 bits on average (12, if they have 4 and 5
+#: shingles), unlike ones in over 32 in 45 % of all cases. What is beyond it is left to the second step, which has no radius.
 SET_BITS = 32
 #: Jaccard similarity in percent, of the sets of shingles, from which texts are near copies by "bands".
 NEAR_SHARE = 80
-#: Texts of one band that are compared in one task; bands with more are split into cells of pairs of blocks.
+#: Texts of one key that are compared in one task; keys with more are split into cells of pairs of blocks.
 CELL = 1024
-#: Min-hash bands and rows of a band: a pair of Jaccard similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
-BANDS, BAND_ROWS, SEED = 32, 4, 42
-_rng = np.random.default_rng(7)
-_MUL = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+#: Shingles of each text by which texts meet first. Similar ones that share none of these meet by the others.
+FIRST = 4
+#: Texts whose shingles are counted, and shingles kept, to know which are common. They give an order: results don't depend on them.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 100_000
+SEED = 42
 
 
 def shingle_hashes(text: str | None, n_words: int) -> np.ndarray:
@@ -66,31 +69,74 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One key for each band of min-hashes; a text without shingles has the keys of the hash zero."""
-    best = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
-    distinct = np.unique(hashes) if len(hashes) else np.zeros(1, np.uint64)
-    for begin in range(0, len(distinct), 2048):
-        mixed = distinct[begin : begin + 2048, None] * _MUL + _ADD
-        mixed ^= mixed >> np.uint64(32)
-        best = np.minimum(best, mixed.min(axis=0))
-    return [xxhash.xxh64_intdigest(best[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+def common_shingles(docs: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that some texts, chosen by their hashes, share most."""
+    every = max(1, -(-docs.count() // ORDER_TEXTS))
+    some = docs.select("text").where(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(every)) == 0)
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text, n_words)) for text in set(batch.column("text").to_pylist())]
+            hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["shingle", "n"])
+
+    counted = some.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 2")
+    found = counted.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).collect()
+    hashes, counts = np.array([r.shingle for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def first_shingles(distinct: np.ndarray, share: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of a set (sorted, without repeats) of which any set of similarity share percent has one among its own, rare ones first.
+
+    Of n shingles such a set lacks n - ceil(share * n / 100) at most. A text without shingles has the hash zero.
+    """
+    if not len(distinct):
+        return np.zeros(1, np.uint64)
+    hashes, counts = common
+    weight = np.zeros(len(distinct), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        weight = np.where(hashes[at] == distinct, counts[at], 0)
+    return distinct[np.argsort(weight, kind="stable")[: len(distinct) + (-share * len(distinct)) // 100 + 1]]
 
 
-def fingerprints(docs: DataFrame, n_words: int, bands: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fingerprint (bigint) and, if asked for, the bands of every text."""
+def parities(distinct: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, as many as the set has elements or more: whether an odd number of hashes falls on a bit.
+
+    Two such bitmaps differ in as many bits as the sets differ in elements at most, also when halves of the longer are added up.
+    """
+    width = max(64, 1 << (len(distinct) - 1).bit_length() if len(distinct) else 0)
+    odd = np.bincount((distinct & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, n_words: int, share: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fingerprint (bigint) and, if a share is given, keys, size and parities of the set of every text.
+
+    Of equal texts in one task only the first has these.
+    """
     kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    common = common_shingles(kept, n_words) if share else ()
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            prints, keys = [], []
-            for text in batch.column("text").to_pylist():
+            prints, keys, sizes, bitmaps = [], [], [], []
+            for text, text_hash in zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True):
                 hashes = shingle_hashes(text, n_words)
                 prints.append(fingerprint(hashes))
-                keys.append(band_keys(hashes) if bands else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fingerprint", "bands"])
+                fresh = bool(share) and text_hash not in seen
+                seen.add(text_hash)
+                distinct = np.unique(hashes) if fresh else None
+                keys.append(first_shingles(distinct, share, common).view(np.int64) if fresh else None)
+                sizes.append(len(distinct) if fresh else None)
+                bitmaps.append(parities(distinct) if fresh else None)
+            more = [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bitmaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.int64()), *more], ["doc_id", "text_hash", "fingerprint", "keys", "size", "parities"])
 
-    return kept.mapInArrow(run, "doc_id bigint, text_hash bigint, fingerprint bigint, bands array<bigint>")
+    return kept.mapInArrow(run, "doc_id bigint, text_hash bigint, fingerprint bigint, keys array<bigint>, size bigint, parities binary")
 
 
 def block_masks(radius: int, n: int) -> list[int]:
@@ -294,35 +340,102 @@ def links_of_sets(sets: list[np.ndarray], side: np.ndarray, share: int, radius:
     return a, b
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, n_words: int, share: int = NEAR_SHARE, cell: int = CELL) -> DataFrame:
-    """Edges a, b (text hashes) that join all texts of similarity share that share a band of prints.
+def pairs_left(sizes: np.ndarray, side: np.ndarray, label: np.ndarray, bitmaps: list[bytes], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels that may have a similarity of share percent, going by sizes and parities; sides as in links_of_sets().
 
-    Bands that join the same texts are compared once. Edges are a spanning forest of each cell, never all its pairs.
+    share is 50 or more.
+    """
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lengths = np.array([len(x) for x in bitmaps])
+    for width in np.unique(lengths):  # of two sizes that are similar enough one bitmap is twice as long as the other at most
+        own = np.flatnonzero((lengths == width) | (lengths == 2 * width))
+        rows = np.zeros((len(own), width // 8), np.uint64)
+        for k, at in enumerate(own):
+            halves = np.frombuffer(bitmaps[at], np.uint64).reshape(-1, width // 8)
+            rows[k] = np.bitwise_xor.reduce(halves, axis=0)
+        for k in range(1, len(own)):
+            i, j = own[k], own[:k]
+            may = ((side[j] != side[i]) | (side[i] == 2)) & (label[j] != label[i]) & ((lengths[j] == width) | (lengths[i] == width))
+            may &= 100 * np.minimum(sizes[j], sizes[i]) >= share * np.maximum(sizes[j], sizes[i])
+            left = np.flatnonzero(may)
+            apart = np.bitwise_count(rows[left] ^ rows[k]).sum(axis=1, dtype=np.int64)
+            left = left[apart * (100 + share) <= (100 - share) * (sizes[j[left]] + sizes[i])]
+            found_a.append(np.full(len(left), i))
+            found_b.append(j[left])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def cells_of(keyed: DataFrame, cell: int) -> DataFrame:
+    """cell, side and text_hash of keyed(key, text_hash, label) whose key has two texts and two labels.
+
+    Keys that join the same texts are one; those with more than cell texts are dealt to pairs of blocks.
     """
-    keyed = prints.select(F.explode("bands").alias("key"), "text_hash").distinct()
     marks = [F.count("*").alias("n"), F.min("text_hash").alias("least"), *(F.bit_xor(F.xxhash64(F.lit(k), "text_hash")).alias(f"mark{k}") for k in (0, 1))]
-    sizes = keyed.groupBy("key").agg(*marks).where("n > 1").groupBy("n", "least", "mark0", "mark1").agg(F.min("key").alias("of_key"))
+    sizes = keyed.groupBy("key").agg(*marks, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").groupBy("n", "least", "mark0", "mark1").agg(F.min("key").alias("of_key"))
     sizes = sizes.select("of_key", F.ceil(F.col("n") / cell).cast("int").alias("m"))
     dealt = keyed.join(sizes, F.col("key") == F.col("of_key")).select("key", "text_hash", "m", F.pmod(F.xxhash64("text_hash"), F.col("m")).cast("int").alias("s"))
     cells = dealt.select("key", "text_hash", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("t"))
     low, high = F.least("s", "t"), F.greatest("s", "t")
     side = F.when(low == high, 2).when(F.col("s") == low, 0).otherwise(1)
-    cells = cells.groupBy("text_hash").agg(F.collect_list(F.struct(F.xxhash64("key", low, high).alias("cell"), side.cast("int").alias("side"))).alias("cells"))  # its bands, times m
+    return cells.select(F.xxhash64("key", low, high).alias("cell"), side.cast("int").alias("side"), "text_hash")
+
+
+def links_of_texts(docs: DataFrame, prints: DataFrame, cells: DataFrame, n_words: int, share: int, radius: int, few: int = 0) -> DataFrame:
+    """Edges a, b (text hashes) of the texts of cells(cell, side, text_hash), whose sets are compared as links_of_sets() does.
+
+    Up to few texts are sought by broadcast; for more the texts of docs are shuffled.
+    """
+    own_cells = cells.groupBy("text_hash").agg(F.collect_list(F.struct("cell", "side")).alias("cells"))  # its keys, times blocks
     firsts = prints.groupBy(F.col("text_hash").alias("of_text")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x"))
-    wanted = written(cells.join(firsts, F.col("text_hash") == F.col("of_text")).select("text_hash", "cells", F.col("x.doc_id").alias("first_id")), "cells")
+    wanted = written(own_cells.join(firsts, F.col("text_hash") == F.col("of_text")).select("text_hash", "cells", F.col("x.doc_id").alias("first_id")), "cells")
     own = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = own.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("text_hash")))
+    wanted = F.broadcast(wanted) if few and (wanted.agg(F.sum(F.size("cells"))).first()[0] or 0) <= few else wanted.hint("merge")
+    texts = own.join(wanted, F.col("id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("text_hash")))
     texts = texts.select("text_hash", "text", F.explode("cells").alias("x")).select("text_hash", "text", "x.cell", "x.side")
 
     def run(rows: pa.Table) -> pa.Table:
         hashes, at = np.unique(rows.column("text_hash").to_numpy(), return_index=True)  # repeated rows once
         sets = [np.unique(shingle_hashes(text, n_words)) for text in rows.column("text").take(at).to_pylist()]
-        a, b = links_of_sets(sets, rows.column("side").to_numpy()[at], share)
+        a, b = links_of_sets(sets, rows.column("side").to_numpy()[at], share, radius)
         return pa.table({"a": pa.array(hashes[a], pa.int64()), "b": pa.array(hashes[b], pa.int64())})
 
     return texts.groupBy("cell").applyInArrow(run, "a bigint, b bigint")
 
 
+def similar_links(docs: DataFrame, prints: DataFrame, n_words: int, share: int = NEAR_SHARE, cell: int = CELL) -> DataFrame:
+    """Edges a, b (text hashes) that join all texts of similarity share; prints has their keys for that share.
+
+    Edges are a spanning forest of each cell, never all its pairs.
+    """
+    first = prints.select(F.explode(F.slice("keys", 1, FIRST)).alias("key"), "text_hash").distinct().withColumn("label", F.col("text_hash"))
+    joined = written(connected(links_of_texts(docs, prints, cells_of(first, cell), n_words, share, SET_BITS)), "joined")
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links_left(docs, prints, joined, n_words, share, cell))
+
+
+def links_left(docs: DataFrame, prints: DataFrame, joined: DataFrame, n_words: int, share: int, cell: int) -> DataFrame:
+    """Edges a, b of the texts of similarity share that joined(node, component) has in different components, or not at all."""
+    of_key = Window.partitionBy("key")
+    keyed = prints.select(F.explode("keys").alias("key"), "text_hash")
+    shared = keyed.select("key", "text_hash", (F.min("text_hash").over(of_key) < F.max("text_hash").over(of_key)).alias("two")).where("two")
+    shared = written(shared.select("key", "text_hash").distinct(), "shared")
+    labelled = shared.join(joined, F.col("text_hash") == F.col("node"), "left").select("key", "text_hash", F.coalesce("component", "text_hash").alias("label"))
+    of_text = prints.where("keys IS NOT NULL").groupBy(F.col("text_hash").alias("of")).agg(F.first("size").alias("size"), F.first("parities").alias("parities"))
+    sketches = of_text.join(joined, F.col("of") == F.col("node"), "left").select("of", "size", "parities", F.coalesce("component", "of").alias("label"))
+    members = cells_of(labelled, cell).join(sketches, F.col("text_hash") == F.col("of")).select("cell", "side", "text_hash", "size", "parities", "label")
+
+    def run(rows: pa.Table) -> pa.Table:
+        hashes, at = np.unique(rows.column("text_hash").to_numpy(), return_index=True)
+        column = lambda c: rows.column(c).to_numpy()[at]
+        a, b = pairs_left(column("size"), column("side"), column("label"), rows.column("parities").take(at).to_pylist(), share)
+        return pa.table({"a": pa.array(hashes[a], pa.int64()), "b": pa.array(hashes[b], pa.int64())})
+
+    pairs = written(members.groupBy("cell").applyInArrow(run, "a bigint, b bigint").distinct(), "pairs")
+    partners = pairs.groupBy(F.col("a").alias("of")).agg(F.ceil(F.count("*") / cell).cast("int").alias("m"))
+    dealt = pairs.join(partners, F.col("a") == F.col("of")).select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("m"))).alias("cell"))
+    sides = [dealt.select("cell", F.lit(s).alias("side"), F.col(c).alias("text_hash")) for s, c in ((0, "a"), (1, "b"))]
+    return links_of_texts(docs, prints, sides[0].union(sides[1]).distinct(), n_words, share, 64, FEW)
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, candidate_keys: str = "blocks") -> DataFrame:
     """doc_id, text_hash, fingerprint, component (a node) and component_id (the smallest doc_id that links reach) of every row.
 
@@ -330,7 +443,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS,
     whose shingle sets have a similarity of NEAR_SHARE, whatever their fingerprints.
     """
     bands = candidate_keys == "bands"
-    prints, node = written(fingerprints(docs, n_words, bands), "fingerprints"), "text_hash" if bands else "fingerprint"
+    prints, node = written(fingerprints(docs, n_words, NEAR_SHARE if bands else 0), "fingerprints"), "text_hash" if bands else "fingerprint"
     firsts = written(prints.groupBy(F.col(node).alias("of_node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "nodes")
     if bands:
         found = connected(similar_links(docs, prints, n_words))
@@ -347,8 +460,10 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS,
 
 def one_of_each(docs: DataFrame, n_words: int = 5, radius: int = NEAR_BITS, candidate_keys: str = "bands") -> DataFrame:
     """The row of docs with the smallest doc_id (then text hash) of each component, all columns as they are, repeated rows once."""
-    at_id, at_hash = free(docs, "__id", "__hash")
+    at_id, at_null, at_hash = free(docs, "__id", "__null", "__hash")
     groups = near_duplicates(docs, n_words, radius, candidate_keys)
-    heads = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")).select(F.col("x.doc_id").alias(at_id), F.col("x.text_hash").alias(at_hash))
-    joined = docs.join(heads.hint("merge"), docs["doc_id"].eqNullSafe(F.col(at_id)) & (F.xxhash64(docs["text"]) == F.col(at_hash)))
-    return joined.dropDuplicates([at_id, at_hash]).drop(at_id, at_hash)
+    heads = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x"))
+    heads = heads.select(F.coalesce("x.doc_id", F.lit(0)).alias(at_id), F.col("x.doc_id").isNull().alias(at_null), F.col("x.text_hash").alias(at_hash))
+    own_id = docs["doc_id"].cast("bigint")
+    same = (F.coalesce(own_id, F.lit(0)) == F.col(at_id)) & (own_id.isNull() == F.col(at_null)) & (F.xxhash64(docs["text"]) == F.col(at_hash))
+    return docs.join(heads.hint("merge"), same).dropDuplicates([at_id, at_null, at_hash]).drop(at_id, at_null, at_hash)  # by the keys of the join, so texts move once
